@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontaminate"]
+MODULES = ["decontaminate", "chat", "quality_model", "byte_bpe", "language_mix", "quality_rules"]
 
 
 def collect(attribute: str) -> dict:
