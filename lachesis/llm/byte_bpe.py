@@ -15,9 +15,11 @@ Repeated rows are coded alike. Input columns with the names of added ones are re
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -29,8 +31,8 @@ from pyspark.sql import types as T
 from .common import append_arrow, table
 
 MAX_MODEL = 64 << 20
-#: Pre-tokens remembered by a worker.
-REMEMBERED = 300_000
+#: Pre-tokens that a worker remembers, and characters (or ids) that it works on at once.
+REMEMBERED, RUN = 500_000, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -82,33 +84,80 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
     return b"".join(pieces) + message(2, trainer) + message(3, normalizer)
 
 
+#: The default pattern over Latin-1 bytes: its classes of letters, numbers and white space up to U+00FF, spelled out.
+LETTERS, NUMBERS, WHITE = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe", "\\t-\\r \\x85\\xa0"
+
+
+def latin_splitter(pattern: str):
+    """A splitter of Latin-1 bytes that cuts where the pattern does, for the default pattern; None for another one."""
+    if pattern != public_tokenizers.PATTERN:
+        return None
+    spelled = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{WHITE}{LETTERS}{NUMBERS}]").replace(r"\p{L}", f"[{LETTERS}]").replace(r"\p{N}", f"[{NUMBERS}]").replace(r"\S", f"[^{WHITE}]").replace(r"\s", f"[{WHITE}]")
+    return re.compile(spelled.encode("latin-1")).findall
+
+
 class Coder:
     """Encoding and decoding with one model; lives in a Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], model: bytes, pattern: str):
-        self.ranks, self.tokens, self.split = ranks, sorted(ranks, key=ranks.get), regex.compile(pattern).findall
+        self.ranks, self.split, self.split_latin = ranks, regex.compile(pattern).findall, latin_splitter(pattern)
+        tokens = sorted(ranks, key=ranks.get)
+        self.size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.start, self.blob = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(tokens), np.uint8)
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        parts = self.split(text)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        if new := [p for p in dict.fromkeys(parts) if p not in known]:
-            pieces = []
-            for p in new:
-                token = p.encode()
-                if (r := self.ranks.get(token)) is not None:
-                    known[p] = [r]
-                else:
-                    pieces.append((p, to_piece(token)))
-            if pieces:
-                known.update(zip((p for p, _ in pieces), self.sp.encode([x for _, x in pieces], num_threads=1), strict=True))
-        return list(chain.from_iterable(map(known.__getitem__, parts)))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        # Ids of pre-tokens met so far; bytes are Latin-1 texts' pre-tokens.
+        self.known: dict[str | bytes, list[int]] = {}
+
+    def parts(self, text: str) -> list[str] | list[bytes]:
+        if self.split_latin:
+            try:
+                return self.split_latin(text.encode("latin-1"))
+            except UnicodeEncodeError:
+                pass
+        return self.split(text)
+
+    def learn(self, new: set[str | bytes]) -> None:
+        hard, pieces = [], []
+        for p in new:
+            token = p.encode() if isinstance(p, str) else p.decode("latin-1").encode()
+            if (r := self.ranks.get(token)) is not None:
+                self.known[p] = [r]
+            else:
+                hard.append(p)
+                pieces.append(to_piece(token))
+        if pieces:
+            self.known.update(zip(hard, self.sp.encode(pieces, num_threads=1), strict=True))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's ids begin, with the end."""
+        ids, sizes, i = [], [], 0
+        while i < len(texts):
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            run, chars = [], 0
+            while i < len(texts) and chars < RUN:
+                run.append(self.parts(texts[i]) if texts[i] else [])
+                chars += len(texts[i] or "")
+                i += 1
+            self.learn(set().union(*run) - self.known.keys())
+            get = self.known.__getitem__
+            for parts in run:
+                own = np.fromiter(chain.from_iterable(map(get, parts)), np.int32)
+                ids.append(own)
+                sizes.append(len(own))
+        return np.concatenate(ids) if ids else np.empty(0, np.int32), np.cumsum([0, *sizes])
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids, and where each row's bytes begin, with the end."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size)):
+            raise ValueError("an id is not in the vocabulary")
+        out, size = [np.empty(0, np.uint8)], self.size[ids]
+        ends = np.append(0, np.cumsum(size))
+        for a in range(0, len(ids), RUN):
+            n = size[a : a + RUN]
+            shift = np.repeat(self.start[ids[a : a + RUN]] - (np.cumsum(n) - n), n)
+            out.append(self.blob[shift + np.arange(len(shift))])
+        return np.concatenate(out), ends[bounds]
 
 
 class Shared:
@@ -142,7 +191,8 @@ def encode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, t
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         coder = known.value.coder
-        return [pa.array([coder.encode(t) if t else [] for t in batch.column(text).to_pylist()], pa.list_(pa.int32()))]
+        flat, bounds = coder.encode(batch.column(text).to_pylist())
+        return [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))]
 
     return append_arrow(df, [T.StructField(out, T.ArrayType(T.IntegerType()))], run, keep)
 
@@ -153,7 +203,10 @@ def decode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, i
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         coder = known.value.coder
-        return [pa.array([coder.decode(x) if x else b"" for x in batch.column(ids).to_pylist()], pa.binary())]
+        column = batch.column(ids)
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat, ends = coder.decode(column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *sizes]))
+        return [pa.BinaryArray.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])]
 
     return append_arrow(df, [T.StructField(out, T.BinaryType())], run, keep)
 

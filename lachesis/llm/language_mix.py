@@ -57,10 +57,10 @@ class Model:
     log_p: np.ndarray  # languages x BUCKETS
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """Log-likelihood of each word in each language."""
+        """Log-likelihood of each word in each language: languages x words."""
         buckets, n = trigrams(words)
         starts = np.cumsum(n) - n
-        return np.add.reduceat(self.log_p[:, buckets], starts, axis=1).T.astype(np.float32)
+        return np.add.reduceat(self.log_p[:, buckets], starts, axis=1).astype(np.float32)
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: float = 0.5) -> Model:
@@ -101,46 +101,45 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
     return Model(languages, np.log(n / n.sum(axis=1, keepdims=True)))
 
 
-def mixtures(scores: np.ndarray, sizes: np.ndarray, penalty: float, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions with all languages, and with the chosen set, for documents whose words' scores follow one another.
-    No document is empty."""
-    top = scores.max(axis=1, keepdims=True)
+def mixtures(scores: np.ndarray, sizes: np.ndarray, penalty: float, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions (documents x languages) with all languages, and with the chosen set, for documents whose words'
+    scores (languages x words) follow one another. No document is empty."""
+    k = len(scores)
+    top = scores.max(axis=0)
     like = np.exp(scores - top)
     starts = np.cumsum(sizes) - sizes
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    base = np.add.reduceat(top[:, 0].astype(np.float64), starts)
+    base = np.add.reduceat(top.astype(np.float64), starts)
 
     def fit(pi: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = docs[doc]
-        p, d = like[own], np.repeat(np.arange(docs.sum()), sizes[docs])
-        begin = np.cumsum(sizes[docs]) - sizes[docs]
+        n = sizes[docs]
+        p, begin = (like if docs.all() else like[:, np.repeat(docs, sizes)]), np.cumsum(n) - n
         for _ in range(rounds):
-            r = p * pi[d]
-            r /= np.maximum(r.sum(axis=1, keepdims=True), 1e-30)
-            pi = np.add.reduceat(r, begin, axis=0) / sizes[docs, None]
-        seen = np.log(np.maximum((p * pi[d]).sum(axis=1), 1e-30).astype(np.float64))
-        return pi, np.add.reduceat(seen, begin) + base[docs]
+            r = p * np.repeat(pi, n, axis=1)
+            r /= np.maximum(r.sum(axis=0), 1e-30)
+            pi = np.add.reduceat(r, begin, axis=1) / n
+        seen = np.log(np.maximum((p * np.repeat(pi, n, axis=1)).sum(axis=0), 1e-30).astype(np.float64))
+        return pi.astype(np.float32), np.add.reduceat(seen, begin) + base[docs]
 
-    k = scores.shape[1]
     every = np.ones(len(sizes), bool)
-    full, _ = fit(np.full((len(sizes), k), 1 / k, np.float32), every)
+    each = np.arange(len(sizes))
+    full = fit(np.full((k, len(sizes)), 1 / k, np.float32), every)[0].T
     order = np.argsort(-full, axis=1, kind="stable")
     best = np.zeros_like(full)
-    best[np.arange(len(sizes)), order[:, 0]] = 1
-    value = np.add.reduceat(scores[np.arange(len(doc)), order[doc, 0]].astype(np.float64), starts)
-    grows = every.copy()
+    best[each, order[:, 0]] = 1
+    value = np.add.reduceat(scores[np.repeat(order[:, 0], sizes), np.arange(scores.shape[1])].astype(np.float64), starts)
+    grows = every
     for m in range(2, k + 1):
         # A language that all languages together leave almost nothing adds nothing to the likelihood.
-        grows = grows & (full[np.arange(len(sizes)), order[:, m - 1]] > 1e-3)
+        grows = grows & (full[each, order[:, m - 1]] > 1e-2)
         if not grows.any():
             break
         start = np.zeros((int(grows.sum()), k), np.float32)
         np.put_along_axis(start, order[grows, :m], 1 / m, axis=1)
-        pi, likelihood = fit(start, grows)
+        pi, likelihood = fit(np.ascontiguousarray(start.T), grows)
         now = likelihood - penalty * (m - 1) * np.log(np.maximum(sizes[grows], 2)) / 2
         better = now > value[grows]
         at = np.flatnonzero(grows)[better]
-        best[at], value[at] = pi[better], now[better]
+        best[at], value[at] = pi.T[better], now[better]
         grows = np.zeros(len(sizes), bool)
         grows[at] = True
     return full, best
@@ -158,7 +157,7 @@ class Known:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.scores = np.empty((0, len(self.model.languages)), np.float32)
+        self.scores = np.empty((len(self.model.languages), 0), np.float32)
         self.used = 0
 
     def lookup(self, words: list[str]) -> np.ndarray:
@@ -166,14 +165,14 @@ class Known:
             self.clear()
         if new := [w for w in dict.fromkeys(words) if w not in self.place]:
             need = self.used + len(new)
-            if need > len(self.scores):
-                grown = np.empty((2 * need, self.scores.shape[1]), np.float32)
-                grown[: self.used] = self.scores[: self.used]
+            if need > self.scores.shape[1]:
+                grown = np.empty((len(self.scores), 2 * need), np.float32)
+                grown[:, : self.used] = self.scores[:, : self.used]
                 self.scores = grown
-            self.scores[self.used : need] = self.model.word_scores(new)
+            self.scores[:, self.used : need] = self.model.word_scores(new)
             self.place.update(zip(new, range(self.used, need), strict=True))
             self.used = need
-        return self.scores[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
+        return self.scores[:, np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
 
 
 def infer(docs: DataFrame, model: Model, text: str = "text", penalty: float = 2.0, keep: list[str] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ of added ones are replaced. Empty tables give empty results.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,28 +36,27 @@ def kind_of(b: int) -> int:
 
 
 KIND = np.array([kind_of(b) for b in range(256)], np.uint8)
-NAMES = ["log_bytes", "log_words", "word_bytes", "upper", "digit", "symbol", "mark", "shout", "bar", "other", "newline", "distinct_words", "repeated_lines", "top_word", "repeated_windows"]
+NAMES = ["word_bytes", "upper", "digit", "symbol", "mark", "shout", "bar", "other", "newline", "repeated_lines", "top_word", "repeated_windows"]
 D = len(NAMES)
+#: Shares are smoothed as if a text went on with so many plain bytes, words, lines and windows, so short texts lie near the middle.
+PRIOR_BYTES, PRIOR_WORDS, PRIOR_LINES, PRIOR_WINDOWS = 400, 60, 4, 40
+#: Usual shares of bytes by kind, in running text.
+USUAL = np.array([0.16, 0.02, 0.79, 0.0, 0.0, 0.02, 0.0, 0.0, 0.0, 0.005, 0.005])
 
 
 def measure(text: bytes) -> list[float]:
-    """The statistics of one text; shares are taken as square roots, sizes as logarithms."""
+    """The statistics of one text; shares are taken as square roots."""
     n = len(text)
-    if not n:
-        return [0.0] * D
-    share = np.sqrt(np.bincount(KIND[np.frombuffer(text, np.uint8)], minlength=len(KINDS)) / n)
+    share = np.sqrt((np.bincount(KIND[np.frombuffer(text, np.uint8)], minlength=len(KINDS)) + PRIOR_BYTES * USUAL) / (n + PRIOR_BYTES))
     words = text.split()
     lines = [x for x in text.split(b"\n") if x.strip()]
-    counts: dict[bytes, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    k = max(1, len(words))
-    windows = len(words) - 2
-    distinct = len(set(zip(words, words[1:], words[2:], strict=False))) if windows > 0 else 0
+    windows = max(0, len(words) - 2)
+    distinct = len(set(zip(words, words[1:], words[2:], strict=False))) if windows else 0
+    top = max(Counter(words).values(), default=1) - 1
     at = dict(zip(KINDS, share.tolist(), strict=True))
     return [
-        np.log1p(n), np.log1p(len(words)), min(6.0, np.sqrt((n - len(words)) / k)), at["upper"], at["digit"], at["symbol"], at["mark"], at["shout"], at["bar"], at["other"], at["newline"],
-        np.log1p(len(counts)) / np.log1p(k), np.sqrt((len(lines) - len(set(lines))) / max(1, len(lines))), np.sqrt(max(counts.values(), default=0) / k), np.sqrt(1 - distinct / windows) if windows > 0 else 0.0,
+        min(6.0, np.sqrt((n - len(words) + 6 * PRIOR_WORDS) / (len(words) + PRIOR_WORDS))), at["upper"], at["digit"], at["symbol"], at["mark"], at["shout"], at["bar"], at["other"], at["newline"],
+        np.sqrt((len(lines) - len(set(lines))) / (len(lines) + PRIOR_LINES)), np.sqrt(top / (len(words) + PRIOR_WORDS)), np.sqrt((windows - distinct) / (windows + PRIOR_WINDOWS)),
     ]
 
 
