@@ -32,7 +32,7 @@ from .common import append_arrow, table
 
 MAX_MODEL = 64 << 20
 #: Pre-tokens that a worker remembers, and characters (or ids) that it works on at once.
-REMEMBERED, RUN = 500_000, 1 << 20
+REMEMBERED, RUN = 300_000, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

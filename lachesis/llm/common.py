@@ -40,6 +40,10 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([df[f"`{c}`"] for c in df.columns if c.lower() not in low])
 
 
+#: Rows that a function of Arrow batches gets at once.
+PIECE = 1000
+
+
 def append_arrow(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
     """df[keep] with the columns that fn computes from each Arrow batch; input columns of the same names go."""
     new = {f.name.lower() for f in fields}
@@ -47,10 +51,11 @@ def append_arrow(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.Re
     schema = T.StructType([df.schema[c] for c in kept] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                cols = fn(batch)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *cols], names=[f for f in schema.names])
+        for whole in batches:
+            # Small pieces keep what fn makes small, whatever the session's batch size.
+            for at in range(0, whole.num_rows, PIECE):
+                batch = whole.slice(at, PIECE)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *fn(batch)], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
