@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.clustering import KMeans
@@ -58,17 +59,16 @@ def assigned(df: DataFrame, vector: str, centres: np.ndarray, metric: str, out:
     shared = df.sparkSession.sparkContext.broadcast(centres)
 
     @F.pandas_udf("int")
-    def nearest(v):
-        x, c = np.array(v.tolist(), float), shared.value
+    def nearest(v: pd.Series) -> pd.Series:
+        c = shared.value
+        x = np.array(v.tolist(), float).reshape(len(v), c.shape[1])
         if metric == "euclidean":
             d = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
         elif metric == "dtw":
             d = np.array([[dtw(a, b)[0] for b in c] for a in x])
         else:
             d = np.array([[shape_shift(znorm(a), b)[0] for b in c] for a in x])
-        import pandas as pd
-
-        return pd.Series(d.argmin(axis=1).astype(np.int32)) if len(x) else pd.Series([], dtype="int32")
+        return pd.Series(d.argmin(axis=1).astype(np.int32))
 
     return df.withColumn(out, nearest(F.col(vector)))
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import erfc, sqrt
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,7 +178,7 @@ def prefix_sweep(df: DataFrame, last: int, keys: list[str] = KEYS) -> DataFrame:
     """Rows of each input configuration t0..ti, for the targets "1yr" (the last timepoint) and "nxt" (the next one):
     (config, target, inputs). A series row is copied once a configuration that holds it."""
     ends = F.sequence(F.col("t"), F.lit(last - 1))
-    rows = df.where(F.col("t") < last).withColumn("n_inputs", F.explode(ends) + 1)
+    rows = df.where(F.col("t") < last).withColumn("_end", F.explode(ends)).withColumn("n_inputs", F.col("_end") + 1).drop("_end")
     rows = rows.withColumn("kind", F.explode(F.array(F.lit("1yr"), F.lit("nxt"))))
     target = F.when(F.col("kind") == "1yr", F.lit(last)).otherwise(F.col("n_inputs"))
     names = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_inputs") - 1), lambda i: F.concat(F.lit("t"), i.cast("string"))), ",")
@@ -316,15 +317,16 @@ def wilcoxon_folds(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     d = d.withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*by, "_m"))).withColumn("_r", F.rank().over(w) + (F.col("_t") - 1) / 2)
     s = d.groupBy(*by).agg(F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("down"), F.count(F.lit(1)).alias("n"), F.max("_t").alias("ties"))
 
-    @F.udf("double")
-    def p_value(n: int, stat: float, ties: int) -> float:
-        from math import erfc, sqrt
-
+    def one(n: int, stat: float, ties: int) -> float:
         if ties == 1 and n <= 50:
             return signed_rank_p(n, stat)
         z = (stat - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24)
         return erfc(abs(z) / sqrt(2))
 
+    @F.pandas_udf("double")
+    def p_value(n: pd.Series, stat: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([one(*x) for x in zip(n, stat, ties, strict=True)], dtype="float64")
+
     stat = F.least("up", "down")
     return s.select(*by, stat.alias("statistic"), "n", p_value("n", stat, "ties").alias("p_value"))
 
