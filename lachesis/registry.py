@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of lachesis.plans; each has QUERIES and ORACLES.
-MODULES: list[str] = ["series_queries", "table_queries", "evaluate_queries"]
+MODULES: list[str] = ["series_queries", "table_queries", "evaluate_queries", "io_queries"]
 FLAGSHIP = "response_transitions"
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,12 @@ from pyspark.sql.types import StructType
 from ..functions.columns import parse_session_ts
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share; in a temporary one only where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{root.rstrip('/')}/lachesis-{uuid.uuid4().hex}"
+
+
 def read_features(spark: SparkSession, path: str, schema: StructType | str | None = None, kind: str = "csv") -> DataFrame:
     """A wide feature table keyed by `Lesion ID`, with an explicit schema if given."""
     reader = spark.read.schema(schema) if schema else spark.read
@@ -46,7 +55,7 @@ def read_study_manifest(spark: SparkSession, root: str) -> DataFrame:
 
 def read_fold_predictions(spark: SparkSession, root: str, layout: str = "config/fold", relabel: dict[str, str] | None = None) -> DataFrame:
     """Predictions of <config>/Fold k/assignments.csv or Fold k/<config>/assignments.csv; relabelled targets must all be known."""
-    glob, at = ("*/Fold */assignments.csv", r"/([^/]+)/Fold (\d+)/[^/]*$") if layout == "config/fold" else ("Fold */*/assignments.csv", r"/Fold (\d+)/([^/]+)/[^/]*$")
+    glob, at = ("*/Fold */assignments.csv", r"/([^/]+)/Fold (\d+)/assignments\.csv") if layout == "config/fold" else ("Fold */*/assignments.csv", r"/Fold (\d+)/([^/]+)/assignments\.csv")
     df = spark.read.option("header", True).schema("id string, prediction string, target string, confidence double").csv(f"{root}/{glob}")
     file = F.url_decode(F.col("_metadata.file_path"))
     config, fold = (1, 2) if layout == "config/fold" else (2, 1)
