@@ -1,0 +1 @@
+"""Series of repeated measurements, and training text, as DataFrame jobs."""

@@ -157,8 +157,10 @@ def locate_region(voxels: DataFrame, atlas: DataFrame, key: list[str], targets:
     row = Window.partitionBy("label", "y", "z").orderBy("x")
     spans = aim.withColumn("_g", F.col("x") - F.row_number().over(row)).groupBy("label", F.col("y").alias("ry"), F.col("z").alias("rz"), "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
     dx = F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), F.lit(0))
-    far = rest.crossJoin(F.broadcast(spans)).withColumn("d", F.greatest(dx, F.abs(F.col("y") - F.col("ry")), F.abs(F.col("z") - F.col("rz"))))
-    near = far.groupBy(*key, "x", "y", "z", "label").agg(F.min("d").alias("d")).groupBy(*key, "label").agg(F.avg("d").alias("d"))
+    # Distances are worked out once a place: places and region rows are both bounded by the atlas.
+    places = rest.select("x", "y", "z").distinct().crossJoin(F.broadcast(spans)).withColumn("d", F.greatest(dx, F.abs(F.col("y") - F.col("ry")), F.abs(F.col("z") - F.col("rz"))))
+    far = places.groupBy("x", "y", "z", "label").agg(F.min("d").alias("d"))
+    near = rest.join(far, ["x", "y", "z"]).groupBy(*key, "label").agg(F.avg("d").alias("d"))
     w = Window.partitionBy(*key).orderBy("d", "label")
     near = near.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*key, F.col("label").alias("region"), F.lit(False).alias("overlaps"))
     return hit.unionByName(near)

@@ -1,0 +1 @@
+"""Adapters from the test tables, and the registered queries with their SQL."""

@@ -1,0 +1 @@
+"""No operator here: every job of this library reads closed inputs, and none needs arrival time, watermarks or late data."""
