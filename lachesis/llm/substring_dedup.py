@@ -167,7 +167,7 @@ def shared_bits(rows: DataFrame) -> DataFrame:
 
 
 def string_rows(chunks: DataFrame, bits: DataFrame, length: int, slices: int) -> DataFrame:
-    """(p, chunk, blobs...): strings of shared anchors; with p = -1 the intervals that the chunk settles by itself."""
+    """(p, chunk, blobs...): strings of shared anchors; with p = -1 - chunk the intervals that the chunk settles by itself."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -190,7 +190,7 @@ def string_rows(chunks: DataFrame, bits: DataFrame, length: int, slices: int) ->
                 else:
                     settled.append(i)
             done = at[np.array(settled, np.int64)]
-            out.append((-1, chunk, squeeze(c.first[done].astype(np.uint32)), squeeze((c.last[done] + length - c.first[done]).astype(np.uint8)), b"", b"", b""))
+            out.append((-1 - chunk, chunk, squeeze(c.first[done].astype(np.uint32)), squeeze((c.last[done] + length - c.first[done]).astype(np.uint8)), b"", b"", b""))
             sent = at[np.array(send, np.int64)]
             sent = sent[np.argsort(c.which[sent], kind="stable")]
             where = np.searchsorted(c.which[sent], [e[1] for e in edges] + [len(c.anchors)])
@@ -199,7 +199,7 @@ def string_rows(chunks: DataFrame, bits: DataFrame, length: int, slices: int) ->
                     # In the order of their places, neighbouring numbers are alike and compress well.
                     own = np.sort(sent[a:b])
                     lo, hi = c.first[own], c.last[own] + length
-                    out.append((p, chunk, squeeze(lo.astype(np.uint32)), squeeze((hi - lo).astype(np.uint8)), squeeze(c.ids[c.doc[own]]), squeeze(c.anchors[c.which[own]].astype(np.uint32)), squeeze(b"".join([c.text[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]))))
+                    out.append((p, chunk, squeeze(lo.astype(np.uint32)), squeeze((hi - lo).astype(np.uint8)), squeeze(c.ids[c.doc[own]]), squeeze(c.anchors[c.which[own]].astype(np.uint32)), squeeze(b"".join([c.text[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]), 3)))
         kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
         return pa.table([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["p", "chunk", "start", "size", "ids", "anchor", "strings"])
 
@@ -240,9 +240,12 @@ def earlier(strings: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarr
 
 
 def factor_rows(rows: DataFrame, length: int) -> DataFrame:
-    """(chunk, start, size): intervals of windows with an earlier match, for the strings of each slice."""
+    """(chunk, start, size): intervals of windows with an earlier match, for the strings of each slice, and those that
+    chunks have settled."""
 
     def run(t: pa.Table) -> pa.Table:
+        if t.column("p")[0].as_py() < 0:
+            return t.select(["chunk", "start", "size"])
         chunks = t.column("chunk").to_pylist()
         start, size, ids, anchor = ([unsqueeze(x, k) for x in t.column(c).to_pylist()] for c, k in (("start", np.uint32), ("size", np.uint8), ("ids", np.int64), ("anchor", np.uint32)))
         source = np.repeat(np.arange(len(chunks)), [len(x) for x in start])
@@ -308,9 +311,7 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = 50) -> DataF
     slices = max(MIN_SLICES, math.ceil(total_bytes(docs, text) / SLICE))
     chunks = stored(to_chunks(docs, text))
     bits = shared_bits(anchor_rows(chunks, length, slices))
-    strings = stored(string_rows(chunks, bits, length, slices))
-    settled = strings.where("p < 0").select("chunk", "start", "size")
-    return removed(chunks, settled.unionByName(factor_rows(strings.where("p >= 0"), length)))
+    return removed(chunks, factor_rows(string_rows(chunks, bits, length, slices), length))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
