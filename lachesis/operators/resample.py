@@ -6,14 +6,13 @@ series' first timestamp by exact microsecond arithmetic, so fractional steps are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import DAY_US, days_between, interpolate_linear
+from ..functions.columns import DAY_US, days_between, interpolate_linear, response
 from .series import KEYS
 
 
@@ -114,8 +113,6 @@ def resample_bspline(series: DataFrame, timeframe: float = 360, timepoints: int
 def target_at_time(series: DataFrame, target_days: float, keys: list[str] = KEYS) -> DataFrame:
     """Volume and class at a day: an exact match's own, else on the line between the nearest days below and above, not
     below 0, classed with all points before the upper one. Null both where no point lies at or after the day."""
-    from ..functions.columns import response
-
     d = F.col("timedelta_days") - F.lit(target_days)
     value = F.struct("timedelta_days", "volume", "t")
     agg = series.groupBy(*keys).agg(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import evaluate as E
 from ..operators import matching as M
 from ..operators import tables as T
 from ..sources import io
