@@ -22,7 +22,6 @@ table gives no rows. Extra columns are dropped.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
