@@ -5,15 +5,18 @@
    buckets empty, so they take one hash function a register; sets of 0.8 * SMALL to SMALL shingles take both kinds, so
    two sets that can be linked always share a kind.
 2. Equal sets collapse to the one with the smallest doc_id.
-3. Registers are banded (ROWS a band). Sets that share a band are candidates. A bucket names one member as its centre
-   (four orders take turns, so a large group gets several centres) and each member is paired with the centre only.
-4. Pairs whose size ratio or whose collision-corrected estimate rules the threshold out go; the rest are confirmed on
-   full sets, which stream past their centre's, with a hot centre's members dealt over many tasks.
-5. Links give components. Buckets that then still hold several components are finished exactly: their members
-   outside the bucket's largest component meet all members of other components. Pairs inside a component are never made.
-
-A pair at the threshold shares no band with probability (1 - 0.8^3)^24 < 4e-8. Nothing about all documents reaches the
-driver; every table that is used twice is written to the shared folder.
+3. Registers are banded (ROWS a band). A band's bucket is centred on its smallest id, and every other member is paired with
+   that centre only. Members' full sets stream past their centre's, with a hot centre's members dealt over many
+   tasks. That gives links, and each member's difference from the centre: what it adds and what it lacks.
+4. Two members can also link past their centre. Their sets differ by what their differences don't share, so a link
+   needs a common part of the two differences; if not both link to the centre, that part is so large that it must begin in the
+   first places of both (additions first, which are rare; then lacks). Only pairs with such a common place and of
+   different components are made. Their sizes and collision-corrected estimate must allow the threshold; then full sets
+   confirm them as before.
+
+A pair at the threshold shares no band with probability (1 - 0.8^3)^24 < 4e-8; of pairs that share one, no link is lost.
+All pairs of a group are never made. Nothing about all documents reaches the driver; every table that is used twice is
+written to the shared folder.
 
 Nulls: a null text is empty; empty sets link with nothing, their component is their own. A null doc_id links with nothing;
 its component is null and it is kept. Rows with one doc_id are one document, which is linked by each of its texts.
@@ -33,7 +36,7 @@ from pyspark.sql import types as T
 
 from .common import LOWER, PLACES, WordHashes, append_arrow, mix, raw, shingles, stored, table
 
-REGISTERS, ROWS, MANTISSA, SMALL, CENTRES = 72, 3, 10, 400, 4
+REGISTERS, ROWS, MANTISSA, SMALL = 72, 3, 10, 400
 BANDS = REGISTERS // ROWS
 #: Starts of the buckets of the one-permutation kind, and seeds of the other one.
 STARTS = np.array([(i << 64) // REGISTERS for i in range(REGISTERS)], np.uint64)
@@ -93,18 +96,19 @@ def banded(sets: DataFrame) -> DataFrame:
     kinds = F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).alias("r")) for i, c in enumerate(("small", "large"))])
     each = sets.select("id", "n", F.explode(F.filter(kinds, lambda x: x["r"].isNotNull())).alias("s"))
     each = each.select("id", "n", "s", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b"))
-    return each.select(F.xxhash64("s.k", "b", F.expr(f"substring(s.r, b * {2 * ROWS} + 1, {2 * ROWS})")).alias("key"), "id", "n", "b")
+    return each.select(F.xxhash64("s.k", "b", F.expr(f"substring(s.r, b * {2 * ROWS} + 1, {2 * ROWS})")).alias("key"), "id", "n")
 
 
 def possible(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose sizes and estimated similarity do not rule the threshold out by five standard errors."""
+    """Pairs (a, b) whose sizes, and whose collision-corrected estimate of similarity by five standard errors, do not rule
+    the threshold out."""
     least = threshold - 5 * (threshold * (1 - threshold) / REGISTERS) ** 0.5
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("small").alias(f"small_{x}"), F.col("large").alias(f"large_{x}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            x = {c: batch.column(c).to_pylist() for c in ("small_a", "small_b", "large_a", "large_b")}
             keep = []
             for i in range(batch.num_rows):
                 p, q = (x["small_a"][i], x["small_b"][i]) if x["small_a"][i] and x["small_b"][i] else (x["large_a"][i], x["large_b"][i])
@@ -120,19 +124,23 @@ def possible(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, salts: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have percent * union <= 100 * intersection. Members stream past their centre b."""
-    member = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
+COMPARED = "a long, b long, n_a long, n_b long, linked boolean, delta binary"
+
+
+def compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int, salts: int) -> DataFrame:
+    """Each pair (a, b) by its full sets: sizes, linked (percent * union <= 100 * intersection), and a's difference from b:
+    shingles it adds, in order, then those it lacks, in order. Members a stream past their centre b."""
+    member = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(salts)).alias("salt"))
     centre = member.select("b", "salt").distinct()
     rows = member.join(texts.select(F.col("id").alias("a"), "text"), "a").select("b", "salt", "a", "text")
     rows = rows.unionByName(centre.join(texts.select(F.col("id").alias("b"), "text"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "text"))
-    # Two texts of one centre: the sort puts centres (a is null) first, and a member is held against each of them.
+    # Centres (a is null) come first; a centre with several texts meets every member with each of them.
     rows = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, at, centres, open_ = WordHashes(), None, [], False
         for batch in batches:
-            found = []
+            out: list[tuple] = []
             for b, a, t in zip(batch.column("b").to_pylist(), batch.column("a").to_pylist(), raw(batch.column("text")), strict=True):
                 s = shingles(t.translate(LOWER).split() if t else [], k, hashes)
                 if a is None:
@@ -141,16 +149,58 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, salts: i
                     centres.append(s)
                     continue
                 open_ = False
-                for c in centres if at == b else []:
-                    # Both are sorted and without repeats.
-                    merged = np.sort(np.concatenate([s, c]), kind="stable")
-                    same = int((merged[1:] == merged[:-1]).sum())
-                    if len(merged) and 100 * same >= percent * (len(merged) - same):
-                        found.append((a, b))
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                for c in centres if at == b and len(s) else []:
+                    place = np.minimum(np.searchsorted(c, s), len(c) - 1)
+                    hit = c[place] == s
+                    lack = np.ones(len(c), bool)
+                    lack[place[hit]] = False
+                    same = int(hit.sum())
+                    out.append((a, b, len(s), len(c), 100 * same >= percent * (len(s) + len(c) - same), np.concatenate([s[~hit], c[lack]]).tobytes()))
+            kinds = (pa.int64(),) * 4 + (pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["a", "b", "n_a", "n_b", "linked", "delta"])
+
+    return rows.mapInArrow(run, COMPARED)
+
+
+def starts(rows: DataFrame, threshold: float) -> DataFrame:
+    """(b, e, a, comp, free): the places e of each difference in which a common part with a partner must begin. Of two
+    linked members, at least one, u, has no link to the centre c: |u - c| + |c - u| > s (|u| + |c|) with s = (1 - threshold) / (1 +
+    threshold). Their differences share at least half of (|D_u| + |D_x| - s (|u| + |x|)), hence at least half of
+    |D_x| + s (|c| - |x|); and from u's side at least |D_u| - s |u| - s |u| / threshold. `free` marks u's places."""
+    s = (1 - threshold) / (1 + threshold)
 
-    return rows.mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = (batch.column(c).to_pylist() for c in ("b", "a", "comp", "free", "n_a", "n_b", "delta"))
+            out: list[list] = [[], [], [], [], []]
+            for b, a, comp, free, n, centre, delta in zip(*cols, strict=True):
+                d = np.frombuffer(delta, np.int64)
+                sides = [(False, (len(d) + s * (centre - n)) / 2)] + ([(True, len(d) - s * n - s * n / threshold)] if free else [])
+                for mark, shared in sides:
+                    need = max(1, int(np.ceil(shared - 1e-9)))
+                    own = d[: max(0, len(d) - need + 1)].tolist()
+                    for col, v in zip(out, ([b] * len(own), own, [a] * len(own), [comp] * len(own), [mark] * len(own)), strict=True):
+                        col += v
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (*[pa.int64()] * 4, pa.bool_()), strict=True)], names=["b", "e", "a", "comp", "free"])
+
+    return rows.mapInArrow(run, "b long, e long, a long, comp long, free boolean")
+
+
+def past_centres(found: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of members of one centre and different components whose differences begin alike."""
+    name = lambda x, y: labels.select(F.col("id").alias(x), F.col("comp").alias(y))
+    rows = found.join(name("a", "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+    rows = rows.join(name("b", "comp_b"), "b", "left").withColumn("free", F.col("comp") != F.coalesce("comp_b", "b"))
+    rows = stored(rows.select("b", "a", "comp", "free", "n_a", "n_b", "delta"))
+    some = rows.groupBy("b").agg(F.bool_or("free").alias("f"), F.count(F.lit(1)).alias("c")).where("f and c > 1").select("b")
+    at = stored(starts(rows.join(some, "b", "left_semi"), threshold).distinct())
+    # A place that one component has alone, or that no free member has, makes no pair.
+    mixed = at.groupBy("b", "e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("free").alias("f")).where("f and lo <> hi").select("b", "e")
+    at = stored(at.join(mixed, ["b", "e"], "left_semi"))
+    u = at.where("free").select("b", "e", F.col("a").alias("u"), F.col("comp").alias("comp_u"))
+    x = at.where("not free").select("b", "e", F.col("a").alias("x"), F.col("comp").alias("comp_x"))
+    pairs = u.join(x, ["b", "e"]).where("comp_u <> comp_x")
+    return pairs.select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b")).distinct()
 
 
 def labels_of(links: DataFrame) -> DataFrame:
@@ -161,17 +211,18 @@ def labels_of(links: DataFrame) -> DataFrame:
     while True:
         near = edges.join(labels.select(F.col("id").alias("b"), F.col("comp").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
         step = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("comp").alias("old"), F.least("comp", F.coalesce("c", "comp")).alias("comp"))
-        step = stored(step)
-        jump = step.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
+        jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
         after = stored(step.join(jump, "comp", "left").select("id", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
         labels = after.select("id", "comp")
         if after.where(F.col("old") != F.col("comp")).isEmpty():
             return labels
 
 
-def components(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text", salts: int = 16) -> DataFrame:
-    """One row a row of docs: doc_id, n_shingles, component_id, kept."""
+def components(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text", salts: int | None = None) -> DataFrame:
+    """One row a row of docs: doc_id, n_shingles, component_id, kept. A centre's members go to `salts` tasks at most: as many
+    as a shuffle has, unless set."""
     threshold = percent / 100
+    salts = salts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     made = stored(sketches(docs.select("doc_id", F.col(text).alias("text")), k, threshold, keep=["doc_id"]))
     some = made.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     # Registers of equal sets are equal, so the smallest doc_id's are any one's.
@@ -179,32 +230,18 @@ def components(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "t
     sets = stored(sets.select("k1", "k2", F.col("s.doc_id").alias("id"), F.col("s.n_shingles").alias("n"), "s.small", "s.large"))
 
     bands = banded(sets)
-    order = F.xxhash64("id", F.col("b") % CENTRES)
-    centres = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("id", order).alias("centre")).where(F.col("size") > 1)
-    members = stored(bands.select("key", "id", "n").join(centres, "key"))
-    star = stored(members.where(F.col("id") != F.col("centre")).select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
-    near = members.select("id").distinct()
-    texts = stored(docs.select(F.col("doc_id").alias("id"), F.col(text).alias("text")).join(near, "id", "left_semi"))
-
-    links = stored(confirmed(possible(star, sets, threshold), texts, k, percent, salts))
-    labels = labels_of(links)
+    centres = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("centre")).where(F.col("size") > 1)
+    members = stored(bands.join(centres.select("key", "centre"), "key").select("key", "id", "centre"))
+    texts = stored(docs.select(F.col("doc_id").alias("id"), F.col(text).alias("text")).join(members.select("id").distinct(), "id", "left_semi"))
 
-    # Buckets with members of several components: all pairs between components that were not tried yet.
-    named = stored(members.select("key", "id", "n").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-    counts = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = counts.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", "c").alias("main")).where(F.col("comps") > 1)
-    inside = stored(named.join(mixed.select("key", "main"), "key"))
-    if not inside.isEmpty():
-        rest = inside.where(F.col("comp") != F.col("main")).select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), "main")
-        # A pair of two members outside the main component is made once, from its smaller id.
-        other = inside.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-        cross = rest.join(other, "key").where((F.col("comp_a") != F.col("comp_b")) & ((F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9))
-        pairs = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"))
-        more = stored(confirmed(possible(pairs, sets, threshold), texts, k, percent, salts))
-        if not more.isEmpty():
-            labels = labels_of(links.unionByName(more))
+    star = members.where(F.col("id") != F.col("centre")).select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
+    found = stored(compared(star, texts, k, percent, salts))
+    links = found.where("linked").select("a", "b")
+    labels = labels_of(links)
+    pairs = stored(past_centres(found, labels, threshold))
+    more = stored(compared(possible(pairs, sets, threshold), texts, k, percent, salts).where("linked").select("a", "b"))
+    if not more.isEmpty():
+        labels = labels_of(links.unionByName(more))
 
     whole = sets.select("k1", "k2", "id").join(labels, "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("component_id"))
     df = made.select("doc_id", "n_shingles", "k1", "k2").join(whole, ["k1", "k2"], "left")
