@@ -10,9 +10,9 @@
    tasks. That gives links, and each member's difference from the centre: what it adds and what it lacks.
 4. Two members can also link past their centre. Their sets differ by what their differences don't share, so a link
    needs a common part of the two differences; if not both link to the centre, that part is so large that it must begin in the
-   first places of both (additions first, which are rare; then lacks). Only pairs with such a common place and of
-   different components are made. Their sizes and collision-corrected estimate must allow the threshold; then full sets
-   confirm them as before.
+   first places of both (additions first, which are rare; then lacks), and their bitmaps must have room for all of it.
+   Only pairs that meet both, and of different components, are made. Their sizes and collision-corrected estimate must
+   allow the threshold; then full sets confirm them as before.
 
 A pair at the threshold shares no band with probability (1 - 0.8^3)^24 < 4e-8; of pairs that share one, no link is lost.
 All pairs of a group are never made. Nothing about all documents reaches the driver; every table that is used twice is
@@ -186,8 +186,33 @@ def starts(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "b long, e long, a long, comp long, free boolean")
 
 
+#: Longs of a difference's bitmap.
+LONGS = 8
+
+
+def bitmaps(rows: DataFrame, threshold: float) -> DataFrame:
+    """(b, a, w0.., extra, g): a bitmap of each difference's shingles, how many share a bit with an earlier one, and the
+    difference's size less s times the set's. Two differences have at most as many shingles in common as bits and the
+    lesser `extra` together, and linked members have at least half of the sum of their g."""
+    s = (1 - threshold) / (1 + threshold)
+    names = [f"w{i}" for i in range(LONGS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, extra, g = np.zeros((batch.num_rows, LONGS * 64), np.uint8), [], []
+            for i, (n, delta) in enumerate(zip(batch.column("n_a").to_pylist(), batch.column("delta").to_pylist(), strict=True)):
+                d = np.frombuffer(delta, np.uint64)
+                words[i, (mix(d) % np.uint64(LONGS * 64)).astype(np.int64)] = 1
+                extra.append(len(d) - int(words[i].sum()))
+                g.append(len(d) - s * n)
+            packed = np.packbits(words, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("b"), batch.column("a"), *(pa.array(np.ascontiguousarray(packed[:, j])) for j in range(LONGS)), pa.array(extra, pa.int32()), pa.array(g, pa.float64())], names=["b", "a", *names, "extra", "g"])
+
+    return rows.mapInArrow(run, "b long, a long, " + ", ".join(f"{n} long" for n in names) + ", extra int, g double")
+
+
 def past_centres(found: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of members of one centre and different components whose differences begin alike."""
+    """Pairs of members of one centre and different components whose differences begin alike and can share enough."""
     name = lambda x, y: labels.select(F.col("id").alias(x), F.col("comp").alias(y))
     rows = found.join(name("a", "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
     rows = rows.join(name("b", "comp_b"), "b", "left").withColumn("free", F.col("comp") != F.coalesce("comp_b", "b"))
@@ -196,11 +221,13 @@ def past_centres(found: DataFrame, labels: DataFrame, threshold: float) -> DataF
     at = stored(starts(rows.join(some, "b", "left_semi"), threshold).distinct())
     # A place that one component has alone, or that no free member has, makes no pair.
     mixed = at.groupBy("b", "e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("free").alias("f")).where("f and lo <> hi").select("b", "e")
-    at = stored(at.join(mixed, ["b", "e"], "left_semi"))
-    u = at.where("free").select("b", "e", F.col("a").alias("u"), F.col("comp").alias("comp_u"))
-    x = at.where("not free").select("b", "e", F.col("a").alias("x"), F.col("comp").alias("comp_x"))
-    pairs = u.join(x, ["b", "e"]).where("comp_u <> comp_x")
-    return pairs.select(F.least("u", "x").alias("a"), F.greatest("u", "x").alias("b")).distinct()
+    at = stored(at.join(mixed, ["b", "e"], "left_semi").join(bitmaps(rows, threshold), ["b", "a"]))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("a", "comp", "extra", "g", *(f"w{i}" for i in range(LONGS)))]
+    u, x = at.where("free").select("b", "e", *side("u")), at.where("not free").select("b", "e", *side("x"))
+    common = sum((F.bit_count(F.col(f"w{i}_u").bitwiseAND(F.col(f"w{i}_x"))) for i in range(1, LONGS)), F.bit_count(F.col("w0_u").bitwiseAND(F.col("w0_x"))))
+    enough = 2 * (common + F.least("extra_u", "extra_x")) >= F.col("g_u") + F.col("g_x") - 1e-9
+    pairs = u.join(x, (u["b"] == x["b"]) & (u["e"] == x["e"]) & (F.col("comp_u") != F.col("comp_x")) & enough)
+    return pairs.select(F.least("a_u", "a_x").alias("a"), F.greatest("a_u", "a_x").alias("b")).distinct()
 
 
 def labels_of(links: DataFrame) -> DataFrame:
