@@ -35,7 +35,7 @@ KINDS = [
     ("assign", rf"""({KEYWORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
-    ("key", r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", 0, 40),
+    ("key", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/]{0,39}[0-9])(?=[A-Za-z0-9+/]{0,39}[A-Z])(?=[A-Za-z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=_-])", 0, 40),
     ("account", rf"""({either("client_id")}|{either("user")}({either("name")})?|{either("login")}|{either("account")})["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@-]+""", 0, 1),
     ("endpoint", r"(?:[a-z][a-z0-9+]{1,10}://[A-Za-z0-9][A-Za-z0-9.-]*(?::[0-9]{2,5})?)|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}:[0-9]{2,5}(?![0-9])", 0, 1),
 ]

@@ -256,6 +256,24 @@ def test_redaction(spark):
         assert got[i].text == want and got[i].n_chars == len(want or "")
 
 
+def test_keys_after_equals_signs(spark):
+    """Pairs without space or quote, as in env files: spans written by hand."""
+    access = "AWS_ACCESS_KEY_ID=AKIA" + "Z" * 16
+    cases = [
+        (f"{access}\naws_secret_access_key={KEY}", [(18, 1, 38), (61, 3, 101)], "AWS_ACCESS_KEY_ID=[ACCESS]\naws_secret_access_key=[KEY]"),
+        (f"aws_secret_access_key={KEY}", [], None),
+        (f"user=bob\nSECRET_KEY={KEY}\n", [(0, 4, 8), (20, 3, 60)], "[ACCOUNT]\nSECRET_KEY=[KEY]\n"),
+        (f"{access} {'.' * 260} k={KEY}", [(18, 1, 38), (302, 3, 342)], f"AWS_ACCESS_KEY_ID=[ACCESS] {'.' * 260} k=[KEY]"),
+        (f"{access} {'.' * 300} k={KEY}", [(18, 1, 38)], f"AWS_ACCESS_KEY_ID=[ACCESS] {'.' * 300} k={KEY}"),
+        (f"{access} k={KEY}=", [(18, 1, 38)], f"AWS_ACCESS_KEY_ID=[ACCESS] k={KEY}="),
+        (f"{access} k=={KEY}", [(18, 1, 38), (42, 3, 82)], "AWS_ACCESS_KEY_ID=[ACCESS] k==[KEY]"),
+    ]
+    docs = documents(spark, [c[0] for c in cases])
+    got = {r.doc_id: [(s["start"], s["kind"], s["end"]) for s in r.spans] for r in secrets.scan(docs).collect()}
+    assert got == {i: c[1] for i, c in enumerate(cases)}
+    assert {r.doc_id: r.text for r in secrets.redacted(docs).collect()} == {i: c[2] or c[0] for i, c in enumerate(cases)}
+
+
 # ---- 6
 
 def test_tokens_match_library(spark):
