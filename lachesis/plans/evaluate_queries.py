@@ -12,7 +12,7 @@ from .adapters import DRAW, STEPS, W, ctes
 
 QUERIES, ORACLES = {}, {}
 K = ["patient_id", "lesion_id"]
-REPLICATES = 40
+REPLICATES = 1000
 
 
 def query(name: str, sql: str | None = None):

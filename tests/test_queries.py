@@ -1,9 +1,11 @@
 """Every query with SQL gives the same rows as DuckDB; the others run and keep their invariants."""
 
+import hashlib
 import os
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -68,3 +70,33 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def draw(*parts):
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
+def auc(target, score):
+    p, q = score[target == 1], score[target != 1]
+    return ((p[:, None] > q).sum() + (p[:, None] == q).sum() / 2) / (len(p) * len(q)) if len(p) and len(q) else None
+
+
+def test_resampling_takes_1000_replicates(spark):
+    """Interval and p-value of the whole job, by brute force over 1000 replicates."""
+    from lachesis.plans import adapters as A
+
+    p = A.predictions(spark, SF).toPandas().sort_values("id")
+    side = {m: (g["id"].to_numpy(), g["target"].to_numpy(), g["confidence"].to_numpy()) for m, g in p.groupby("model")}
+    got = registry.queries()["bootstrap_auc_ci"](spark, SF).toPandas().set_index("model")
+    places = [np.array([draw(0, rep, j) % len(side["a"][0]) for j in range(len(side["a"][0]))]) for rep in range(1000)]
+    for m, (_, t, s) in side.items():
+        all_ = [x for i in places if (x := auc(t[i], s[i])) is not None]
+        want = [*np.quantile(all_, [0.025, 0.975]), np.mean(all_)]
+        assert got.loc[m, ["low", "high", "mean"]].tolist() == pytest.approx(want, abs=2e-6)
+    (ids, t, a), (_, _, b) = side["a"], side["b"]
+    seen, n = auc(t, a) - auc(t, b), 0
+    for rep in range(1000):
+        swap = np.array([draw(0, rep, i) % 2 == 1 for i in ids])
+        n += abs(auc(t, np.where(swap, b, a)) - auc(t, np.where(swap, a, b))) >= abs(seen) - 1e-12
+    row = registry.queries()["permutation_test_auc"](spark, SF).first()
+    assert row.difference == pytest.approx(seen, abs=1e-6) and row.p_value == n / 1000
