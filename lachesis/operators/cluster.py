@@ -5,7 +5,8 @@ Centres are small (clusters x timepoints) and travel to the workers; labels neve
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import warnings
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import draw
 
 MAX_CLUSTERS = 42
+#: Rounds after which a fit that has not converged is given up, with a warning.
+ROUNDS = 1000
 
 
 def dtw(x: np.ndarray, centre: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
@@ -118,22 +121,25 @@ def first_centres(df: DataFrame, vector: str, k: int, seed: int) -> np.ndarray:
     return np.array([r.v for r in rows], float)
 
 
-def fit_clusters(df: DataFrame, vector: str, k: int, metric: str = "euclidean", seed: int = 42, init: np.ndarray | None = None, rounds: int = 20) -> np.ndarray:
-    """Centres of k clusters. Without init, Euclidean starts come from MLlib's KMeans and others from a drawn sample."""
+def fit_clusters(df: DataFrame, vector: str, k: int, metric: str = "euclidean", seed: int = 42, init: np.ndarray | None = None, rounds: int = ROUNDS) -> np.ndarray:
+    """Centres of k clusters, fitted until they stay or come back to earlier ones. Without init, Euclidean starts come from
+    MLlib's KMeans and others from a drawn sample."""
     if init is None:
         if metric == "euclidean":
             rows = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
             return np.array(KMeans(k=k, seed=seed, maxIter=rounds).fit(rows).clusterCenters())
         init = first_centres(df, vector, k, seed)
         init = np.array([znorm(c) for c in init]) if metric == "shape" else init
-    centres = init
+    past = [init]
     for _ in range(rounds):
-        new = updated(assigned(df, vector, centres, metric), vector, "cluster", centres, metric)
-        done = np.allclose(new, centres, atol=1e-6)
-        centres = new
+        new = updated(assigned(df, vector, past[-1], metric), vector, "cluster", past[-1], metric)
+        done = any(np.allclose(new, c, atol=1e-6) for c in past)
+        past.append(new)
         if done:
             break
-    return centres
+    else:
+        warnings.warn(f"{k} clusters did not converge in {rounds} rounds", stacklevel=2)
+    return past[-1]
 
 
 def spherical_bic(df: DataFrame, vector: str, cluster: str) -> float:
@@ -144,7 +150,7 @@ def spherical_bic(df: DataFrame, vector: str, cluster: str) -> float:
     return -np.inf if value is None else float(value)
 
 
-def split_search(df: DataFrame, vector: str, metric: str = "euclidean", k_max: int = MAX_CLUSTERS, tol: float = 256, seed: int = 42, rounds: int = 10) -> DataFrame:
+def split_search(df: DataFrame, vector: str, metric: str = "euclidean", k_max: int = MAX_CLUSTERS, tol: float = 256, seed: int = 42, rounds: int = ROUNDS) -> DataFrame:
     """Clusters whose number grows: each cluster splits in two where that raises the BIC by more than tol; all are fitted
     anew, until none splits or k_max is passed. Adds cluster."""
     data = df.select("*").cache()
@@ -182,36 +188,61 @@ def log_density(v: Column, mean: np.ndarray, var: np.ndarray, weight: float) ->
     return F.lit(const) - sum(terms[1:], terms[0])
 
 
-def mixture_clusters(df: DataFrame, vector: str, k: int, seed: int = 42, rounds: int = 50, tol: float = 1e-4) -> tuple[DataFrame, dict[str, float]]:
-    """Mixture of Gaussians with diagonal covariance by expectation-maximisation, started from KMeans: df with cluster,
-    and log-likelihood, AIC and BIC. One round is one aggregation of k * (2 d + 1) sums."""
-    data = df.withColumn("_v", F.col(vector).cast("array<double>")).cache()
-    centres = fit_clusters(data, "_v", k, "euclidean", seed)
-    d = centres.shape[1]
-    spread = data.agg(*[F.var_pop(F.get("_v", F.lit(i))) for i in range(d)], F.count(F.lit(1))).first()
-    n = spread[-1]
-    mean, var, weight, last = centres, np.tile(np.maximum([float(x or 0) for x in spread[:-1]], 1e-6), (len(centres), 1)), np.full(len(centres), 1 / len(centres)), -np.inf
-    k = len(centres)
-
-    def logs() -> list[Column]:
-        return [log_density(F.col("_v"), mean[c], var[c], weight[c]) for c in range(k)]
+def mixtures(df: DataFrame, vector: str, ks: Iterable[int], seed: int = 42, rounds: int = ROUNDS, tol: float = 1e-4) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, float]]]:
+    """Mixtures of Gaussians with diagonal covariance by expectation-maximisation, started from KMeans, for each k: means,
+    variances, weights, and log-likelihood, AIC and BIC. One round is one pass for all k that have not converged; each
+    partition sends k * (2 d + 1) + 1 sums a mixture."""
+    data = df.select(F.col(vector).cast("array<double>").alias("v")).cache()
+    fits = {k: fit_clusters(data, "v", k, "euclidean", seed) for k in ks}
+    d = next(iter(fits.values())).shape[1]
+    spread = data.agg(*[F.var_pop(F.get("v", F.lit(i))) for i in range(d)], F.count(F.lit(1))).first()
+    n, wide = spread[-1], np.maximum([float(x or 0) for x in spread[:-1]], 1e-6)
+    now = {k: (c, np.tile(wide, (len(c), 1)), np.full(len(c), 1 / len(c))) for k, c in fits.items()}
+    like, open_ = dict.fromkeys(now, -np.inf), set(now)
 
     for _ in range(rounds):
-        rows = data.select("_v", F.array(*logs()).alias("_l")).withColumn("_top", F.array_max("_l"))
-        rows = rows.withColumn("_e", F.transform("_l", lambda x: F.exp(x - F.col("_top")))).withColumn("_s", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
-        r = [F.get("_e", F.lit(c)) / F.col("_s") for c in range(k)]
-        x = [F.get("_v", F.lit(i)) for i in range(d)]
-        got = rows.agg(F.sum(F.col("_top") + F.log("_s")), *[F.sum(q) for q in r], *[F.sum(q * y) for q in r for y in x], *[F.sum(q * y * y) for q in r for y in x]).first()
-        like, s0 = float(got[0]), np.maximum(np.array(got[1 : k + 1], float), 1e-10)
-        s1, s2 = np.array(got[k + 1 : k + 1 + k * d], float).reshape(k, d), np.array(got[k + 1 + k * d :], float).reshape(k, d)
-        mean, weight = s1 / s0[:, None], s0 / n
-        var = np.maximum(s2 / s0[:, None] - mean**2, 1e-6)
-        if abs(like - last) < tol * max(1.0, abs(like)):
+        shared = df.sparkSession.sparkContext.broadcast({k: now[k] for k in open_})
+
+        def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            sums = {k: np.zeros(1 + w.size + 2 * m.size) for k, (m, _, w) in shared.value.items()}
+            for b in batches:
+                x = np.array(b.column("v").to_pylist(), float).reshape(b.num_rows, d)
+                for k, (m, s, w) in shared.value.items():
+                    logs = np.log(np.maximum(w, 1e-300)) - 0.5 * np.log(2 * np.pi * s).sum(axis=1) - np.stack([((x - m[c]) ** 2 / (2 * s[c])).sum(axis=1) for c in range(len(w))], axis=1)
+                    top = logs.max(axis=1, keepdims=True)
+                    e = np.exp(logs - top)
+                    total = e.sum(axis=1, keepdims=True)
+                    r = e / total
+                    sums[k] += np.concatenate([[(top + np.log(total)).sum()], r.sum(axis=0), (r.T @ x).ravel(), (r.T @ x**2).ravel()])
+            for k, v in sums.items():
+                yield pa.RecordBatch.from_pydict({"k": pa.array([k] * len(v), pa.int32()), "j": pa.array(range(len(v)), pa.int32()), "s": pa.array(v, pa.float64())})
+
+        got = {k: np.zeros(1 + now[k][2].size + 2 * now[k][0].size) for k in open_}
+        for r in data.mapInArrow(add, "k int, j int, s double").groupBy("k", "j").agg(F.sum("s").alias("s")).collect():
+            got[r.k][r.j] = r.s
+        for k, v in got.items():
+            c = now[k][2].size
+            s0, (s1, s2) = np.maximum(v[1 : c + 1], 1e-10), v[c + 1 :].reshape(2, c, d)
+            mean = s1 / s0[:, None]
+            now[k] = mean, np.maximum(s2 / s0[:, None] - mean**2, 1e-6), s0 / n
+            if abs(v[0] - like[k]) < tol * max(1.0, abs(v[0])):
+                open_.discard(k)
+            like[k] = float(v[0])
+        if not open_:
             break
-        last = like
-    free = k - 1 + 2 * k * d
-    out = data.withColumn("cluster", (F.array_position(F.array(*logs()), F.array_max(F.array(*logs()))) - 1).cast("int")).drop("_v")
-    return out, {"log_likelihood": like, "aic": -2 * like + 2 * free, "bic": -2 * like + free * float(np.log(n))}
+    else:
+        warnings.warn(f"mixtures of {sorted(open_)} did not converge in {rounds} rounds", stacklevel=2)
+    data.unpersist()
+    free = {k: w.size - 1 + 2 * m.size for k, (m, _, w) in now.items()}
+    return {k: (*now[k], {"log_likelihood": like[k], "aic": -2 * like[k] + 2 * free[k], "bic": -2 * like[k] + free[k] * float(np.log(n))}) for k in now}
+
+
+def mixture_clusters(df: DataFrame, vector: str, k: int, seed: int = 42, rounds: int = ROUNDS, tol: float = 1e-4) -> tuple[DataFrame, dict[str, float]]:
+    """df with the likeliest cluster of a mixture of k, and its log-likelihood, AIC and BIC."""
+    mean, var, weight, score = mixtures(df, vector, [k], seed, rounds, tol)[k]
+    v = F.col(vector).cast("array<double>")
+    logs = F.array(*[log_density(v, mean[c], var[c], weight[c]) for c in range(len(weight))])
+    return df.withColumn("cluster", (F.array_position(logs, F.array_max(logs)) - 1).cast("int")), score
 
 
 def best_k(results: list[tuple[int, float, float]]) -> int:

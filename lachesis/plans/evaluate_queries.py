@@ -277,30 +277,30 @@ def relative_vectors(spark, d):
 
 @query("xmeans")
 def _(spark, d):
-    return L.xmeans(relative_vectors(spark, d), "v", k_max=8).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return L.xmeans(relative_vectors(spark, d), "v").select(*K, "cluster")
 
 
 @query("xmeans_dtw")
 def _(spark, d):
-    return L.split_search(relative_vectors(spark, d), "v", "dtw", 4, rounds=3).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return L.split_search(relative_vectors(spark, d), "v", "dtw").select(*K, "cluster")
 
 
 @query("xshapes")
 def _(spark, d):
-    return L.split_search(relative_vectors(spark, d), "v", "shape", 4, rounds=3).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return L.xshapes(relative_vectors(spark, d), "v").select(*K, "cluster")
 
 
 @query("mixture_clusters")
 def _(spark, d):
-    out, score = L.mixture_clusters(relative_vectors(spark, d), "v", 4, rounds=10)
-    return out.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).withColumns({k: F.lit(round(v, 3)) for k, v in score.items()})
+    out, score = L.mixture_clusters(relative_vectors(spark, d), "v", 4)
+    return out.select(*K, "cluster", *[F.lit(round(v, 3)).alias(k) for k, v in score.items()])
 
 
 @query("best_k")
 def _(spark, d):
-    """Mixtures of 2 to 4 clusters, and the number that lowers AIC and BIC."""
-    v = relative_vectors(spark, d)
-    tried = [(k, s["aic"], s["bic"]) for k in (2, 3, 4) for s in [L.mixture_clusters(v, "v", k, rounds=4)[1]]]
+    """Mixtures of 2 to 41 clusters, and the number that lowers AIC and BIC."""
+    fits = L.mixtures(relative_vectors(spark, d), "v", range(2, L.MAX_CLUSTERS))
+    tried = [(k, s["aic"], s["bic"]) for k, (*_, s) in fits.items()]
     return spark.createDataFrame([(k, round(a, 3), round(b, 3), k == L.best_k(tried)) for k, a, b in tried], "k int, aic double, bic double, best boolean")
 
 

@@ -100,3 +100,33 @@ def test_resampling_takes_1000_replicates(spark):
         n += abs(auc(t, np.where(swap, b, a)) - auc(t, np.where(swap, a, b))) >= abs(seen) - 1e-12
     row = registry.queries()["permutation_test_auc"](spark, SF).first()
     assert row.difference == pytest.approx(seen, abs=1e-6) and row.p_value == n / 1000
+
+
+@pytest.mark.parametrize("name", ["xmeans", "xmeans_dtw", "xshapes", "mixture_clusters"])
+def test_clusters_of_every_series(spark, name, monkeypatch):
+    """Each series comes back with its cluster, from searches and fits with the operators' own limits."""
+    from lachesis.operators import cluster as L
+    from lachesis.plans import evaluate_queries as Q
+
+    limits = []
+    search, fit = L.split_search, L.mixtures
+
+    def split_search(df, vector, metric="euclidean", k_max=L.MAX_CLUSTERS, tol=256, seed=42, rounds=L.ROUNDS):
+        limits.append((k_max, rounds))
+        return search(df, vector, metric, k_max, tol, seed, rounds)
+
+    def mixtures(df, vector, ks, seed=42, rounds=L.ROUNDS, tol=1e-4):
+        limits.append((L.MAX_CLUSTERS, rounds))
+        return fit(df, vector, ks, seed, rounds, tol)
+
+    monkeypatch.setattr(L, "split_search", split_search)
+    monkeypatch.setattr(L, "mixtures", mixtures)
+    got = registry.queries()[name](spark, SF).toPandas()
+    series = Q.relative_vectors(spark, SF).select(*Q.K).toPandas()
+    assert Counter(map(tuple, got[Q.K].values)) == Counter(map(tuple, series.values)) and got["cluster"].notna().all()
+    assert limits == [(42, 1000)]
+
+
+def test_best_k_over_the_full_range(spark):
+    got = registry.queries()["best_k"](spark, SF).toPandas()
+    assert got["k"].tolist() == list(range(2, 42)) and got["best"].sum() == 1
