@@ -312,7 +312,7 @@ def train_classifiers(df: DataFrame, configs: dict[str, list[str]], target: str,
 
 
 def train_holdout_sweep(train: DataFrame, test: DataFrame, configs: dict[str, list[str]], target: str, models: dict | None = None) -> DataFrame:
-    out = None
+    train, test, out = train.cache(), test.cache(), None
     for name, model in (models or CLASSIFIERS).items():
         for config, columns in configs.items():
             one = fit_predict(train, test, columns, target, model).select(F.lit(name).alias("model"), F.lit(config).alias("config"), "id", "prediction", F.col(target).alias("target"), "confidence")
@@ -322,7 +322,7 @@ def train_holdout_sweep(train: DataFrame, test: DataFrame, configs: dict[str, li
 
 def train_regressors(train: DataFrame, test: DataFrame, configs: dict[str, tuple[list[str], str]]) -> DataFrame:
     """Predictions of linear and boosted models for each configuration of input columns and a target column."""
-    out = None
+    train, test, out = train.cache(), test.cache(), None
     for name, model in {"linear": lambda t: LinearRegression(labelCol=t, regParam=0.01), "boosted": lambda t: GBTRegressor(labelCol=t, maxIter=10, seed=42)}.items():
         for config, (columns, target) in configs.items():
             done = model(target).fit(vectors(train, columns)).transform(vectors(test, columns))

@@ -308,29 +308,32 @@ def learnable(spark, d):
     """Wide grid volumes with the last class as target (1 for PD or SD), and folds."""
     w = T.wide_features(A.grid(spark, d), K, "t", list(range(STEPS + 1)), ["volume", "rano"]).withColumn("id", F.concat_ws(":", F.col("patient_id").cast("string"), "lesion_id"))
     w = w.withColumn("target", F.col(f"t{STEPS}_rano").isin("SD", "PD").cast("int"))
-    return E.stratified_kfold(w, "target", ["id"], 3)
+    return E.stratified_kfold(w, "target", ["id"], 5)
 
 
-CONFIGS = {"t0": ["t0_volume"], "t0-t5": [f"t{t}_volume" for t in range(STEPS)]}
+#: Every prefix t0, t0-t1, ... t0-t5.
+CONFIGS = {f"t0-t{n}" if n else "t0": [f"t{t}_volume" for t in range(n + 1)] for n in range(STEPS)}
 
 
 @query("train_classifiers")
 def _(spark, d):
-    p = L.train_classifiers(learnable(spark, d), CONFIGS, "target", models={"logistic": L.CLASSIFIERS["logistic"]})
+    p = L.train_classifiers(learnable(spark, d), CONFIGS, "target")
     return p.select("model", "config", "fold", "id", "prediction", "target", *r6("confidence"))
 
 
 @query("train_holdout_sweep")
 def _(spark, d):
     w = learnable(spark, d)
-    p = L.train_holdout_sweep(w.where("fold <> 0"), w.where("fold = 0"), {"t0-t5": CONFIGS["t0-t5"]}, "target")
+    p = L.train_holdout_sweep(w.where("fold <> 0"), w.where("fold = 0"), CONFIGS, "target")
     return p.select("model", "config", "id", "prediction", "target", *r6("confidence"))
 
 
 @query("train_regressors")
 def _(spark, d):
+    """Each prefix against the next timepoint and the last one."""
     w = learnable(spark, d)
-    return L.train_regressors(w.where("fold <> 0"), w.where("fold = 0"), {"nxt": (["t0_volume"], "t1_volume"), "1yr": (CONFIGS["t0-t5"], f"t{STEPS}_volume")}).select("model", "config", "id", *r6("prediction"), "target")
+    configs = {f"{kind}_{c}": (columns, f"t{len(columns) if kind == 'nxt' else STEPS}_volume") for kind in ("nxt", "1yr") for c, columns in CONFIGS.items()}
+    return L.train_regressors(w.where("fold <> 0"), w.where("fold = 0"), configs).select("model", "config", "id", *r6("prediction"), "target")
 
 
 @query("lasso_select")

@@ -130,3 +130,37 @@ def test_clusters_of_every_series(spark, name, monkeypatch):
 def test_best_k_over_the_full_range(spark):
     got = registry.queries()["best_k"](spark, SF).toPandas()
     assert got["k"].tolist() == list(range(2, 42)) and got["best"].sum() == 1
+
+
+PREFIXES = ["t0", "t0-t1", "t0-t2", "t0-t3", "t0-t4", "t0-t5"]
+
+
+def test_training_covers_models_prefixes_and_folds(spark, monkeypatch):
+    """What the queries hand to the operators: all prefixes, the default models, 5 folds, both targets of each prefix."""
+    from lachesis.operators import cluster as L
+    from lachesis.plans import evaluate_queries as Q
+
+    seen = {}
+
+    class Stop(Exception):
+        pass
+
+    def held(name):
+        def f(*args, models=None):
+            seen[name] = args, models
+            raise Stop
+
+        return f
+
+    for name in ("train_classifiers", "train_holdout_sweep", "train_regressors"):
+        monkeypatch.setattr(L, name, held(name))
+        with pytest.raises(Stop):
+            registry.queries()[name](spark, SF)
+    inputs = {c: [f"t{t}_volume" for t in range(n + 1)] for n, c in enumerate(PREFIXES)}
+    (df, configs, target), models = seen["train_classifiers"]
+    assert (configs, target, models) == (inputs, "target", None)
+    assert sorted(r[0] for r in df.select("fold").distinct().collect()) == [0, 1, 2, 3, 4]
+    (_, _, configs, target), models = seen["train_holdout_sweep"]
+    assert (configs, target, models) == (inputs, "target", None)
+    want = {f"nxt_{c}": (v, f"t{len(v)}_volume") for c, v in inputs.items()} | {f"1yr_{c}": (v, "t6_volume") for c, v in inputs.items()}
+    assert seen["train_regressors"][0][2] == want
