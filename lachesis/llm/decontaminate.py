@@ -31,20 +31,21 @@ WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 o
 
 
 class Windows:
-    """The distinct windows of some benchmark items: their word ids, lengths, items and one place of each."""
+    """The distinct windows of some benchmark items: their word ids, lengths, items and all their places. A place is
+    (item, text, position); text tells the different texts of one item_id apart."""
 
     def __init__(self, items: list[tuple[str, bytes]], size: int):
         self.size, self.vocab = size, {}
-        found: dict[tuple[int, ...], dict[str, int]] = {}
-        for item, text in items:
+        found: dict[tuple[int, ...], list[tuple[str, int, int]]] = {}
+        for copy, (item, text) in enumerate(dict.fromkeys(items)):
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in text.translate(WORD).split()]
             m = min(size, len(ids))
             for j in range(len(ids) - m + 1 if m else 0):
-                found.setdefault(tuple(ids[j : j + m]), {}).setdefault(item, j)
+                found.setdefault(tuple(ids[j : j + m]), []).append((item, copy, j))
         keys = list(found)
         self.length = np.array([len(k) for k in keys], np.int64)
-        self.items = [sorted(found[k]) for k in keys]
-        self.place = [min(found[k].items()) for k in keys]
+        self.items = [sorted({p[0] for p in found[k]}) for k in keys]
+        self.places = [found[k] for k in keys]
         self.low = np.array([pack(k, size, 0) for k in keys], f"S{4 * size}")
         self.high = np.array([pack(k, size, 0xFFFFFFFF) for k in keys], f"S{4 * size}")
         # The shortest window that starts with each word; words that start none get an unreachable length.
@@ -80,18 +81,21 @@ def search(ids: np.ndarray, ends: np.ndarray, w: Windows) -> tuple[np.ndarray, n
 
 
 def longest(starts: np.ndarray, window: np.ndarray, w: Windows, first: int) -> list[dict]:
-    """Occurrences of one document joined to longest matches: runs in which text and item advance together."""
+    """Occurrences of one document joined to longest matches: runs in which text and item advance together, for every
+    place of each window."""
     if not len(starts):
         return []
-    out: dict[tuple[str, int], list[list[int]]] = {}
+    out: dict[tuple[str, int, int], list[list[int]]] = {}
     for s, x in sorted(zip(starts.tolist(), window.tolist(), strict=True)):
-        item, j = w.place[x]
-        runs, end = out.setdefault((item, s - j), []), s + int(w.length[x])
-        if runs and s <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], end)
-        else:
-            runs.append([s, end])
-    return [{"start": a - first, "words": b - a, "item_id": item, "item_start": a - d} for (item, d), runs in sorted(out.items()) for a, b in runs]
+        end = s + int(w.length[x])
+        for item, copy, j in w.places[x]:
+            runs = out.setdefault((item, copy, s - j), [])
+            if runs and s <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], end)
+            else:
+                runs.append([s, end])
+    spans = sorted({(item, d, a, b) for (item, _, d), runs in out.items() for a, b in runs})
+    return [{"start": a - first, "words": b - a, "item_id": item, "item_start": a - d} for item, d, a, b in spans]
 
 
 MATCH = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("words", T.LongType()), T.StructField("item_id", T.StringType()), T.StructField("item_start", T.LongType())]))
@@ -99,8 +103,8 @@ FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongT
 MATCH_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64())]))
 
 
-def shard_matches(texts: list[bytes | None], w: Windows) -> list[tuple[int, np.ndarray, set[str], list[dict]]]:
-    """For each document of a shard: words, a mask of hit words, items, longest matches."""
+def shard_matches(texts: list[bytes | None], w: Windows, matches: bool = True) -> list[tuple[int, np.ndarray, set[str], list[dict]]]:
+    """For each document of a shard: words, a mask of hit words, items, longest matches (none unless asked for)."""
     get = w.vocab.get
     ids, sizes = [], []
     for t in texts:
@@ -121,13 +125,14 @@ def shard_matches(texts: list[bytes | None], w: Windows) -> list[tuple[int, np.n
     for i, n in enumerate(sizes):
         own = by[edges[i] : edges[i + 1]]
         items = {x for k in set(window[own].tolist()) for x in w.items[k]}
-        out.append((n, hit[bounds[i] : bounds[i + 1]], items, longest(starts[own], window[own], w, int(bounds[i]))))
+        out.append((n, hit[bounds[i] : bounds[i + 1]], items, longest(starts[own], window[own], w, int(bounds[i])) if matches else []))
     return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = 8 << 20, shard_bytes: int = 4 << 20, keep: list[str] | None = None) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = 8 << 20, shard_bytes: int = 4 << 20, keep: list[str] | None = None, matches: bool = True) -> DataFrame:
     """docs[keep] with n_words, n_hit, hit_bits (one bit a word), items (sorted ids of items with occurring windows) and
-    matches (longest verbatim matches: start word, words, item, start word in the item)."""
+    matches (longest verbatim matches: start word, words, item, start word in the item; every item
+    and place). Without `matches` that column is neither worked out nor returned."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     blocks = max(1, math.ceil(total_bytes(items, "t") / block_bytes))
@@ -144,7 +149,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
                 while j < len(texts) and (j == i or size + len(texts[j] or b"") <= shard_bytes):
                     size += len(texts[j] or b"")
                     j += 1
-                out += shard_matches(texts[i:j], w)
+                out += shard_matches(texts[i:j], w, matches)
                 i = j
             bits, found, spans = [np.packbits(x[1]).tobytes() for x in out], [sorted(x[2]) for x in out], [x[3] for x in out]
             if later:
@@ -157,7 +162,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
         last = b == blocks - 1
         df = append_arrow(df, FIELDS, one, keep=keep if last else [*dict.fromkeys([*keep, text])])
         df = df if last else stored(df)
-    return df
+    return df if matches else df.drop("matches")
 
 
 def judged(found: DataFrame, share: int = 20) -> DataFrame:
@@ -168,13 +173,13 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the contaminated ones, with their own columns."""
     names = docs.columns
-    found = judged(find(docs.select(F.struct(*[f"`{c}`" for c in names]).alias("_row"), F.col("text").alias("_text")), benchmark, text="_text", keep=["_row"], **options))
+    found = judged(find(docs.select(F.struct(*[f"`{c}`" for c in names]).alias("_row"), F.col("text").alias("_text")), benchmark, text="_text", keep=["_row"], matches=False, **options))
     return found.where(~F.col("contaminated")).select("_row.*")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item."""
-    found = judged(find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
+    found = judged(find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"], matches=False))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 

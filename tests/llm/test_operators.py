@@ -72,6 +72,17 @@ def test_decontamination_of_nothing(spark):
     assert decontaminate.find(documents(spark, AWKWARD).where("false"), none).count() == 0
 
 
+def test_matches_of_every_item_and_place(spark):
+    """Two items share 20 words; a document copies the one with the larger id, whose shared words come twice."""
+    shared, own = [f"s{i}" for i in range(20)], [f"b{i}" for i in range(15)]
+    items = [("a", " ".join([*(f"a{i}" for i in range(5)), *shared])), ("b", " ".join([*own, *shared, "gap", *shared]))]
+    docs, bench = documents(spark, [" ".join(["x", *own, *shared, "y"])]), spark.createDataFrame(items * 2, "item_id string, text string")
+    for block in (8 << 20, 200):
+        row = decontaminate.find(docs, bench, block_bytes=block).first()
+        got = sorted((m["item_id"], m["start"], m["words"], m["item_start"]) for m in row.matches)
+        assert got == [("a", 16, 20, 5), ("b", 1, 35, 0), ("b", 16, 20, 36)] and row["items"] == ["a", "b"]
+
+
 # ---- 2
 
 def test_chat(spark):
