@@ -44,8 +44,7 @@ def test_pipeline(spark, con):
     import public_tokenizers
     import tiktoken
     from lachesis.llm import byte_bpe
-    from test_operators import brute_hits, brute_spans, components
-    from lachesis.llm.secrets import KINDS
+    from test_operators import brute_hits, brute_masked, components
 
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     kept = set(con.sql(f"SELECT doc_id FROM ({registry.oracles()['op9_quality_rules']}) WHERE kept").df()["doc_id"])
@@ -55,13 +54,7 @@ def test_pipeline(spark, con):
     items = con.sql("SELECT item_id, text FROM benchmark").fetchall()
     hits = {i: brute_hits(t, items) for i, t in docs.items()}
     docs = {i: t for i, t in docs.items() if not (hits[i][1] and 20 * hits[i][1] >= hits[i][0])}
-    for i, t in docs.items():
-        out, end = "", 0
-        for s, k, e in brute_spans(t):
-            if s >= end:
-                out += t[end:s] + f"[{KINDS[k][0].upper()}]"
-            end = max(end, e)
-        docs[i] = out + t[end:]
+    docs = {i: brute_masked(t) for i, t in docs.items()}
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(corpus_pipeline.TOKENIZER), special_tokens={})
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(got) == set(docs)

@@ -13,6 +13,7 @@ from lachesis.llm import byte_bpe, chat, common, decontaminate, language_mix, ne
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WIDE = "word " * 30_000
+SF = "/root/testdata/sf0.01"
 
 
 def documents(spark, texts, ids=None):
@@ -198,8 +199,6 @@ def test_quality_model(spark):
     assert quality_model.score(quality_model.statistics(df.where("false")), model).count() == 0
 
 
-SF = "/root/testdata/sf0.01"
-
 
 def test_quality_accuracy(spark):
     got = quality_model.op4_quality_model(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out")
@@ -229,13 +228,54 @@ def test_language_mixtures(spark):
 
 # ---- 5
 
-def brute_spans(text, scope=secrets.SCOPE):
+NAMES = ["assign", "access", "hex", "key", "account", "endpoint"]
+SPOTS = [
+    (re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[1]) >= 6),
+    (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
+    (re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+    (re.compile("[A-Za-z0-9+/=_-]+"), None),
+    (re.compile(r"""(?i:client_id|user(?:name)?|login|account)["']? *[:=] *["']?[A-Za-z0-9+/_.@-]+""", re.A), lambda m: True),
+    (re.compile(r"[a-z][a-z0-9+]{1,10}://[A-Za-z0-9][A-Za-z0-9.-]*(?::[0-9]{2,5})?|(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}:[0-9]{2,5}(?![0-9])"), lambda m: True),
+]
+COMPLETES = {"key": {"access", "account", "endpoint"}, "account": {"assign", "access", "hex", "key"}, "endpoint": {"assign", "access", "hex", "key"}}
+
+
+def keys_of(run):
+    """40 characters of letters, digits, + and / with a digit and both cases, that fill what lies between other key characters."""
+    for m in re.finditer("[A-Za-z0-9+/]+", run[0]):
+        x, before, after = m[0], run[0][: m.start()][-1:], run[0][m.end() :][:1]
+        if len(x) == 40 and before in ("", "=") and not after and re.search("[0-9]", x) and re.search("[A-Z]", x) and re.search("[a-z]", x):
+            yield run.start() + m.start()
+
+
+def brute_parts(text):
     parts = []
-    for k, (_, pattern, group, least) in enumerate(secrets.KINDS):
-        p = "[0-9a-f]+" if k == 2 else pattern
-        parts += [(m.start(), k, m.end()) for m in re.finditer(p, text or "") if len(m[group]) >= least]
-    near = lambda s, kinds: any(o in kinds and abs(t - s) <= scope for t, o, _ in parts)
-    return sorted(p for p in parts if p[1] < secrets.BASE or near(p[0], secrets.COMPLEMENTS[p[1]]))
+    for k, (p, good) in enumerate(SPOTS):
+        for m in p.finditer(text or ""):
+            parts += [(s, k, s + 40) for s in keys_of(m)] if good is None else [(m.start(), k, m.end())] if good(m) else []
+    return sorted(parts)
+
+
+def brute_spans(text, scope=300):
+    parts = brute_parts(text)
+    near = lambda s, kinds: any(NAMES[o] in kinds and abs(t - s) <= scope for t, o, _ in parts)
+    return [p for p in parts if p[1] < 3 or near(p[0], COMPLETES[NAMES[p[1]]])]
+
+
+def brute_links(text, scope=300):
+    spans = brute_spans(text)
+    nearest = lambda s, kinds: min(((abs(p[0] - s[0]), p) for p in spans if NAMES[p[1]] in kinds and abs(p[0] - s[0]) <= scope), default=(0, None))[1]
+    found = [(s, nearest(s, {"access", "account"}), nearest(s, {"endpoint"})) for s in spans if NAMES[s[1]] in {"assign", "hex", "key"}]
+    return [x for x in found if x[1] or x[2]]
+
+
+def brute_masked(text):
+    out, end = "", 0
+    for s, k, e in brute_spans(text):
+        if s >= end:
+            out += text[end:s] + f"[{NAMES[k].upper()}]"
+        end = max(end, e)
+    return text if text is None else out + text[end:]
 
 
 KEY = "aB3" * 13 + "x"
@@ -246,25 +286,59 @@ SECRETS = [
 
 
 def test_secrets(spark):
-    texts = SECRETS + AWKWARD + ["token=abcdef"] * 2
-    got = secrets.scan(documents(spark, texts).withColumn("spans", F.lit(1))).collect()
-    assert len(got) == len(texts)
-    mine = Counter((r.doc_id, tuple(tuple(s[c] for c in ("start", "kind", "end")) for s in r.spans)) for r in got)
-    assert mine == Counter((i, tuple(brute_spans(t))) for i, t in enumerate(texts))
+    rng = random.Random(8)
+    bits = ["user=b ", "token: ab12cd ", "ab://c ", KEY + " ", "AKIA" + "Q" * 16 + " ", "0a" * 13 + " ", "1.2.3.4:80 ", "x" * 90 + " ", "é " * 40]
+    texts = SECRETS + AWKWARD + ["token=abcdef"] * 2 + ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))) for _ in range(60)] + ["user=b " * 400 + "token=abcdef", "ab://c " * 120]
+    got = secrets.scan(documents(spark, texts).withColumn("spans", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("row", F.lit(3))).collect()
+    assert len(got) == len(texts) and {(r["_row"], r["row"]) for r in got} == {(2, 3)}
+    span = lambda s: s and (s["start"], s["kind"], s["end"])
+    assert Counter((r.doc_id, tuple(map(span, r.spans))) for r in got) == Counter((i, tuple(brute_spans(t))) for i, t in enumerate(texts))
+    for r in got:
+        assert [(span(c.secret), span(c.identifier), span(c.endpoint)) for c in r.credentials] == brute_links(texts[r.doc_id])
+    assert sum(len(r.credentials) for r in got) > 100
     assert secrets.scan(documents(spark, texts).where("false")).count() == 0
 
 
+def test_reach_of_the_scope():
+    """No text has more parts within the scope than the operator looks at."""
+    for text in ("user=b " * 400, "ab://c " * 400, "token=abcdef " * 200, "0123456789abcdef01234567 " * 100):
+        starts = [s for s, _, _ in brute_parts(text)]
+        assert max(sum(abs(t - s) <= 300 for t in starts) for s in starts) <= 2 * secrets.reach(300)
+
+
 def test_redaction(spark):
-    docs = documents(spark, SECRETS + AWKWARD)
+    texts = SECRETS + AWKWARD
+    docs = documents(spark, texts).withColumns({"_row": F.lit(1), "_spans": F.lit("x"), "a.b": F.lit(2)})
     got = {r.doc_id: r for r in secrets.redacted(docs, chars="n_chars").collect()}
-    for i, t in enumerate(SECRETS + AWKWARD):
-        out, end = "", 0
-        for s, k, e in brute_spans(t):
-            if s >= end:
-                out += t[end:s] + f"[{secrets.KINDS[k][0].upper()}]"
-            end = max(end, e)
-        want = t if t is None or not brute_spans(t) else out + t[end:]
-        assert got[i].text == want and got[i].n_chars == len(want or "")
+    for i, t in enumerate(texts):
+        assert got[i].text == brute_masked(t) and got[i].n_chars == len(got[i].text or "")
+        assert (got[i]["_row"], got[i]["_spans"], got[i]["a.b"]) == (1, "x", 2)
+    assert secrets.redacted(docs).columns == docs.columns
+
+
+def test_redaction_of_shuffled_rows(spark):
+    """The same texts come out of a plain scan, a shuffle that is read in pieces, and one partition."""
+    plain = spark.read.parquet(f"{SF}/documents.parquet").withColumn("wide", F.repeat("text", 3))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "300k")
+    try:
+        shuffled, single = ({r.doc_id: r.text for r in secrets.redacted(x).select("doc_id", "text").collect()} for x in (plain.repartition("doc_id"), plain.coalesce(1)))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = {r.doc_id: brute_masked(r.text) for r in plain.select("doc_id", "text").collect()}
+    assert shuffled == want and single == want
+
+
+def test_secret_digests(spark):
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        spans = brute_spans(r.text)
+        told = lambda some: ",".join(f"{NAMES[k]}:{s}:{e}" for s, k, e in some)
+        want[r.doc_id] = (*(sum(p[1] == k for p in spans) for k in range(3)), sha(told([p for p in spans if p[1] < 3])), told(spans), len(brute_links(r.text)))
+    got = secrets.op5_secret_scan(spark, SF).collect()
+    assert {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans, r.n_linked) for r in got} == want
 
 
 def test_keys_after_equals_signs(spark):
