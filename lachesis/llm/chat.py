@@ -142,7 +142,7 @@ def digests(formatted: DataFrame, template: Template = Template()) -> DataFrame:
                         own[4].update(text.encode())
                 own[5] += len(whole)
                 own[6], own[7] = own[6] and fits, state
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], names=DIGESTS.names) if done else pa.RecordBatch.from_pylist([], schema=DIGEST_ARROW)
+            yield pa.RecordBatch.from_pylist([dict(zip(DIGESTS.names, x, strict=True)) for x in done], schema=DIGEST_ARROW)
         if own:
             yield pa.RecordBatch.from_pylist([dict(zip(DIGESTS.names, row(), strict=True))], schema=DIGEST_ARROW)
 

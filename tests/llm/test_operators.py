@@ -105,6 +105,14 @@ def test_chat(spark):
     assert chat.format_turns(df.where("false")).count() == 0
 
 
+def test_chats_with_null_conversations(spark):
+    """Several conversations end in one batch, some of whose values are null."""
+    rows = [(None, 0, "user", "a"), (7, 0, "user", "b"), (7, 1, "assistant", "c"), (8, None, None, None), (9, 0, "user", "d"), (None, 1, "assistant", None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    got = {r.conv_id: (r.n_turns, r.loss_chars, r.valid) for r in chat.digests(chat.format_turns(df)).collect()}
+    assert got == {None: (2, 0, True), 7: (2, 1, True), 8: (1, 0, False), 9: (1, 0, False)}
+
+
 def test_escapes():
     rng = random.Random(3)
     for _ in range(500):
@@ -503,6 +511,28 @@ def test_equal_rows_take_pages(spark):
     assert sharding.shard(docs.where("false"), 100, "doc_id").count() == 0
 
 
+def test_pages_of_a_hot_key(spark):
+    """One key with rows of many sizes, some over the limit: pages fit, are well filled, and are stated rightly."""
+    rng = random.Random(5)
+    sizes = [rng.choice([0, 1, 30, 45, 60, 90, 120]) if i % 50 == 0 else rng.randrange(12) for i in range(3000)]
+    docs = documents(spark, ["x" * n for n in sizes], [7] * 2900 + list(range(100))).repartition(3)
+    got = sharding.shard(docs, 100, "doc_id").collect()
+    total = Counter()
+    for r in got:
+        total[r["shard"]] += len(r.text)
+    assert len(got) == 3000 and all(r.shard_bytes == total[r["shard"]] for r in got)
+    assert all(r.shard_bytes <= 100 or len(r.text) == r.shard_bytes or not r.text for r in got)
+    assert len({r["shard"] for r in got if r.doc_id == 7}) < 1.6 * sum(sizes[:2900]) / 100
+
+
+def test_shards_with_clashing_names(spark):
+    docs = documents(spark, ["aa", None, "b" * 50]).withColumns({c: F.lit(f"own {c}") for c in ("prefix", "entry", "_entry", "_h", "_bytes", "h", "bytes", "row", "depth", "a.b", "rows")})
+    got = sharding.shard(docs, 10, "doc_id")
+    assert set(got.columns) == {*docs.columns, "shard", "depth", "shard_bytes", "shard_rows"}
+    for r in got.collect():
+        assert all(r[c] == f"own {c}" for c in ("prefix", "entry", "_entry", "_h", "_bytes", "h", "bytes", "row", "a.b", "rows")) and isinstance(r.depth, int)
+
+
 # ---- all
 
 def test_shared_folder_is_the_sessions(spark, tmp_path):
