@@ -6,17 +6,21 @@
    two sets that can be linked always share a kind.
 2. Equal sets collapse to the one with the smallest doc_id.
 3. Registers are banded (ROWS a band). A band's bucket is centred on its smallest id, and every other member is paired with
-   that centre only. Members' full sets stream past their centre's, with a hot centre's members dealt over many
-   tasks. That gives links, and each member's difference from the centre: what it adds and what it lacks.
+   that centre only. Their collision-corrected estimate says whether the pair can link; a pair that can't goes no further
+   unless its centre has other members, whom it might link with. Of the rest, members' full sets stream past their
+   centre's, with a hot centre's members dealt over many tasks. That gives links, and each member's difference from the
+   centre: what it adds and what it lacks.
 4. Two members can also link past their centre. Their sets differ by what their differences don't share, so a link
    needs a common part of the two differences; if not both link to the centre, that part is so large that it must begin in the
    first places of both (additions first, which are rare; then lacks), and their bitmaps must have room for all of it.
    Only pairs that meet both, and of different components, are made. Their sizes and collision-corrected estimate must
    allow the threshold; then full sets confirm them as before.
 
-A pair at the threshold shares no band with probability (1 - 0.8^3)^24 < 4e-8; of pairs that share one, no link is lost.
+A pair at the threshold shares no band with probability (1 - 0.8^3)^24 < 4e-8, and its estimate lies more than five standard
+errors low with probability below 1e-6; no other link is lost.
 All pairs of a group are never made. Nothing about all documents reaches the driver; every table that is used twice is
-written to the shared folder.
+written to the shared folder. Ids are looked up in tables that are broadcast up to SMALL_TABLE rows and joined by shuffle
+beyond, where adaptive execution splits a hot id's rows.
 
 Nulls: a null text is empty; empty sets link with nothing, their component is their own. A null doc_id links with nothing;
 its component is null and it is kept. Rows with one doc_id are one document, which is linked by each of its texts.
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +42,8 @@ from .common import LOWER, PLACES, WordHashes, append_arrow, mix, raw, shingles,
 
 REGISTERS, ROWS, MANTISSA, SMALL = 72, 3, 10, 400
 BANDS = REGISTERS // ROWS
+#: Rows of a table of ids that may be broadcast.
+SMALL_TABLE = 100_000
 #: Starts of the buckets of the one-permutation kind, and seeds of the other one.
 STARTS = np.array([(i << 64) // REGISTERS for i in range(REGISTERS)], np.uint64)
 SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * PLACES[0])
@@ -91,12 +97,33 @@ def sketches(docs: DataFrame, k: int, threshold: float, text: str = "text", keep
     return append_arrow(docs, SKETCH, run, keep)
 
 
+def with_lookup(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
+    """df joined with a stored table of ids, which is broadcast if it is small, so that a hot id stays where its rows are."""
+    return df.join(F.broadcast(ids) if ids.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE else ids, on, how)
+
+
+#: Bits of one row of a bitmap, and rows of a bitmap at most (16 MB).
+BITS, MAPS = 32768, 4096
+
+
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose id may be in ids: all that are, and few others while ids are fewer than the bitmap's bits. A bitmap of
+    bounded size goes to the texts, so most texts that no pair needs are not shuffled."""
+    maps = max(1, min(MAPS, -(-16 * ids.count() // BITS)))
+    place = F.pmod(F.xxhash64("id"), F.lit(maps * BITS))
+    own = ids.select(F.floor(place / BITS).cast("int").alias("map"), (place % BITS).alias("bit")).groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    rows = docs.withColumns({"_map": F.floor(place / BITS).cast("int"), "_bit": (place % BITS).cast("int")})
+    byte = F.conv(F.hex(F.expr("substring(bits, int(_bit / 8) + 1, 1)")), 16, 10).cast("int")
+    found = rows.join(F.broadcast(own), (F.col("_map") == F.col("map")) & (F.getbit(byte, F.col("_bit") % 8) == 1), "left_semi")
+    return found.select(*docs.columns)
+
+
 def banded(sets: DataFrame) -> DataFrame:
-    """A row for each set and band: key, id, n."""
+    """A row for each set and band: key, id."""
     kinds = F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).alias("r")) for i, c in enumerate(("small", "large"))])
-    each = sets.select("id", "n", F.explode(F.filter(kinds, lambda x: x["r"].isNotNull())).alias("s"))
-    each = each.select("id", "n", "s", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b"))
-    return each.select(F.xxhash64("s.k", "b", F.expr(f"substring(s.r, b * {2 * ROWS} + 1, {2 * ROWS})")).alias("key"), "id", "n")
+    each = sets.select("id", F.explode(F.filter(kinds, lambda x: x["r"].isNotNull())).alias("s"))
+    each = each.select("id", "s", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("b"))
+    return each.select(F.xxhash64("s.k", "b", F.expr(f"substring(s.r, b * {2 * ROWS} + 1, {2 * ROWS})")).alias("key"), "id")
 
 
 def possible(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -215,10 +242,11 @@ def past_centres(found: DataFrame, labels: DataFrame, threshold: float) -> DataF
     """Pairs of members of one centre and different components whose differences begin alike and can share enough."""
     name = lambda x, y: labels.select(F.col("id").alias(x), F.col("comp").alias(y))
     rows = found.join(name("a", "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-    rows = rows.join(name("b", "comp_b"), "b", "left").withColumn("free", F.col("comp") != F.coalesce("comp_b", "b"))
+    centres = stored(found.select("b").distinct().join(name("b", "comp_b"), "b", "left"))
+    rows = with_lookup(rows, centres, ["b"], "left").withColumn("free", F.col("comp") != F.coalesce("comp_b", "b"))
     rows = stored(rows.select("b", "a", "comp", "free", "n_a", "n_b", "delta"))
-    some = rows.groupBy("b").agg(F.bool_or("free").alias("f"), F.count(F.lit(1)).alias("c")).where("f and c > 1").select("b")
-    at = stored(starts(rows.join(some, "b", "left_semi"), threshold).distinct())
+    some = stored(rows.groupBy("b").agg(F.bool_or("free").alias("f"), F.count(F.lit(1)).alias("c")).where("f and c > 1").select("b"))
+    at = stored(starts(with_lookup(rows, some, ["b"], "left_semi"), threshold).distinct())
     # A place that one component has alone, or that no free member has, makes no pair.
     mixed = at.groupBy("b", "e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("free").alias("f")).where("f and lo <> hi").select("b", "e")
     at = stored(at.join(mixed, ["b", "e"], "left_semi").join(bitmaps(rows, threshold), ["b", "a"]))
@@ -236,10 +264,10 @@ def labels_of(links: DataFrame) -> DataFrame:
     edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")))
     while True:
-        near = edges.join(labels.select(F.col("id").alias("b"), F.col("comp").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
+        near = with_lookup(edges, labels.select(F.col("id").alias("b"), F.col("comp").alias("c")), ["b"], "inner").groupBy("a").agg(F.min("c").alias("c"))
         step = labels.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("comp").alias("old"), F.least("comp", F.coalesce("c", "comp")).alias("comp"))
         jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("further"))
-        after = stored(step.join(jump, "comp", "left").select("id", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
+        after = stored(with_lookup(step, jump, ["comp"], "left").select("id", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
         labels = after.select("id", "comp")
         if after.where(F.col("old") != F.col("comp")).isEmpty():
             return labels
@@ -259,9 +287,13 @@ def components(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "t
     bands = banded(sets)
     centres = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("centre")).where(F.col("size") > 1)
     members = stored(bands.join(centres.select("key", "centre"), "key").select("key", "id", "centre"))
-    texts = stored(docs.select(F.col("doc_id").alias("id"), F.col(text).alias("text")).join(members.select("id").distinct(), "id", "left_semi"))
+    star = stored(members.where(F.col("id") != F.col("centre")).select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct())
+    # A pair whose estimate rules it out is compared only for its centre's other members.
+    several = stored(star.groupBy("b").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("b"))
+    star = stored(with_lookup(star, several, ["b"], "left_semi").unionByName(possible(with_lookup(star, several, ["b"], "left_anti"), sets, threshold)))
+    ends = stored(star.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = stored(likely(docs.select(F.col("doc_id").alias("id"), F.col(text).alias("text")), ends).join(ends, "id", "left_semi"))
 
-    star = members.where(F.col("id") != F.col("centre")).select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     found = stored(compared(star, texts, k, percent, salts))
     links = found.where("linked").select("a", "b")
     labels = labels_of(links)
@@ -276,11 +308,20 @@ def components(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "t
     return df.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicated(docs: DataFrame, *, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id; equal rows of that doc_id count once."""
+def deduplicated(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
+    """docs with one document of each component: the one with the smallest doc_id. Rows of that doc_id with equal texts count
+    once (the first in the order of their other columns); its different texts are one document and all stay."""
     names = docs.columns
-    gone = stored(components(docs, k=k, percent=percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*[f"`{c}`" for c in names])
+    row = F.struct(*[docs[f"`{c}`"] for c in names]).alias("row")
+    rows = docs.select(row, docs["doc_id"].alias("id"), docs[f"`{text}`"].alias("text"))
+    gone = stored(components(docs, k=k, percent=percent, text=text).where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct())
+    again = stored(docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id"))
+    left = with_lookup(rows, gone, ["id"], "left_anti")
+    if not again.isEmpty():
+        own = Window.partitionBy("id", "text").orderBy(F.to_json("row"))
+        once = with_lookup(left, again, ["id"], "left_semi").withColumn("n", F.row_number().over(own)).where("n = 1").select(*left.columns)
+        left = with_lookup(left, again, ["id"], "left_anti").unionByName(once)
+    return left.select(*[F.col("row")[c].alias(c) for c in names])
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,6 +179,31 @@ def test_near_duplicates_edges(spark):
     assert near_dedup.deduplicated(df).columns == df.columns
 
 
+def test_equal_rows_count_once(spark):
+    docs = documents(spark, ["a b c d e", "a b c d e", "f g h i j", "a b c d e", "other words of one"], [1, 1, 2, 3, 1]).withColumns({"_gone": F.lit(1), "row": F.lit(2), "id": F.lit(3)})
+    got = near_dedup.deduplicated(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id, r.text) for r in got.collect()) == [(1, "a b c d e"), (1, "other words of one"), (2, "f g h i j")]
+
+
+def test_links_near_the_threshold(spark):
+    """Pairs at 80 to 90 % similarity, each alone: every one is linked, and none just below."""
+    rng, texts, want = random.Random(6), [], {}
+    for p in range(400):
+        n = rng.choice([60, 200, 700])
+        words = [f"p{p}w{j}" for j in range(n)]
+        other = list(words)
+        # A run of changed words changes its length and three shingles more.
+        run = int(n * rng.uniform(0.05, 0.14))
+        at = rng.randrange(n - run)
+        other[at : at + run] = [f"p{p}x{j}" for j in range(run)]
+        a, b = ({tuple(w[j : j + 4]) for j in range(n - 3)} for w in (words, other))
+        texts += [" ".join(words), " ".join(other)]
+        want[2 * p + 1] = 2 * p if 100 * len(a & b) >= 80 * len(a | b) else 2 * p + 1
+    got = {r.doc_id: r.component_id for r in near_dedup.components(documents(spark, texts), k=4).collect()}
+    assert sum(v % 2 == 0 for v in want.values()) > 100 and sum(v % 2 for v in want.values()) > 50
+    assert {k: got[k] for k in want} == want
+
+
 def test_estimates_are_fair():
     rng = np.random.default_rng(0)
     for n in (50, 300, 5000):
