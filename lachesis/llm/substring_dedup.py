@@ -5,16 +5,20 @@ slices: every LENGTH-byte window belongs to the slice of its anchor, the leftmos
 equal windows always meet, and neighbouring windows with one anchor travel as one short string. The steps:
 
 1. chunks: whole documents in runs of CHUNK bytes, compressed, written once.
-2. shared: hashes of anchors are dealt to slices; an anchor matters if two documents have it. Each chunk gets its bits back.
+2. shared: hashes of anchors are dealt to slices; an anchor matters if two documents have it, and is hot if it has more than
+   HOT strings. Each chunk gets two bits an anchor back.
 3. strings: each chunk sends the strings of its shared anchors, one copy of equal ones; further copies in later
-   documents of the chunk are settled at once.
-4. factors: a slice settles equal strings by their smallest doc_id; where strings with one anchor differ, the suffixes
-   of the different strings are sorted to the depth LENGTH, and the nearest smaller doc_id before and after a suffix, with
-   no smaller common prefix between, is its earlier match (a longest previous factor of at least LENGTH bytes).
+   documents of the chunk are settled at once. Strings of hot anchors are cut into their windows first, which are dealt by their
+   own hash, so that no slice holds a hot anchor.
+4. factors: a slice settles equal strings by their smallest doc_id. Where strings with one anchor differ, the longest
+   previous factor array of the different strings is made: their suffixes are sorted (to the depth LENGTH, beyond which
+   nothing matters), neighbours give common prefixes, and of the nearest suffixes before and after one that have a smaller
+   doc_id, the one with the longer common prefix is its longest earlier match. Those of LENGTH bytes are removed.
 5. removal: each chunk joins the intervals of its earlier matches and cuts.
 
-Slices and chunks are bounded by design, and a passage of any number of copies sends one string a chunk. Everything but
-step 2's and 4's slices works on chunks alone.
+A chunk has bounded bytes; a slice has about SLICE bytes' anchors by hash, none of them hot; a passage of any number of copies
+sends one string a chunk. Rows between chunks and slices are at most chunks x slices and at most the anchors. Everything
+but step 2's and 4's slices works on chunks alone.
 
 Nulls: a null text is empty; a null doc_id comes after all others. Rows of one doc_id never match each other. An empty
 table gives no rows. Extra columns are dropped.
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, raw, stored, table, total_bytes
 
-GRAM, CHUNK, SLICE, MIN_SLICES = 16, 8 << 20, 8 << 20, 32
+GRAM, CHUNK, SLICE, MIN_SLICES, HOT = 16, 8 << 20, 8 << 20, 32, 1000
 BLOCK, BITS = 200_000, np.uint64(18)
 LAST = (1 << 63) - 1
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -133,7 +138,8 @@ class Chunk:
 
 
 def anchor_rows(chunks: DataFrame, length: int, slices: int) -> DataFrame:
-    """(p, chunk, hashes, many): a chunk's anchors in slice p, and bits of those that several of its documents have."""
+    """(p, chunk, hashes, many, count): a chunk's anchors in slice p, bits of those that several of its documents have, and
+    the strings of each (65535 stands for more)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,26 +149,45 @@ def anchor_rows(chunks: DataFrame, length: int, slices: int) -> DataFrame:
                 low, high = np.full(len(c.anchors), LAST, np.int64), np.full(len(c.anchors), -LAST, np.int64)
                 np.minimum.at(low, c.which, own)
                 np.maximum.at(high, c.which, own)
-                rows = [(p, chunk, c.anchors[a:b].astype(np.uint32).tobytes(), np.packbits(low[a:b] != high[a:b]).tobytes()) for p, a, b in c.by_slice()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["p", "chunk", "hashes", "many"])
+                count = np.minimum(np.bincount(c.which, minlength=len(c.anchors)), 0xFFFF).astype(np.uint16)
+                rows = [(p, chunk, c.anchors[a:b].astype(np.uint32).tobytes(), np.packbits(low[a:b] != high[a:b]).tobytes(), squeeze(count[a:b])) for p, a, b in c.by_slice()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["p", "chunk", "hashes", "many", "count"])
 
-    return chunks.mapInArrow(run, "p long, chunk long, hashes binary, many binary")
+    return chunks.mapInArrow(run, "p long, chunk long, hashes binary, many binary, count binary")
 
 
-def shared_bits(rows: DataFrame) -> DataFrame:
-    """(chunk, p, bits): which of a chunk's anchors in a slice are in two documents or more of all chunks."""
+def shared_bits(rows: DataFrame, hot: int) -> DataFrame:
+    """(chunk, p, bits, hot): which of a chunk's anchors in a slice are in two documents or more of all chunks, and which of
+    these have more than `hot` strings."""
 
     def run(t: pa.Table) -> pa.Table:
-        chunk, hashes, many = (t.column(c).to_pylist() for c in ("chunk", "hashes", "many"))
+        chunk, hashes, many, count = (t.column(c).to_pylist() for c in ("chunk", "hashes", "many", "count"))
         own = [np.frombuffer(x, np.uint32) for x in hashes]
         flags = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=len(o)) for m, o in zip(many, own, strict=True)]).astype(bool)
-        _, which, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-        shared = count > 1
+        _, which, chunks = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        shared = chunks > 1
         shared[which[flags]] = True
-        cut = np.split(shared[which], np.cumsum([len(o) for o in own])[:-1])
-        return pa.table({"chunk": pa.array(chunk, pa.int64()), "p": t.column("p"), "bits": pa.array([np.packbits(x).tobytes() for x in cut], pa.binary())})
+        busy = np.bincount(which, np.concatenate([unsqueeze(x, np.uint16) for x in count]), len(shared)) > hot
+        at = np.cumsum([len(o) for o in own])[:-1]
+        bits = [pa.array([np.packbits(x).tobytes() for x in np.split(b[which], at)], pa.binary()) for b in (shared, shared & busy)]
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "p": t.column("p"), "bits": bits[0], "hot": bits[1]})
 
-    return rows.groupBy("p").applyInArrow(run, "chunk long, p long, bits binary")
+    return rows.groupBy("p").applyInArrow(run, "chunk long, p long, bits binary, hot binary")
+
+
+def split_hot(text: bytes, hot: np.ndarray, lo: np.ndarray, hi: np.ndarray, tag: np.ndarray, doc: np.ndarray, length: int, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Strings lo..hi with their slice and tag, where hot ones are cut into their windows, each with a slice and tag by its own
+    hash. The order of places is kept."""
+    n = np.where(hot, hi - lo - length + 1, 1)
+    which = np.repeat(np.arange(len(lo)), n)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    cut = hot[which]
+    lo = lo[which] + step
+    hi = np.where(cut, lo + length, hi[which])
+    tag = tag[which]
+    own = np.fromiter((xxhash.xxh64_intdigest(text[i : i + length]) for i in lo[cut].tolist()), np.uint64, int(cut.sum()))
+    tag[cut] = sliced(own, slices)
+    return lo, hi, tag, doc[which]
 
 
 def string_rows(chunks: DataFrame, bits: DataFrame, length: int, slices: int) -> DataFrame:
@@ -172,48 +197,69 @@ def string_rows(chunks: DataFrame, bits: DataFrame, length: int, slices: int) ->
         out: list[tuple] = []
         for chunk, *parts in zip(*(left.column(c).to_pylist() for c in ("chunk", "ids", "ends", "body")), strict=True):
             c = Chunk(*parts, length, slices)
-            known = dict(zip(right.column("p").to_pylist(), right.column("bits").to_pylist(), strict=True))
-            shared = np.zeros(len(c.anchors), bool)
-            edges = list(c.by_slice())
-            for p, a, b in edges:
-                shared[a:b] = np.unpackbits(np.frombuffer(known[p], np.uint8), count=b - a)
+            known = {p: x for p, *x in zip(*(right.column(c).to_pylist() for c in ("p", "bits", "hot")), strict=True)}
+            shared, hot = np.zeros(len(c.anchors), bool), np.zeros(len(c.anchors), bool)
+            for p, a, b in c.by_slice():
+                shared[a:b], hot[a:b] = (np.unpackbits(np.frombuffer(x, np.uint8), count=b - a) for x in known[p])
             at = np.flatnonzero(shared[c.which])
-            first, stop, doc = c.first[at].tolist(), (c.last[at] + length).tolist(), c.doc[at].tolist()
-            ids = c.ids.tolist()
-            seen: dict[bytes, int] = {}
+            lo, hi, tag, doc = c.first[at], c.last[at] + length, c.anchors[c.which[at]], c.doc[at]
+            if hot.any():
+                lo, hi, tag, doc = split_hot(c.text, hot[c.which[at]], lo, hi, tag, doc, length, slices)
+            ids, seen = c.ids.tolist(), {}
             send, settled = [], []
-            for i, (a, b, d) in enumerate(zip(first, stop, doc, strict=True)):
+            for i, (a, b, d) in enumerate(zip(lo.tolist(), hi.tolist(), doc.tolist(), strict=True)):
                 # Documents are in order, so the first to have a string has the smallest doc_id.
                 if ids[seen.setdefault(c.text[a:b], d)] == ids[d]:
                     send.append(i)
                 else:
                     settled.append(i)
-            done = at[np.array(settled, np.int64)]
-            out.append((-1 - chunk, chunk, squeeze(c.first[done].astype(np.uint32)), squeeze((c.last[done] + length - c.first[done]).astype(np.uint8)), b"", b"", b""))
-            sent = at[np.array(send, np.int64)]
-            sent = sent[np.argsort(c.which[sent], kind="stable")]
-            where = np.searchsorted(c.which[sent], [e[1] for e in edges] + [len(c.anchors)])
-            for (p, _, _), a, b in zip(edges, where[:-1].tolist(), where[1:].tolist(), strict=True):
-                if a < b:
-                    # In the order of their places, neighbouring numbers are alike and compress well.
-                    own = np.sort(sent[a:b])
-                    lo, hi = c.first[own], c.last[own] + length
-                    out.append((p, chunk, squeeze(lo.astype(np.uint32)), squeeze((hi - lo).astype(np.uint8)), squeeze(c.ids[c.doc[own]]), squeeze(c.anchors[c.which[own]].astype(np.uint32)), squeeze(b"".join([c.text[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]), 3)))
+            done = np.array(settled, np.int64)
+            out.append((-1 - chunk, chunk, squeeze(lo[done].astype(np.uint32)), squeeze((hi - lo)[done].astype(np.uint8)), b"", b"", b""))
+            sent = np.array(send, np.int64)
+            slot = (tag[sent] >> np.uint64(32)).astype(np.int64)
+            # In the order of their places, neighbouring numbers are alike and compress well.
+            sent, slot = sent[np.argsort(slot, kind="stable")], np.sort(slot)
+            edges = np.append(np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else [], len(slot)).astype(np.int64)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                own = sent[a:b]
+                x, y = lo[own], hi[own]
+                out.append((int(slot[a]), chunk, squeeze(x.astype(np.uint32)), squeeze((y - x).astype(np.uint8)), squeeze(c.ids[doc[own]]), squeeze(tag[own].astype(np.uint32)), squeeze(b"".join([c.text[i:j] for i, j in zip(x.tolist(), y.tolist(), strict=True)]), 3)))
         kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
         return pa.table([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["p", "chunk", "start", "size", "ids", "anchor", "strings"])
 
     return chunks.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(run, "p long, chunk long, start binary, size binary, ids binary, anchor binary, strings binary")
 
 
-def previous_smaller(value: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """For each place, the nearest one before it, not before begin, with a smaller value; begin - 1 where there is none."""
-    at = np.arange(len(value)) - 1
-    open_ = np.flatnonzero(at >= begin)
+def previous_smaller(value: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, the nearest one before it with a smaller value (-1: none), and the least `prefix` of the places after
+    that one, up to and with its own: what both suffixes have in common. prefix[i] is that of places i - 1 and i."""
+    at, common = np.arange(len(value)) - 1, prefix.copy()
+    open_ = np.flatnonzero(at >= 0)
     while len(open_):
         open_ = open_[value[at[open_]] >= value[open_]]
+        # Between a place's pointer and itself all values are at least its own, so its pointer may be taken over.
+        common[open_] = np.minimum(common[open_], common[at[open_]])
         at[open_] = at[at[open_]]
-        open_ = open_[at[open_] >= begin[open_]]
-    return np.maximum(at, begin - 1)
+        open_ = open_[at[open_] >= 0]
+    return at, np.where(at >= 0, common, 0)
+
+
+def longest_previous(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix, given by its first bytes (rows of keys): how many of them also start a suffix
+    with a smaller id."""
+    n, depth = keys.shape
+    order = np.argsort(np.ascontiguousarray(keys).view(f"S{depth}")[:, 0], kind="stable")
+    prefix = np.zeros(n + 1, np.int64)
+    for a in range(1, n, BLOCK):
+        b = min(n, a + BLOCK)
+        differs = keys[order[a:b]] != keys[order[a - 1 : b - 1]]
+        prefix[a:b] = np.where(differs.any(axis=1), differs.argmax(axis=1), depth)
+    value = ids[order]
+    before = previous_smaller(value, prefix[:n])[1]
+    after = previous_smaller(value[::-1], prefix[:0:-1])[1][::-1]
+    out = np.empty(n, np.int64)
+    out[order] = np.maximum(before, after)
+    return out
 
 
 def earlier(strings: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarray]:
@@ -223,19 +269,8 @@ def earlier(strings: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarr
     starts = np.cumsum([len(s) for s in strings]) - [len(s) for s in strings]
     string = np.repeat(np.arange(len(strings)), sizes)
     at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[string]
-    keys = np.lib.stride_tricks.sliding_window_view(text, length)[at].view(f"S{length}")[:, 0]
-    order = np.argsort(keys, kind="stable")
-    key, doc = keys[order], ids[string[order]]
-    # The common prefix with the suffix before is LENGTH inside a group of equal keys, less at its edges.
-    edge = np.append(True, key[1:] != key[:-1])
-    begin = np.flatnonzero(edge)[np.cumsum(edge) - 1]
-    end = np.append(np.flatnonzero(edge)[1:], len(key))[np.cumsum(edge) - 1]
-    n = len(key)
-    before = previous_smaller(doc, begin) >= begin
-    after = n - 1 - previous_smaller(doc[::-1], n - end[::-1])[::-1] < end
-    hit = np.empty(n, bool)
-    hit[order] = before | after
-    return np.split(hit, np.cumsum(sizes)[:-1])
+    keys = np.lib.stride_tricks.sliding_window_view(text, length)[at]
+    return np.split(longest_previous(keys, ids[string]) >= length, np.cumsum(sizes)[:-1])
 
 
 def factor_rows(rows: DataFrame, length: int) -> DataFrame:
@@ -305,11 +340,12 @@ def removed(chunks: DataFrame, intervals: DataFrame) -> DataFrame:
     return chunks.groupBy("chunk").cogroup(intervals.groupBy("chunk")).applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def deduplicated(docs: DataFrame, text: str = "text", length: int = 50) -> DataFrame:
-    """One row a row of docs: doc_id, n_bytes, n_removed, n_spans and the bytes kept."""
+def deduplicated(docs: DataFrame, text: str = "text", length: int = 50, hot: int = HOT) -> DataFrame:
+    """One row a row of docs: doc_id, n_bytes, n_removed, n_spans and the bytes kept. Anchors of more than `hot` strings are
+    split."""
     slices = max(MIN_SLICES, math.ceil(total_bytes(docs, text) / SLICE))
     chunks = stored(to_chunks(docs, text))
-    bits = shared_bits(anchor_rows(chunks, length, slices))
+    bits = shared_bits(anchor_rows(chunks, length, slices), hot)
     return removed(chunks, factor_rows(string_rows(chunks, bits, length, slices), length))
 
 

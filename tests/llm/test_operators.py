@@ -446,33 +446,48 @@ def brute_removed(docs, length):
     return out
 
 
+@pytest.mark.parametrize("hot", [1000, 2, 0])
 @pytest.mark.parametrize("alphabet", ["ab", "abcdefgh é"])
-def test_substrings(spark, alphabet):
+def test_substrings(spark, alphabet, hot):
     rng = random.Random(4)
     make = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
-    pieces = [make(n) for n in (30, 49, 50, 51, 70, 120)]
-    texts = ["".join(rng.choice([*pieces, make(rng.randrange(40))]) for _ in range(rng.randrange(6))) for _ in range(60)] + AWKWARD[:7] + [make(400) * 2] * 3
+    pieces = [make(n) for n in (30, 49, 50, 51, 70, 120)] + ["\x00" * 60, "日本語" * 9, "\x00nul\x00 日本語 🙂" * 5]
+    texts = ["".join(rng.choice([*pieces, make(rng.randrange(40))]) for _ in range(rng.randrange(6))) for _ in range(60)] + [t if t != WIDE else t[:9000] for t in AWKWARD] + [make(400) * 2] * 3
     ids = list(range(len(texts)))
     rng.shuffle(ids)
     ids[0] = None
     ids[5] = ids[6]
     docs = list(zip(ids, texts, strict=True))
     want = Counter((i, *v) for (i, _), v in zip(docs, brute_removed(docs, 50).values(), strict=True))
-    got = substring_dedup.deduplicated(documents(spark, texts, ids).repartition(5).withColumn("kept", F.lit(1))).collect()
+    got = substring_dedup.deduplicated(documents(spark, texts, ids).repartition(5).withColumn("kept", F.lit(1)), hot=hot).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
 
 
+def test_substrings_of_wide_texts(spark):
+    texts = [WIDE, WIDE, "x" * 40 + WIDE[:60] + "y" * 40, WIDE[3:]]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substring_dedup.deduplicated(documents(spark, texts)).collect()}
+    assert got == {0: (150_000, 0, 0, WIDE.encode()), 1: (150_000, 150_000, 1, b""), 2: (140, 60, 1, b"x" * 40 + b"y" * 40), 3: (149_997, 149_997, 1, b"")}
+
+
+def test_substring_digests(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    want = {i: (n, gone, spans, sha(kept)) for (i, _), (n, gone, spans, kept) in zip(docs, brute_removed(docs, 50).values(), strict=True)}
+    got = substring_dedup.op8_substring_dedup(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
 def test_substrings_of_nothing(spark):
     assert substring_dedup.deduplicated(documents(spark, ["x"]).where("false")).count() == 0
 
 
-def test_previous_smaller():
+def test_longest_previous_factors():
+    """Values of the array, against every suffix with a smaller id."""
     rng = np.random.default_rng(0)
-    for _ in range(50):
-        v = rng.integers(0, 6, 40)
-        begin = np.repeat(np.arange(0, 40, 8), 8)
-        want = [max([j for j in range(begin[i], i) if v[j] < v[i]], default=begin[i] - 1) for i in range(40)]
-        assert substring_dedup.previous_smaller(v, begin).tolist() == want
+    for _ in range(30):
+        keys, ids = rng.integers(0, 2, (40, 9)).astype(np.uint8), rng.integers(0, 7, 40)
+        common = lambda x, y: int((np.cumprod(x == y)).sum())
+        want = [max([common(keys[i], keys[j]) for j in range(40) if ids[j] < ids[i]], default=0) for i in range(40)]
+        assert substring_dedup.longest_previous(keys, ids).tolist() == want
 
 
 # ---- 9
