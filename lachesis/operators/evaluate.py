@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw
+from .ranks import attach, quantiles, running_totals
 from .series import KEYS, ordered
 
 CLASSES = ["CR", "PR", "SD", "PD"]
@@ -44,7 +45,7 @@ def majority_label(df: DataFrame, key: str, label: str) -> DataFrame:
 
 def filter_small_clusters(df: DataFrame, cluster: str, least: int) -> DataFrame:
     big = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-    return df.join(F.broadcast(big.select(cluster)), cluster, "left_semi")
+    return df.join(big.select(cluster), cluster, "left_semi")
 
 
 def cochran_sample_size(n: Column, z: float = 1.65, e: float = 0.1, p: float = 0.5) -> Column:
@@ -143,10 +144,10 @@ def class_rank(df: DataFrame, label: str, key: list[str], seed: int, buckets: in
     inside (class, range of the draw) and the rows of earlier ranges, so no class is ever sorted by one task."""
     rows = df.withColumn("_d", draw(seed, *[F.col(k) for k in key])).withColumn("_b", F.floor(F.col("_d") / F.lit(float(2**32 / buckets))).cast("int"))
     n = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    # At most classes * buckets rows.
+    # At most classes * buckets rows; adaptive execution broadcasts them if they are small.
     ahead = n.withColumns({"_before": F.coalesce(F.sum("_n").over(Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_size": F.sum("_n").over(Window.partitionBy(label))})
     inside = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_d", *key))
-    both = rows.withColumn("_i", inside).join(F.broadcast(ahead.drop("_n")), [label, "_b"])
+    both = rows.withColumn("_i", inside).join(ahead.drop("_n"), [label, "_b"])
     return both.withColumn("_rank", F.col("_i") + F.col("_before")).drop("_i", "_before", "_b", "_d")
 
 
@@ -229,26 +230,64 @@ def classification_metrics(df: DataFrame, by: list[str]) -> DataFrame:
     return per.groupBy(*by).agg((F.sum("hit") / F.sum("support")).alias("accuracy"), F.avg(F.when(there, F.col("r"))).alias("balanced_accuracy"), weighted("f").alias("f1"), weighted("p").alias("precision"), weighted("r").alias("recall"))
 
 
-def regression_metrics(df: DataFrame, by: list[str], target: str = "target", prediction: str = "prediction") -> DataFrame:
-    """R2, median and mean absolute error, RMSE, explained variance, and R2 of zeros against the predictions."""
-    y, p = F.col(target), F.col(prediction)
-    e = y - p
-    s = df.groupBy(*by).agg(F.sum(e * e).alias("sse"), (F.var_pop(y) * F.count(y)).alias("sst"), F.var_pop(e).alias("ve"), F.var_pop(y).alias("vy"), F.percentile(F.abs(e), F.lit(0.5)).alias("median_ae"), F.avg(F.abs(e)).alias("mean_ae"), F.avg(e * e).alias("mse"), F.sum(p * p).alias("pp"))
+def classification_report(df: DataFrame, by: list[str], positive: int = 1) -> DataFrame:
+    """classification_metrics with the AUC of the confidence for the positive class in the same table."""
+    return attach(classification_metrics(df, by), roc_auc(df, by, F.col("target") == positive), by)
+
+
+def regression_metrics(df: DataFrame, by: list[str], target: str = "target", prediction: str = "prediction", decoded: tuple[str, str] | None = None) -> DataFrame:
+    """R2, median and mean absolute error, RMSE, explained variance, and R2 of zeros against the predictions. With `decoded`, the
+    names of the decoded target and prediction, the errors are theirs, R2 and explained variance of the encoded values come
+    beside them (r2_encoded, explained_variance_encoded), and r2_decoded_zeros holds zeros against decoded predictions."""
     score = lambda a, b: F.when(b > 0, 1 - a / F.nullif(b, F.lit(0.0))).when(a == 0, 1.0).otherwise(0.0)
-    return s.select(*by, score(F.col("sse"), F.col("sst")).alias("r2"), "median_ae", "mean_ae", F.sqrt("mse").alias("rmse"), score(F.col("ve"), F.col("vy")).alias("explained_variance"), F.when(F.col("pp") == 0, 1.0).otherwise(0.0).alias("r2_zeros"))
+
+    def sums(y: Column, p: Column, tag: str) -> list[Column]:
+        e = y - p
+        return [F.sum(e * e).alias(f"sse{tag}"), (F.var_pop(y) * F.count(y)).alias(f"sst{tag}"), F.var_pop(e).alias(f"ve{tag}"), F.var_pop(y).alias(f"vy{tag}"), F.sum(p * p).alias(f"pp{tag}")]
+
+    y, p = (F.col(c) for c in decoded or (target, prediction))
+    df = df.withColumn("_e", F.abs(y - p))
+    s = df.groupBy(*by).agg(*sums(y, p, ""), F.avg("_e").alias("mean_ae"), F.avg(F.col("_e") * F.col("_e")).alias("mse"), *(sums(F.col(target), F.col(prediction), "_encoded") if decoded else []))
+    s = attach(s, quantiles(df, by, "_e", [0.5]), by, "left").withColumn("median_ae", F.get("q", F.lit(0)))
+    zeros = lambda tag: F.when(F.col(f"pp{tag}") == 0, 1.0).otherwise(0.0)
+    out = {"r2": score(F.col("sse"), F.col("sst")), "median_ae": F.col("median_ae"), "mean_ae": F.col("mean_ae"), "rmse": F.sqrt("mse"), "explained_variance": score(F.col("ve"), F.col("vy")), "r2_zeros": zeros("_encoded" if decoded else "")}
+    if decoded:
+        out |= {"r2_encoded": score(F.col("sse_encoded"), F.col("sst_encoded")), "explained_variance_encoded": score(F.col("ve_encoded"), F.col("vy_encoded")), "r2_decoded_zeros": zeros("")}
+    return s.select(*by, *[c.alias(k) for k, c in out.items()])
 
 
 def fold_summary(df: DataFrame, by: list[str], metric: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("std"))
 
 
+def fold_table(df: DataFrame, by: list[str], metrics: list[str], folds: list[int], fold: str = "fold") -> DataFrame:
+    """A row a group, as model and configuration: each metric's mean and population deviation over the folds, and its value in each fold."""
+    each = lambda m: [F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"), *[F.max(F.when(F.col(fold) == f, F.col(m))).alias(f"{m}_fold_{f}") for f in folds]]
+    return df.groupBy(*by).agg(*[x for m in metrics for x in each(m)])
+
+
+def all_pairs(df: DataFrame, by: list[str], side: str, keys: list[str]) -> DataFrame:
+    """Aligned predictions of every two values of `side`, as models of a configuration or configurations of a model: (by, pair,
+    keys, target, confidence_a, confidence_b), where a comes before b. A prediction meets the others of its own key, as many
+    as there are values of side."""
+    one = lambda x: df.select(*by, *keys, "target", F.col(side).alias(f"_{x}"), F.col("prediction").alias(f"prediction_{x}"), F.col("confidence").alias(f"confidence_{x}"))
+    both = one("a").join(one("b").drop("target"), [*by, *keys]).where(F.col("_a") < F.col("_b"))
+    return both.withColumn("pair", F.concat_ws(" / ", F.col("_a").cast("string"), F.col("_b").cast("string"))).drop("_a", "_b")
+
+
+def metric_pairs(df: DataFrame, by: list[str], side: str, fold: str, metric: str) -> DataFrame:
+    """Every two values of `side` by fold: (by, pair, fold, a, b), for wilcoxon_folds."""
+    one = lambda x: df.select(*by, fold, F.col(side).alias(f"_{x}"), F.col(metric).alias(x))
+    both = one("a").join(one("b"), [*by, fold]).where(F.col("_a") < F.col("_b"))
+    return both.select(*by, F.concat_ws(" / ", F.col("_a").cast("string"), F.col("_b").cast("string")).alias("pair"), fold, "a", "b")
+
+
 def roc_curve(df: DataFrame, by: list[str], positive: Column, score: str = "confidence") -> DataFrame:
-    """False and true positive rate at each distinct score. Counts by score come first, so ties and sizes shrink before
-    the running sums, which go over one configuration's distinct scores."""
+    """False and true positive rate at each distinct score, from counts by score and two-level running totals."""
     n = df.groupBy(*by, score).agg(F.count(F.when(positive, 1)).alias("p"), F.count(F.when(~positive, 1)).alias("q"))
-    w = Window.partitionBy(*by).orderBy(F.desc(score))
-    run, every = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    return n.select(*by, F.col(score).alias("threshold"), ratio(F.sum("q").over(run), F.sum("q").over(every)).alias("fpr"), ratio(F.sum("p").over(run), F.sum("p").over(every)).alias("tpr"))
+    n = running_totals(n, by, score, ["p", "q"])
+    rate = lambda c: ratio(F.col(f"all_{c}") - F.col(f"before_{c}"), F.col(f"all_{c}"))
+    return n.select(*by, F.col(score).alias("threshold"), rate("q").alias("fpr"), rate("p").alias("tpr"))
 
 
 def auc_of_counts(n: DataFrame, by: list[str], score: str, p: str = "p", q: str = "q") -> DataFrame:
@@ -259,9 +298,10 @@ def auc_of_counts(n: DataFrame, by: list[str], score: str, p: str = "p", q: str
 
 
 def roc_auc(df: DataFrame, by: list[str], positive: Column, score: str = "confidence") -> DataFrame:
-    """Rank AUC with half for ties; null where a class is missing."""
+    """Rank AUC with half for ties; null where a class is missing. Scores are ranked in two levels."""
     n = df.groupBy(*by, score).agg(F.count(F.when(positive, 1)).alias("p"), F.count(F.when(~positive, 1)).alias("q"))
-    return auc_of_counts(n, by, score)
+    n = running_totals(n, by, score, ["q"]).withColumn("_w", F.col("p") * (F.col("before_q") + F.col("q") / 2))
+    return n.groupBy(*by).agg((F.sum("_w") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -311,16 +351,17 @@ def signed_rank_p(n: int, statistic: float) -> float:
 
 def wilcoxon_folds(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Signed-rank statistic and p of the differences a - b over folds (at most 50 of them), zeros left out. Groups are folds of
-    one pair of configurations; p is exact without ties and by the normal approximation with them."""
+    one pair of configurations; p is exact without ties and by the normal approximation, corrected for them, with ties."""
     w = Window.partitionBy(*by).orderBy("_m")
     d = df.withColumn("_d", F.round(F.col(a) - F.col(b), 12)).where("_d <> 0").withColumn("_m", F.abs("_d"))
     d = d.withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*by, "_m"))).withColumn("_r", F.rank().over(w) + (F.col("_t") - 1) / 2)
-    s = d.groupBy(*by).agg(F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("down"), F.count(F.lit(1)).alias("n"), F.max("_t").alias("ties"))
+    s = d.groupBy(*by).agg(F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("down"), F.count(F.lit(1)).alias("n"), F.sum(F.col("_t") * F.col("_t") - 1).alias("ties"))
 
     def one(n: int, stat: float, ties: int) -> float:
-        if ties == 1 and n <= 50:
+        # ties: the sum of t^3 - t over groups of t equal differences.
+        if ties == 0 and n <= 50:
             return signed_rank_p(n, stat)
-        z = (stat - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24)
+        z = (stat - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
         return erfc(abs(z) / sqrt(2))
 
     @F.pandas_udf("double")
@@ -365,7 +406,7 @@ def davies_bouldin(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     mean = each.groupBy("c", "j").agg(F.avg(F.col("v").cast("double")).alias("m"))
     centre = mean.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "m"))), lambda x: x["m"]).alias("centre"))
     far = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    spread = df.select(F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("v")).join(F.broadcast(centre), "c").groupBy("c").agg(F.avg(far(F.col("v"), F.col("centre"))).alias("s"))
+    spread = df.select(F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("v")).join(centre, "c").groupBy("c").agg(F.avg(far(F.col("v"), F.col("centre"))).alias("s"))
     both = centre.join(spread, "c")
     a, b = both.select(F.col("c").alias("ca"), F.col("centre").alias("ma"), F.col("s").alias("sa")), both.select(F.col("c").alias("cb"), F.col("centre").alias("mb"), F.col("s").alias("sb"))
     worst = a.crossJoin(b).where("ca <> cb").groupBy("ca").agg(F.max((F.col("sa") + F.col("sb")) / far(F.col("ma"), F.col("mb"))).alias("w"))

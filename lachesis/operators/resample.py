@@ -1,7 +1,7 @@
 """As-of joins of series with a grid of dates, and resampling onto it.
 
-A series meets only its own grid (an equi-join on its key), and both are short. Grid points are built from each
-series' first timestamp by exact microsecond arithmetic, so fractional steps are exact to the microsecond.
+A series and its grid are sorted together and never joined, so as-of lookups are linear in both. Grid points are built from
+each series' first timestamp by exact microsecond arithmetic, so fractional steps are exact to the microsecond.
 """
 
 from __future__ import annotations
@@ -31,35 +31,54 @@ def long_enough(df: DataFrame, timeframe: float, timepoints: int, keys: list[str
     return df.where(F.col("_span") >= timeframe - 0.5 * timeframe / timepoints).drop("_span")
 
 
+def neighbours(points: DataFrame, at: str, series: DataFrame, keep: list[str], tie: str, keys: list[str]) -> DataFrame:
+    """points with `before`, a struct of ts, tie and the columns `keep` of the series' last row before the instant `at`, and
+    `after`, that of its first row at or after it. Points and rows are sorted together, once each way, so the work is in proportion
+    to both."""
+    instant = points.schema[at].dataType
+    row = F.struct("ts", F.col(tie).alias("tie"), *[c for c in keep if c not in ("ts", "tie")])
+    p = points.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_row"), F.struct(*points.columns).alias("_p"))
+    s = series.select(*keys, F.col("ts").cast(instant).alias("_at"), F.lit(1).alias("_row"), F.col(tie).alias("_tie"), row.alias("_s"))
+    both = p.unionByName(s, allowMissingColumns=True)
+    w = Window.partitionBy(*keys)
+    seen = lambda *order: F.last("_s", ignorenulls=True).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    # At one instant, points come before rows on the way up (rows before it only) and after them on the way down.
+    both = both.withColumns({"before": seen("_at", "_row", "_tie"), "after": seen(F.desc("_at"), F.desc("_row"), F.desc("_tie"))})
+    return both.where("_row = 0").select("_p.*", "before", "after")
+
+
 def asof_nearest(series: DataFrame, grid: DataFrame, keep: list[str], nonzero: bool = False, tie: str = "t", keys: list[str] = KEYS) -> DataFrame:
     """For each grid row, the columns `keep` of the observation with the smallest |days| to it; ties go to the earlier
-    one. With nonzero, zero volumes are passed over; a grid row without a match keeps nulls."""
+    one. With nonzero, zero volumes are passed over; a grid row without a match keeps nulls.
+
+    Days are whole: of the observations before a date, the earliest one of the day of the last one counts, which a second look
+    finds, at the start of that day."""
     rows = series.where(F.col("volume") != 0) if nonzero else series
-    order = F.struct(F.abs(days_between(F.col("ts"), F.col("target_ts"))).alias("d"), F.col("ts"), F.col(tie))
-    value = F.struct(*keep)
-    both = grid.join(rows.select(*keys, *dict.fromkeys(["ts", tie, *keep])), keys, "left")
-    best = both.groupBy(*keys, "i", "target_ts").agg(F.min_by(value, F.when(F.col("ts").isNotNull(), order)).alias("m"))
-    return best.select(*keys, "i", "target_ts", *[F.col(f"m.{c}").alias(c) for c in keep])
+    points = grid.select(*keys, "i", "target_ts")
+    first = neighbours(points, "target_ts", rows, keep, tie, keys)
+    back = days_between(F.col("before.ts"), F.col("target_ts"))
+    first = first.withColumns({"_day": F.timestamp_add("MICROSECOND", back.cast("long") * DAY_US, F.col("target_ts")), "_after": F.col("after")}).drop("before", "after")
+    both = neighbours(first, "_day", rows, keep, tie, keys)
+    before, after = F.when(F.col("_day").isNotNull(), F.col("after")), F.col("_after")
+    away = lambda x: F.abs(days_between(x["ts"], F.col("target_ts")))
+    best = F.when(before.isNull() | (away(after) < away(before)), after).otherwise(before)
+    return both.withColumn("_best", best).select(*keys, "i", "target_ts", *[F.col("_best.tie" if c == "tie" else f"_best.{c}").alias(c) for c in keep])
 
 
 def asof_bilateral(series: DataFrame, grid: DataFrame, tie: str = "t", keys: list[str] = KEYS) -> DataFrame:
-    """For each grid row, days and volumes (d1, v1, d2, v2) of the last observation before it and of the first at or
+    """For each grid row of a series, days and volumes (d1, v1, d2, v2) of the last observation before it and of the first at or
     after it; where none is after it, of the last two observations."""
-    both = grid.join(series.select(*keys, "ts", tie, "volume"), keys)
-    d = days_between(F.col("ts"), F.col("target_ts"))
-    both = both.withColumn("d", d)
-    order = F.struct("ts", tie)
-    value = F.struct("d", "volume")
-    agg = both.groupBy(*keys, "i", "target_ts").agg(
-        F.max_by(value, F.when(F.col("d") < 0, order)).alias("before"), F.min_by(value, F.when(F.col("d") >= 0, order)).alias("after"),
-        F.slice(F.sort_array(F.collect_list(F.struct("ts", tie, "d", "volume")), asc=False), 1, 2).alias("last"),
-    )
-    two = F.col("after").isNull() & (F.size("last") == 2)
+    w = Window.partitionBy(*keys).orderBy("ts", tie)
+    rows = series.select(*keys, "ts", tie, "volume", F.lag(F.struct("ts", "volume")).over(w).alias("earlier"))
+    both = neighbours(grid.select(*keys, "i", "target_ts"), "target_ts", rows, ["volume", "earlier"], tie, keys)
+    both = both.where("before is not null or after is not null")
+    two = F.col("after").isNull() & F.col("before.earlier").isNotNull()
+    d = lambda ts: days_between(ts, F.col("target_ts"))
     pick = lambda a, b: F.when(two, b).otherwise(a)
-    return agg.select(
+    return both.select(
         *keys, "i", "target_ts",
-        pick(F.col("before.d"), F.get("last", F.lit(1))["d"]).alias("d1"), pick(F.col("before.volume"), F.get("last", F.lit(1))["volume"]).alias("v1"),
-        pick(F.col("after.d"), F.get("last", F.lit(0))["d"]).alias("d2"), pick(F.col("after.volume"), F.get("last", F.lit(0))["volume"]).alias("v2"),
+        pick(d(F.col("before.ts")), d(F.col("before.earlier.ts"))).alias("d1"), pick(F.col("before.volume"), F.col("before.earlier.volume")).alias("v1"),
+        pick(d(F.col("after.ts")), d(F.col("before.ts"))).alias("d2"), pick(F.col("after.volume"), F.col("before.volume")).alias("v2"),
     )
 
 

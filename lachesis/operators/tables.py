@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import to_numeric
+from .ranks import quantiles
 
 #: Distinct values beyond which a column is no category.
 MAX_CATEGORIES = 10_000
@@ -61,6 +62,8 @@ def encode_ordinal(df: DataFrame, column: str, out: str | None = None) -> DataFr
     distinct values and joined back."""
     good = F.col(column).isNotNull() & ~F.col(column).cast("string").isin("", "0")
     values = df.where(good).select(column).distinct()
+    if values.limit(MAX_CATEGORIES + 1).count() > MAX_CATEGORIES:
+        raise ValueError(f"{column} has more than {MAX_CATEGORIES} values")
     codes = values.select(column, F.dense_rank().over(Window.orderBy(column)).cast("int").alias("_code"))
     return df.join(codes, column, "left").withColumn(out or column, F.col("_code")).drop("_code")
 
@@ -82,9 +85,9 @@ def clean_clinical(df: DataFrame, terms: dict[str, dict[str, str]], age: str | N
 
 def quantile_subsets(df: DataFrame, column: str) -> DataFrame:
     """Adds subset 1 to 4 by the exact quartiles of the column, each quartile with its upper end."""
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = quantiles(df, [], column, [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q")
     rank = F.when(F.col(column) <= F.get("_q", F.lit(0)), 1).when(F.col(column) <= F.get("_q", F.lit(1)), 2).when(F.col(column) <= F.get("_q", F.lit(2)), 3).when(F.col(column).isNotNull(), 4)
-    return df.crossJoin(F.broadcast(q)).withColumn("subset", rank).drop("_q")
+    return df.join(F.broadcast(q), F.lit(True), "left").withColumn("subset", rank).drop("_q")
 
 
 def size_histogram(df: DataFrame, size: str, clip: int) -> DataFrame:
@@ -163,14 +166,16 @@ def apply_standardization(df: DataFrame, stats: DataFrame, columns: list[str], f
 
 def normalize_volume(train: DataFrame, test: DataFrame, chain: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Both tables with their volumes through the chain (std, max, log, frac, 3root, joined by ->), fitted on train; `decoder`
-    holds each row's steps as (op, a, b), for denormalize_volume."""
+    holds each row's steps as (op, a, b), for denormalize_volume. Fitted values are one-row tables; without training values
+they are null, and so is what they scale."""
     step_type = "struct<op:string,a:double,b:double>"
     out = [df.withColumn("decoder", F.array().cast(f"array<{step_type}>")) for df in (train, test)]
     for op in chain.split("->"):
         if op in ("std", "max"):
             pooled = out[0].select(F.explode(F.array(*columns)).alias("v"))
-            a, b = pooled.agg(F.stddev_pop("v"), F.avg("v")).first() if op == "std" else (pooled.agg(F.max("v")).first()[0], 0.0)
-            scale, shift = [F.lit(float(a))] * 2, F.lit(float(b))
+            fitted = pooled.agg(*([F.stddev_pop("v").alias("_scale"), F.avg("v").alias("_shift")] if op == "std" else [F.max("v").alias("_scale"), F.lit(0.0).alias("_shift")]))
+            out = [df.crossJoin(F.broadcast(fitted)) for df in out]  # one row
+            scale, shift = [F.col("_scale")] * 2, F.col("_shift")
         elif op == "frac":
             scale, shift = [F.col(columns[0])] * 2, F.lit(0.0)
         elif op in ("log", "3root"):
@@ -181,7 +186,7 @@ def normalize_volume(train: DataFrame, test: DataFrame, chain: str, columns: lis
             coded = out[i].withColumn("decoder", F.array_append("decoder", F.struct(F.lit(op).alias("op"), scale[i].alias("a"), shift.alias("b")).cast(step_type)))
             f = {"log": F.log1p, "3root": lambda c: F.signum(c) * F.cbrt(F.abs(c))}.get(op)
             first = F.get("decoder", F.size("decoder") - 1)
-            out[i] = coded.withColumns({c: f(F.col(c)) if f else (F.col(c) - first["b"]) / F.nullif(first["a"], F.lit(0.0)) for c in columns})
+            out[i] = coded.withColumns({c: f(F.col(c)) if f else (F.col(c) - first["b"]) / F.nullif(first["a"], F.lit(0.0)) for c in columns}).drop("_scale", "_shift")
     return out[0], out[1]
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster as L
 from ..operators import evaluate as E
+from ..operators import summaries as U
 from ..operators import tables as T
 from . import adapters as A
 from .adapters import DRAW, STEPS, W, ctes
@@ -76,9 +77,7 @@ def _(spark, d):
 
 @query("cluster_members", CLUSTERED + "SELECT cluster, round(avg(volume), 6) AS init_mean, round(stddev_pop(volume), 6) AS init_std, string_agg(patient_id || ':' || lesion_id, ',' ORDER BY patient_id || ':' || lesion_id) AS members FROM c WHERE t = 0 GROUP BY cluster")
 def _(spark, d):
-    c = clustered(spark, d).where("t = 0")
-    ids = F.sort_array(F.collect_list(F.concat_ws(":", F.col("patient_id").cast("string"), "lesion_id")))
-    return c.groupBy("cluster").agg(F.round(F.avg("volume"), 6).alias("init_mean"), F.round(F.stddev_pop("volume"), 6).alias("init_std"), F.array_join(ids, ",").alias("members"))
+    return U.cluster_members(clustered(spark, d).where("t = 0"), "cluster", K, "volume").select("cluster", *r6("init_mean", "init_std"), "members")
 
 
 @query("cluster_outcomes", CLUSTERED + "SELECT cluster, row_number() OVER (ORDER BY avg(value), cluster)::INTEGER AS rank, round(avg(value) * 100, 6) AS mean_percent, " + ", ".join(f"count(*) FILTER (rano = '{x}') AS n_{x}" for x in E.CLASSES) + f" FROM c WHERE t = {STEPS} GROUP BY cluster")
@@ -94,7 +93,12 @@ def _(spark, d):
     return E.persistence_probabilities(A.grid(spark, d)).select("held_class", "t", "class", "n", *r6("probability"))
 
 
-@query("recurrence_probabilities")
+@query("recurrence_probabilities", ctes("grid").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + """,
+s AS (SELECT patient_id, lesion_id, rano, row_number() OVER (PARTITION BY patient_id, lesion_id ORDER BY t) AS i FROM grid WHERE t > 0 AND rano IS NOT NULL),
+f AS (SELECT patient_id, lesion_id, i, rano AS held_class, 1 AS k, rano AS class, 1 AS after FROM s WHERE i = 1
+UNION ALL SELECT s.patient_id, s.lesion_id, s.i, CASE WHEN after = 0 THEN s.rano ELSE held_class END, CASE WHEN after = 0 THEN 1 ELSE k + 1 END, s.rano, CASE WHEN after = 0 OR s.rano = held_class THEN 1 ELSE 0 END FROM f JOIN s ON s.patient_id = f.patient_id AND s.lesion_id = f.lesion_id AND s.i = f.i + 1),
+n AS (SELECT held_class, k, class, count(*) AS n FROM f GROUP BY ALL)
+SELECT held_class, k, class, n, round(n / sum(n) OVER (PARTITION BY held_class, k), 6) AS probability FROM n""")
 def _(spark, d):
     return E.recurrence_probabilities(A.grid(spark, d)).select("held_class", "k", "class", "n", *r6("probability"))
 
@@ -129,9 +133,9 @@ def _(spark, d):
 
 # ---- predictions
 
-@query("threshold_predictions", "SELECT vec_id, round(1 / (1 + exp(-embedding[1]::DOUBLE)), 6) AS confidence, (1 / (1 + exp(-embedding[1]::DOUBLE)) >= 0.5)::INTEGER AS prediction, list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS class FROM embeddings")
+@query("threshold_predictions", "SELECT vec_id, round(1 / (1 + exp(-embedding[1]::DOUBLE)), 6) AS confidence, (1 / (1 + exp(-embedding[1]::DOUBLE)) >= 0.5)::INTEGER AS prediction, list_position(embedding, list_max(embedding)) - 1 AS class FROM embeddings")
 def _(spark, d):
-    e = A.read(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("s"), F.slice("embedding", 1, 4).alias("v"))
+    e = A.read(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("s"), F.col("embedding").alias("v"))
     one = E.threshold_predictions(e, score="s").withColumnsRenamed({"confidence": "c1", "prediction": "p1"})
     return E.threshold_predictions(one, scores="v").select("vec_id", F.round("c1", 6).alias("confidence"), F.col("p1").alias("prediction"), F.col("prediction").alias("class"))
 
@@ -164,14 +168,32 @@ def _(spark, d):
     return E.confusion_matrix(A.predictions(spark, d), ["model"], [0, 1]).select("model", "target", "p_0", "p_1", *r6("share_0", "share_1"))
 
 
-REGRESSION = """SELECT l_returnflag, round(CASE WHEN var_pop(y) > 0 THEN 1 - sum((y - p) ** 2) / (var_pop(y) * count(y)) WHEN sum((y - p) ** 2) = 0 THEN 1 ELSE 0 END, 6) AS r2, round(quantile_cont(abs(y - p), 0.5), 6) AS median_ae, round(avg(abs(y - p)), 6) AS mean_ae, round(sqrt(avg((y - p) ** 2)), 6) AS rmse,
-round(CASE WHEN var_pop(y) > 0 THEN 1 - var_pop(y - p) / var_pop(y) WHEN var_pop(y - p) = 0 THEN 1 ELSE 0 END, 6) AS explained_variance, CASE WHEN sum(p * p) = 0 THEN 1.0 ELSE 0.0 END AS r2_zeros FROM (SELECT l_returnflag, l_extendedprice AS y, l_quantity * 2900 AS p FROM lineitem) GROUP BY 1"""
+def _regression(y: str, p: str, tag: str) -> str:
+    return f"""CASE WHEN var_pop({y}) > 0 THEN 1 - sum(({y} - {p}) ** 2) / (var_pop({y}) * count({y})) WHEN sum(({y} - {p}) ** 2) = 0 THEN 1 ELSE 0 END AS r2{tag}, CASE WHEN var_pop({y}) > 0 THEN 1 - var_pop({y} - {p}) / var_pop({y}) WHEN var_pop({y} - {p}) = 0 THEN 1 ELSE 0 END AS ev{tag}, CASE WHEN sum({p} * {p}) = 0 THEN 1.0 ELSE 0.0 END AS zeros{tag}, quantile_cont(abs({y} - {p}), 0.5) AS median{tag}, avg(abs({y} - {p})) AS mean{tag}, sqrt(avg(({y} - {p}) ** 2)) AS rmse{tag}"""
 
 
-@query("regression_metrics", REGRESSION)
+REGRESSION = f"""WITH v AS (SELECT l_returnflag, l_extendedprice AS y, l_quantity * 2900 AS p, ln(1 + l_extendedprice) AS ye, ln(1 + l_quantity * 2900) AS pe FROM lineitem),
+s AS (SELECT l_returnflag, {_regression("y", "p", "")}, {_regression("ye", "pe", "_e")} FROM v GROUP BY 1)
+"""
+ERRORS = "l_returnflag, round(r2{t}, 6) AS r2, round(median{t}, 6) AS median_ae, round(mean{t}, 6) AS mean_ae, round(rmse{t}, 6) AS rmse, round(ev{t}, 6) AS explained_variance"
+
+
+def regression_rows(spark, d):
+    """Prices against a line in the quantity, and the same as logarithms."""
+    v = A.read(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 2900).alias("p"))
+    return v.withColumns({"target": F.log1p("y"), "prediction": F.log1p("p")})
+
+
+@query("regression_metrics", REGRESSION + "SELECT " + ERRORS.format(t="") + ", zeros AS r2_zeros FROM s")
 def _(spark, d):
-    v = A.read(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").alias("target"), (F.col("l_quantity") * 2900).alias("prediction"))
-    return E.regression_metrics(v, ["l_returnflag"]).select("l_returnflag", *r6("r2", "median_ae", "mean_ae", "rmse", "explained_variance"), "r2_zeros")
+    return E.regression_metrics(regression_rows(spark, d), ["l_returnflag"], "y", "p").select("l_returnflag", *r6("r2", "median_ae", "mean_ae", "rmse", "explained_variance"), "r2_zeros")
+
+
+@query("regression_metrics_decoded", REGRESSION + "SELECT " + ERRORS.format(t="") + ", zeros_e AS r2_zeros, round(r2_e, 6) AS r2_encoded, round(ev_e, 6) AS explained_variance_encoded, zeros AS r2_decoded_zeros FROM s")
+def _(spark, d):
+    """Errors of decoded values, beside the scores of the encoded ones."""
+    m = E.regression_metrics(regression_rows(spark, d), ["l_returnflag"], decoded=("y", "p"))
+    return m.select("l_returnflag", *r6("r2", "median_ae", "mean_ae", "rmse", "explained_variance"), "r2_zeros", *r6("r2_encoded", "explained_variance_encoded"), "r2_decoded_zeros")
 
 
 AUC = "SELECT {by}, sum(p * (below + q / 2.0)) / nullif(sum(p) * sum(q), 0) AS auc FROM (SELECT *, coalesce(sum(q) OVER (PARTITION BY {by} ORDER BY {score} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM {n}) GROUP BY {by}"
@@ -187,11 +209,11 @@ def _(spark, d):
     return E.roc_curve(A.predictions(spark, d), ["model"], F.col("target") == 1).select("model", *r6("threshold", "fpr", "tpr"))
 
 
-@query("roc_curve_multiclass", "WITH s AS (SELECT label AS target, c::INTEGER AS class, round(embedding[c + 1]::DOUBLE, 2) AS score FROM embeddings, generate_series(0, 3) g(c)), n AS (SELECT class, score, count(*) FILTER (target = class) AS p, count(*) FILTER (target <> class) AS q FROM s GROUP BY ALL)\nSELECT class, score AS threshold, round(CASE WHEN sum(q) OVER (PARTITION BY class) = 0 THEN 0 ELSE sum(q) OVER w / sum(q) OVER (PARTITION BY class) END, 6) AS fpr, round(CASE WHEN sum(p) OVER (PARTITION BY class) = 0 THEN 0 ELSE sum(p) OVER w / sum(p) OVER (PARTITION BY class) END, 6) AS tpr FROM n WINDOW w AS (PARTITION BY class ORDER BY score DESC ROWS UNBOUNDED PRECEDING)")
+@query("roc_curve_multiclass", "WITH s AS (SELECT label AS target, c::INTEGER AS class, round(embedding[c + 1]::DOUBLE, 2) + 0.0 AS score FROM embeddings, generate_series(0, 63) g(c)), n AS (SELECT class, score, count(*) FILTER (target = class) AS p, count(*) FILTER (target <> class) AS q FROM s GROUP BY ALL)\nSELECT class, score AS threshold, round(CASE WHEN sum(q) OVER (PARTITION BY class) = 0 THEN 0 ELSE sum(q) OVER w / sum(q) OVER (PARTITION BY class) END, 6) AS fpr, round(CASE WHEN sum(p) OVER (PARTITION BY class) = 0 THEN 0 ELSE sum(p) OVER w / sum(p) OVER (PARTITION BY class) END, 6) AS tpr FROM n WINDOW w AS (PARTITION BY class ORDER BY score DESC ROWS UNBOUNDED PRECEDING)")
 def _(spark, d):
-    """One class against the rest, for the first four elements as scores."""
-    e = A.read(spark, d, "embeddings").select(F.col("label").alias("target"), F.posexplode(F.slice("embedding", 1, 4)).alias("class", "s"))
-    e = e.select("target", "class", F.round(F.col("s").cast("double"), 2).alias("score"))
+    """One class against the rest, for each element as its score."""
+    e = A.read(spark, d, "embeddings").select(F.col("label").alias("target"), F.posexplode("embedding").alias("class", "s"))
+    e = e.select("target", "class", (F.round(F.col("s").cast("double"), 2) + 0.0).alias("score"))
     return E.roc_curve(e, ["class"], F.col("target") == F.col("class"), "score").select("class", "threshold", *r6("fpr", "tpr"))
 
 
@@ -201,6 +223,21 @@ def _(spark, d):
     return E.fold_summary(a, ["model"], "m").select("model", *r6("mean", "std"))
 
 
+CLASSED = ctes("predictions").rstrip() + """,
+c AS (SELECT DISTINCT model, fold, target AS c FROM predictions UNION SELECT DISTINCT model, fold, prediction FROM predictions),
+s AS (SELECT c.model, c.fold, c, count(*) FILTER (target = c) AS support, count(*) FILTER (prediction = c) AS named, count(*) FILTER (target = c AND prediction = c) AS hit FROM c JOIN predictions p ON p.model = c.model AND p.fold = c.fold GROUP BY ALL),
+m AS (SELECT model, fold, sum(hit) / sum(support) AS accuracy FROM s GROUP BY ALL),
+u AS (SELECT model, fold, (sum(r) FILTER (target = 1) - count(*) FILTER (target = 1) * (count(*) FILTER (target = 1) + 1) / 2.0) / (count(*) FILTER (target = 0) * count(*) FILTER (target = 1)) AS auc FROM (SELECT *, rank() OVER (PARTITION BY model, fold ORDER BY confidence) + (count(*) OVER (PARTITION BY model, fold, confidence) - 1) / 2.0 AS r FROM predictions) GROUP BY ALL)
+"""
+
+
+@query("fold_table", CLASSED + "SELECT model, 't0' AS config, round(avg(accuracy), 6) AS accuracy_mean, round(stddev_pop(accuracy), 6) AS accuracy_std, round(avg(auc), 6) AS auc_mean, round(stddev_pop(auc), 6) AS auc_std, " + ", ".join(f"round(max(CASE WHEN fold = {f} THEN {m} END), 6) AS {m}_fold_{f}" for m in ("accuracy", "auc") for f in range(5)) + " FROM m JOIN u USING (model, fold) GROUP BY model")
+def _(spark, d):
+    """Accuracy and AUC of each model and configuration, over the folds and in each."""
+    t = E.fold_table(E.classification_report(A.predictions(spark, d), ["model", "config", "fold"]), ["model", "config"], ["accuracy", "auc"], list(range(5)))
+    return t.select("model", "config", *r6(*[c for c in t.columns if c not in ("model", "config")]))
+
+
 @query("bootstrap_auc_ci", ctes("predictions").rstrip() + f""",
 p AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY model) AS c FROM predictions),
 d AS (SELECT model, rep, {DRAW('0', 'rep', 'j')} % c AS i FROM (SELECT DISTINCT model, c FROM p), generate_series(0, {REPLICATES - 1}) r(rep), LATERAL (SELECT unnest(generate_series(0, c - 1)) AS j)),
@@ -218,18 +255,17 @@ e AS (SELECT rep, 'a' AS side, target, CASE WHEN swap THEN cb ELSE ca END AS sco
 n AS (SELECT rep, side, score, count(*) FILTER (target = 1) AS p, count(*) FILTER (target <> 1) AS q FROM e GROUP BY ALL),
 a AS ({AUC.format(by='rep, side', score='score', n='n')}),
 f AS (SELECT rep, max(auc) FILTER (side = 'a') - max(auc) FILTER (side = 'b') AS d FROM a GROUP BY rep)
-SELECT round(o.d, 6) AS difference, round(avg((abs(f.d) >= abs(o.d) - 1e-12)::INTEGER), 6) AS p_value FROM f, (SELECT d FROM f WHERE rep = -1) o WHERE f.rep >= 0 GROUP BY o.d""")
+SELECT 't0' AS config, 'a / b' AS pair, round(o.d, 6) AS difference, round(avg((abs(f.d) >= abs(o.d) - 1e-12)::INTEGER), 6) AS p_value FROM f, (SELECT d FROM f WHERE rep = -1) o WHERE f.rep >= 0 GROUP BY o.d""")
 def _(spark, d):
-    a, b = sides(spark, d)
-    return E.permutation_test_auc(E.align_predictions(a, b, ["fold", "id"]), [], ["id"], REPLICATES).select(*r6("difference", "p_value"))
+    pairs = E.all_pairs(A.predictions(spark, d), ["config"], "model", ["fold", "id"])
+    return E.permutation_test_auc(pairs, ["config", "pair"], ["id"], REPLICATES).select("config", "pair", *r6("difference", "p_value"))
 
 
 @query("wilcoxon_folds")
 def _(spark, d):
-    """Fold AUCs of the two models, against each other."""
-    auc = E.roc_auc(A.predictions(spark, d), ["model", "fold"], F.col("target") == 1)
-    g = auc.groupBy("fold").agg(F.max(F.when(F.col("model") == "a", F.col("auc"))).alias("a"), F.max(F.when(F.col("model") == "b", F.col("auc"))).alias("b"))
-    return E.wilcoxon_folds(g.withColumn("pair", F.lit("a-b")), ["pair"], "a", "b")
+    """Fold AUCs of every two models of a configuration, against each other."""
+    auc = E.roc_auc(A.predictions(spark, d), ["model", "config", "fold"], F.col("target") == 1)
+    return E.wilcoxon_folds(E.metric_pairs(auc, ["config"], "model", "fold", "auc"), ["config", "pair"], "a", "b")
 
 
 @query("correlated_features", "WITH v AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_tax * 3 + 1 AS l_tax2 FROM lineitem), r AS (" + " UNION ALL ".join(f"SELECT '{b}' AS feature, abs(corr({a}, {b})) AS r FROM v" for i, b in enumerate([*NUMBERS, "l_tax2"]) for a in NUMBERS[:i]) + ") SELECT feature, round(max(r), 6) AS max_r FROM r WHERE r > 0.8 GROUP BY feature")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import resample as R
 from ..operators import series as S
+from ..operators import summaries as U
 from . import adapters as A
 from .adapters import CUTOFF, DAYS, MAX_GAP, MAX_PERIOD, MIN_SPAN, RESPONSE, STEPS, TARGET, TIMEFRAME, ctes
 
@@ -90,9 +91,9 @@ def _(spark, d):
 @query("validate_series_keys", ctes("series", "manifest") + "SELECT coalesce(s.patient_id, m.patient_id) AS patient_id, s.patient_id IS NULL AS missing_series, m.patient_id IS NULL AS missing_studies FROM (SELECT DISTINCT patient_id FROM series WHERE t >= 20) s FULL JOIN (SELECT DISTINCT split_part(split_part(path, '/', 1), '-', 2)::BIGINT AS patient_id FROM manifest WHERE path LIKE '%/rt') m USING (patient_id) WHERE s.patient_id IS NULL OR m.patient_id IS NULL")
 def _(spark, d):
     """Keys that only one of two tables has: patients with long series, and those with a treatment folder."""
-    s = A.series(spark, d).where("t >= 20").select("patient_id").distinct().withColumn("_s", F.lit(True))
-    m = A.manifest(spark, d).where(F.col("path").endswith("/rt")).select(F.split_part(F.split_part("path", F.lit("/"), F.lit(1)), F.lit("-"), F.lit(2)).cast("long").alias("patient_id")).distinct().withColumn("_m", F.lit(True))
-    return s.join(m, "patient_id", "full_outer").where("_s is null or _m is null").select("patient_id", F.col("_s").isNull().alias("missing_series"), F.col("_m").isNull().alias("missing_studies"))
+    s = A.series(spark, d).where("t >= 20")
+    m = A.manifest(spark, d).where(F.col("path").endswith("/rt")).select(F.split_part(F.split_part("path", F.lit("/"), F.lit(1)), F.lit("-"), F.lit(2)).cast("long").alias("patient_id"))
+    return U.key_mismatches(s, m)
 
 
 @query("tag_swings", ctes("swings") + "SELECT patient_id, lesion_id, t, is_swing FROM swings")
@@ -185,8 +186,7 @@ def _(spark, d):
 
 @query("onset_offset_study", "SELECT o_custkey AS patient_id, arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS onset, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS offset_ FROM orders GROUP BY o_custkey")
 def _(spark, d):
-    o = F.struct("ts", "o_orderkey")
-    return A.order_series(spark, d).groupBy("patient_id").agg(F.min_by("o_orderkey", o).alias("onset"), F.max_by("o_orderkey", o).alias("offset_"))
+    return U.onset_offset(A.order_series(spark, d), "patient_id", "o_orderkey", ["ts", "o_orderkey"])
 
 
 # ---- grids and as-of joins

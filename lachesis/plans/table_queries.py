@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import matching as M
+from ..operators import summaries as U
 from ..operators import tables as T
 from ..sources import io
 from . import adapters as A
@@ -150,7 +151,7 @@ def _(spark, d):
 
 
 @query("locate_region", ctes("voxels", "atlas").rstrip() + """,
-lesions AS (SELECT * FROM voxels WHERE obs <> 'N' OR y > 7),
+lesions AS (SELECT * FROM voxels),
 aim AS (SELECT * FROM atlas WHERE label > 0),
 n AS (SELECT patient_id, study, obs, label, count(*) AS n FROM lesions JOIN aim USING (x, y, z) GROUP BY ALL),
 hit AS (SELECT patient_id, study, obs, label AS region, true AS overlaps FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, study, obs ORDER BY n DESC, label) AS r FROM n) WHERE r = 1),
@@ -161,9 +162,7 @@ mean AS (SELECT patient_id, study, obs, label, avg(d) AS d FROM rest JOIN far US
 near AS (SELECT patient_id, study, obs, label AS region, false AS overlaps FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, study, obs ORDER BY d, label) AS r FROM mean) WHERE r = 1)
 SELECT * FROM hit UNION ALL SELECT * FROM near""")
 def _(spark, d):
-    """Voxels of obs N only where the atlas is empty, so that those lesions need the nearest region."""
-    v = A.voxels(spark, d).where("obs <> 'N' or y > 7")
-    return M.locate_region(v, A.atlas(spark), ["patient_id", "study", "obs"])
+    return M.locate_region(A.voxels(spark, d), A.atlas(spark), ["patient_id", "study", "obs"])
 
 
 @query("split_hemispheres", ctes("voxels").rstrip() + """,
@@ -198,20 +197,23 @@ def _(spark, d):
     return T.overlay_columns(A.read(spark, d, "orders"), b, "o_orderkey").select("o_orderkey", "o_totalprice", "o_orderstatus")
 
 
-def legacy(spark, d, value: str, odd: int):
-    g = A.grid(spark, d).where(F.col("patient_id") % 5 != odd).withColumn("id", F.concat_ws(":", F.col("patient_id").cast("string"), "lesion_id"))
-    return g.groupBy("id").agg(*[F.max(F.when(F.col("t") == t, F.col(value))).alias(str(60 * t)) for t in range(3)])
+LEGACY_DAYS = [60 * t for t in range(STEPS + 1)]
 
 
-@query("merge_legacy_tables", ctes("grid").rstrip() + ",\n" + ",\n".join(f"{n} AS (SELECT patient_id || ':' || lesion_id AS id, " + ", ".join(f"max(CASE WHEN t = {t} THEN {v} END) AS t{t}_{v}" for t in range(3)) + f" FROM grid WHERE patient_id % 5 <> {o} GROUP BY 1)" for n, v, o in (("v", "volume", 0), ("r", "rano", 1))) + "\nSELECT id, t0_volume, t1_volume, t2_volume, t0_rano, t1_rano, t2_rano, 0 AS t0_timedelta_days, 60 AS t1_timedelta_days, 120 AS t2_timedelta_days FROM v FULL JOIN r USING (id)")
+def legacy(spark, d, value: str):
+    g = A.grid(spark, d).withColumn("id", F.concat_ws(":", F.col("patient_id").cast("string"), "lesion_id"))
+    return g.groupBy("id").agg(*[F.max(F.when(F.col("t") == t, F.col(value))).alias(str(day)) for t, day in enumerate(LEGACY_DAYS)])
+
+
+@query("merge_legacy_tables", ctes("grid") + "SELECT patient_id || ':' || lesion_id AS id, " + ", ".join(f"max(CASE WHEN t = {t} THEN {v} END) AS t{t}_{v}" for v in ("volume", "rano") for t in range(STEPS + 1)) + ", " + ", ".join(f"{day} AS t{t}_timedelta_days" for t, day in enumerate(LEGACY_DAYS)) + " FROM grid GROUP BY patient_id, lesion_id")
 def _(spark, d):
-    return T.merge_legacy_tables(legacy(spark, d, "volume", 0), legacy(spark, d, "rano", 1), "id", [0, 60, 120])
+    return T.merge_legacy_tables(legacy(spark, d, "volume"), legacy(spark, d, "rano"), "id", LEGACY_DAYS)
 
 
 @query("lookup_mapping", "SELECT s_suppkey, n_name AS dataset, r_name AS uid FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def _(spark, d):
-    n = A.read(spark, d, "nation").join(A.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return A.read(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("dataset"), F.col("r_name").alias("uid"))
+    n = A.read(spark, d, "nation").join(A.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("dataset"), F.col("r_name").alias("uid"))
+    return U.lookup_mapping(A.read(spark, d, "supplier"), n, "s_nationkey", "n_nationkey", ["dataset", "uid"]).select("s_suppkey", "dataset", "uid")
 
 
 # ---- projections and encodings
@@ -298,39 +300,35 @@ def _(spark, d):
 
 @query("patient_metadata", ctes("order_series") + f"SELECT patient_id, min(ts) AS first_study, max(ts) AS last_study, {A.DAYS('max(ts)', 'min(ts)')} AS observation_days, count(DISTINCT ts) AS studies, round({A.DAYS('max(ts)', 'min(ts)')}::DOUBLE / count(DISTINCT ts), 6) AS average_interval, count(DISTINCT lesion_id) AS lesions FROM order_series GROUP BY patient_id")
 def _(spark, d):
-    g = A.order_series(spark, d).groupBy("patient_id").agg(F.min("ts").alias("first_study"), F.max("ts").alias("last_study"), F.countDistinct("ts").alias("studies"), F.countDistinct("lesion_id").alias("lesions"))
-    days = C.days_between("last_study", "first_study")
-    return g.withColumns({"observation_days": days, "average_interval": F.round(days / F.col("studies"), 6)})
+    m = U.patient_metadata(A.order_series(spark, d))
+    return m.withColumn("average_interval", F.round("average_interval", 6))
 
 
 @query("first_known_attributes", "WITH e AS (SELECT user_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS sex, CASE WHEN event_id % 4 = 0 THEN value END AS weight, ts, event_id FROM events) SELECT user_id AS patient_id, arg_min(sex, (ts, event_id)) FILTER (sex IS NOT NULL) AS sex, arg_min(weight, (ts, event_id)) FILTER (weight IS NOT NULL) AS weight, round((40 + arg_min(event_id % 50, (ts, event_id)) + 41 + arg_max(event_id % 50, (ts, event_id))) / 2.0, 6) AS age FROM e GROUP BY user_id")
 def _(spark, d):
     e = A.read(spark, d, "events").withColumns({"sex": F.when(F.col("event_id") % 3 == 0, F.col("event_type")), "weight": F.when(F.col("event_id") % 4 == 0, F.col("value"))})
-    o, age = F.struct("ts", "event_id"), F.col("event_id") % 50
-    known = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), o)).alias(c)
-    return e.groupBy(F.col("user_id").alias("patient_id")).agg(known("sex"), known("weight"), F.round((40 + F.min_by(age, o) + 41 + F.max_by(age, o)) / 2, 6).alias("age"))
+    e = e.select(F.col("user_id").alias("patient_id"), "sex", "weight", (F.col("event_id") % 50).alias("age"), "ts", "event_id")
+    order = ["ts", "event_id"]
+    ages = U.onset_offset(e, "patient_id", "age", order).select("patient_id", F.round((40 + F.col("onset") + 41 + F.col("offset_")) / 2, 6).alias("age"))
+    return U.first_known_attributes(e, "patient_id", order, ["sex", "weight"]).join(ages, "patient_id")
 
 
 @query("lesions_per_patient_hist", ctes("series") + "SELECT k AS lesions, count(n) AS patients FROM generate_series(0, (SELECT max(n) FROM (SELECT count(*) AS n FROM series WHERE t = 0 AND volume > 0 GROUP BY patient_id))) g(k) LEFT JOIN (SELECT count(*) FILTER (t = 0 AND volume > 10) AS n FROM series GROUP BY patient_id) ON n = k GROUP BY k")
 def _(spark, d):
-    n = A.series(spark, d).groupBy("patient_id").agg(F.count(F.when((F.col("t") == 0) & (F.col("volume") > 10), 1)).alias("n"), F.count(F.when((F.col("t") == 0) & (F.col("volume") > 0), 1)).alias("top"))
-    every = n.agg(F.max("top").alias("m")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("lesions"))
-    return every.join(n.groupBy(F.col("n").alias("lesions")).agg(F.count(F.lit(1)).alias("p")), "lesions", "left").select("lesions", F.coalesce("p", F.lit(0)).cast("long").alias("patients"))
+    first = F.col("t") == 0
+    return U.lesions_per_patient_hist(A.series(spark, d), first & (F.col("volume") > 10), first & (F.col("volume") > 0))
 
 
 @query("count_disparity", "WITH s AS (SELECT user_id, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS a, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS b FROM events GROUP BY user_id) SELECT sum(CASE WHEN a < b THEN a - b ELSE 0 END)::BIGINT AS negative, count(*) FILTER (a = b) AS equal, sum(CASE WHEN a > b THEN a - b ELSE 0 END)::BIGINT AS positive FROM s")
 def _(spark, d):
     e = A.read(spark, d, "events")
-    half = lambda c, n: e.where(c).groupBy("user_id").agg(F.count(F.lit(1)).alias(n))
-    both = half("ts < '2024-01-16'", "a").join(half("ts >= '2024-01-16'", "b"), "user_id", "full_outer")
-    gap = F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))
-    return both.agg(F.sum(F.when(gap < 0, gap).otherwise(0)).alias("negative"), F.count(F.when(gap == 0, 1)).alias("equal"), F.sum(F.when(gap > 0, gap).otherwise(0)).alias("positive"))
+    return U.count_disparity(e, "user_id", F.expr("ts < '2024-01-16'"), F.expr("ts >= '2024-01-16'"))
 
 
 @query("demographics", "SELECT c_mktsegment AS sex, count(DISTINCT c_custkey) AS patients, round(avg(c_acctbal), 6) AS mean, round(quantile_cont(c_acctbal, 0.5), 6) AS median, round(stddev_samp(c_acctbal), 6) AS std FROM customer GROUP BY 1")
 def _(spark, d):
-    b = F.col("c_acctbal")
-    return A.read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("sex")).agg(F.countDistinct("c_custkey").alias("patients"), F.round(F.avg(b), 6).alias("mean"), F.round(F.percentile(b, F.lit(0.5)), 6).alias("median"), F.round(F.stddev_samp(b), 6).alias("std"))
+    g = U.demographics(A.read(spark, d, "customer").withColumnRenamed("c_mktsegment", "sex"), ["sex"], "c_acctbal", "c_custkey")
+    return g.select("sex", "patients", *r6("mean", "median", "std"))
 
 
 @query("demographics_counts", "SELECT c_mktsegment AS sex, n_name AS value, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
@@ -343,15 +341,12 @@ NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 @query("describe_features", " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS low, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.75), 6) AS q75, max({c}) AS high FROM lineitem" for c in NUMBERS))
 def _(spark, d):
-    v = A.read(spark, d, "lineitem").select(*NUMBERS).unpivot([], NUMBERS, "feature", "v")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = v.groupBy("feature").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"), F.min("v").alias("low"), q.alias("q"), F.max("v").alias("high"))
-    return g.select("feature", "n", "mean", "std", "low", *[F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("q25", "q50", "q75"))], "high")
+    return U.describe_features(A.read(spark, d, "lineitem"), NUMBERS).select("feature", "n", *r6("mean", "std"), "low", *r6("q25", "q50", "q75"), "high")
 
 
 @query("distinct_patients", "SELECT DISTINCT user_id AS patient_id FROM events")
 def _(spark, d):
-    return A.series(spark, d).select("patient_id").distinct()
+    return U.distinct_patients(A.series(spark, d))
 
 
 # ---- reshaping

@@ -14,8 +14,13 @@ from ..functions.columns import parse_session_ts
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; in a temporary one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-shared-")
+    """A new path in the folder that driver and executors share, which the session names; a local session without one gets a
+    temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-shared-")
     return f"{root.rstrip('/')}/lachesis-{uuid.uuid4().hex}"
 
 
@@ -77,13 +82,15 @@ def save_series(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def load_series(spark: SparkSession, path: str) -> DataFrame:
-    """Saved series in order; one that mixes real and interpolated observations is an error."""
+    """Saved series in order, points of one instant in the order that they were saved with (`t`), or else of their other
+    columns; one that mixes real and interpolated observations is an error."""
     from ..operators.series import index_timepoints, whole
 
     df = spark.read.parquet(path)
+    df = df.withColumn("_tie", F.to_json(F.struct(*df.columns)) if "t" not in df.columns else F.col("t"))
     mixed = F.bool_or("is_interpolated").over(whole()) & ~F.bool_and("is_interpolated").over(whole())
     df = df.withColumn("_mixed", F.when(mixed, F.raise_error(F.concat(F.lit("mixed series "), F.concat_ws(":", "patient_id", "lesion_id"))).cast("boolean")).otherwise(F.lit(False)))
-    return index_timepoints(df.where(~F.col("_mixed")).drop("_mixed", "t", "timedelta_days"))
+    return index_timepoints(df.where(~F.col("_mixed")).drop("_mixed", "t", "timedelta_days"), "_tie").drop("_tie")
 
 
 def write_standardization(df: DataFrame, path: str) -> None:
