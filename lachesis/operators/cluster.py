@@ -7,25 +7,37 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw
+from ..sources.io import stored
 
 MAX_CLUSTERS = 42
+#: Fits that the driver has under way at once; each one is a Spark job of its own.
+AT_ONCE = 8
 #: Rounds after which a fit that has not converged is given up, with a warning.
 ROUNDS = 1000
 
 
+def each(tasks: list[Callable[[], object]]) -> list:
+    """The results of independent fits, several under way at once, in the order of the tasks."""
+    with ThreadPool(max(1, min(AT_ONCE, len(tasks)))) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(lambda f: f()), tasks)
+
+
 def dtw(x: np.ndarray, centre: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
     """Squared dynamic-time-warping distance of two short series, and the warping path."""
     n, m = len(x), len(centre)
@@ -42,6 +54,18 @@ def dtw(x: np.ndarray, centre: np.ndarray) -> tuple[float, list[tuple[int, int]]
     return float(cost[n, m]), path
 
 
+def dtw_costs(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Squared dynamic-time-warping distances of many series to one centre: one step of the recurrence for all of them at once."""
+    before = np.full((len(x), len(centre) + 1), np.inf)
+    before[:, 0] = 0
+    for i in range(x.shape[1]):
+        now = np.full_like(before, np.inf)
+        for j, c in enumerate(centre):
+            now[:, j + 1] = (x[:, i] - c) ** 2 + np.minimum(np.minimum(before[:, j], before[:, j + 1]), now[:, j])
+        before = now
+    return before[:, -1]
+
+
 def shape_shift(x: np.ndarray, centre: np.ndarray) -> tuple[float, np.ndarray]:
     """Shape-based distance of two z-normalised series, and x moved to its best place."""
     c = np.correlate(x, centre, "full")
@@ -68,7 +92,7 @@ def assigned(df: DataFrame, vector: str, centres: np.ndarray, metric: str, out:
         if metric == "euclidean":
             d = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
         elif metric == "dtw":
-            d = np.array([[dtw(a, b)[0] for b in c] for a in x])
+            d = np.stack([dtw_costs(x, b) for b in c], axis=1) if len(x) else np.empty((0, len(c)))
         else:
             d = np.array([[shape_shift(znorm(a), b)[0] for b in c] for a in x])
         return pd.Series(d.argmin(axis=1).astype(np.int32))
@@ -157,21 +181,26 @@ def split_search(df: DataFrame, vector: str, metric: str = "euclidean", k_max: i
     centres = fit_clusters(data, vector, 2, metric, seed, rounds=rounds)
     k = 3
     while k <= k_max:
-        labelled, new = assigned(data, vector, centres, metric).cache(), []
-        for c in range(len(centres)):
-            part = labelled.where(F.col("cluster") == c)
+        labelled = assigned(data, vector, centres, metric).cache()
+        labelled.count()
+
+        def halved(c: int, labelled: DataFrame = labelled, centres: np.ndarray = centres) -> list[np.ndarray]:
+            """The centre of cluster c, or the two that replace it."""
+            part = labelled.where(F.col("cluster") == c).drop("cluster")
             if part.select(vector).distinct().limit(2).count() < 2:
-                new.append(centres[c])
-                continue
-            two = fit_clusters(part.drop("cluster"), vector, 2, metric, seed, rounds=rounds)
+                return [centres[c]]
+            two = fit_clusters(part, vector, 2, metric, seed, rounds=rounds)
             whole = spherical_bic(part.withColumn("_c", F.lit(0)), vector, "_c")
-            halves = spherical_bic(assigned(part.drop("cluster"), vector, two, metric, "_c"), vector, "_c")
-            new += [*two] if halves - whole > tol else [centres[c]]
+            halves = spherical_bic(assigned(part, vector, two, metric, "_c"), vector, "_c")
+            return [*two] if halves - whole > tol else [centres[c]]
+
+        new = [x for own in each([lambda c=c: halved(c) for c in range(len(centres))]) for x in own]
         labelled.unpersist()
         if len(new) == len(centres):
             break
         k, centres = len(new), fit_clusters(data, vector, len(new), metric, seed, np.array(new), rounds)
-    return assigned(data, vector, centres, metric)
+    data.unpersist()
+    return assigned(df, vector, centres, metric)
 
 
 def xmeans(df: DataFrame, vector: str, metric: str = "euclidean", k_max: int = MAX_CLUSTERS, seed: int = 42) -> DataFrame:
@@ -193,7 +222,8 @@ def mixtures(df: DataFrame, vector: str, ks: Iterable[int], seed: int = 42, roun
     variances, weights, and log-likelihood, AIC and BIC. One round is one pass for all k that have not converged; each
     partition sends k * (2 d + 1) + 1 sums a mixture."""
     data = df.select(F.col(vector).cast("array<double>").alias("v")).cache()
-    fits = {k: fit_clusters(data, "v", k, "euclidean", seed) for k in ks}
+    ks = list(ks)
+    fits = dict(zip(ks, each([lambda k=k: fit_clusters(data, "v", k, "euclidean", seed) for k in ks]), strict=True))
     d = next(iter(fits.values())).shape[1]
     spread = data.agg(*[F.var_pop(F.get("v", F.lit(i))) for i in range(d)], F.count(F.lit(1))).first()
     n, wide = spread[-1], np.maximum([float(x or 0) for x in spread[:-1]], 1e-6)
@@ -287,45 +317,62 @@ CLASSIFIERS = {
 }
 
 
+#: Rows that one task of a fit takes at least; small tables are fitted by few tasks, whose start would take most of the time.
+ROWS_A_TASK = 100_000
+
+
 def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], target: str, model) -> DataFrame:
     """test with prediction and confidence of class 1, fitted on train with balanced class weights."""
-    n = train.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
-    total = n.agg(F.sum("_n").alias("_a"), F.count(F.lit(1)).alias("_k"))
-    weighted = train.join(F.broadcast(n), target).crossJoin(F.broadcast(total)).withColumn("weight", F.col("_a") / (F.col("_k") * F.col("_n")))
-    rows = vectors(weighted, columns).withColumn("label", F.col(target).cast("double"))
-    out = model().fit(rows).transform(vectors(test, columns))
+    # Classes are few: their counts make the weights and the number of tasks.
+    counts = {r[0]: r[1] for r in train.groupBy(target).count().collect() if r[0] is not None}
+    total = sum(counts.values())
+    weight = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, total / (len(counts) * n))])[F.col(target)]
+    rows = vectors(train.where(F.col(target).isNotNull()), columns).select("features", F.col(target).cast("double").alias("label"), weight.alias("weight"))
+    out = model().fit(rows.coalesce(-(-total // ROWS_A_TASK))).transform(vectors(test, columns))
     score = F.get(vector_to_array("probability"), F.lit(1)) if "probability" in out.columns else 1 / (1 + F.exp(-F.get(vector_to_array("rawPrediction"), F.lit(1))))
     return out.select(*test.columns, F.col("prediction").cast("int").alias("prediction"), score.alias("confidence"))
 
 
+def predictions(tasks: list[tuple[DataFrame, DataFrame, Callable[[DataFrame, DataFrame], DataFrame]]]) -> DataFrame:
+    """The rows of all tasks (train, test, fit and predict), fitted several at once. The tables are stored ones: a fit runs dozens of
+    short jobs, whose plans should be short as well."""
+    return reduce(DataFrame.unionByName, each([lambda t=t: t[2](t[0], t[1]) for t in tasks]))
+
+
+def named(out: DataFrame, target: str, model: str, config: str, more: list[Column], confidence: str | None) -> DataFrame:
+    return out.select(F.lit(model).alias("model"), F.lit(config).alias("config"), *more, "id", "prediction", F.col(target).alias("target"), *([confidence] if confidence else []))
+
+
 def train_classifiers(df: DataFrame, configs: dict[str, list[str]], target: str, fold: str = "fold", models: dict | None = None) -> DataFrame:
     """Out-of-fold predictions of each model and configuration (a name and its columns): (model, config, fold, id, ...)."""
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
-    data, out = df.cache(), None
-    for name, model in (models or CLASSIFIERS).items():
-        for config, columns in configs.items():
-            for f in folds:
-                one = fit_predict(data.where(F.col(fold) != f), data.where(F.col(fold) == f), columns, target, model)
-                one = one.select(F.lit(name).alias("model"), F.lit(config).alias("config"), F.col(fold).alias("fold"), "id", "prediction", F.col(target).alias("target"), "confidence")
-                out = one if out is None else out.unionByName(one)
-    return out
+    data = stored(df)
+    folds = sorted(r[0] for r in data.select(fold).distinct().collect())
+    tasks = [
+        (data.where(F.col(fold) != f), data.where(F.col(fold) == f), lambda a, b, m=m, name=name, config=config, columns=columns: named(fit_predict(a, b, columns, target, m), target, name, config, [F.col(fold).alias("fold")], "confidence"))
+        for name, m in (models or CLASSIFIERS).items() for config, columns in configs.items() for f in folds
+    ]
+    return predictions(tasks)
 
 
 def train_holdout_sweep(train: DataFrame, test: DataFrame, configs: dict[str, list[str]], target: str, models: dict | None = None) -> DataFrame:
-    train, test, out = train.cache(), test.cache(), None
-    for name, model in (models or CLASSIFIERS).items():
-        for config, columns in configs.items():
-            one = fit_predict(train, test, columns, target, model).select(F.lit(name).alias("model"), F.lit(config).alias("config"), "id", "prediction", F.col(target).alias("target"), "confidence")
-            out = one if out is None else out.unionByName(one)
-    return out
+    train, test = stored(train), stored(test)
+    tasks = [(train, test, lambda a, b, m=m, name=name, config=config, columns=columns: named(fit_predict(a, b, columns, target, m), target, name, config, [], "confidence")) for name, m in (models or CLASSIFIERS).items() for config, columns in configs.items()]
+    return predictions(tasks)
+
+
+#: Models by name, each made for a target column.
+REGRESSORS = {
+    "linear": lambda t: LinearRegression(labelCol=t, regParam=0.01),
+    "boosted": lambda t: GBTRegressor(labelCol=t, maxIter=10, seed=42),
+}
 
 
 def train_regressors(train: DataFrame, test: DataFrame, configs: dict[str, tuple[list[str], str]]) -> DataFrame:
     """Predictions of linear and boosted models for each configuration of input columns and a target column."""
-    train, test, out = train.cache(), test.cache(), None
-    for name, model in {"linear": lambda t: LinearRegression(labelCol=t, regParam=0.01), "boosted": lambda t: GBTRegressor(labelCol=t, maxIter=10, seed=42)}.items():
-        for config, (columns, target) in configs.items():
-            done = model(target).fit(vectors(train, columns)).transform(vectors(test, columns))
-            one = done.select(F.lit(name).alias("model"), F.lit(config).alias("config"), "id", F.col("prediction"), F.col(target).cast("double").alias("target"))
-            out = one if out is None else out.unionByName(one)
-    return out
+    train, test = stored(train), stored(test)
+
+    def fitted(model: Callable, columns: list[str], target: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
+        return lambda a, b: model(target).fit(vectors(a, columns).select("features", target).coalesce(-(-a.count() // ROWS_A_TASK) or 1)).transform(vectors(b, columns)).withColumn("_target", F.col(target).cast("double"))
+
+    tasks = [(train, test, lambda a, b, f=fitted(m, columns, target), name=name, config=config: named(f(a, b), "_target", name, config, [], None)) for name, m in REGRESSORS.items() for config, (columns, target) in configs.items()]
+    return predictions(tasks)

@@ -46,7 +46,7 @@ def _(spark, d):
 def _folds(layout: str):
     def run(spark, d):
         root = io.scratch(spark)
-        p = A.predictions(spark, d).where("model = 'a'").cache()
+        p = io.stored(A.predictions(spark, d).where("model = 'a'"))
         for k in range(5):
             part = p.where(F.col("fold") == k).select(F.col("id").cast("string"), F.col("prediction").cast("string"), F.col("target").cast("string"), F.round("confidence", 6).alias("confidence"))
             part.write.option("header", True).csv(f"{root}/t0/Fold {k}/assignments.csv" if layout == "config/fold" else f"{root}/Fold {k}/t0/assignments.csv")

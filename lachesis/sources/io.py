@@ -24,6 +24,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/lachesis-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, which cuts its lineage."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_features(spark: SparkSession, path: str, schema: StructType | str | None = None, kind: str = "csv") -> DataFrame:
     """A wide feature table keyed by `Lesion ID`, with an explicit schema if given."""
     reader = spark.read.schema(schema) if schema else spark.read

@@ -1,6 +1,7 @@
 """Hand-computed results of every rule, with its edge cases."""
 
 from datetime import datetime, timedelta
+from math import erfc
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from lachesis.functions import columns as C
 from lachesis.operators import cluster as L
 from lachesis.operators import evaluate as E
 from lachesis.operators import matching as M
+from lachesis.operators import ranks
 from lachesis.operators import resample as R
 from lachesis.operators import series as S
 from lachesis.operators import tables as T
@@ -207,6 +209,87 @@ def test_wilcoxon(spark):
     assert (r.statistic, r.p_value) == (0, 0.0625)
 
 
+def test_wilcoxon_with_ties(spark):
+    """The normal approximation with the variance corrected for ties, worked out by hand; and all pairs of models."""
+    d = [1, 1, 2, 2, 3, -1, 4, 5, 5, 6]
+    df = spark.createDataFrame([("p", float(v), 0.0) for v in d], "pair string, a double, b double")
+    r = E.wilcoxon_folds(df, ["pair"], "a", "b").first()
+    # Ranks 2 (three ones), 4.5, 4.5, 6, 7, 8.5, 8.5, 10; down = 2; sum(t^3 - t) = 24 + 6 + 6.
+    z = (2 - 27.5) / np.sqrt(10 * 11 * 21 / 24 - 36 / 48)
+    assert r.statistic == 2 and r.p_value == pytest.approx(erfc(abs(z) / np.sqrt(2)))
+    auc = spark.createDataFrame([(m, f, 0.1 * m + f) for m in (1, 2, 3) for f in range(3)], "model int, fold int, auc double").withColumn("config", F.lit("c"))
+    pairs = E.metric_pairs(auc, ["config"], "model", "fold", "auc").collect()
+    assert sorted((r.pair, r.fold) for r in pairs) == sorted((p, f) for p in ("1 / 2", "1 / 3", "2 / 3") for f in range(3)) and all(r.a < r.b for r in pairs)
+
+
+def test_running_totals_and_quantiles(spark):
+    """Many values, ties, nulls, and a group that holds most rows, against plain sorting."""
+    rng = np.random.default_rng(1)
+    rows = [(None if g == 2 else g, None if rng.random() < 0.05 else float(v), int(rng.integers(0, 5))) for g, n in ((0, 900), (1, 3), (2, 40)) for v in rng.integers(0, 300, n)]
+    df = spark.createDataFrame(rows, "g int, v double, n int")
+    counts = df.groupBy("g", "v").agg(F.sum("n").alias("n"))
+    got = {(r.g, r.v): (r.before_n, r.all_n) for r in ranks.running_totals(counts, ["g"], "v", ["n"]).collect()}
+    for g, v in got:
+        own = [(x, n) for h, x, n in rows if h == g]
+        assert got[g, v] == (sum(n for x, n in own if v is not None and (x is None or x < v)), sum(n for _, n in own))
+    shares = [0, 0.1, 0.25, 0.5, 0.9, 1]
+    for r in ranks.quantiles(df, ["g"], "v", shares).collect():
+        assert r.q == pytest.approx(np.quantile([v for g, v, _ in rows if g == r.g and v is not None], shares).tolist())
+    whole = ranks.quantiles(df, [], "v", [0.5]).first()
+    assert whole.q == pytest.approx([np.quantile([v for _, v, _ in rows if v is not None], 0.5)])
+    assert ranks.quantiles(df.where("false"), ["g"], "v", shares).count() == 0
+
+
+def test_scaling_without_training_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0)], "t0_volume double, t1_volume double")
+    train, test = T.normalize_volume(df.where("false"), df, "log->std->max", ["t0_volume", "t1_volume"])
+    assert train.count() == 0 and tuple(test.select("t0_volume", "t1_volume").first()) == (None, None)
+
+
+def test_asof_against_all_pairs(spark):
+    """Dense series with several points a day and points at the very dates, against every pair."""
+    rng = np.random.default_rng(2)
+    rows = [(1, k, DAY0 + timedelta(hours=int(h)), i, float(v)) for k in range(6) for i, (h, v) in enumerate(zip(np.sort(rng.choice([0, 6, 12, 24, 30, 31, 48, 60, 61, 72, 96, 97, 240], 9)), rng.integers(0, 4, 9), strict=True))]
+    s = spark.createDataFrame(rows, "patient_id int, lesion_id int, ts timestamp_ntz, t int, volume double")
+    grid = R.time_grid(s, 8, 6).cache()
+    days = lambda a, b: (a - b) // timedelta(days=1)
+    for nonzero in (False, True):
+        got = {(r.lesion_id, r.i): (r.t, r.volume) for r in R.asof_nearest(s, grid, ["t", "volume"], nonzero).collect()}
+        for g in grid.collect():
+            own = [r for r in rows if r[1] == g.lesion_id and (r[4] or not nonzero)]
+            best = min(own, key=lambda r: (abs(days(r[2], g.target_ts)), r[2], r[3]), default=None)
+            assert got[g.lesion_id, g.i] == ((best[3], best[4]) if best else (None, None))
+    for r in R.asof_bilateral(s, grid).collect():
+        own = sorted((x[2], x[3], x[4]) for x in rows if x[1] == r.lesion_id)
+        before, after = [x for x in own if x[0] < r.target_ts], [x for x in own if x[0] >= r.target_ts]
+        a, b = (before[-1] if before else None, after[0]) if after else (own[-2], own[-1])
+        assert (r.d1, r.v1, r.d2, r.v2) == ((days(a[0], r.target_ts), a[2]) if a else (None, None)) + (days(b[0], r.target_ts), b[2])
+
+
+def test_nearest_region_without_overlap(spark):
+    atlas = spark.createDataFrame([(x, 0, 0, 1 if x < 5 else 2) for x in range(10)], "x int, y int, z int, label int")
+    voxels = spark.createDataFrame([("a", 1, 4, 0), ("b", 9, 2, 0), ("c", 4, 4, 0), ("c", 5, 4, 0), ("d", 3, 0, 0)], "obs string, x int, y int, z int")
+    assert {r.obs: (r.region, r.overlaps) for r in M.locate_region(voxels, atlas, ["obs"]).collect()} == {"a": (1, False), "b": (2, False), "c": (1, False), "d": (1, True)}
+
+
+def test_bootstrap_of_the_other_class(spark):
+    """flip takes the other class and 1 - confidence, which leaves every AUC as it is."""
+    df = predictions(spark, [1, 0, 1, 0, 1, 1, 0], s=[0.9, 0.9, 0.4, 0.1, 0.7, 0.2, 0.3])
+    a, b = (E.bootstrap_auc_ci(df, ["model"], ["id"], 50, flip=f).first() for f in (False, True))
+    assert (a.low, a.high, a.mean) == (pytest.approx(b.low), pytest.approx(b.high), pytest.approx(b.mean))
+
+
+def test_vectors_of_an_extractor(spark):
+    import pandas as pd
+
+    @F.pandas_udf("array<double>")
+    def lengths(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: [float(len(x)), float(x.count("a"))])
+
+    out = T.apply_vector_extractor(spark.createDataFrame([("banana",), ("",)], "name string"), lengths, "name")
+    assert {r.name: list(r.vector) for r in out.collect()} == {"banana": [6, 3], "": [0, 0]}
+
+
 def test_cluster_scores(spark):
     df = spark.createDataFrame([(0, [0.0]), (0, [2.0]), (1, [10.0]), (1, [12.0])], "cluster int, v array<double>")
     assert E.davies_bouldin(df, "v", "cluster").first()[0] == pytest.approx(0.2)

@@ -164,3 +164,70 @@ def test_training_covers_models_prefixes_and_folds(spark, monkeypatch):
     assert (configs, target, models) == (inputs, "target", None)
     want = {f"nxt_{c}": (v, f"t{len(v)}_volume") for c, v in inputs.items()} | {f"1yr_{c}": (v, "t6_volume") for c, v in inputs.items()}
     assert seen["train_regressors"][0][2] == want
+
+
+def test_training_predicts_every_row(spark):
+    """Three models, two configurations, two folds: each row is predicted by the fits that did not see it, and a clear rule is learned."""
+    from lachesis.operators import cluster as L
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, 80)
+    df = spark.createDataFrame([(f"r{i}", float(v), float(rng.normal()), int(v > 0), i % 2) for i, v in enumerate(x)], "id string, a double, b double, y int, fold int")
+    p = L.train_classifiers(df, {"a": ["a"], "a,b": ["a", "b"]}, "y").toPandas()
+    assert len(p) == 3 * 2 * 80 and not p.duplicated(["model", "config", "id"]).any()
+    assert all((g.prediction == g.target).mean() > 0.9 for _, g in p.groupby(["model", "config"]))
+    assert p.confidence.between(0, 1).all() and ((p.confidence > 0.5) == (p.prediction == 1)).mean() > 0.95
+    held = L.train_holdout_sweep(df.where("fold = 0"), df.where("fold = 1"), {"a": ["a"]}, "y").toPandas()
+    # The hold-out sweep on the same rows is the same fit as that of the fold.
+    both = held.merge(p[p.config == "a"], on=["model", "id"])
+    assert len(both) == 3 * 40 and (both.prediction_x == both.prediction_y).all() and np.allclose(both.confidence_x, both.confidence_y)
+
+
+def test_regressors_find_a_line(spark):
+    from lachesis.operators import cluster as L
+
+    rows = [(f"r{i}", float(i), float(2 * i + 1), float(-i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, a double, up double, down double")
+    p = L.train_regressors(df, df, {"up": (["a"], "up"), "down": (["a"], "down")}).toPandas()
+    assert len(p) == 2 * 2 * 40
+    linear = p[p.model == "linear"]
+    assert np.allclose(linear.prediction, linear.target, atol=0.2)
+
+
+def test_selection_of_features(spark):
+    from lachesis.operators import cluster as L
+
+    rng = np.random.default_rng(4)
+    rows = [(float(a), float(b), float(c), float(5 * a)) for a, b, c in rng.normal(0, 1, (120, 3))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double")
+    assert L.lasso_select(df, ["a", "b", "c"], "y") == ["b", "c"]
+    assert L.model_select(df, ["a", "b", "c"], "y") == ["b", "c"]
+    seen = []
+
+    def last(df, columns, target):
+        seen.append(columns)
+        return columns[-1:]
+
+    assert L.eliminate(df, ["a", "b", "c"], "y", [last, last]) == ["c", "b"] and seen == [["a", "b", "c"], ["a", "b"]]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "shape"])
+def test_search_splits_clusters(spark, metric):
+    """Four well separated groups come out as four clusters, though the search starts with two."""
+    from lachesis.operators import cluster as L
+
+    rng = np.random.default_rng(5)
+    shapes = np.array([[0, 1, 0, -1, 0, 1], [0, -1, 0, 1, 0, -1], [-2, -1, 0, 0, 1, 2], [2, 1, 0, 0, -1, -2]], float) * (40 if metric == "euclidean" else 1)
+    rows = [(i, (shapes[i % 4] + rng.normal(0, 0.01, 6)).tolist()) for i in range(160)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    got = {r.id: r.cluster for r in L.split_search(df, "v", metric, tol=20).collect()}
+    assert len({(i % 4, got[i]) for i in got}) == 4 and len(set(got.values())) == 4
+    assert len(set(r.cluster for r in L.split_search(df, "v", metric, k_max=2, tol=20).collect())) == 2
+
+
+def test_series_distances_of_many(spark):
+    from lachesis.operators import cluster as L
+
+    rng = np.random.default_rng(6)
+    x, c = rng.normal(0, 1, (30, 7)), rng.normal(0, 1, 7)
+    assert np.allclose(L.dtw_costs(x, c), [L.dtw(a, c)[0] for a in x])
