@@ -5,7 +5,9 @@ counts, Spark sums them by (language, bucket), and a model of languages x BUCKET
 number of rows. Inference (`infer`) lets each word of a document come from one language of the document's mixture, with
 the likelihood of its trigrams. Expectation-maximisation estimates the proportions; then languages are added to the set
 in the order of their proportions while the likelihood, less `penalty * log(words) / 2` for each proportion that is free,
-still grows. The prediction is the most frequent language of the chosen set.
+still grows; those that the mixture of all languages gives less than LEAST_SHARE of the words and less than LEAST_WORDS words are
+not tried. The prediction is the most frequent language of the chosen set. Words are parted by white space, so in scripts
+without spaces a sentence is one word.
 
 Documents of an Arrow batch are worked on together, in runs of about RUN words; nothing is shuffled.
 
@@ -34,6 +36,8 @@ BUCKETS = 1 << 14
 MAX_LANGUAGES = 400
 #: Different words that a worker remembers, and words that it works on at once.
 REMEMBERED, RUN = 200_000, 150_000
+#: A language is tried if the mixture of all languages gives it this share of the words, or so many words in longer texts.
+LEAST_SHARE, LEAST_WORDS = 0.01, 5
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -129,8 +133,8 @@ def mixtures(scores: np.ndarray, sizes: np.ndarray, penalty: float, rounds: int
     value = np.add.reduceat(scores[np.repeat(order[:, 0], sizes), np.arange(scores.shape[1])].astype(np.float64), starts)
     grows = every
     for m in range(2, k + 1):
-        # A language that all languages together leave almost nothing adds nothing to the likelihood.
-        grows = grows & (full[each, order[:, m - 1]] > 1e-2)
+        # A language to which the full mixture gives next to nothing does not pay its penalty.
+        grows = grows & (full[each, order[:, m - 1]] > np.minimum(LEAST_SHARE, LEAST_WORDS / sizes))
         if not grows.any():
             break
         start = np.zeros((int(grows.sum()), k), np.float32)

@@ -2,8 +2,10 @@
 
 `statistics` maps each whole text to a vector of D transformed statistics. `fit` adds up, for each class, the count, the
 sums and the sums of products over all labelled rows (workers add up, Spark sums D * D numbers a class), shrinks each
-class covariance towards the pooled one and towards its mean variance, and keeps the Cholesky factors. `score` gives the
-posterior of class 1 from the difference of the two Mahalanobis log-densities.
+class covariance towards the pooled one (by `pool`), then towards its diagonal (by `shrink`), adds a ridge of 1 % of the mean
+variance, and keeps the inverse of each Cholesky factor, so a score costs one product. `score` gives the posterior of class 1 from
+the difference of the two Mahalanobis log-densities. The defaults of `pool` and `shrink` keep covariances of few labelled rows
+regular; results hardly depend on them.
 
 Nulls: a null text counts as empty; an empty text has a score like any other. Null labels and labels other than 0 and 1
 are not learned from; with fewer than two labelled rows in a class the score is the share of class 1, or 0.5 without
@@ -86,8 +88,8 @@ class Discriminant:
 
 
 def fit(labelled: DataFrame, stats: str = "stats", label: str = "label", pool: float = 0.2, shrink: float = 0.05) -> Discriminant:
-    """From all rows with label 0 or 1: class covariances mixed with the pooled one by `pool`, then with their mean
-    variance by `shrink`."""
+    """From all rows with label 0 or 1: class covariances mixed with the pooled one by `pool`, then with their diagonal by
+    `shrink`."""
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), F.col(stats).alias("x"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, raw, stored, table, total_bytes
 
-GRAM, CHUNK, SLICE, MIN_SLICES, HOT = 16, 8 << 20, 8 << 20, 32, 1000
+GRAM, CHUNK, SLICE, MIN_SLICES, HOT = 16, 8 << 20, 8 << 20, 8, 1000
 BLOCK, BITS = 200_000, np.uint64(18)
 LAST = (1 << 63) - 1
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)

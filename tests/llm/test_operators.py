@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -239,6 +240,77 @@ def test_quality_accuracy(spark):
     assert right > 0.93
 
 
+def test_quality_against_plain_discriminant(spark):
+    """The whole query against a discriminant in plain numpy, fitted on the documents that are not held out."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in docs}
+    x = {i: np.array(quality_model.measure(t)) for i, t in docs.items()}
+    rows = [(x[r.doc_id], r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.doc_id in docs and r.quality in (0, 1) and not held[r.doc_id]]
+    own = [np.array([v for v, y in rows if y == c]) for c in (0, 1)]
+    spread = [np.cov(v.T, bias=True) for v in own]
+    pooled = sum(len(v) * s for v, s in zip(own, spread, strict=True)) / len(rows)
+
+    def density(v, c):
+        cov = 0.8 * spread[c] + 0.2 * pooled
+        cov = 0.95 * cov + 0.05 * np.diag(np.diag(cov)) + (1e-4 + 0.0005 * np.trace(cov) / len(v)) * np.eye(len(v))
+        d = v - own[c].mean(axis=0)
+        return np.log(len(own[c]) / len(rows)) - np.linalg.slogdet(cov)[1] / 2 - d @ np.linalg.solve(cov, d) / 2
+
+    got = {r.doc_id: r for r in quality_model.op4_quality_model(spark, sf).collect()}
+    assert set(got) == set(docs)
+    for i, v in x.items():
+        want = 1 / (1 + np.exp(np.clip(density(v, 0) - density(v, 1), -700, 700)))
+        assert got[i].held_out == held[i] and abs(got[i].score - want) < 1e-6 and got[i].predicted == int(got[i].score >= 0.3)
+
+
+def test_languages_against_plain_mixture(spark):
+    """The whole query against counts and expectation-maximisation in plain loops."""
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: (r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in docs}
+    grams = lambda w: [int(b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % 2**32 >> 18 for b in [b" " + w.encode() + b" "] for i in range(len(b) - 2)]
+    counts = {}
+    for i, (t, lang) in docs.items():
+        if t is not None and lang is not None and not held[i]:
+            counts.setdefault(lang, Counter()).update(g for w in t.lower().split() for g in grams(w))
+    names = sorted(counts)
+    log_p = np.log([[counts[n][b] + 0.5 for b in range(1 << 14)] for n in names])
+    log_p -= np.log(np.exp(log_p).sum(axis=1, keepdims=True))
+    cache = {}
+
+    def fit(scores, some):
+        like = np.exp(scores[:, some] - scores.max(axis=1, keepdims=True))
+        pi = np.full(len(some), 1 / len(some))
+        for _ in range(10):
+            r = like * pi
+            pi = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
+        return pi, np.log((like * pi).sum(axis=1)).sum() + scores.max(axis=1).sum()
+
+    got = {r.doc_id: r for r in language_mix.op7_language_mix(spark, sf).collect()}
+    for i, (t, _) in docs.items():
+        r = got[i]
+        assert r.held_out == held[i]
+        if not t or not any(c.isalpha() for c in t):
+            assert r.lang_pred == "und"
+            continue
+        words = t.lower().split()
+        scores = np.array([cache[w] if w in cache else cache.setdefault(w, log_p[:, grams(w)].sum(axis=1)) for w in words])
+        full = fit(scores, list(range(len(names))))[0]
+        order = np.argsort(-full, kind="stable").tolist()
+        best, value = np.eye(len(names))[order[0]], scores[:, order[0]].sum()
+        for m in range(2, len(names) + 1):
+            if full[order[m - 1]] <= min(0.01, 5 / len(words)):
+                break
+            pi, likelihood = fit(scores, order[:m])
+            now = likelihood - 2.0 * (m - 1) * np.log(max(2, len(words))) / 2
+            if now <= value:
+                break
+            best, value = np.zeros(len(names)), now
+            best[order[:m]] = pi
+        assert r.lang_pred == names[int(best.argmax())] and abs(r.score - full[int(best.argmax())]) < 1e-3
+
+
 def test_language_accuracy(spark):
     got = language_mix.op7_language_mix(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -410,6 +482,19 @@ def test_tokens_match_library(spark):
     assert byte_bpe.encode(documents(spark, texts).where("false"), path).count() == 0
 
 
+def test_token_digests(spark):
+    import public_tokenizers
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = enc.encode_ordinary(r.text or "")
+        want[r.doc_id] = (len(ids), sha(" ".join(map(str, ids))), sha(r.text or ""))
+    got = byte_bpe.op6_byte_bpe(spark, SF).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == want
+
+
 def test_every_token_is_reached():
     """Each token's own merges lead to it; ids decode to their bytes."""
     import public_tokenizers
