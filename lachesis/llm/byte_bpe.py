@@ -32,7 +32,7 @@ from .common import append_arrow, table
 
 MAX_MODEL = 64 << 20
 #: Pre-tokens that a worker remembers, and characters (or ids) that it works on at once.
-REMEMBERED, RUN = 300_000, 1 << 20
+REMEMBERED, RUN = 100_000, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -185,6 +185,14 @@ def shared(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast(Shared(read_ranks(path), pattern))
 
 
+def id_lists(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
+
+
+def byte_rows(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+
+
 def encode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """df[keep] with the token ids of each whole text."""
     known = shared(df.sparkSession, path, pattern)
@@ -192,7 +200,7 @@ def encode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, t
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         coder = known.value.coder
         flat, bounds = coder.encode(batch.column(text).to_pylist())
-        return [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))]
+        return [id_lists(flat, bounds)]
 
     return append_arrow(df, [T.StructField(out, T.ArrayType(T.IntegerType()))], run, keep)
 
@@ -205,16 +213,28 @@ def decode(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, i
         coder = known.value.coder
         column = batch.column(ids)
         sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        flat, ends = coder.decode(column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *sizes]))
-        return [pa.BinaryArray.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])]
+        return [byte_rows(*coder.decode(column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *sizes])))]
 
     return append_arrow(df, [T.StructField(out, T.BinaryType())], run, keep)
 
 
+def round_trip(df: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, text: str = "text", ids: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """df[keep] with the token ids of each whole text and the bytes that these ids decode to: encode() and decode() in one worker, so
+    ids are not sent to a second one."""
+    known = shared(df.sparkSession, path, pattern)
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        coder = known.value.coder
+        flat, bounds = coder.encode(batch.column(text).to_pylist())
+        return [id_lists(flat, bounds), byte_rows(*coder.decode(flat, bounds))]
+
+    return append_arrow(df, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(out, T.BinaryType())], run, keep)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, and the bytes they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    df = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep=["doc_id"]), path)
+    df = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep=["doc_id"])
     return df.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

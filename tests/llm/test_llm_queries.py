@@ -68,6 +68,26 @@ def test_stages_keep_columns(spark):
         assert stage(spark, docs.where("false"), SF).count() == 0
 
 
+def test_stages_on_awkward_rows(spark):
+    """Nulls in every column, repeated rows, a very long text and columns with the names that stages use inside."""
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"w{i}" for i in range(40_000))
+    body = " ".join(f"v{i}" for i in range(70))
+    rows = [(1, body, "en", "s", 5), (1, body, "en", "s", 5), (None, body, None, None, None), (2, None, "de", "s", 0), (3, "", None, "t", None), (4, long, "en", "s", len(long)), (5, long + " end", "en", "s", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in ("_row", "row", "kept", "spans", "n_words", "component_id", "id", "_gone", "hit", "items", "h", "a.b")})
+    want = {"quality rules": [1, 1, 4, 5, None], "MinHash near-dedup": [1, 2, 3, 4, None, None], "benchmark decontamination": [1, 1, 2, 3, 4, 5, None, None], "secret scans": [1, 1, 2, 3, 4, 5, None, None]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        got = out.collect()
+        assert out.columns == docs.columns and sorted((r.doc_id for r in got), key=lambda x: (x is None, x)) == want[name]
+        assert all(r[c] == f"own {c}" for r in got for c in ("_row", "row", "kept", "spans", "id", "hit", "a.b"))
+        assert {r.text for r in got} <= {r[1] for r in rows}
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(last) == len(rows) and all(r.round_trip for r in last)
+
+
 def test_nothing_else_imports_llm():
     import pathlib
 
