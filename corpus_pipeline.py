@@ -37,7 +37,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER), TOKENIZER)
+    coded = byte_bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), TOKENIZER)
     same = F.coalesce(F.col("decoded") == F.encode("text", "UTF-8"), F.length("decoded") == 0)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
