@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw
-from .ranks import attach, quantiles, running_totals
+from .ranks import attach, quantiles, range_bounds, range_of, running_totals
 from .series import KEYS, ordered
 
 CLASSES = ["CR", "PR", "SD", "PD"]
@@ -290,11 +290,14 @@ def roc_curve(df: DataFrame, by: list[str], positive: Column, score: str = "conf
     return n.select(*by, F.col(score).alias("threshold"), rate("q").alias("fpr"), rate("p").alias("tpr"))
 
 
-def auc_of_counts(n: DataFrame, by: list[str], score: str, p: str = "p", q: str = "q") -> DataFrame:
-    """(by, auc) from positives and negatives of each score: a positive beats the negatives below it and half the equal ones."""
-    below = F.coalesce(F.sum(q).over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    n = n.withColumn("_w", F.col(p) * (below + F.col(q) / 2))
-    return n.groupBy(*by).agg((F.sum("_w") / F.nullif(F.sum(p) * F.sum(q), F.lit(0))).alias("auc"))
+def auc_of_counts(n: DataFrame, by: list[str], score: str, p: str = "p", q: str = "q", part: str = "_range") -> DataFrame:
+    """(by, auc) from positives and negatives of each score: a positive beats the negatives below it and half the equal ones.
+    `part` is the score's range, which grows with the score, so only one range's scores are sorted at a time."""
+    below = F.coalesce(F.sum(q).over(Window.partitionBy(*by, part).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = n.withColumn("_w", F.col(p) * (below + F.col(q) / 2)).groupBy(*by, part).agg(F.sum("_w").alias("_w"), F.sum(p).alias("_p"), F.sum(q).alias("_q"))
+    earlier = F.coalesce(F.sum("_q").over(Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.withColumn("_w", F.col("_w") + F.col("_p") * earlier)
+    return each.groupBy(*by).agg((F.sum("_w") / F.nullif(F.sum("_p") * F.sum("_q"), F.lit(0))).alias("auc"))
 
 
 def roc_auc(df: DataFrame, by: list[str], positive: Column, score: str = "confidence") -> DataFrame:
@@ -305,9 +308,16 @@ def roc_auc(df: DataFrame, by: list[str], positive: Column, score: str = "confid
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Adds i = 0.. inside each group and its size n: one configuration's predictions at a time."""
-    w = Window.partitionBy(*by)
-    return df.withColumns({"i": F.row_number().over(w.orderBy(*order)) - 1, "n": F.count(F.lit(1)).over(w)})
+    """Adds i = 0.. inside each group and its size n. Two levels: places among the rows with one value of the first order column
+    (of a string: with its first seven bytes), and the rows of its smaller values."""
+    first = F.col(order[0])
+    if df.schema[order[0]].dataType.typeName() == "string":
+        first = F.conv(F.rpad(F.hex(F.substring(first.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    rows = df.withColumn("_k", first)
+    counts = rows.groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = running_totals(counts, by, "_k", ["_n"]).select(*by, "_k", F.col("before__n").alias("_before"), F.col("all__n").alias("n"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_k").orderBy(*order)) - 1
+    return attach(rows, ahead, [*by, "_k"]).withColumn("i", inside + F.col("_before")).drop("_before", "_k")
 
 
 def bootstrap_auc_ci(df: DataFrame, by: list[str], order: list[str], replicates: int = 1000, seed: int = 0, flip: bool = False) -> DataFrame:
@@ -315,13 +325,14 @@ def bootstrap_auc_ci(df: DataFrame, by: list[str], order: list[str], replicates:
     flip takes the other class as positive and 1 - confidence.
 
     Draws are counted by (replicate, place) before they meet the predictions, and by score after, so the ranking of a
-    replicate goes over its distinct scores."""
+    replicate goes over its distinct scores, range by range."""
     rows = numbered(df, by, order).select(*by, "i", "n", (F.col("target") == (0 if flip else 1)).alias("pos"), (1 - F.col("confidence") if flip else F.col("confidence")).alias("score"))
+    rows = attach(rows, range_bounds(rows, by, "score"), by, "left").withColumn("_range", range_of("score")).drop("_bounds")
     size = rows.groupBy(*by).agg(F.max("n").alias("n"))
     draws = size.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     taken = draws.groupBy(*by, "rep", F.pmod(draw(seed, F.col("rep"), F.col("j")), F.col("n")).alias("i")).agg(F.count(F.lit(1)).alias("times"))
     both = taken.join(rows.drop("n"), [*by, "i"])
-    n = both.groupBy(*by, "rep", "score").agg(F.sum(F.when(F.col("pos"), F.col("times")).otherwise(0)).alias("p"), F.sum(F.when(~F.col("pos"), F.col("times")).otherwise(0)).alias("q"))
+    n = both.groupBy(*by, "rep", "_range", "score").agg(F.sum(F.when(F.col("pos"), F.col("times")).otherwise(0)).alias("p"), F.sum(F.when(~F.col("pos"), F.col("times")).otherwise(0)).alias("q"))
     auc = auc_of_counts(n, [*by, "rep"], "score").where("auc is not null")
     return auc.groupBy(*by).agg(F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.avg("auc").alias("mean"))
 
@@ -329,11 +340,16 @@ def bootstrap_auc_ci(df: DataFrame, by: list[str], order: list[str], replicates:
 def permutation_test_auc(aligned: DataFrame, by: list[str], ids: list[str], replicates: int = 1000, seed: int = 0) -> DataFrame:
     """Observed difference of two AUCs and the share of label swaps with at least that difference. Rows (by, ids, target,
     confidence_a, confidence_b); the coin of a row is an MD5 bit of (seed, replicate, ids). Replicate -1 swaps nothing."""
-    rows = aligned.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
+    names = ["confidence_a", "confidence_b"]
+    bounds = range_bounds(aligned.select(*by, F.explode(F.array(*names)).alias("_score")), by, "_score")
+    side = lambda c: F.struct(F.col(c).alias("score"), range_of(c).alias("_range"))
+    rows = attach(aligned, bounds, by, "left").select(*by, *ids, "target", *[side(c).alias(c) for c in names])
+    rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
     swap = (F.col("rep") >= 0) & (draw(seed, F.col("rep"), *[F.col(c) for c in ids]) % 2 == 1)
-    sides = F.array(F.struct(F.lit("a").alias("side"), F.when(swap, F.col("confidence_b")).otherwise(F.col("confidence_a")).alias("score")), F.struct(F.lit("b").alias("side"), F.when(swap, F.col("confidence_a")).otherwise(F.col("confidence_b")).alias("score")))
-    each = rows.select(*by, "rep", "target", F.explode(sides).alias("s")).select(*by, "rep", "target", "s.*")
-    n = each.groupBy(*by, "rep", "side", "score").agg(F.count(F.when(F.col("target") == 1, 1)).alias("p"), F.count(F.when(F.col("target") != 1, 1)).alias("q"))
+    a, b = (F.when(swap, F.col(y)).otherwise(F.col(x)) for x, y in (names, names[::-1]))
+    sides = F.array(F.struct(F.lit("a").alias("side"), a.alias("s")), F.struct(F.lit("b").alias("side"), b.alias("s")))
+    each = rows.select(*by, "rep", "target", F.explode(sides).alias("e")).select(*by, "rep", "target", "e.side", "e.s.*")
+    n = each.groupBy(*by, "rep", "side", "_range", "score").agg(F.count(F.when(F.col("target") == 1, 1)).alias("p"), F.count(F.when(F.col("target") != 1, 1)).alias("q"))
     auc = auc_of_counts(n, [*by, "rep", "side"], "score")
     diff = auc.groupBy(*by, "rep").agg((F.max(F.when(F.col("side") == "a", F.col("auc"))) - F.max(F.when(F.col("side") == "b", F.col("auc")))).alias("d"))
     seen = diff.where("rep = -1").select(*by, F.col("d").alias("difference"))

@@ -81,6 +81,15 @@ def choose(rows: list[tuple[float, float, float]]) -> int | None:
     return best
 
 
+def reference(members: list[dict], ts: pd.Timestamp) -> dict:
+    """Of non-empty members in time order, none of them later than ts, the one closest in floored days; the first of equals."""
+    day = pd.Timedelta(days=1)
+    i, days = len(members) - 1, abs((members[-1]["ts"] - ts) // day)
+    while i and abs((members[i - 1]["ts"] - ts) // day) == days:
+        i -= 1
+    return members[i]
+
+
 def track_lesions(obs: DataFrame, overlap: DataFrame) -> DataFrame:
     """Links observations (patient_id, study, ts, treated, obs, volume, cx, cy, cz) into series, in the order of studies.
 
@@ -95,26 +104,24 @@ def track_lesions(obs: DataFrame, overlap: DataFrame) -> DataFrame:
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         series: list[list[dict]] = []
+        there: list[list[dict]] = []  # each series' non-empty members, in time order
         for s, own in pdf.sort_values(["ts", "study", "obs"]).groupby("study", sort=False):
             ts, opened, extended = own["ts"].iloc[0], [], set()
+            refs = [reference(m, ts) for m in there]
             for r in own.itertuples(index=False):
                 shared = {(o["study_a"], o["obs_a"]): o["overlap"] for o in (r.overlaps if r.overlaps is not None else [])}
-                metrics = []
-                for m in series:
-                    there = [p for p in m if p["volume"] > 0]
-                    ref = min(there, key=lambda p: (abs((p["ts"] - ts) // pd.Timedelta(days=1)), p["ts"])) if there else None
-                    if ref is None or r.volume == 0:
-                        metrics.append((0, np.inf, 0.0))
-                    else:
-                        gap = float(np.sqrt(sum((ref[c] - getattr(r, c)) ** 2 for c in ("cx", "cy", "cz"))))
-                        metrics.append((shared.get((ref["study"], ref["obs"]), 0), gap, 2 * (ref["volume"] / (4 / 3 * np.pi)) ** (1 / 3)))
-                best = choose(metrics)
-                point = {"study": s, "ts": ts, "obs": r.obs, "volume": r.volume, "cx": r.cx, "cy": r.cy, "cz": r.cz}
+                best = None
+                if r.volume != 0:
+                    gaps = [np.sqrt(sum((ref[c] - getattr(r, c)) ** 2 for c in ("cx", "cy", "cz"))) for ref in refs]
+                    best = choose([(shared.get((ref["study"], ref["obs"]), 0), gap, ref["diameter"]) for ref, gap in zip(refs, gaps, strict=True)])
+                point = {"study": s, "ts": ts, "obs": r.obs, "volume": r.volume, "cx": r.cx, "cy": r.cy, "cz": r.cz, "diameter": 2 * (r.volume / (4 / 3 * np.pi)) ** (1 / 3)}
                 if best is not None:
-                    if best in extended:
-                        series[best].pop()
-                    series[best].append(point)
+                    for members in (series[best], there[best]):
+                        if best in extended:
+                            members.pop()
+                        members.append(point)
                     extended.add(best)
+                    refs[best] = reference(there[best], ts)
                 elif r.volume != 0:
                     opened.append([point])
             for i, m in enumerate(series):
@@ -122,6 +129,7 @@ def track_lesions(obs: DataFrame, overlap: DataFrame) -> DataFrame:
                     m.append({"study": s, "ts": ts, "obs": None, "volume": 0.0})
             if bool(own["treated"].iloc[0]):
                 series += opened
+                there += [list(m) for m in opened]
         out = [(pdf["patient_id"].iloc[0], i, t, p["study"], p["ts"], p["obs"], p["volume"], p["obs"] is None) for i, m in enumerate(series) for t, p in enumerate(m)]
         return pd.DataFrame(out, columns=["patient_id", "lesion_id", "t", "study", "ts", "obs", "volume", "is_empty"])
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges of a group. Their bounds are approximate quantiles, so they hold about equally many rows; results are exact.
@@ -21,15 +21,25 @@ def attach(df: DataFrame, side: DataFrame, by: list[str], how: str = "inner") ->
     return df.join(other, on, how).drop(*[f"_of_{c}" for c in by])
 
 
+def range_bounds(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """(by, _bounds): the approximate quantiles of `order` that part a group into RANGES ranges."""
+    inner = [F.lit(i / RANGES) for i in range(1, RANGES)]
+    bounds = df.groupBy(*by).agg(F.percentile_approx(order, F.array(*inner), F.lit(1000)).alias("_bounds"))
+    return bounds if by else F.broadcast(bounds)  # without groups, bounds are one row
+
+
+def range_of(order: str | Column) -> Column:
+    """The range that a value falls into by _bounds; 0 for nulls and where a group has no bounds."""
+    value = F.col(order) if isinstance(order, str) else order
+    rank = F.coalesce(F.size(F.filter("_bounds", lambda b: b < value)), F.lit(0))
+    return F.when(F.col("_bounds").isNull(), 0).otherwise(rank)
+
+
 def running_totals(n: DataFrame, by: list[str], order: str, totals: list[str]) -> DataFrame:
     """n with before_{c}, the sum of c over the group's rows with a smaller `order` (null is the smallest), and all_{c}, the sum
     over the group, for each c of totals. A group has one row for each value of `order`. The tables joined to n have RANGES rows a
     group at most; adaptive execution broadcasts them if they are small."""
-    inner = [F.lit(i / RANGES) for i in range(1, RANGES)]
-    bounds = n.groupBy(*by).agg(F.percentile_approx(order, F.array(*inner), F.lit(1000)).alias("_bounds"))
-    bounded = attach(n, bounds if by else F.broadcast(bounds), by, "left")  # without groups, bounds are one row
-    rank = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(order))), F.lit(0))
-    rows = bounded.select(*n.columns, F.when(F.col("_bounds").isNull(), 0).otherwise(rank).alias("_range"))
+    rows = attach(n, range_bounds(n, by, order), by, "left").select(*n.columns, range_of(order).alias("_range"))
     part = rows.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{c}") for c in totals])
     w = Window.partitionBy(*by)
     ahead = w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

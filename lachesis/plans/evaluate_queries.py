@@ -261,11 +261,20 @@ def _(spark, d):
     return E.permutation_test_auc(pairs, ["config", "pair"], ["id"], REPLICATES).select("config", "pair", *r6("difference", "p_value"))
 
 
-@query("wilcoxon_folds")
+#: p: the share of the 2^n signs whose rank sum is no larger, twice; with ties the normal approximation, erf by its series.
+@query("wilcoxon_folds", ctes("predictions").rstrip() + f""",
+n AS (SELECT model, config, fold, confidence, count(*) FILTER (target = 1) AS p, count(*) FILTER (target <> 1) AS q FROM predictions GROUP BY ALL),
+u AS ({AUC.format(by='model, config, fold', score='confidence', n='n')}),
+d AS (SELECT a.config, a.model || ' / ' || b.model AS pair, round(a.auc - b.auc, 12) AS d FROM u a JOIN u b ON a.config = b.config AND a.fold = b.fold AND a.model < b.model WHERE round(a.auc - b.auc, 12) <> 0),
+r AS (SELECT *, rank() OVER (PARTITION BY config, pair ORDER BY abs(d)) AS low, count(*) OVER (PARTITION BY config, pair, abs(d)) AS t FROM d),
+s AS (SELECT config, pair, least(coalesce(sum(low + (t - 1) / 2) FILTER (d > 0), 0), coalesce(sum(low + (t - 1) / 2) FILTER (d < 0), 0)) AS statistic, count(*) AS n, sum(t * t - 1) AS ties FROM r GROUP BY ALL),
+z AS (SELECT *, abs(statistic - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) / sqrt(2) AS x FROM s)
+SELECT config, pair, round(statistic, 6) AS statistic, n, round(CASE WHEN ties = 0 THEN least(1, 2 * len(list_filter(range(0, (2 ** n)::BIGINT), lambda m: list_sum([0] || list_transform(range(1, n + 1), lambda i: CASE WHEN (m >> (i - 1)::BIGINT) & 1 = 1 THEN i ELSE 0 END)) <= statistic)) / 2 ** n)
+ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda k: (-1) ** k * x ** (2 * k + 1) / (gamma(k + 1) * (2 * k + 1)))) END, 6) AS p_value FROM z""")
 def _(spark, d):
     """Fold AUCs of every two models of a configuration, against each other."""
     auc = E.roc_auc(A.predictions(spark, d), ["model", "config", "fold"], F.col("target") == 1)
-    return E.wilcoxon_folds(E.metric_pairs(auc, ["config"], "model", "fold", "auc"), ["config", "pair"], "a", "b")
+    return E.wilcoxon_folds(E.metric_pairs(auc, ["config"], "model", "fold", "auc"), ["config", "pair"], "a", "b").select("config", "pair", "n", *r6("statistic", "p_value"))
 
 
 @query("correlated_features", "WITH v AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_tax * 3 + 1 AS l_tax2 FROM lineitem), r AS (" + " UNION ALL ".join(f"SELECT '{b}' AS feature, abs(corr({a}, {b})) AS r FROM v" for i, b in enumerate([*NUMBERS, "l_tax2"]) for a in NUMBERS[:i]) + ") SELECT feature, round(max(r), 6) AS max_r FROM r WHERE r > 0.8 GROUP BY feature")

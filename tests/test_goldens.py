@@ -134,6 +134,70 @@ def test_tracking(spark):
     assert [(r.lesion_id, r.t, r.obs) for r in got] == [(0, 0, "a"), (0, 1, "a2"), (0, 2, None), (1, 0, "b"), (1, 1, None), (1, 2, "b2"), (2, 0, "d")]
 
 
+def slow_tracking(rows, overlaps):
+    """One patient's series by plain scans over every member: lists of (study, obs or None)."""
+    series = []
+    for study, ts, treated in sorted({(r[0], r[1], r[2]) for r in rows}, key=lambda x: x[1]):
+        own, opened, done = sorted(r for r in rows if r[0] == study), [], {}
+        for r in own:
+            _, _, _, obs, volume, x, y, z = r
+            choices, seen = [], set()
+            for i, m in enumerate(series):
+                there = [p for p in m if p[1] is not None]
+                gaps = [abs((p[2] - ts).total_seconds() // 86400) for p in there]
+                ref = there[gaps.index(min(gaps))]
+                near = sum((a - b) ** 2 for a, b in zip(ref[4:], (x, y, z), strict=True)) ** 0.5
+                shared = overlaps.get((ref[0], ref[1], study, obs), 0)
+                gate = min(6.0, 2 * (ref[3] / (4 / 3 * np.pi)) ** (1 / 3))
+                if volume > 0 and (near <= gate or (shared > 0 and shared not in seen)):
+                    choices.append((-shared, near, i))
+                if volume > 0:
+                    seen.add(shared)
+            point = (study, obs, ts, volume, x, y, z)
+            if choices:
+                i = min(choices)[2]
+                if i in done:
+                    series[i].pop()
+                series[i].append(point)
+                done[i] = True
+            elif volume > 0:
+                opened.append([point])
+        for i, m in enumerate(series):
+            if i not in done:
+                m.append((study, None, ts, 0.0))
+        if treated:
+            series += opened
+    return [[(p[0], p[1]) for p in m] for m in series]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tracking_against_plain_scan(spark, seed):
+    """Overlaps, studies within one day, second matches of a study, empty observations."""
+    rng = np.random.default_rng(seed)
+    rows, overlaps = {}, {}
+    for patient in range(8):
+        days = np.cumsum(rng.choice([0.25, 0.5, 30], 6))
+        rows[patient] = [(f"S{i}", DAY0 + timedelta(days=float(d)), bool(t), f"o{j}", float(rng.choice([0, 20, 60, 200], p=[0.1, 0.3, 0.3, 0.3])), *map(float, rng.integers(0, 12, 3))) for i, (d, t) in enumerate(zip(days, rng.integers(0, 2, 6), strict=True)) for j in range(rng.integers(1, 5))]
+        names = [(r[0], r[3]) for r in rows[patient]]
+        overlaps[patient] = {(*a, *b): int(rng.integers(1, 4)) for a in names for b in names if a[0] < b[0] and rng.random() < 0.15}
+    obs = spark.createDataFrame([(p, *r) for p, x in rows.items() for r in x], "patient_id int, study string, ts timestamp_ntz, treated boolean, obs string, volume double, cx double, cy double, cz double")
+    shared = spark.createDataFrame([(p, *k, n) for p, x in overlaps.items() for k, n in x.items()], "patient_id int, study_a string, obs_a string, study_b string, obs_b string, overlap long")
+    got = {}
+    for r in M.track_lesions(obs, shared).orderBy("patient_id", "lesion_id", "t").collect():
+        got.setdefault(r.patient_id, {}).setdefault(r.lesion_id, []).append((r.study, r.obs))
+    assert {p: list(x.values()) for p, x in got.items()} == {p: want for p, x in rows.items() if (want := slow_tracking(x, overlaps[p]))}
+
+
+@pytest.mark.parametrize("name", ["c{}", "a rather long name {:03}", ""])
+def test_numbers_by_strings(spark, name):
+    rows = [(g, name.format(i), i) for i in range(90) for g in (["x", "y"] if i % 3 else [None])]
+    got = E.numbered(spark.createDataFrame(rows, "g string, k string, v int").repartition(5), ["g"], ["k", "v"]).collect()
+    for g in ("x", "y", None):
+        own = sorted((r.k, r.v) for r in got if r.g == g)
+        assert [(r.k, r.v) for r in sorted((r for r in got if r.g == g), key=lambda r: r.i)] == own
+        assert {r.i for r in got if r.g == g} == set(range(len(own))) and {r.n for r in got if r.g == g} == {len(own)}
+
+
 def test_sobel(spark):
     df = S.derivative_sobel(series(spark, [(i, v) for i, v in enumerate([1, 2, 3, 4, 5, 6, 7])]), "absolute")
     assert values(df, "derivative") == [-2, -2, -2, -2, -2, 6]
