@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,11 +83,14 @@ def choose(rows: list[tuple[float, float, float]]) -> int | None:
     return best
 
 
-def reference(members: list[dict], ts: pd.Timestamp) -> dict:
-    """Of non-empty members in time order, none of them later than ts, the one closest in floored days; the first of equals."""
-    day = pd.Timedelta(days=1)
-    i, days = len(members) - 1, abs((members[-1]["ts"] - ts) // day)
-    while i and abs((members[i - 1]["ts"] - ts) // day) == days:
+#: Microseconds of a day, and the time of a study without one: after all others.
+DAY, LAST = 86_400_000_000, 1 << 62
+
+
+def reference(members: list[dict], at: int) -> dict:
+    """Of non-empty members in time order, none of them later than `at`, the one closest in floored days; the first of equals."""
+    i, days = len(members) - 1, abs((members[-1]["at"] - at) // DAY)
+    while i and abs((members[i - 1]["at"] - at) // DAY) == days:
         i -= 1
     return members[i]
 
@@ -101,39 +106,50 @@ def track_lesions(obs: DataFrame, overlap: DataFrame) -> DataFrame:
     rows = obs.join(pairs, ["patient_id", "study", "obs"], "left")
     patient = rows.schema["patient_id"].dataType.simpleString()
     study, number = (rows.schema[c].dataType.simpleString() for c in ("study", "obs"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    low = lambda x: (x is None, x)
+
+    def fold(table: pa.Table) -> pa.Table:
+        times = table.column("ts").cast(pa.timestamp("us")).cast(pa.int64()).to_pylist()
+        points = [{**r, "at": LAST if at is None else at, "diameter": 2 * ((r["volume"] or 0.0) / (4 / 3 * math.pi)) ** (1 / 3)} for r, at in zip(table.to_pylist(), times, strict=True)]
+        studies: dict[object, list[dict]] = {}
+        for p in sorted(points, key=lambda p: (p["at"], low(p["study"]), low(p["obs"]))):
+            studies.setdefault(p["study"], []).append(p)
         series: list[list[dict]] = []
         there: list[list[dict]] = []  # each series' non-empty members, in time order
-        for s, own in pdf.sort_values(["ts", "study", "obs"]).groupby("study", sort=False):
-            ts, opened, extended = own["ts"].iloc[0], [], set()
-            refs = [reference(m, ts) for m in there]
-            for r in own.itertuples(index=False):
-                shared = {(o["study_a"], o["obs_a"]): o["overlap"] for o in (r.overlaps if r.overlaps is not None else [])}
-                best = None
-                if r.volume != 0:
-                    gaps = [np.sqrt(sum((ref[c] - getattr(r, c)) ** 2 for c in ("cx", "cy", "cz"))) for ref in refs]
+        for s, own in studies.items():
+            at, opened, extended = own[0]["at"], [], set()
+            refs = [reference(m, at) for m in there]
+            for r in own:
+                r["at"], best = at, None
+                shared = {(o["study_a"], o["obs_a"]): o["overlap"] for o in r["overlaps"] or []}
+                if r["volume"]:
+                    gaps = [math.dist((ref["cx"], ref["cy"], ref["cz"]), (r["cx"], r["cy"], r["cz"])) for ref in refs]
                     best = choose([(shared.get((ref["study"], ref["obs"]), 0), gap, ref["diameter"]) for ref, gap in zip(refs, gaps, strict=True)])
-                point = {"study": s, "ts": ts, "obs": r.obs, "volume": r.volume, "cx": r.cx, "cy": r.cy, "cz": r.cz, "diameter": 2 * (r.volume / (4 / 3 * np.pi)) ** (1 / 3)}
                 if best is not None:
                     for members in (series[best], there[best]):
                         if best in extended:
                             members.pop()
-                        members.append(point)
+                        members.append(r)
                     extended.add(best)
-                    refs[best] = reference(there[best], ts)
-                elif r.volume != 0:
-                    opened.append([point])
+                    refs[best] = reference(there[best], at)
+                elif r["volume"]:
+                    opened.append([r])
             for i, m in enumerate(series):
                 if i not in extended:
-                    m.append({"study": s, "ts": ts, "obs": None, "volume": 0.0})
-            if bool(own["treated"].iloc[0]):
+                    m.append({"study": s, "at": at, "obs": None, "volume": 0.0})
+            if own[0]["treated"]:
                 series += opened
                 there += [list(m) for m in opened]
-        out = [(pdf["patient_id"].iloc[0], i, t, p["study"], p["ts"], p["obs"], p["volume"], p["obs"] is None) for i, m in enumerate(series) for t, p in enumerate(m)]
-        return pd.DataFrame(out, columns=["patient_id", "lesion_id", "t", "study", "ts", "obs", "volume", "is_empty"])
-
-    return rows.groupBy("patient_id").applyInPandas(fold, f"patient_id {patient}, lesion_id int, t int, study {study}, ts timestamp_ntz, obs {number}, volume double, is_empty boolean")
+        out = [(i, t, p) for i, m in enumerate(series) for t, p in enumerate(m)]
+        kind = table.schema.field
+        stamps = pa.array([None if p["at"] == LAST else p["at"] for _, _, p in out], pa.int64()).cast(pa.timestamp("us"))
+        column = lambda c: pa.array([p[c] for _, _, p in out], kind(c).type)
+        whose = pa.array([points[0]["patient_id"]] * len(out), kind("patient_id").type)
+        numbers = (pa.array([x[j] for x in out], pa.int32()) for j in (0, 1))
+        empty = pa.array([p["obs"] is None for _, _, p in out], pa.bool_())
+        return pa.Table.from_arrays([whose, *numbers, column("study"), stamps, column("obs"), pa.array([p["volume"] for _, _, p in out], pa.float64()), empty], names=["patient_id", "lesion_id", "t", "study", "ts", "obs", "volume", "is_empty"])
+
+    return rows.groupBy("patient_id").applyInArrow(fold, f"patient_id {patient}, lesion_id int, t int, study {study}, ts timestamp_ntz, obs {number}, volume double, is_empty boolean")
 
 
 def match_report(matches: DataFrame, tracked: DataFrame, labels: DataFrame) -> DataFrame:
