@@ -9,7 +9,8 @@ still grows; those that the mixture of all languages gives less than LEAST_SHARE
 not tried. The prediction is the most frequent language of the chosen set. Words are parted by white space, so in scripts
 without spaces a sentence is one word.
 
-Documents of an Arrow batch are worked on together, in runs of about RUN words; nothing is shuffled.
+Documents of an Arrow batch are worked on together, in runs of about RUN words; a text is worked on by its different words and
+their counts, so a long one needs memory by its vocabulary. Nothing is shuffled.
 
 Nulls: null texts, and texts without a letter, give `und` and score 0; a model without languages gives `und` too. Null
 languages and null texts are not trained on. Repeated rows count as often as they occur in training and are judged
@@ -34,7 +35,7 @@ from .common import append_arrow, table
 BUCKETS = 1 << 14
 #: More languages than this are refused: the model is collected and broadcast.
 MAX_LANGUAGES = 400
-#: Different words that a worker remembers, and words that it works on at once.
+#: Different words that a worker remembers, and different words of texts that it works on at once.
 REMEMBERED, RUN = 200_000, 150_000
 #: A language is tried if the mixture of all languages gives it this share of the words, or so many words in longer texts.
 LEAST_SHARE, LEAST_WORDS = 0.01, 5
@@ -105,23 +106,27 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
     return Model(languages, np.log(n / n.sum(axis=1, keepdims=True)))
 
 
-def mixtures(scores: np.ndarray, sizes: np.ndarray, penalty: float, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (documents x languages) with all languages, and with the chosen set, for documents whose words'
-    scores (languages x words) follow one another. No document is empty."""
+def mixtures(scores: np.ndarray, times: np.ndarray, kinds: np.ndarray, penalty: float, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions (documents x languages) with all languages, and with the chosen set, for documents whose different words'
+    scores (languages x words) follow one another. times: how often each word comes; kinds: different words of each document. No
+    document is empty."""
     k = len(scores)
     top = scores.max(axis=0)
     like = np.exp(scores - top)
-    starts = np.cumsum(sizes) - sizes
-    base = np.add.reduceat(top.astype(np.float64), starts)
+    starts = np.cumsum(kinds) - kinds
+    sizes = np.add.reduceat(times, starts)
+    weight = times.astype(np.float32)
+    base = np.add.reduceat(top.astype(np.float64) * times, starts)
 
     def fit(pi: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = sizes[docs]
-        p, begin = (like if docs.all() else like[:, np.repeat(docs, sizes)]), np.cumsum(n) - n
+        n, whole = kinds[docs], bool(docs.all())
+        some = slice(None) if whole else np.repeat(docs, kinds)
+        p, w, begin = like[:, some], weight[some], np.cumsum(n) - n
         for _ in range(rounds):
             r = p * np.repeat(pi, n, axis=1)
-            r /= np.maximum(r.sum(axis=0), 1e-30)
-            pi = np.add.reduceat(r, begin, axis=1) / n
-        seen = np.log(np.maximum((p * np.repeat(pi, n, axis=1)).sum(axis=0), 1e-30).astype(np.float64))
+            r *= w / np.maximum(r.sum(axis=0), 1e-30)
+            pi = np.add.reduceat(r, begin, axis=1) / sizes[docs]
+        seen = np.log(np.maximum((p * np.repeat(pi, n, axis=1)).sum(axis=0), 1e-30).astype(np.float64)) * w
         return pi.astype(np.float32), np.add.reduceat(seen, begin) + base[docs]
 
     every = np.ones(len(sizes), bool)
@@ -130,7 +135,7 @@ def mixtures(scores: np.ndarray, sizes: np.ndarray, penalty: float, rounds: int
     order = np.argsort(-full, axis=1, kind="stable")
     best = np.zeros_like(full)
     best[each, order[:, 0]] = 1
-    value = np.add.reduceat(scores[np.repeat(order[:, 0], sizes), np.arange(scores.shape[1])].astype(np.float64), starts)
+    value = np.add.reduceat(scores[np.repeat(order[:, 0], kinds), np.arange(scores.shape[1])].astype(np.float64) * times, starts)
     grows = every
     for m in range(2, k + 1):
         # A language to which the full mixture gives next to nothing does not pay its penalty.
@@ -190,24 +195,25 @@ def infer(docs: DataFrame, model: Model, text: str = "text", penalty: float = 2.
         out: list[tuple] = [("und", 0.0, [])] * batch.num_rows
         texts = batch.column(text).to_pylist()
 
-        def settle(rows: list[int], words: list[str], sizes: list[int]) -> None:
+        def settle(rows: list[int], words: list[str], times: list[int], kinds: list[int]) -> None:
             if rows:
-                full, best = mixtures(known.lookup(words), np.array(sizes), penalty)
+                full, best = mixtures(known.lookup(words), np.array(times), np.array(kinds), penalty)
                 for i, f, b in zip(rows, full.astype(float), best.astype(float), strict=True):
                     x = int(b.argmax())
                     out[i] = (names[x], min(1.0, max(0.0, f[x])), [(names[j], b[j]) for j in np.flatnonzero(b > 0)])
 
-        rows, words, sizes = [], [], []
+        rows, words, times, kinds = [], [], [], []
         for i, t in enumerate(texts):
             if names and t and LETTER.search(t):
-                own = words_of(t)
+                own = Counter(words_of(t))
                 rows.append(i)
                 words += own
-                sizes.append(len(own))
+                times += own.values()
+                kinds.append(len(own))
                 if len(words) > RUN:
-                    settle(rows, words, sizes)
-                    rows, words, sizes = [], [], []
-        settle(rows, words, sizes)
+                    settle(rows, words, times, kinds)
+                    rows, words, times, kinds = [], [], [], []
+        settle(rows, words, times, kinds)
         return [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.map_(pa.string(), pa.float64()))]
 
     return append_arrow(docs, FIELDS, run, keep)
