@@ -6,8 +6,10 @@ too short a run of benchmark words, cannot match and are left out before sorting
 binary-searched in it; its range gives all verbatim occurrences, and neighbouring occurrences join into the longest
 matches with their places. Nothing is shuffled: a shard never leaves its task.
 
-The benchmark is dealt by hash into blocks of about `block_bytes`; one block at a time is broadcast, and the hit bits
-travel with the documents from block to block, so what is broadcast has a bound whatever the benchmark's size.
+Items are cut into parts of about `part_words` windows, which overlap by a window less one word, so no window is lost. Parts
+are dealt by hash into blocks of about `block_bytes` of text; one block at a time is broadcast, and the hit bits and
+matches travel with the documents from block to block. So what is broadcast has a bound whatever the benchmark's size,
+its longest item, or how many rows have one item_id.
 
 Nulls: a null text has no words and is never contaminated; a null item has no window; a null item_id counts as "".
 Repeated documents are judged alike, row by row; repeated items of one id count once. Empty tables give empty or
@@ -17,6 +19,7 @@ clean results. Input columns with the names of added ones are replaced.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,36 +29,61 @@ from pyspark.sql import types as T
 
 from .common import append_arrow, raw, stored, table, total_bytes
 
-#: Word bytes stay (digits, a-z, all of 0x80 and up), A-Z become a-z, the rest parts words.
+#: Word characters: digits, letters, all beyond ASCII. As bytes, A-Z become a-z and the rest parts words.
+LETTERS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
+@dataclass(frozen=True)
+class Part:
+    """Words of an item from its word `first` on; `copy` tells the different texts of one item_id apart."""
+
+    item: str
+    copy: int
+    first: int
+    text: bytes
+
+
 class Windows:
-    """The distinct windows of some benchmark items: their word ids, lengths, items and all their places. A place is
-    (item, text, position); text tells the different texts of one item_id apart."""
+    """The distinct windows of some parts: their word ids, lengths and places. Window k's places (item, copy, position in the item)
+    are those from edge[k] to edge[k + 1]."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int):
+    def __init__(self, parts: list[Part], size: int):
         self.size, self.vocab = size, {}
-        found: dict[tuple[int, ...], list[tuple[str, int, int]]] = {}
-        for copy, (item, text) in enumerate(dict.fromkeys(items)):
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in text.translate(WORD).split()]
-            m = min(size, len(ids))
-            for j in range(len(ids) - m + 1 if m else 0):
-                found.setdefault(tuple(ids[j : j + m]), []).append((item, copy, j))
-        keys = list(found)
-        self.length = np.array([len(k) for k in keys], np.int64)
-        self.items = [sorted({p[0] for p in found[k]}) for k in keys]
-        self.places = [found[k] for k in keys]
-        self.low = np.array([pack(k, size, 0) for k in keys], f"S{4 * size}")
-        self.high = np.array([pack(k, size, 0xFFFFFFFF) for k in keys], f"S{4 * size}")
+        ids = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in p.text.translate(WORD).split()], ">u4") for p in parts]
+        count = np.array([max(0, len(x) - min(size, len(x)) + 1) if len(x) else 0 for x in ids], np.int64)
+        words = np.zeros((int(count.sum()), size), ">u4")
+        at = np.cumsum(count) - count
+        for x, i, n in zip(ids, at.tolist(), count.tolist(), strict=True):
+            if n:
+                m = min(size, len(x))
+                words[i : i + n, :m] = np.lib.stride_tricks.sliding_window_view(x, m)
+        # No word has id 0, so a window's words tell its length.
+        self.low, window = np.unique(words.view(f"S{4 * size}")[:, 0], return_inverse=True)
+        known = np.frombuffer(self.low.tobytes(), ">u4").reshape(-1, size)
+        self.length = (known != 0).sum(axis=1)
+        self.high = np.where(known != 0, known, np.uint32(0xFFFFFFFF)).astype(">u4").view(f"S{4 * size}")[:, 0]
+        order = np.argsort(window, kind="stable")
+        self.edge = np.searchsorted(window[order], np.arange(len(self.low) + 1))
+        self.parts = [(p.item, p.copy) for p in parts]
+        part = np.repeat(np.arange(len(parts)), count)
+        place = np.arange(len(part)) - np.repeat(at, count) + np.repeat(np.array([p.first for p in parts], np.int64), count)
+        self.part, self.position = part[order].astype(np.int32), place[order]
         # The shortest window that starts with each word; words that start none get an unreachable length.
         self.shortest = np.full(len(self.vocab) + 1, 1 << 40, np.int64)
-        for k in keys:
-            self.shortest[k[0]] = min(self.shortest[k[0]], len(k))
+        np.minimum.at(self.shortest, known[:, 0].astype(np.int64), self.length)
 
+    def places(self, k: int) -> list[tuple[str, int, int]]:
+        own = slice(self.edge[k], self.edge[k + 1])
+        return [(*self.parts[p], j) for p, j in zip(self.part[own].tolist(), self.position[own].tolist(), strict=True)]
 
-def pack(ids: tuple[int, ...], size: int, fill: int) -> bytes:
-    return np.array([*ids, *[fill] * (size - len(ids))], ">u4").tobytes()
+
+def parts_of(benchmark: DataFrame, item_id: str, item_text: str, window: int, part_words: int) -> DataFrame:
+    """(item, copy, first, text) of the parts of all items with words; equal texts of one id count once."""
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("t")).distinct()
+    words = items.select("item", F.xxhash64("item", "t").alias("copy"), F.regexp_extract_all("t", F.lit(LETTERS), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    each = words.withColumn("first", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - window), F.lit(part_words))))
+    return each.select("item", "copy", F.col("first").cast("long").alias("first"), F.array_join(F.slice("w", F.col("first") + 1, part_words + window - 1), " ").alias("text"))
 
 
 def search(ids: np.ndarray, ends: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
@@ -80,30 +108,26 @@ def search(ids: np.ndarray, ends: np.ndarray, w: Windows) -> tuple[np.ndarray, n
     return start[order[rank]], window
 
 
-def longest(starts: np.ndarray, window: np.ndarray, w: Windows, first: int) -> list[dict]:
-    """Occurrences of one document joined to longest matches: runs in which text and item advance together, for every
-    place of each window."""
-    if not len(starts):
-        return []
-    out: dict[tuple[str, int, int], list[list[int]]] = {}
-    for s, x in sorted(zip(starts.tolist(), window.tolist(), strict=True)):
-        end = s + int(w.length[x])
-        for item, copy, j in w.places[x]:
-            runs = out.setdefault((item, copy, s - j), [])
-            if runs and s <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], end)
-            else:
-                runs.append([s, end])
-    spans = sorted({(item, d, a, b) for (item, _, d), runs in out.items() for a, b in runs})
-    return [{"start": a - first, "words": b - a, "item_id": item, "item_start": a - d} for item, d, a, b in spans]
-
-
-MATCH = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("words", T.LongType()), T.StructField("item_id", T.StringType()), T.StructField("item_start", T.LongType())]))
+def longest(found: list[tuple[str, int, int, int, int]]) -> list[tuple[str, int, int, int, int]]:
+    """Occurrences (item, copy, diagonal, start, end) in one document joined to longest matches: runs in which text and item
+    advance together."""
+    out: list[list] = []
+    for item, copy, d, a, b in sorted(found):
+        if out and out[-1][:3] == [item, copy, d] and a <= out[-1][4]:
+            out[-1][4] = max(out[-1][4], b)
+        else:
+            out.append([item, copy, d, a, b])
+    return [tuple(x) for x in out]
+
+
+#: A match while blocks are worked through: item_id, copy of its text, diagonal (start less place in the item), start, end.
+NAMES = ("item_id", "copy", "diagonal", "start", "end")
+MATCH = T.ArrayType(T.StructType([T.StructField(n, T.LongType() if i else T.StringType()) for i, n in enumerate(NAMES)]))
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_bits", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", MATCH)]
-MATCH_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("item_id", pa.string()), ("item_start", pa.int64())]))
+MATCH_ARROW = pa.list_(pa.struct([(n, pa.int64() if i else pa.string()) for i, n in enumerate(NAMES)]))
 
 
-def shard_matches(texts: list[bytes | None], w: Windows, matches: bool = True) -> list[tuple[int, np.ndarray, set[str], list[dict]]]:
+def shard_matches(texts: list[bytes | None], w: Windows, matches: bool = True) -> list[tuple[int, np.ndarray, set[str], list[tuple]]]:
     """For each document of a shard: words, a mask of hit words, items, longest matches (none unless asked for)."""
     get = w.vocab.get
     ids, sizes = [], []
@@ -124,23 +148,25 @@ def shard_matches(texts: list[bytes | None], w: Windows, matches: bool = True) -
     out = []
     for i, n in enumerate(sizes):
         own = by[edges[i] : edges[i + 1]]
-        items = {x for k in set(window[own].tolist()) for x in w.items[k]}
-        out.append((n, hit[bounds[i] : bounds[i + 1]], items, longest(starts[own], window[own], w, int(bounds[i])) if matches else []))
+        first, seen = int(bounds[i]), {k: w.places(k) for k in set(window[own].tolist())}
+        items = {p[0] for places in seen.values() for p in places}
+        spans = [(item, copy, s - first - j, s - first, s - first + int(w.length[k])) for s, k in zip(starts[own].tolist(), window[own].tolist(), strict=True) for item, copy, j in seen[k]] if matches else []
+        out.append((n, hit[first : bounds[i + 1]], items, longest(spans)))
     return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = 8 << 20, shard_bytes: int = 4 << 20, keep: list[str] | None = None, matches: bool = True) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_bytes: int = 4 << 20, part_words: int = 4096, shard_bytes: int = 4 << 20, keep: list[str] | None = None, matches: bool = True) -> DataFrame:
     """docs[keep] with n_words, n_hit, hit_bits (one bit a word), items (sorted ids of items with occurring windows) and
     matches (longest verbatim matches: start word, words, item, start word in the item; every item
     and place). Without `matches` that column is neither worked out nor returned."""
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
-    blocks = max(1, math.ceil(total_bytes(items, "t") / block_bytes))
+    parts = parts_of(benchmark, item_id, item_text, window, part_words)
+    blocks = max(1, math.ceil(total_bytes(parts) / block_bytes))
     keep = [c for c in (docs.columns if keep is None else keep)]
     df = docs.select(*dict.fromkeys([*keep, text]))
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).collect()
-        known = spark.sparkContext.broadcast(Windows([(r.i, r.t.encode()) for r in rows], window))
+        rows = parts.where(F.pmod(F.xxhash64("copy", "first"), F.lit(blocks)) == b).collect()
+        known = spark.sparkContext.broadcast(Windows([Part(r.item, r.copy, r.first, r.text.encode()) for r in rows], window))
 
         def one(batch: pa.RecordBatch, known=known, later=b > 0) -> list[pa.Array]:
             w, texts, out, i = known.value, raw(batch.column(text)), [], 0
@@ -155,14 +181,17 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
             if later:
                 bits = [bytes(a | c for a, c in zip(x, y, strict=True)) for x, y in zip(bits, batch.column("hit_bits").to_pylist(), strict=True)]
                 found = [sorted({*x, *y}) for x, y in zip(found, batch.column("items").to_pylist(), strict=True)]
-                spans = [x + y for x, y in zip(batch.column("matches").to_pylist(), spans, strict=True)]
+                spans = [longest([tuple(m[n] for n in NAMES) for m in x] + y) for x, y in zip(batch.column("matches").to_pylist(), spans, strict=True)]
             n_hit = [int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) for x in bits]
-            return [pa.array([x[0] for x in out], pa.int64()), pa.array(n_hit, pa.int64()), pa.array(bits, pa.binary()), pa.array(found, pa.list_(pa.string())), pa.array(spans, MATCH_ARROW)]
+            return [pa.array([x[0] for x in out], pa.int64()), pa.array(n_hit, pa.int64()), pa.array(bits, pa.binary()), pa.array(found, pa.list_(pa.string())), pa.array([[dict(zip(NAMES, m, strict=True)) for m in x] for x in spans], MATCH_ARROW)]
 
         last = b == blocks - 1
         df = append_arrow(df, FIELDS, one, keep=keep if last else [*dict.fromkeys([*keep, text])])
         df = df if last else stored(df)
-    return df if matches else df.drop("matches")
+    if not matches:
+        return df.drop("matches")
+    shown = lambda m: F.struct(m["start"], (m["end"] - m["start"]).alias("words"), m["item_id"], (m["start"] - m["diagonal"]).alias("item_start"))
+    return df.withColumn("matches", F.array_sort(F.array_distinct(F.transform("matches", shown))))
 
 
 def judged(found: DataFrame, share: int = 20) -> DataFrame:

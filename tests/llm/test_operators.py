@@ -79,12 +79,29 @@ def test_matches_of_every_item_and_place(spark):
     shared, own = [f"s{i}" for i in range(20)], [f"b{i}" for i in range(15)]
     items = [("a", " ".join([*(f"a{i}" for i in range(5)), *shared])), ("b", " ".join([*own, *shared, "gap", *shared]))]
     docs, bench = documents(spark, [" ".join(["x", *own, *shared, "y"])]), spark.createDataFrame(items * 2, "item_id string, text string")
-    for block in (8 << 20, 200):
-        row = decontaminate.find(docs, bench, block_bytes=block).first()
+    for block, part in ((8 << 20, 4096), (200, 4096), (8 << 20, 3), (100, 3)):
+        row = decontaminate.find(docs, bench, block_bytes=block, part_words=part).first()
         got = sorted((m["item_id"], m["start"], m["words"], m["item_start"]) for m in row.matches)
         assert got == [("a", 16, 20, 5), ("b", 1, 35, 0), ("b", 16, 20, 36)] and row["items"] == ["a", "b"]
 
 
+def test_parts_of_one_hot_item(spark):
+    """Many texts of one null item_id, and a long one, are dealt over blocks by their parts; nothing is lost at the cuts."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("a b c Dd é 7".split()) for _ in range(n)) for n in (0, 4, 13, 14, 40, 400)]
+    bench = spark.createDataFrame([(None, t) for t in texts * 2], "item_id string, text string")
+    docs = [texts[5].replace(" ", ", "), texts[4] + " x " + texts[3], texts[5][100:300], *AWKWARD]
+    whole = decontaminate.find(documents(spark, docs), bench, block_bytes=8 << 20).orderBy("doc_id").collect()
+    cut = decontaminate.find(documents(spark, docs), bench, block_bytes=800, part_words=20).orderBy("doc_id").collect()
+    assert whole == cut
+    for r in whole:
+        n, h, own = brute_hits(r.text, [("", t) for t in texts])
+        assert (r.n_words, r.n_hit, r["items"]) == (n, h, own)
+    assert any((m.start, m.words, m.item_start) == (0, 400, 0) for m in whole[0].matches)
+    sizes = [decontaminate.parts_of(bench, "item_id", "text", 13, k).agg(F.max(F.size(F.split("text", " ")))).first()[0] for k in (20, 4096)]
+    assert sizes == [32, 400]
+
+
 # ---- 2
 
 def test_chat(spark):
