@@ -43,6 +43,14 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select([df[f"`{c}`"] for c in df.columns if c.lower() not in low])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a helper column that no column of df has, whatever its letter case."""
+    low = {c.lower() for c in df.columns}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 #: Rows that a function of Arrow batches gets at once.
 PIECE = 1000
 

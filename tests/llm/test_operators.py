@@ -598,8 +598,9 @@ def test_longest_previous_factors():
 def test_quality_rules(spark):
     rng = random.Random(2)
     texts = AWKWARD + [" ".join(rng.choice("a b c") for _ in range(n)) for n in (2, 3, 4, 5, 8, 60)] + ["x y z x y z x y z", "l 1\nl 1\n \nl 1\n\n l 1", "#$% &|< >*"]
-    got = quality_rules.ledger(documents(spark, texts).withColumn("N_Words", F.lit("clash"))).collect()
+    got = quality_rules.ledger(documents(spark, texts).withColumns({"N_Words": F.lit("clash"), "_words": F.lit("mine"), "_LINES": F.lit("too")})).collect()
     for r in got:
+        assert (r._words, r._LINES) == ("mine", "too")
         w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
         g = Counter(zip(w, w[1:], w[2:], strict=False))
         cover = {p for i in range(len(w) - 2) if g[tuple(w[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
