@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def local_dir() -> str:
+    """The temporary folder of local sessions that name none."""
+    return tempfile.mkdtemp(prefix="spark-shared-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, which the session names; a local session without one gets a temporary
-    folder."""
+    folder. A running session's setting can't be changed, so the folder is kept here."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        d = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        d = local_dir()
     return d.rstrip("/")
 
 

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -680,6 +681,19 @@ def test_shards_with_clashing_names(spark):
 # ---- all
 
 def test_shared_folder_is_the_sessions(spark, tmp_path):
-    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    assert common.shared_dir(spark) == (own.rstrip("/") if own else common.local_dir())
     df = common.stored(spark.range(3))
     assert df.count() == 3 and all(f.startswith("file:") for f in df.inputFiles())
+
+
+def test_sessions_without_a_folder():
+    class Session:
+        """A session whose settings can't be changed and name no folder."""
+
+        def __init__(self, master):
+            self.conf, self.sparkContext = SimpleNamespace(get=lambda key, default: default), SimpleNamespace(master=master)
+
+    assert common.shared_dir(Session("local[2]")) == common.shared_dir(Session("local[2]"))
+    with pytest.raises(ValueError):
+        common.shared_dir(Session("spark://host:7077"))
