@@ -98,8 +98,9 @@ def sketches(docs: DataFrame, k: int, threshold: float, text: str = "text", keep
 
 
 def with_lookup(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
-    """df joined with a stored table of ids, which is broadcast if it is small, so that a hot id stays where its rows are."""
-    return df.join(F.broadcast(ids) if ids.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE else ids, on, how)
+    """df joined with a stored table of ids, which is broadcast if it is small, so that a hot id stays where its rows are. The rows of
+    a stored table are counted from its Parquet footers, without sending rows to one task."""
+    return df.join(F.broadcast(ids) if ids.count() <= SMALL_TABLE else ids, on, how)
 
 
 #: Bits of one row of a bitmap, and rows of a bitmap at most (16 MB).
