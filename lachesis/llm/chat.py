@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import require_integer, table
 
 
 @dataclass(frozen=True)
@@ -89,7 +89,9 @@ TURNS = T.StructType(
 
 
 def format_turns(turns: DataFrame, template: Template = Template()) -> DataFrame:
-    """One row a turn, sorted by conversation and turn inside each partition; a conversation stays in one partition."""
+    """One row a turn, sorted by conversation and turn inside each partition; a conversation stays in one partition. conv_id and turn
+    must be integers; other types are refused before any job runs."""
+    require_integer(turns, "conv_id", "turn")
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 

@@ -62,19 +62,29 @@ PIECE = 1000
 
 
 def append_arrow(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
-    """df[keep] with the columns that fn computes from each Arrow batch; input columns of the same names go."""
+    """df[keep] with the columns that fn computes from each Arrow batch; input columns of the same names go. Column names may hold
+    anything, dots included: Spark sees numbered ones on the way in, and fn the real ones."""
+    names = df.columns
     new = {f.name.lower() for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
     schema = T.StructType([df.schema[c] for c in kept] + fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            whole = whole.rename_columns(names)
             # Small pieces keep what fn makes small, whatever the session's batch size.
             for at in range(0, whole.num_rows, PIECE):
                 batch = whole.slice(at, PIECE)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *fn(batch)], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
+
+
+def require_integer(df: DataFrame, *columns: str) -> None:
+    """Refuses ids of other types by name, before any job runs."""
+    for c in columns:
+        if not isinstance(df.schema[c].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            raise TypeError(f"{c} must be an integer column, not {df.schema[c].dataType.simpleString()}")
 
 
 def raw(column: pa.Array) -> list[bytes | None]:

@@ -163,7 +163,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     parts = parts_of(benchmark, item_id, item_text, window, part_words)
     blocks = max(1, math.ceil(total_bytes(parts) / block_bytes))
     keep = [c for c in (docs.columns if keep is None else keep)]
-    df = docs.select(*dict.fromkeys([*keep, text]))
+    df = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])])
     for b in range(blocks):
         rows = parts.where(F.pmod(F.xxhash64("copy", "first"), F.lit(blocks)) == b).collect()
         known = spark.sparkContext.broadcast(Windows([Part(r.item, r.copy, r.first, r.text.encode()) for r in rows], window))
@@ -202,28 +202,36 @@ def judged(found: DataFrame, share: int = 20) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the contaminated ones, with their own columns."""
     names = docs.columns
-    found = judged(find(docs.select(F.struct(*[f"`{c}`" for c in names]).alias("_row"), F.col("text").alias("_text")), benchmark, text="_text", keep=["_row"], matches=False, **options))
+    found = judged(find(docs.select(F.struct(*[f"`{c}`" for c in names]).alias("_row"), F.col("text").alias("_text")), benchmark, text="_text", keep=["_row"], **options))
     return found.where(~F.col("contaminated")).select("_row.*")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document against every benchmark item."""
-    found = judged(find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"], matches=False))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    """Every document against every benchmark item. Beyond the contract: the number of longest verbatim matches, the words of the
+    longest one, and a digest of start:words:item:start in the item of all of them, in that order."""
+    found = judged(find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]))
+    place = F.transform("matches", lambda m: F.concat_ws(":", m["start"], m["words"], m["item_id"], m["item_start"]))
+    most = F.coalesce(F.array_max(F.transform("matches", lambda m: m["words"])), F.lit(0).cast("long"))
+    more = [F.size("matches").cast("long").alias("n_matches"), most.alias("longest_match"), F.sha2(F.array_join(place, ","), 256).alias("matches_sha256")]
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", *more)
 
 
 QUERIES = {"op1_decontaminate": op1_decontaminate}
 ORACLES = {
     "op1_decontaminate": r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
-items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
-windows AS (SELECT DISTINCT item_id, m, array_to_string(w[j:j + m - 1], ' ') g FROM (SELECT item_id, w, least(13, len(w)) m, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) j FROM items WHERE len(w) > 0)),
+items AS (SELECT DISTINCT item_id, coalesce(text, '') txt, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
+windows AS (SELECT item_id, txt, m, j, array_to_string(w[j:j + m - 1], ' ') g FROM (SELECT item_id, txt, w, least(13, len(w)) m, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) j FROM items WHERE len(w) > 0)),
 lengths AS (SELECT DISTINCT m FROM windows),
 starts AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') g FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) i FROM words, lengths WHERE len(w) >= m)),
-hits AS (SELECT DISTINCT s.doc_id, s.m, s.i, v.item_id FROM starts s JOIN windows v ON s.m = v.m AND s.g = v.g),
+hits AS (SELECT s.doc_id, s.m, s.i, v.item_id, v.txt, v.j FROM starts s JOIN windows v ON s.m = v.m AND s.g = v.g),
 hit AS (SELECT doc_id, count(DISTINCT p) n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) p FROM (SELECT DISTINCT doc_id, m, i FROM hits)) GROUP BY doc_id),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, txt, i - j ORDER BY i) g FROM hits),
+places AS (SELECT DISTINCT doc_id, min(i) - 1 AS s, max(i) + any_value(m) - min(i) AS n, item_id::VARCHAR x, min(j) - 1 AS k FROM islands GROUP BY doc_id, item_id, txt, i - j, g),
+verbatim AS (SELECT doc_id, count(*) n_matches, max(n) longest_match, string_agg(concat_ws(':', s, n, x, k), ',' ORDER BY s, n, x, k) p FROM places GROUP BY doc_id),
 own AS (SELECT doc_id, count(*) n_items, string_agg(x, ',' ORDER BY x) ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR x FROM hits) GROUP BY doc_id)
 SELECT w.doc_id, len(w.w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items, sha256(coalesce(ids, '')) items_sha256,
-coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.w) contaminated
-FROM words w LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)"""
+coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.w) contaminated,
+coalesce(n_matches, 0)::BIGINT n_matches, coalesce(longest_match, 0)::BIGINT longest_match, sha256(coalesce(p, '')) matches_sha256
+FROM words w LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN verbatim USING (doc_id)"""
 }

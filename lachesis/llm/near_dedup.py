@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, PLACES, WordHashes, append_arrow, mix, raw, shingles, stored, table
+from .common import LOWER, PLACES, WordHashes, append_arrow, mix, raw, require_integer, shingles, stored, table
 
 REGISTERS, ROWS, MANTISSA, SMALL = 72, 3, 10, 400
 BANDS = REGISTERS // ROWS
@@ -276,7 +276,8 @@ def labels_of(links: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "text", salts: int | None = None) -> DataFrame:
     """One row a row of docs: doc_id, n_shingles, component_id, kept. A centre's members go to `salts` tasks at most: as many
-    as a shuffle has, unless set."""
+    as a shuffle has, unless set. doc_id must be an integer."""
+    require_integer(docs, "doc_id")
     threshold = percent / 100
     salts = salts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     made = stored(sketches(docs.select("doc_id", F.col(text).alias("text")), k, threshold, keep=["doc_id"]))

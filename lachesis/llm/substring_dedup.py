@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, raw, stored, table, total_bytes
+from .common import mix, raw, require_integer, stored, table, total_bytes
 
 GRAM, CHUNK, SLICE, MIN_SLICES, HOT = 16, 8 << 20, 8 << 20, 8, 1000
 BLOCK, BITS = 200_000, np.uint64(18)
@@ -55,7 +55,9 @@ def unsqueeze(x: bytes, kind: str | None = None) -> np.ndarray | bytes:
 
 
 def to_chunks(docs: DataFrame, text: str) -> DataFrame:
-    """(chunk, ids, ends, body): documents in order of doc_id inside a chunk, their ends in the joined bytes."""
+    """(chunk, ids, ends, body): documents in order of doc_id inside a chunk, their ends in the joined bytes. doc_id must be an
+    integer."""
+    require_integer(docs, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, held, size = TaskContext.get().partitionId(), 0, [], 0

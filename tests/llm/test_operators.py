@@ -697,3 +697,25 @@ def test_sessions_without_a_folder():
     assert common.shared_dir(Session("local[2]")) == common.shared_dir(Session("local[2]"))
     with pytest.raises(ValueError):
         common.shared_dir(Session("spark://host:7077"))
+
+
+# ---- names and types
+
+
+def test_names_with_dots(spark):
+    """Operators that add columns by Arrow keep columns of any name."""
+    docs = documents(spark, ["one two three four five", None, "x"]).withColumn("a.b", F.col("doc_id") * 2).withColumn("c.d e", F.lit("own"))
+    model = language_mix.train(docs)
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    import public_tokenizers
+
+    for out in (language_mix.infer(docs, model), byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")), quality_model.statistics(docs), decontaminate.find(docs, items)):
+        assert {(r["doc_id"], r["a.b"], r["c.d e"]) for r in out.collect()} == {(i, 2 * i, "own") for i in range(3)}
+
+
+def test_text_ids_are_refused_by_name(spark):
+    docs = spark.createDataFrame([("x", "a b c")], "doc_id string, text string")
+    turns = spark.createDataFrame([("x", 0, "user", "hi")], "conv_id string, turn long, role string, text string")
+    for run, name in ((lambda: near_dedup.components(docs), "doc_id"), (lambda: near_dedup.deduplicated(docs), "doc_id"), (lambda: substring_dedup.to_chunks(docs, "text"), "doc_id"), (lambda: chat.format_turns(turns), "conv_id")):
+        with pytest.raises(TypeError, match=name):
+            run()
