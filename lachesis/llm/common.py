@@ -43,6 +43,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a table that stored() wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def with_fields(schema: T.StructType, fields: str) -> T.StructType:
+    """schema with more fields, given as `name type, ...`."""
+    return T.StructType([*schema.fields, *T.DataType.fromDDL(fields).fields])
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without columns that the operator is about to add, whatever their letter case."""
     low = {n.lower() for n in names}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "chat", "near_dedup", "quality_model", "secrets", "byte_bpe", "language_mix", "substring_dedup", "quality_rules", "sharding"]
+MODULES = ["decontaminate", "chat", "near_dedup", "quality_model", "secrets", "byte_bpe", "language_mix", "substring_dedup", "quality_rules", "sharding", "spelling", "personal", "centroids"]
 
 
 def collect(attribute: str) -> dict:
