@@ -14,16 +14,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw
 from ..sources.io import stored
+from . import linear
 
 MAX_CLUSTERS = 42
 #: Fits that the driver has under way at once; each one is a Spark job of its own.
@@ -38,64 +39,92 @@ def each(tasks: list[Callable[[], object]]) -> list:
         return pool.map(inheritable_thread_target(SparkSession.active())(lambda f: f()), tasks)
 
 
-def dtw(x: np.ndarray, centre: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
-    """Squared dynamic-time-warping distance of two short series, and the warping path."""
-    n, m = len(x), len(centre)
-    cost = np.full((n + 1, m + 1), np.inf)
-    cost[0, 0] = 0
-    d = (x[:, None] - centre[None, :]) ** 2
-    for i in range(n):
-        for j in range(m):
-            cost[i + 1, j + 1] = d[i, j] + min(cost[i, j], cost[i, j + 1], cost[i + 1, j])
-    path, i, j = [], n, m
-    while i and j:
-        path.append((i - 1, j - 1))
-        i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda p: cost[p])
-    return float(cost[n, m]), path
-
-
 def dtw_costs(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     """Squared dynamic-time-warping distances of many series to one centre: one step of the recurrence for all of them at once."""
-    before = np.full((len(x), len(centre) + 1), np.inf)
-    before[:, 0] = 0
+    return warped(x, centre)[-1, -1]
+
+
+def warped(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """The cost of each cell of the warping table, for all series (rows of x) at once: (series' points + 1, centre's points + 1, series)."""
+    cost = np.full((x.shape[1] + 1, len(centre) + 1, len(x)), np.inf)
+    cost[0, 0] = 0
     for i in range(x.shape[1]):
-        now = np.full_like(before, np.inf)
         for j, c in enumerate(centre):
-            now[:, j + 1] = (x[:, i] - c) ** 2 + np.minimum(np.minimum(before[:, j], before[:, j + 1]), now[:, j])
-        before = now
-    return before[:, -1]
+            cost[i + 1, j + 1] = (x[:, i] - c) ** 2 + np.minimum(np.minimum(cost[i, j], cost[i, j + 1]), cost[i + 1, j])
+    return cost
+
+
+def warp_sums(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each point of the centre, the sum of the points that warping paths of all series put on it, and their number. The paths go
+    back together, a step a time, diagonally where costs are equal."""
+    cost, m = warped(x, centre), len(centre)
+    at = np.arange(len(x))
+    i, j = np.full(len(x), x.shape[1]), np.full(len(x), m)
+    sums, count = np.zeros(m), np.zeros(m)
+    while len(at):
+        sums += np.bincount(j - 1, x[at, i - 1], m)
+        count += np.bincount(j - 1, minlength=m)
+        way = np.stack([cost[i - 1, j - 1, at], cost[i - 1, j, at], cost[i, j - 1, at]]).argmin(axis=0)
+        i, j = i - (way != 2), j - (way != 1)
+        on = (i > 0) & (j > 0)
+        at, i, j = at[on], i[on], j[on]
+    return sums, count
+
+
+def correlations_at_shifts(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Cross-correlations of many series with one centre of the same length at all shifts, by one product."""
+    m = len(centre)
+    shifts = np.zeros((m, 2 * m - 1))
+    for k in range(2 * m - 1):
+        p = np.arange(max(0, k - m + 1), min(m, k + 1))
+        shifts[p, k] = centre[p - k + m - 1]
+    return x @ shifts
+
+
+def shape_distances(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Shape-based distances of z-normalised series to a centre: 1 less the largest normalised cross-correlation."""
+    norm = np.linalg.norm(x, axis=1) * np.linalg.norm(centre)
+    return 1 - correlations_at_shifts(x, centre).max(axis=1) / np.where(norm > 0, norm, 1)
+
+
+def shape_moved(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Series moved to the shift with the largest cross-correlation, with zeros where nothing comes from."""
+    m = x.shape[1]
+    k = correlations_at_shifts(x, centre).argmax(axis=1) - (m - 1)
+    place = np.arange(m) + k[:, None]
+    return np.where((place >= 0) & (place < m), np.take_along_axis(x, np.clip(place, 0, m - 1), axis=1), 0.0)
 
 
-def shape_shift(x: np.ndarray, centre: np.ndarray) -> tuple[float, np.ndarray]:
-    """Shape-based distance of two z-normalised series, and x moved to its best place."""
-    c = np.correlate(x, centre, "full")
-    norm = np.linalg.norm(x) * np.linalg.norm(centre) or 1.0
-    k = int(c.argmax()) - (len(centre) - 1)
-    moved = np.zeros_like(x)
-    moved[max(0, -k) : len(x) - max(0, k)] = x[max(0, k) : len(x) - max(0, -k)]
-    return 1 - c.max() / norm, moved
+def znorm(x: np.ndarray) -> np.ndarray:
+    """Series (the last axis) with mean 0 and deviation 1; constant ones are 0."""
+    s = x.std(axis=-1, keepdims=True)
+    return np.where(s > 0, (x - x.mean(axis=-1, keepdims=True)) / np.where(s > 0, s, 1), 0.0)
 
 
-def znorm(x: np.ndarray) -> np.ndarray:
-    s = x.std()
-    return (x - x.mean()) / s if s > 0 else np.zeros_like(x)
+def rows_of(v: list, m: int) -> np.ndarray:
+    return np.array(v, float).reshape(len(v), m)
 
 
 def assigned(df: DataFrame, vector: str, centres: np.ndarray, metric: str, out: str = "cluster") -> DataFrame:
-    """df with the nearest centre; ties go to the first."""
+    """df with the nearest centre; ties go to the first. A null vector, or any without centres, has a null cluster."""
+    if not len(centres):
+        return df.withColumn(out, F.lit(None).cast("int"))
     shared = df.sparkSession.sparkContext.broadcast(centres)
 
     @F.pandas_udf("int")
     def nearest(v: pd.Series) -> pd.Series:
         c = shared.value
-        x = np.array(v.tolist(), float).reshape(len(v), c.shape[1])
+        known = v.notna().to_numpy()
+        x = rows_of(v[known].tolist(), c.shape[1])
         if metric == "euclidean":
             d = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
         elif metric == "dtw":
-            d = np.stack([dtw_costs(x, b) for b in c], axis=1) if len(x) else np.empty((0, len(c)))
+            d = np.stack([dtw_costs(x, b) for b in c], axis=1)
         else:
-            d = np.array([[shape_shift(znorm(a), b)[0] for b in c] for a in x])
-        return pd.Series(d.argmin(axis=1).astype(np.int32))
+            d = np.stack([shape_distances(znorm(x), b) for b in c], axis=1)
+        label = pd.Series(pd.NA, index=v.index, dtype="Int32")
+        label[known] = d.argmin(axis=1)
+        return label
 
     return df.withColumn(out, nearest(F.col(vector)))
 
@@ -107,23 +136,22 @@ def updated(df: DataFrame, vector: str, cluster: str, centres: np.ndarray, metri
     shared = df.sparkSession.sparkContext.broadcast(centres)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {c: np.zeros(m * m + m + 1 if metric == "shape" else 2 * m) for c in range(k)}
+        sums = np.zeros((k, m * m + m + 1 if metric == "shape" else 2 * m))
         for b in batches:
-            for c, v in zip(b.column("c").to_pylist(), b.column("v").to_pylist(), strict=True):
-                x = np.array(v, float)
+            of, every = b.column("c").to_numpy(), rows_of(b.column("v").to_pylist(), m)
+            for c in np.unique(of):
+                x, centre = every[of == c], shared.value[c]
                 if metric == "euclidean":
-                    sums[c][:m] += x
-                    sums[c][m:] += 1
+                    sums[c] += np.concatenate([x.sum(axis=0), np.full(m, len(x))])
                 elif metric == "dtw":
-                    for i, j in dtw(x, shared.value[c])[1]:
-                        sums[c][j] += x[i]
-                        sums[c][m + j] += 1
+                    sums[c] += np.concatenate(warp_sums(x, centre))
                 else:
-                    y = shape_shift(znorm(x), shared.value[c])[1]
-                    sums[c] += np.concatenate([np.outer(y, y).ravel(), y, [1]])
-        yield pa.RecordBatch.from_pylist([{"c": c, "j": j, "s": float(s)} for c in sums for j, s in enumerate(sums[c])], schema=pa.schema([("c", pa.int32()), ("j", pa.int32()), ("s", pa.float64())]))
+                    y = shape_moved(znorm(x), centre)
+                    sums[c] += np.concatenate([(y.T @ y).ravel(), y.sum(axis=0), [len(y)]])
+        cluster, place = np.indices(sums.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(cluster.ravel(), pa.int32()), pa.array(place.ravel(), pa.int32()), pa.array(sums.ravel(), pa.float64())], names=["c", "j", "s"])
 
-    rows = df.select(F.col(cluster).alias("c"), F.col(vector).alias("v")).mapInArrow(add, "c int, j int, s double").groupBy("c", "j").agg(F.sum("s").alias("s")).collect()
+    rows = df.where(F.col(cluster).isNotNull()).select(F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(add, "c int, j int, s double").groupBy("c", "j").agg(F.sum("s").alias("s")).collect()
     total = np.zeros((k, m * m + m + 1 if metric == "shape" else 2 * m))
     for r in rows:
         total[r.c, r.j] = r.s
@@ -147,7 +175,10 @@ def first_centres(df: DataFrame, vector: str, k: int, seed: int) -> np.ndarray:
 
 def fit_clusters(df: DataFrame, vector: str, k: int, metric: str = "euclidean", seed: int = 42, init: np.ndarray | None = None, rounds: int = ROUNDS) -> np.ndarray:
     """Centres of k clusters, fitted until they stay or come back to earlier ones. Without init, Euclidean starts come from
-    MLlib's KMeans and others from a drawn sample."""
+    MLlib's KMeans and others from a drawn sample. Null vectors don't count; no vectors have no centres."""
+    df = df.where(F.col(vector).isNotNull())
+    if df.isEmpty():
+        return np.empty((0, 0))
     if init is None:
         if metric == "euclidean":
             rows = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
@@ -176,8 +207,16 @@ def spherical_bic(df: DataFrame, vector: str, cluster: str) -> float:
 
 def split_search(df: DataFrame, vector: str, metric: str = "euclidean", k_max: int = MAX_CLUSTERS, tol: float = 256, seed: int = 42, rounds: int = ROUNDS) -> DataFrame:
     """Clusters whose number grows: each cluster splits in two where that raises the BIC by more than tol; all are fitted
-    anew, until none splits or k_max is passed. Adds cluster."""
-    data = df.select("*").cache()
+    anew, until none splits or k_max is passed. Adds cluster, null for a null vector; an empty table stays empty."""
+    data = df.where(F.col(vector).isNotNull()).cache()
+    try:
+        return assigned(df, vector, split_centres(data, vector, metric, k_max, tol, seed, rounds), metric)
+    finally:
+        data.unpersist()
+
+
+def split_centres(data: DataFrame, vector: str, metric: str, k_max: int, tol: float, seed: int, rounds: int) -> np.ndarray:
+    """The centres that split_search ends with."""
     centres = fit_clusters(data, vector, 2, metric, seed, rounds=rounds)
     k = 3
     while k <= k_max:
@@ -194,13 +233,14 @@ def split_search(df: DataFrame, vector: str, metric: str = "euclidean", k_max: i
             halves = spherical_bic(assigned(part, vector, two, metric, "_c"), vector, "_c")
             return [*two] if halves - whole > tol else [centres[c]]
 
-        new = [x for own in each([lambda c=c: halved(c) for c in range(len(centres))]) for x in own]
-        labelled.unpersist()
+        try:
+            new = [x for own in each([lambda c=c: halved(c) for c in range(len(centres))]) for x in own]
+        finally:
+            labelled.unpersist()
         if len(new) == len(centres):
             break
         k, centres = len(new), fit_clusters(data, vector, len(new), metric, seed, np.array(new), rounds)
-    data.unpersist()
-    return assigned(df, vector, centres, metric)
+    return centres
 
 
 def xmeans(df: DataFrame, vector: str, metric: str = "euclidean", k_max: int = MAX_CLUSTERS, seed: int = 42) -> DataFrame:
@@ -220,9 +260,16 @@ def log_density(v: Column, mean: np.ndarray, var: np.ndarray, weight: float) ->
 def mixtures(df: DataFrame, vector: str, ks: Iterable[int], seed: int = 42, rounds: int = ROUNDS, tol: float = 1e-4) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, float]]]:
     """Mixtures of Gaussians with diagonal covariance by expectation-maximisation, started from KMeans, for each k: means,
     variances, weights, and log-likelihood, AIC and BIC. One round is one pass for all k that have not converged; each
-    partition sends k * (2 d + 1) + 1 sums a mixture."""
-    data = df.select(F.col(vector).cast("array<double>").alias("v")).cache()
-    ks = list(ks)
+    partition sends k * (2 d + 1) + 1 sums a mixture. Null vectors don't count; without any there are no mixtures."""
+    data = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).cache()
+    try:
+        return {} if data.isEmpty() else mixtures_of(data, list(ks), seed, rounds, tol)
+    finally:
+        data.unpersist()
+
+
+def mixtures_of(data: DataFrame, ks: list[int], seed: int, rounds: int, tol: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, float]]]:
+    """mixtures() of a table (v) that has vectors."""
     fits = dict(zip(ks, each([lambda k=k: fit_clusters(data, "v", k, "euclidean", seed) for k in ks]), strict=True))
     d = next(iter(fits.values())).shape[1]
     spread = data.agg(*[F.var_pop(F.get("v", F.lit(i))) for i in range(d)], F.count(F.lit(1))).first()
@@ -231,7 +278,7 @@ def mixtures(df: DataFrame, vector: str, ks: Iterable[int], seed: int = 42, roun
     like, open_ = dict.fromkeys(now, -np.inf), set(now)
 
     for _ in range(rounds):
-        shared = df.sparkSession.sparkContext.broadcast({k: now[k] for k in open_})
+        shared = data.sparkSession.sparkContext.broadcast({k: now[k] for k in open_})
 
         def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sums = {k: np.zeros(1 + w.size + 2 * m.size) for k, (m, _, w) in shared.value.items()}
@@ -262,14 +309,17 @@ def mixtures(df: DataFrame, vector: str, ks: Iterable[int], seed: int = 42, roun
             break
     else:
         warnings.warn(f"mixtures of {sorted(open_)} did not converge in {rounds} rounds", stacklevel=2)
-    data.unpersist()
     free = {k: w.size - 1 + 2 * m.size for k, (m, _, w) in now.items()}
     return {k: (*now[k], {"log_likelihood": like[k], "aic": -2 * like[k] + 2 * free[k], "bic": -2 * like[k] + free[k] * float(np.log(n))}) for k in now}
 
 
 def mixture_clusters(df: DataFrame, vector: str, k: int, seed: int = 42, rounds: int = ROUNDS, tol: float = 1e-4) -> tuple[DataFrame, dict[str, float]]:
-    """df with the likeliest cluster of a mixture of k, and its log-likelihood, AIC and BIC."""
-    mean, var, weight, score = mixtures(df, vector, [k], seed, rounds, tol)[k]
+    """df with the likeliest cluster of a mixture of k, null for a null vector, and the mixture's log-likelihood, AIC and BIC, NaN without
+    vectors."""
+    fits = mixtures(df, vector, [k], seed, rounds, tol)
+    if not fits:
+        return df.withColumn("cluster", F.lit(None).cast("int")), dict.fromkeys(("log_likelihood", "aic", "bic"), float("nan"))
+    mean, var, weight, score = fits[k]
     v = F.col(vector).cast("array<double>")
     logs = F.array(*[log_density(v, mean[c], var[c], weight[c]) for c in range(len(weight))])
     return df.withColumn("cluster", (F.array_position(logs, F.array_max(logs)) - 1).cast("int")), score
@@ -288,15 +338,13 @@ def vectors(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(df)
 
 
-def lasso_select(df: DataFrame, columns: list[str], target: str, alpha: float = 0.5) -> list[str]:
-    """Columns whose L1 coefficient is zero, on the raw scale."""
-    fit = LinearRegression(labelCol=target, elasticNetParam=1.0, regParam=alpha, standardization=False).fit(vectors(df, columns))
-    return [c for c, b in zip(columns, fit.coefficients, strict=True) if abs(b) < 1e-12]
+#: Boosting rounds of tree models, those that the usual libraries take.
+TREES = 100
 
 
 def model_select(df: DataFrame, columns: list[str], target: str, seed: int = 42) -> list[str]:
     """Columns less important than the mean to a fitted tree model."""
-    fit = GBTRegressor(labelCol=target, maxIter=10, seed=seed).fit(vectors(df, columns))
+    fit = GBTRegressor(labelCol=target, maxIter=TREES, seed=seed).fit(vectors(df, columns))
     weight = fit.featureImportances.toArray()
     return [c for c, w in zip(columns, weight, strict=True) if w < weight.mean()]
 
@@ -309,12 +357,10 @@ def eliminate(df: DataFrame, columns: list[str], target: str, eliminators: list[
     return gone
 
 
-#: Models by name; any MLlib classifier can be passed instead.
-CLASSIFIERS = {
-    "logistic": lambda: LogisticRegression(maxIter=30, regParam=0.01, weightCol="weight"),
-    "boosted": lambda: GBTClassifier(maxIter=10, seed=42, weightCol="weight"),
-    "svc": lambda: LinearSVC(maxIter=20, regParam=0.01, weightCol="weight"),
-}
+#: Linear models by name, with their losses: all fits of a sweep share their passes.
+LINEAR = {"logistic": "logistic", "svc": "squared_hinge"}
+#: Other models by name, a fit of MLlib each.
+CLASSIFIERS = {"boosted": lambda: GBTClassifier(maxIter=TREES, seed=42, weightCol="weight")}
 
 
 #: Rows that one task of a fit takes at least; small tables are fitted by few tasks, whose start would take most of the time.
@@ -343,28 +389,59 @@ def named(out: DataFrame, target: str, model: str, config: str, more: list[Colum
     return out.select(F.lit(model).alias("model"), F.lit(config).alias("config"), *more, "id", "prediction", F.col(target).alias("target"), *([confidence] if confidence else []))
 
 
-def train_classifiers(df: DataFrame, configs: dict[str, list[str]], target: str, fold: str = "fold", models: dict | None = None) -> DataFrame:
-    """Out-of-fold predictions of each model and configuration (a name and its columns): (model, config, fold, id, ...)."""
-    data = stored(df)
+def linear_classifiers(data: DataFrame, test: DataFrame, configs: dict[str, list[str]], target: str, fold: str | None, models: dict[str, str]) -> DataFrame:
+    """Predictions of test by every linear model and configuration, fitted on the rows of data outside a test row's own fold. A
+    target that is no class of 0 and 1 (the larger of two values is 1) is refused."""
+    kind = data.schema[target].dataType
+    classes = sorted(r[0] for r in data.where(F.col(target).isNotNull()).select(target).distinct().limit(3).collect())
+    if len(classes) > 2:
+        raise ValueError(f"{target} has more than two classes")
+    low, high = (classes[0], classes[-1]) if len(classes) == 2 else (0, 1)
+    folds = sorted(r[0] for r in data.select(fold).distinct().collect()) if fold else [None]
+    fits = [linear.Fit((m, c), columns, "_y", loss, out) for m, loss in models.items() for c, columns in configs.items() for out in folds]
+    linear.fit_all(data.withColumn("_y", F.when(F.col(target) == high, 1.0).when(F.col(target) == low, 0.0)), fits, fold)
+    out = linear.predict_all(test, fits, [*([fold] if fold else []), "id", target], fold)
+    name = lambda i: F.get(F.array(*[F.lit(f.key[i]) for f in fits]), F.col("fit"))
+    more = [F.col(fold).alias("fold")] if fold else []
+    label = F.when(F.col("z") > 0, F.lit(high).cast(kind)).otherwise(F.lit(low).cast(kind)).cast("int")
+    return out.select(name(0).alias("model"), name(1).alias("config"), *more, "id", label.alias("prediction"), F.col(target).alias("target"), (1 / (1 + F.exp(-F.col("z")))).alias("confidence"))
+
+
+def joined(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def train_classifiers(df: DataFrame, configs: dict[str, list[str]], target: str, fold: str = "fold", models: dict | None = None, lines: dict[str, str] | None = None) -> DataFrame:
+    """Out-of-fold predictions of each model and configuration (a name and its columns): (model, config, fold, id, ...). Linear models
+    (`lines`: names and losses) are fitted together, whatever the number of folds and configurations; each of the others
+    (`models`, makers of MLlib classifiers) is a fit of its own."""
+    data, lines, models = stored(df), LINEAR if lines is None else lines, CLASSIFIERS if models is None else models
     folds = sorted(r[0] for r in data.select(fold).distinct().collect())
     tasks = [
         (data.where(F.col(fold) != f), data.where(F.col(fold) == f), lambda a, b, m=m, name=name, config=config, columns=columns: named(fit_predict(a, b, columns, target, m), target, name, config, [F.col(fold).alias("fold")], "confidence"))
-        for name, m in (models or CLASSIFIERS).items() for config, columns in configs.items() for f in folds
+        for name, m in models.items() for config, columns in configs.items() for f in folds
     ]
-    return predictions(tasks)
+    return joined([linear_classifiers(data, data, configs, target, fold, lines)] * bool(lines) + [predictions(tasks)] * bool(tasks))
 
 
-def train_holdout_sweep(train: DataFrame, test: DataFrame, configs: dict[str, list[str]], target: str, models: dict | None = None) -> DataFrame:
-    train, test = stored(train), stored(test)
-    tasks = [(train, test, lambda a, b, m=m, name=name, config=config, columns=columns: named(fit_predict(a, b, columns, target, m), target, name, config, [], "confidence")) for name, m in (models or CLASSIFIERS).items() for config, columns in configs.items()]
-    return predictions(tasks)
+def train_holdout_sweep(train: DataFrame, test: DataFrame, configs: dict[str, list[str]], target: str, models: dict | None = None, lines: dict[str, str] | None = None) -> DataFrame:
+    """The same on a given pair of tables instead of folds."""
+    train, test, lines, models = stored(train), stored(test), LINEAR if lines is None else lines, CLASSIFIERS if models is None else models
+    tasks = [(train, test, lambda a, b, m=m, name=name, config=config, columns=columns: named(fit_predict(a, b, columns, target, m), target, name, config, [], "confidence")) for name, m in models.items() for config, columns in configs.items()]
+    return joined([linear_classifiers(train, test, configs, target, None, lines)] * bool(lines) + [predictions(tasks)] * bool(tasks))
+
+
+#: Models beside the linear one by name, each made for a target column.
+REGRESSORS = {"boosted": lambda t: GBTRegressor(labelCol=t, maxIter=TREES, seed=42)}
 
 
-#: Models by name, each made for a target column.
-REGRESSORS = {
-    "linear": lambda t: LinearRegression(labelCol=t, regParam=0.01),
-    "boosted": lambda t: GBTRegressor(labelCol=t, maxIter=10, seed=42),
-}
+def linear_regressors(train: DataFrame, test: DataFrame, configs: dict[str, tuple[list[str], str]]) -> DataFrame:
+    """Predictions of test by a linear model of each configuration: all of them from two passes over train."""
+    fits = linear.fit_all(train, [linear.Fit((c,), columns, target, "squared") for c, (columns, target) in configs.items()])
+    targets = [*dict.fromkeys(t for _, t in configs.values())]
+    out = linear.predict_all(test, fits, ["id", *targets])
+    own = F.coalesce(*[F.when(F.col("fit") == i, F.col(f.target).cast("double")) for i, f in enumerate(fits)])
+    return out.select(F.lit("linear").alias("model"), F.get(F.array(*[F.lit(c) for c in configs]), F.col("fit")).alias("config"), "id", F.col("z").alias("prediction"), own.alias("target"))
 
 
 def train_regressors(train: DataFrame, test: DataFrame, configs: dict[str, tuple[list[str], str]]) -> DataFrame:
@@ -375,4 +452,4 @@ def train_regressors(train: DataFrame, test: DataFrame, configs: dict[str, tuple
         return lambda a, b: model(target).fit(vectors(a, columns).select("features", target).coalesce(-(-a.count() // ROWS_A_TASK) or 1)).transform(vectors(b, columns)).withColumn("_target", F.col(target).cast("double"))
 
     tasks = [(train, test, lambda a, b, f=fitted(m, columns, target), name=name, config=config: named(f(a, b), "_target", name, config, [], None)) for name, m in REGRESSORS.items() for config, (columns, target) in configs.items()]
-    return predictions(tasks)
+    return joined([linear_regressors(train, test, configs), predictions(tasks)])

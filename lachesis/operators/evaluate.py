@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 from math import erfc, sqrt
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw
-from .ranks import attach, quantiles, range_bounds, range_of, running_totals
+from .ranks import attach, quantiles, running_totals
 from .series import KEYS, ordered
 
 CLASSES = ["CR", "PR", "SD", "PD"]
@@ -43,9 +42,26 @@ def majority_label(df: DataFrame, key: str, label: str) -> DataFrame:
     return n.groupBy(key).agg(F.min_by(label, F.struct(-F.col("n"), F.col(label))).alias(label))
 
 
-def filter_small_clusters(df: DataFrame, cluster: str, least: int) -> DataFrame:
-    big = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-    return df.join(big.select(cluster), cluster, "left_semi")
+def cluster_sizes(df: DataFrame, cluster: str, least: int | None = None) -> DataFrame:
+    """(cluster, n, least, kept): each cluster's members and whether they are enough; without `least`, the Cochran size of the table's own
+    number of rows is needed."""
+    n = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
+    if least is not None:
+        return n.withColumn("least", F.lit(least).cast("long")).withColumn("kept", F.col("n") >= F.col("least"))
+    # One row.
+    need = n.agg(cochran_sample_size(F.sum("n")).alias("least"))
+    return n.crossJoin(F.broadcast(need)).withColumn("kept", F.col("n") >= F.col("least"))
+
+
+def filter_small_clusters(df: DataFrame, cluster: str, least: int | None = None) -> DataFrame:
+    """Rows of clusters with at least `least` members, or with the Cochran size of the table's own number of rows. Which clusters went
+    is told by removed_clusters."""
+    return df.join(cluster_sizes(df, cluster, least).where("kept").select(cluster), cluster, "left_semi")
+
+
+def removed_clusters(df: DataFrame, cluster: str, least: int | None = None) -> DataFrame:
+    """(cluster, n, least) of the clusters that filter_small_clusters takes out."""
+    return cluster_sizes(df, cluster, least).where("not kept").select(cluster, "n", "least")
 
 
 def cochran_sample_size(n: Column, z: float = 1.65, e: float = 0.1, p: float = 0.5) -> Column:
@@ -266,15 +282,6 @@ def fold_table(df: DataFrame, by: list[str], metrics: list[str], folds: list[int
     return df.groupBy(*by).agg(*[x for m in metrics for x in each(m)])
 
 
-def all_pairs(df: DataFrame, by: list[str], side: str, keys: list[str]) -> DataFrame:
-    """Aligned predictions of every two values of `side`, as models of a configuration or configurations of a model: (by, pair,
-    keys, target, confidence_a, confidence_b), where a comes before b. A prediction meets the others of its own key, as many
-    as there are values of side."""
-    one = lambda x: df.select(*by, *keys, "target", F.col(side).alias(f"_{x}"), F.col("prediction").alias(f"prediction_{x}"), F.col("confidence").alias(f"confidence_{x}"))
-    both = one("a").join(one("b").drop("target"), [*by, *keys]).where(F.col("_a") < F.col("_b"))
-    return both.withColumn("pair", F.concat_ws(" / ", F.col("_a").cast("string"), F.col("_b").cast("string"))).drop("_a", "_b")
-
-
 def metric_pairs(df: DataFrame, by: list[str], side: str, fold: str, metric: str) -> DataFrame:
     """Every two values of `side` by fold: (by, pair, fold, a, b), for wilcoxon_folds."""
     one = lambda x: df.select(*by, fold, F.col(side).alias(f"_{x}"), F.col(metric).alias(x))
@@ -290,16 +297,6 @@ def roc_curve(df: DataFrame, by: list[str], positive: Column, score: str = "conf
     return n.select(*by, F.col(score).alias("threshold"), rate("q").alias("fpr"), rate("p").alias("tpr"))
 
 
-def auc_of_counts(n: DataFrame, by: list[str], score: str, p: str = "p", q: str = "q", part: str = "_range") -> DataFrame:
-    """(by, auc) from positives and negatives of each score: a positive beats the negatives below it and half the equal ones.
-    `part` is the score's range, which grows with the score, so only one range's scores are sorted at a time."""
-    below = F.coalesce(F.sum(q).over(Window.partitionBy(*by, part).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = n.withColumn("_w", F.col(p) * (below + F.col(q) / 2)).groupBy(*by, part).agg(F.sum("_w").alias("_w"), F.sum(p).alias("_p"), F.sum(q).alias("_q"))
-    earlier = F.coalesce(F.sum("_q").over(Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = each.withColumn("_w", F.col("_w") + F.col("_p") * earlier)
-    return each.groupBy(*by).agg((F.sum("_w") / F.nullif(F.sum("_p") * F.sum("_q"), F.lit(0))).alias("auc"))
-
-
 def roc_auc(df: DataFrame, by: list[str], positive: Column, score: str = "confidence") -> DataFrame:
     """Rank AUC with half for ties; null where a class is missing. Scores are ranked in two levels."""
     n = df.groupBy(*by, score).agg(F.count(F.when(positive, 1)).alias("p"), F.count(F.when(~positive, 1)).alias("q"))
@@ -307,56 +304,6 @@ def roc_auc(df: DataFrame, by: list[str], positive: Column, score: str = "confid
     return n.groupBy(*by).agg((F.sum("_w") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
 
 
-def numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Adds i = 0.. inside each group and its size n. Two levels: places among the rows with one value of the first order column
-    (of a string: with its first seven bytes), and the rows of its smaller values."""
-    first = F.col(order[0])
-    if df.schema[order[0]].dataType.typeName() == "string":
-        first = F.conv(F.rpad(F.hex(F.substring(first.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
-    rows = df.withColumn("_k", first)
-    counts = rows.groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = running_totals(counts, by, "_k", ["_n"]).select(*by, "_k", F.col("before__n").alias("_before"), F.col("all__n").alias("n"))
-    inside = F.row_number().over(Window.partitionBy(*by, "_k").orderBy(*order)) - 1
-    return attach(rows, ahead, [*by, "_k"]).withColumn("i", inside + F.col("_before")).drop("_before", "_k")
-
-
-def bootstrap_auc_ci(df: DataFrame, by: list[str], order: list[str], replicates: int = 1000, seed: int = 0, flip: bool = False) -> DataFrame:
-    """2.5 and 97.5 percentiles and mean of AUC over resamples with replacement, each draw by MD5 of (seed, replicate, place).
-    flip takes the other class as positive and 1 - confidence.
-
-    Draws are counted by (replicate, place) before they meet the predictions, and by score after, so the ranking of a
-    replicate goes over its distinct scores, range by range."""
-    rows = numbered(df, by, order).select(*by, "i", "n", (F.col("target") == (0 if flip else 1)).alias("pos"), (1 - F.col("confidence") if flip else F.col("confidence")).alias("score"))
-    rows = attach(rows, range_bounds(rows, by, "score"), by, "left").withColumn("_range", range_of("score")).drop("_bounds")
-    size = rows.groupBy(*by).agg(F.max("n").alias("n"))
-    draws = size.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    taken = draws.groupBy(*by, "rep", F.pmod(draw(seed, F.col("rep"), F.col("j")), F.col("n")).alias("i")).agg(F.count(F.lit(1)).alias("times"))
-    both = taken.join(rows.drop("n"), [*by, "i"])
-    n = both.groupBy(*by, "rep", "_range", "score").agg(F.sum(F.when(F.col("pos"), F.col("times")).otherwise(0)).alias("p"), F.sum(F.when(~F.col("pos"), F.col("times")).otherwise(0)).alias("q"))
-    auc = auc_of_counts(n, [*by, "rep"], "score").where("auc is not null")
-    return auc.groupBy(*by).agg(F.percentile("auc", F.lit(0.025)).alias("low"), F.percentile("auc", F.lit(0.975)).alias("high"), F.avg("auc").alias("mean"))
-
-
-def permutation_test_auc(aligned: DataFrame, by: list[str], ids: list[str], replicates: int = 1000, seed: int = 0) -> DataFrame:
-    """Observed difference of two AUCs and the share of label swaps with at least that difference. Rows (by, ids, target,
-    confidence_a, confidence_b); the coin of a row is an MD5 bit of (seed, replicate, ids). Replicate -1 swaps nothing."""
-    names = ["confidence_a", "confidence_b"]
-    bounds = range_bounds(aligned.select(*by, F.explode(F.array(*names)).alias("_score")), by, "_score")
-    side = lambda c: F.struct(F.col(c).alias("score"), range_of(c).alias("_range"))
-    rows = attach(aligned, bounds, by, "left").select(*by, *ids, "target", *[side(c).alias(c) for c in names])
-    rows = rows.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
-    swap = (F.col("rep") >= 0) & (draw(seed, F.col("rep"), *[F.col(c) for c in ids]) % 2 == 1)
-    a, b = (F.when(swap, F.col(y)).otherwise(F.col(x)) for x, y in (names, names[::-1]))
-    sides = F.array(F.struct(F.lit("a").alias("side"), a.alias("s")), F.struct(F.lit("b").alias("side"), b.alias("s")))
-    each = rows.select(*by, "rep", "target", F.explode(sides).alias("e")).select(*by, "rep", "target", "e.side", "e.s.*")
-    n = each.groupBy(*by, "rep", "side", "_range", "score").agg(F.count(F.when(F.col("target") == 1, 1)).alias("p"), F.count(F.when(F.col("target") != 1, 1)).alias("q"))
-    auc = auc_of_counts(n, [*by, "rep", "side"], "score")
-    diff = auc.groupBy(*by, "rep").agg((F.max(F.when(F.col("side") == "a", F.col("auc"))) - F.max(F.when(F.col("side") == "b", F.col("auc")))).alias("d"))
-    seen = diff.where("rep = -1").select(*by, F.col("d").alias("difference"))
-    test = diff.where("rep >= 0").join(F.broadcast(seen), by) if by else diff.where("rep >= 0").crossJoin(F.broadcast(seen))
-    return test.groupBy(*by, "difference").agg(F.avg((F.abs("d") >= F.abs("difference") - 1e-12).cast("double")).alias("p_value"))
-
-
 def signed_rank_p(n: int, statistic: float) -> float:
     """Two-sided exact p of the signed-rank statistic for n untied differences, by the count of subsets of 1..n."""
     ways = [1]
@@ -388,14 +335,6 @@ def wilcoxon_folds(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return s.select(*by, stat.alias("statistic"), "n", p_value("n", stat, "ties").alias("p_value"))
 
 
-def correlated_features(df: DataFrame, columns: list[str], threshold: float = 0.9) -> DataFrame:
-    """Columns with an absolute correlation above the threshold to an earlier one: all pairs in one aggregation."""
-    pairs = list(combinations(range(len(columns)), 2))
-    row = df.agg(*[F.corr(columns[i], columns[j]).alias(f"r_{i}_{j}") for i, j in pairs])
-    rows = F.array(*[F.struct(F.lit(columns[i]).alias("kept"), F.lit(columns[j]).alias("feature"), F.col(f"r_{i}_{j}").alias("r")) for i, j in pairs])
-    return row.select(F.explode(rows).alias("x")).select("x.*").where(F.abs("r") > threshold).groupBy("feature").agg(F.max(F.abs("r")).alias("max_r"))
-
-
 def cluster_errors(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     """(cluster, n, sse, size of a vector): squared distances to the centroid, as sums of squares less n times the square
     of the mean, by element."""
@@ -417,7 +356,8 @@ def cluster_bic_aic(df: DataFrame, vector: str, cluster: str) -> DataFrame:
 
 
 def davies_bouldin(df: DataFrame, vector: str, cluster: str) -> DataFrame:
-    """One row: the mean over clusters of the worst (spread + spread) / distance. Centroids are as many as clusters."""
+    """One row: the mean over clusters of the worst (spread + spread) / distance. Centroids are as many as clusters. Clusters whose
+    centroids coincide are not held against each other; one that is left with none doesn't count."""
     each = df.select(F.col(cluster).alias("c"), F.posexplode(vector).alias("j", "v"))
     mean = each.groupBy("c", "j").agg(F.avg(F.col("v").cast("double")).alias("m"))
     centre = mean.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "m"))), lambda x: x["m"]).alias("centre"))
@@ -425,7 +365,7 @@ def davies_bouldin(df: DataFrame, vector: str, cluster: str) -> DataFrame:
     spread = df.select(F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("v")).join(centre, "c").groupBy("c").agg(F.avg(far(F.col("v"), F.col("centre"))).alias("s"))
     both = centre.join(spread, "c")
     a, b = both.select(F.col("c").alias("ca"), F.col("centre").alias("ma"), F.col("s").alias("sa")), both.select(F.col("c").alias("cb"), F.col("centre").alias("mb"), F.col("s").alias("sb"))
-    worst = a.crossJoin(b).where("ca <> cb").groupBy("ca").agg(F.max((F.col("sa") + F.col("sb")) / far(F.col("ma"), F.col("mb"))).alias("w"))
+    worst = a.crossJoin(b).where("ca <> cb").groupBy("ca").agg(F.max(F.try_divide(F.col("sa") + F.col("sb"), far(F.col("ma"), F.col("mb")))).alias("w"))
     return worst.agg(F.avg("w").alias("davies_bouldin"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import centroid_distance, sphere_diameter
+from ..sources.io import stored
 
 STUDY = ["patient_id", "study"]
 MAX_DISTANCE = 6.0
@@ -21,14 +22,39 @@ def observations(voxels: DataFrame, spacing: tuple[float, float, float] = (1.0,
     return voxels.groupBy(*STUDY, "obs").agg((F.count(F.lit(1)) * size).alias("volume"), *[F.avg(c).alias(f"c{c}") for c in "xyz"])
 
 
-def lesion_overlap(voxels: DataFrame, max_gap: int | None = None) -> DataFrame:
-    """Shared voxels of two observations of a patient in an earlier study a and a later study b: an equi-join on the
-    voxel, so a patient's studies meet only where their voxels do; max_gap bounds how far apart studies are."""
-    side = lambda s: voxels.select("patient_id", "x", "y", "z", F.col("study").alias(f"study_{s}"), F.col("obs").alias(f"obs_{s}"))
-    pairs = side("a").join(side("b"), ["patient_id", "x", "y", "z"]).where(F.col("study_a") < F.col("study_b"))
+def lesion_runs(voxels: DataFrame) -> DataFrame:
+    """Voxels as runs of neighbouring x: (patient_id, study, obs, y, z, x0, x1). A voxel given twice counts once."""
+    line = ["patient_id", "study", "obs", "y", "z"]
+    run = F.col("x") - F.dense_rank().over(Window.partitionBy(*line).orderBy("x"))
+    return voxels.select(*line, "x", run.alias("_run")).groupBy(*line, "_run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_run")
+
+
+def lesion_overlap(voxels: DataFrame, max_gap: int | None = None, max_back: int | None = None) -> DataFrame:
+    """Shared voxels of two observations of a patient in an earlier study a and a later study b. Runs of voxels meet on their line
+    (patient, y, z), so a patient is dealt over its lines, and each two runs count their common length.
+
+    max_gap bounds the difference of two studies' numbers, max_back how many studies of the patient lie from b back to a; studies
+    are then dealt by blocks of that many, and a run meets those of its own block and the one before only."""
+    runs = lesion_runs(voxels)
+    place, bound = F.col("study"), max_gap
+    if max_back is not None:
+        studies = voxels.select("patient_id", "study").distinct()
+        studies = studies.withColumn("_place", F.row_number().over(Window.partitionBy("patient_id").orderBy("study")).cast("long"))
+        runs, place, bound = runs.join(studies, ["patient_id", "study"]), F.col("_place"), max_back
+    else:
+        runs = runs.withColumn("_place", place.cast("long") if bound is not None else F.lit(0).cast("long"))
+    block = F.floor(F.col("_place") / (bound + 1)) if bound is not None else F.lit(0)
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("study", "obs", "x0", "x1", "_place")]
+    a = runs.select("patient_id", "y", "z", *side("a"), F.explode(F.array(block, block + 1) if bound is not None else F.array(block)).alias("_block"))
+    b = runs.select("patient_id", "y", "z", *side("b"), block.alias("_block"))
+    fits = (F.col("study_a") < F.col("study_b")) & (F.col("x0_a") <= F.col("x1_b")) & (F.col("x0_b") <= F.col("x1_a"))
     if max_gap is not None:
-        pairs = pairs.where(F.col("study_b") - F.col("study_a") <= max_gap)
-    return pairs.groupBy("patient_id", "study_a", "obs_a", "study_b", "obs_b").agg(F.count(F.lit(1)).alias("overlap"))
+        fits &= F.col("study_b") - F.col("study_a") <= max_gap
+    if max_back is not None:
+        fits &= F.col("_place_b") - F.col("_place_a") <= max_back
+    common = F.least("x1_a", "x1_b") - F.greatest("x0_a", "x0_b") + 1
+    pairs = a.join(b, ["patient_id", "y", "z", "_block"]).where(fits)
+    return pairs.groupBy("patient_id", "study_a", "obs_a", "study_b", "obs_b").agg(F.sum(common).cast("long").alias("overlap"))
 
 
 def correspondence_metrics(obs: DataFrame, overlap: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), max_gap: int | None = None) -> DataFrame:
@@ -153,38 +179,113 @@ def track_lesions(obs: DataFrame, overlap: DataFrame) -> DataFrame:
 
 
 def match_report(matches: DataFrame, tracked: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per patient, from best matches (patient_id, lesion, label) of tracked lesions against labels: lists of matched
-    lesions, of further lesions on a label that has one (ambiguous), and of those without a partner on either side."""
-    w = Window.partitionBy("patient_id", "label").orderBy("lesion")
-    ranked = matches.select("patient_id", "lesion", "label").withColumn("n", F.row_number().over(w))
-    lost = tracked.join(matches, ["patient_id", "lesion"], "left_anti").select("patient_id", F.lit("unmatched_lesions").alias("kind"), F.col("lesion").cast("string").alias("name"))
-    free = labels.join(matches, ["patient_id", "label"], "left_anti").select("patient_id", F.lit("unmatched_labels").alias("kind"), F.col("label").cast("string").alias("name"))
-    found = ranked.select("patient_id", F.when(F.col("n") == 1, "matched").otherwise("ambiguous").alias("kind"), F.concat_ws(">", "lesion", "label").alias("name"))
-    kinds = ["matched", "ambiguous", "unmatched_lesions", "unmatched_labels"]
-    rows = found.unionByName(lost).unionByName(free)
-    lists = [F.array_join(F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("name")))), ",").alias(k) for k in kinds]
-    return rows.groupBy("patient_id").agg(*lists, *[F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in kinds])
+    """One row a patient of tracked (patient_id, lesion, is_empty: at its first study) or labels (patient_id, label), from the best
+    matches (patient_id, lesion, label) of tracked lesions:
+
+    labels_in_gt (labels of the truth), parsed_mets and t0_nonzero_parsed_mets (tracked lesions, and those with a mask at first),
+    matched_mets (label: its first lesion), unmatched_parsed_mets, unmatched_gt_mets, ambiguous_parsed_matches (label: its lesions, where it
+    has more than one), and t0_zero_mets: the lesions of a patient with an empty truth, which count as neither matched nor unmatched."""
+    known = tracked.select("patient_id", "lesion", F.coalesce("is_empty", F.lit(False)).alias("is_empty")).distinct()
+    truth = labels.select("patient_id", "label").distinct()
+    found = matches.select("patient_id", "lesion", "label").distinct().join(truth, ["patient_id", "label"], "left_semi")
+    own = found.groupBy("patient_id", "label").agg(F.sort_array(F.collect_list("lesion")).alias("lesions"))
+    by_label = truth.join(own, ["patient_id", "label"], "left").groupBy("patient_id").agg(
+        F.count(F.lit(1)).alias("labels_in_gt"),
+        F.sort_array(F.collect_list(F.when(F.col("lesions").isNotNull(), F.struct("label", F.get("lesions", F.lit(0)).alias("lesion"))))).alias("_matched"),
+        F.sort_array(F.collect_list(F.when(F.size("lesions") > 1, F.struct("label", "lesions")))).alias("_ambiguous"),
+        F.sort_array(F.collect_list(F.when(F.col("lesions").isNull(), F.col("label")))).alias("unmatched_gt_mets"),
+    )
+    has = found.select("patient_id", "lesion", F.lit(True).alias("_has")).distinct()
+    by_lesion = known.join(has, ["patient_id", "lesion"], "left").groupBy("patient_id").agg(
+        F.count(F.lit(1)).alias("parsed_mets"), F.count(F.when(~F.col("is_empty"), 1)).alias("t0_nonzero_parsed_mets"), F.sort_array(F.collect_list(F.when(F.col("_has").isNull(), F.col("lesion")))).alias("_lost")
+    )
+    both = by_lesion.join(by_label, "patient_id", "full")
+    empty = F.col("labels_in_gt").isNull()
+    none = lambda df, c: F.array().cast(df.schema[c].dataType)
+    lost = F.coalesce("_lost", none(by_lesion, "_lost"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    maps = [F.map_from_entries(F.coalesce(c, none(by_label, c))).alias(n) for c, n in (("_matched", "matched_mets"), ("_ambiguous", "ambiguous_parsed_matches"))]
+    unlabelled = F.coalesce("unmatched_gt_mets", none(by_label, "unmatched_gt_mets")).alias("unmatched_gt_mets")
+    nothing = none(by_lesion, "_lost")
+    return both.select("patient_id", zero("labels_in_gt"), zero("parsed_mets"), zero("t0_nonzero_parsed_mets"), maps[0], F.when(empty, nothing).otherwise(lost).alias("unmatched_parsed_mets"), unlabelled, maps[1], F.when(empty, lost).otherwise(nothing).alias("t0_zero_mets"))
+
+
+def match_totals(report: DataFrame) -> DataFrame:
+    """One row: patients, labels and lesions of a match report, matched pairs, those without a partner on either side, lesions without a
+    truth, labels with several lesions, and how the numbers of labels and of lesions with a mask differ."""
+    n = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("long")
+    gap = F.col("labels_in_gt") - F.col("t0_nonzero_parsed_mets")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    sizes = {"matched": "matched_mets", "unmatched_gt": "unmatched_gt_mets", "unmatched_parsed": "unmatched_parsed_mets", "t0_zero": "t0_zero_mets", "ambiguous": "ambiguous_parsed_matches"}
+    return report.agg(
+        F.count(F.lit(1)).alias("patients"), total("labels_in_gt").alias("labels"), total("t0_nonzero_parsed_mets").alias("parsed"), *[n(c).alias(k) for k, c in sizes.items()],
+        total(F.when(gap < 0, -gap)).alias("surplus"), F.count(F.when(gap == 0, 1)).alias("equal"), total(F.when(gap > 0, gap)).alias("missed"),
+    )
+
+
+#: Voxels of the grid of a distance transform: a task holds a few arrays of this size, of two bytes a voxel.
+MOST_GRID = 1 << 27
+
+
+def along(d: np.ndarray, axis: int) -> np.ndarray:
+    """One pass of the chessboard distance: at each place the least, over all places of its line, of the larger of d there and the steps
+    to it. The minimum over a window that grows by a step on both sides meets the number of steps."""
+    d = np.moveaxis(d, axis, 0)
+    out, low, r = d.copy(), d.copy(), 0
+    while r < out.max(initial=0):
+        r += 1
+        wide = low.copy()
+        np.minimum(wide[1:], low[:-1], out=wide[1:])
+        np.minimum(wide[:-1], low[1:], out=wide[:-1])
+        low = wide
+        np.minimum(out, np.maximum(low, r), out=out)
+        if r >= len(d):
+            break
+    return np.moveaxis(out, 0, axis)
+
+
+def distance_transform(atlas: DataFrame, box: list[tuple[int, int]]) -> DataFrame:
+    """(label, y, z, d): for each label of atlas (x, y, z, label) and each line of the box (lowest and highest x, y and z), the
+    chessboard distances to the label from the lowest x on. A task makes one label's grid by a pass each over x, y and z."""
+    low, shape = [b[0] for b in box], [b[1] - b[0] + 1 for b in box]
+    if np.prod([float(n) for n in shape]) > MOST_GRID:
+        raise ValueError(f"the places lie in a grid of {shape}, more than {MOST_GRID} voxels")
+    label = atlas.schema["label"].dataType.simpleString()
+    far = max(shape)
+
+    def transform(group: pa.Table) -> pa.Table:
+        d = np.full(shape, far, np.int16 if far < 1 << 15 else np.int32)
+        d[tuple(group.column(c).to_numpy().astype(np.int64) - o for c, o in zip("xyz", low, strict=True))] = 0
+        for axis in range(3):
+            d = along(d, axis)
+        lines = d.transpose(1, 2, 0).reshape(-1, shape[0])
+        y, z = np.divmod(np.arange(len(lines)), shape[2])
+        ends = pa.array(np.arange(len(lines) + 1, dtype=np.int32) * shape[0])
+        values = pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(lines).ravel().astype(np.int32)))
+        of = pa.array([group.column("label")[0].as_py()] * len(lines), group.schema.field("label").type)
+        return pa.table({"label": of, "y": pa.array(y + low[1], pa.int32()), "z": pa.array(z + low[2], pa.int32()), "d": values})
+
+    return atlas.select("label", "x", "y", "z").groupBy("label").applyInArrow(transform, f"label {label}, y int, z int, d array<int>")
 
 
 def locate_region(voxels: DataFrame, atlas: DataFrame, key: list[str], targets: list[int] | None = None) -> DataFrame:
     """The target region with most of a lesion's voxels (ties to the smaller label); a lesion without any takes the region
     with the smallest mean distance, where the distance of a voxel is its Chebyshev distance to the region.
 
-    The fallback meets region voxels by label through their bounding rows (y, z), of which an atlas has a fixed number; it
-    runs for lesions without overlap only."""
+    Distances come from one transform of the atlas, made once a label over the grid of the atlas and of the lesions without
+    overlap, and are looked up by line; lesions are never held against region voxels."""
     aim = atlas.where(F.col("label").isin(targets)) if targets else atlas.where(F.col("label") > 0)
     w = Window.partitionBy(*key).orderBy(F.desc("n"), "label")
     hit = voxels.join(aim, ["x", "y", "z"]).groupBy(*key, "label").agg(F.count(F.lit(1)).alias("n")).withColumn("_r", F.row_number().over(w)).where("_r = 1")
     hit = hit.select(*key, F.col("label").alias("region"), F.lit(True).alias("overlaps"))
-    rest = voxels.join(hit, key, "left_anti")
-    # A region row is every x of a label at one (y, z), as its spans of neighbouring x.
-    row = Window.partitionBy("label", "y", "z").orderBy("x")
-    spans = aim.withColumn("_g", F.col("x") - F.row_number().over(row)).groupBy("label", F.col("y").alias("ry"), F.col("z").alias("rz"), "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    dx = F.greatest(F.col("x0") - F.col("x"), F.col("x") - F.col("x1"), F.lit(0))
-    # Distances are worked out once a place: places and region rows are both bounded by the atlas.
-    places = rest.select("x", "y", "z").distinct().crossJoin(F.broadcast(spans)).withColumn("d", F.greatest(dx, F.abs(F.col("y") - F.col("ry")), F.abs(F.col("z") - F.col("rz"))))
-    far = places.groupBy("x", "y", "z", "label").agg(F.min("d").alias("d"))
-    near = rest.join(far, ["x", "y", "z"]).groupBy(*key, "label").agg(F.avg("d").alias("d"))
+    rest = stored(voxels.select(*key, "x", "y", "z").join(hit, key, "left_anti"))
+    ends = aim.select("x", "y", "z").unionByName(rest.select("x", "y", "z")).agg(*[f(c) for c in "xyz" for f in (F.min, F.max)]).first()
+    if ends[0] is None or rest.isEmpty():
+        return hit
+    box = [(ends[i], ends[i + 1]) for i in (0, 2, 4)]
+    lines = distance_transform(aim, box).join(rest.select("y", "z").distinct(), ["y", "z"], "left_semi")
+    far = rest.join(lines, ["y", "z"]).withColumn("_d", F.get("d", F.col("x") - box[0][0]))
+    near = far.groupBy(*key, "label").agg(F.avg("_d").alias("d"))
     w = Window.partitionBy(*key).orderBy("d", "label")
     near = near.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*key, F.col("label").alias("region"), F.lit(False).alias("overlaps"))
     return hit.unionByName(near)

@@ -6,11 +6,14 @@ each series' first timestamp by exact microsecond arithmetic, so fractional step
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import DAY_US, days_between, interpolate_linear, response
 from .series import KEYS
@@ -97,36 +100,60 @@ def resample_linear(series: DataFrame, timeframe: float = 360, timepoints: int =
 
 
 def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cubic interpolating spline through at least four points; its third derivative does not jump at the second and the
-    last but one point."""
-    n, h, d = len(x), np.diff(x), np.diff(y) / np.diff(x)
-    m, r = np.zeros((n, n)), np.zeros(n)
-    for i in range(1, n - 1):
-        m[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        r[i] = 6 * (d[i] - d[i - 1])
-    m[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    m[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    s = np.linalg.solve(m, r)
-    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, n - 2)
-    t, u, w = at - x[k], x[k + 1] - at, h[k]
-    return (s[k] * u**3 + s[k + 1] * t**3) / (6 * w) + (y[k] / w - s[k] * w / 6) * u + (y[k + 1] / w - s[k + 1] * w / 6) * t
+    """Cubic interpolating splines through many series of the same number of points, at least four (rows of x and y), at the places
+    `at`; the third derivative does not jump at the second and the last but one point.
+
+    The end conditions give the first and the last second derivative from their neighbours, which leaves three bands: one
+    elimination from left to right and back, for all series at once."""
+    h = np.diff(x, axis=1)
+    d = np.diff(y, axis=1) / h
+    low, mid, high, r = h[:, :-1].copy(), 2 * (h[:, :-1] + h[:, 1:]), h[:, 1:].copy(), 6 * np.diff(d, axis=1)
+    a, b, y0, y1 = h[:, 0], h[:, 1], h[:, -1], h[:, -2]
+    mid[:, 0] += a * (a + b) / b
+    high[:, 0] -= a * a / b
+    mid[:, -1] += y0 * (y0 + y1) / y1
+    low[:, -1] -= y0 * y0 / y1
+    n = mid.shape[1]
+    for i in range(1, n):
+        w = low[:, i] / mid[:, i - 1]
+        mid[:, i] -= w * high[:, i - 1]
+        r[:, i] -= w * r[:, i - 1]
+    s = np.empty_like(x)
+    s[:, n] = r[:, n - 1] / mid[:, n - 1]
+    for i in range(n - 1, 0, -1):
+        s[:, i] = (r[:, i - 1] - high[:, i - 1] * s[:, i + 1]) / mid[:, i - 1]
+    s[:, 0] = ((a + b) * s[:, 1] - a * s[:, 2]) / b
+    s[:, -1] = ((y0 + y1) * s[:, -2] - y0 * s[:, -3]) / y1
+    k = np.clip(np.stack([np.searchsorted(row, at, "right") for row in x]) - 1, 0, x.shape[1] - 2)
+    of = lambda v: np.take_along_axis(v, k, axis=1)
+    after = lambda v: np.take_along_axis(v, k + 1, axis=1)
+    t, u, w = at - of(x), after(x) - at, of(h)
+    return (of(s) * u**3 + after(s) * t**3) / (6 * w) + (of(y) / w - of(s) * w / 6) * u + (after(y) / w - after(s) * w / 6) * t
 
 
 def resample_bspline(series: DataFrame, timeframe: float = 360, timepoints: int = 6, keys: list[str] = KEYS) -> DataFrame:
     """Long-enough series of four different days or more on the grid, by the interpolating cubic spline, not below 0.
-    Several points of one day count as their mean. A series is one group; its rows are few and narrow."""
+    Several points of one day count as their mean. Points meet in arrays by Spark; a batch of series is solved at once, in a time that grows
+    with its points."""
     rows = long_enough(series, timeframe, timepoints, keys).select(*keys, F.col("timedelta_days").cast("double").alias("day"), "volume")
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+    days = rows.groupBy(*keys, "day").agg(F.avg("volume").alias("volume"))
+    # A series' points are one row from here on.
+    points = days.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("day", "volume"))).alias("p")).where(F.size("p") >= 4)
+    points = points.select(*keys, F.transform("p", lambda p: p["day"]).alias("x"), F.transform("p", lambda p: p["volume"]).alias("y"))
     at = np.arange(timepoints + 1) * timeframe / timepoints
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.groupby("day")["volume"].mean().sort_index()
-        if len(p) < 4:
-            return pd.DataFrame(columns=[*keys, "i", "volume"])
-        v = np.maximum(not_a_knot(p.index.to_numpy(), p.to_numpy(), at), 0.0)
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "i": np.arange(len(at), dtype=np.int32), "volume": v})
-
-    return rows.groupBy(*keys).applyInPandas(one, f"{fields}, i int, volume double")
+    schema = T.StructType([*(points.schema[k] for k in keys), T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pc.list_value_length(b.column("x")).to_numpy()
+            for size in np.unique(n):
+                own = pa.array(np.flatnonzero(n == size))
+                x, y = (b.column(c).take(own).flatten().to_numpy().reshape(-1, size) for c in ("x", "y"))
+                v = np.maximum(not_a_knot(x, y, at), 0.0)
+                ends = pa.array(np.arange(len(v) + 1, dtype=np.int32) * len(at))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(own) for k in keys), pa.ListArray.from_arrays(ends, pa.array(v.ravel()))], names=schema.names)
+
+    return points.mapInArrow(solve, schema).select(*keys, F.posexplode("v").alias("i", "volume"))
 
 
 def target_at_time(series: DataFrame, target_days: float, keys: list[str] = KEYS) -> DataFrame:

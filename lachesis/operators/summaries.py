@@ -76,6 +76,6 @@ def key_mismatches(series: DataFrame, studies: DataFrame, key: str = "patient_id
 
 
 def cluster_members(df: DataFrame, cluster: str, keys: list[str], value: str) -> DataFrame:
-    """Per cluster: mean and population deviation of the value, and the sorted ids of its members, joined by commas."""
-    ids = F.sort_array(F.collect_list(F.concat_ws(":", *[F.col(k).cast("string") for k in keys])))
-    return df.groupBy(cluster).agg(F.avg(value).alias("init_mean"), F.stddev_pop(value).alias("init_std"), F.array_join(ids, ",").alias("members"))
+    """A row a member: its cluster, the mean and population deviation of the cluster's values, and the member's id."""
+    stats = df.groupBy(cluster).agg(F.avg(value).alias("init_mean"), F.stddev_pop(value).alias("init_std"))
+    return df.select(cluster, F.concat_ws(":", *[F.col(k).cast("string") for k in keys]).alias("member")).join(stats, cluster)

@@ -120,9 +120,16 @@ def merge_legacy_tables(volumes: DataFrame, responses: DataFrame, key: str, days
 
 
 def wide_features(df: DataFrame, keys: list[str], t: str, timepoints: list[int], features: list[str]) -> DataFrame:
-    """One row a series with t{i}_{feature} columns: conditional aggregates in one pass, combined before the shuffle."""
-    cols = [F.max(F.when(F.col(t) == i, F.col(f))).alias(f"t{i}_{f}") for i in timepoints for f in features]
-    return df.groupBy(*keys).agg(*cols)
+    """One row a series with t{i}_{feature} columns. A series' rows become one array with a place for each timepoint, from which the
+    columns are picked; so the aggregates are as many as features, not as columns. Rows of one timepoint give the largest value of each
+    feature."""
+    # Other timepoints have no place, but a series that has no other row stays.
+    place = F.when(F.col(t).isin(timepoints), F.col(t)).alias("_t")
+    rows = df.repartition(*keys).groupBy(*keys, place).agg(*[F.max(f).alias(f"_{i}") for i, f in enumerate(features)])
+    slots = rows.groupBy(*keys).agg(F.collect_list(F.struct("_t", *[f"_{i}" for i in range(len(features))])).alias("_rows"))
+    slot = lambda i: F.get(F.filter("_rows", lambda r: r["_t"] == i), F.lit(0))
+    wide = slots.select(*keys, *[slot(i).alias(f"_at{n}") for n, i in enumerate(timepoints)])
+    return wide.select(*keys, *[F.col(f"_at{n}")[f"_{j}"].alias(f"t{i}_{f}") for n, i in enumerate(timepoints) for j, f in enumerate(features)])
 
 
 def wide_to_long(df: DataFrame, key: str, columns: list[str], value: str = "value") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster as L
 from ..operators import evaluate as E
+from ..operators import moments as N
+from ..operators import replicates as R
 from ..operators import summaries as U
 from ..operators import tables as T
 from . import adapters as A
@@ -56,6 +58,19 @@ def _(spark, d):
     return E.filter_small_clusters(A.trajectories(spark, d), "cluster", 45).select("subject", "cluster")
 
 
+NEEDED = "WITH c AS (SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY 1), s AS (SELECT sum(n) AS n FROM c), k AS (SELECT round_even(n * (1.65 * 1.65 * 0.25)::DOUBLE / ((0.1 * 0.1)::DOUBLE * (n - 1) + (1.65 * 1.65 * 0.25)::DOUBLE), 0)::BIGINT AS least FROM s)\n"
+
+
+@query("filter_clusters_by_sample_size", NEEDED + "SELECT vec_id AS subject, label AS cluster FROM embeddings JOIN c ON label = cluster, k WHERE n >= least")
+def _(spark, d):
+    return E.filter_small_clusters(A.trajectories(spark, d), "cluster").select("subject", "cluster")
+
+
+@query("removed_clusters", NEEDED + "SELECT cluster, n, least FROM c, k WHERE n < least")
+def _(spark, d):
+    return E.removed_clusters(A.trajectories(spark, d), "cluster")
+
+
 @query("cochran_sample_size", "SELECT user_id, round_even(n * (1.65 * 1.65 * 0.25)::DOUBLE / ((0.1 * 0.1)::DOUBLE * (n - 1) + (1.65 * 1.65 * 0.25)::DOUBLE), 0)::BIGINT AS size FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)")
 def _(spark, d):
     return A.read(spark, d, "events").groupBy("user_id").agg(E.cochran_sample_size(F.count(F.lit(1))).alias("size"))
@@ -75,9 +90,9 @@ def _(spark, d):
     return E.cluster_profiles(clustered(spark, d)).select("cluster", "t", "members", *r6("mean", "variance", "std"))
 
 
-@query("cluster_members", CLUSTERED + "SELECT cluster, round(avg(volume), 6) AS init_mean, round(stddev_pop(volume), 6) AS init_std, string_agg(patient_id || ':' || lesion_id, ',' ORDER BY patient_id || ':' || lesion_id) AS members FROM c WHERE t = 0 GROUP BY cluster")
+@query("cluster_members", CLUSTERED + "SELECT cluster, round(avg(volume) OVER (PARTITION BY cluster), 6) AS init_mean, round(stddev_pop(volume) OVER (PARTITION BY cluster), 6) AS init_std, member FROM (SELECT *, patient_id || ':' || lesion_id AS member FROM c WHERE t = 0)")
 def _(spark, d):
-    return U.cluster_members(clustered(spark, d).where("t = 0"), "cluster", K, "volume").select("cluster", *r6("init_mean", "init_std"), "members")
+    return U.cluster_members(clustered(spark, d).where("t = 0"), "cluster", K, "volume").select("cluster", *r6("init_mean", "init_std"), "member")
 
 
 @query("cluster_outcomes", CLUSTERED + "SELECT cluster, row_number() OVER (ORDER BY avg(value), cluster)::INTEGER AS rank, round(avg(value) * 100, 6) AS mean_percent, " + ", ".join(f"count(*) FILTER (rano = '{x}') AS n_{x}" for x in E.CLASSES) + f" FROM c WHERE t = {STEPS} GROUP BY cluster")
@@ -245,7 +260,7 @@ n AS (SELECT d.model, rep, confidence, count(*) FILTER (target = 1) AS p, count(
 a AS ({AUC.format(by='model, rep', score='confidence', n='n')})
 SELECT model, round(quantile_cont(auc, 0.025), 6) AS low, round(quantile_cont(auc, 0.975), 6) AS high, round(avg(auc), 6) AS mean FROM a WHERE auc IS NOT NULL GROUP BY model""")
 def _(spark, d):
-    return E.bootstrap_auc_ci(A.predictions(spark, d), ["model"], ["id"], REPLICATES).select("model", *r6("low", "high", "mean"))
+    return R.bootstrap_auc_ci(A.predictions(spark, d), ["model"], ["id"], REPLICATES).select("model", *r6("low", "high", "mean"))
 
 
 @query("permutation_test_auc", ctes("predictions").rstrip() + f""",
@@ -257,8 +272,8 @@ a AS ({AUC.format(by='rep, side', score='score', n='n')}),
 f AS (SELECT rep, max(auc) FILTER (side = 'a') - max(auc) FILTER (side = 'b') AS d FROM a GROUP BY rep)
 SELECT 't0' AS config, 'a / b' AS pair, round(o.d, 6) AS difference, round(avg((abs(f.d) >= abs(o.d) - 1e-12)::INTEGER), 6) AS p_value FROM f, (SELECT d FROM f WHERE rep = -1) o WHERE f.rep >= 0 GROUP BY o.d""")
 def _(spark, d):
-    pairs = E.all_pairs(A.predictions(spark, d), ["config"], "model", ["fold", "id"])
-    return E.permutation_test_auc(pairs, ["config", "pair"], ["id"], REPLICATES).select("config", "pair", *r6("difference", "p_value"))
+    pairs = R.all_pairs(A.predictions(spark, d), ["config"], "model", ["fold", "id"])
+    return R.permutation_test_auc(pairs, ["config", "pair"], ["id"], REPLICATES).select("config", "pair", *r6("difference", "p_value"))
 
 
 #: p: the share of the 2^n signs whose rank sum is no larger, twice; with ties the normal approximation, erf by its series.
@@ -280,7 +295,7 @@ def _(spark, d):
 @query("correlated_features", "WITH v AS (SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_tax * 3 + 1 AS l_tax2 FROM lineitem), r AS (" + " UNION ALL ".join(f"SELECT '{b}' AS feature, abs(corr({a}, {b})) AS r FROM v" for i, b in enumerate([*NUMBERS, "l_tax2"]) for a in NUMBERS[:i]) + ") SELECT feature, round(max(r), 6) AS max_r FROM r WHERE r > 0.8 GROUP BY feature")
 def _(spark, d):
     v = A.read(spark, d, "lineitem").select(*NUMBERS, (F.col("l_tax") * 3 + 1).alias("l_tax2"))
-    return E.correlated_features(v, [*NUMBERS, "l_tax2"], 0.8).select("feature", *r6("max_r"))
+    return N.correlated_features(v, [*NUMBERS, "l_tax2"], 0.8).select("feature", *r6("max_r"))
 
 
 BIC = ctes("elements").rstrip() + """,
@@ -384,7 +399,7 @@ def _(spark, d):
 @query("lasso_select")
 def _(spark, d):
     w = learnable(spark, d)
-    gone = L.lasso_select(w, CONFIGS["t0-t5"], "t6_volume")
+    gone = N.lasso_select(w, CONFIGS["t0-t5"], "t6_volume")
     return w.sparkSession.createDataFrame([(c, c in gone) for c in CONFIGS["t0-t5"]], "feature string, dropped boolean")
 
 

@@ -8,7 +8,7 @@ from ..operators import evaluate as E
 from ..sources import io
 from . import adapters as A
 from .adapters import ctes
-from .table_queries import NUMBERS, WIDE_SQL, wide
+from .table_queries import NUMBERS, REPORT, WIDE_SQL, report, wide
 
 QUERIES, ORACLES = {}, {}
 
@@ -43,42 +43,53 @@ def _(spark, d):
     return io.load_series(spark, path).select("patient_id", "lesion_id", "t", "timedelta_days", F.round("volume", 6).alias("volume"))
 
 
+#: Models are the configurations of the written tree, so both of them come back.
+PREDICTED = ctes("predictions") + "SELECT id::VARCHAR AS id, prediction::VARCHAR AS prediction, {target} AS target, round(confidence, 6) AS confidence, model AS config, fold FROM predictions"
+
+
+def predicted(spark, d):
+    p = A.predictions(spark, d)
+    return p.select(F.col("model").alias("config"), "fold", F.col("id").cast("string"), F.col("prediction").cast("string"), F.col("target").cast("string"), F.round("confidence", 6).alias("confidence"))
+
+
 def _folds(layout: str):
     def run(spark, d):
         root = io.scratch(spark)
-        p = io.stored(A.predictions(spark, d).where("model = 'a'"))
-        for k in range(5):
-            part = p.where(F.col("fold") == k).select(F.col("id").cast("string"), F.col("prediction").cast("string"), F.col("target").cast("string"), F.round("confidence", 6).alias("confidence"))
-            part.write.option("header", True).csv(f"{root}/t0/Fold {k}/assignments.csv" if layout == "config/fold" else f"{root}/Fold {k}/t0/assignments.csv")
+        p = io.stored(predicted(spark, d))
+        for r in p.select("config", "fold").distinct().collect():
+            part = p.where((F.col("fold") == r.fold) & (F.col("config") == r.config)).select("id", "prediction", "target", "confidence")
+            part.write.option("header", True).csv(f"{root}/{r.config}/Fold {r.fold}/assignments.csv" if layout == "config/fold" else f"{root}/Fold {r.fold}/{r.config}/assignments.csv")
         return io.read_fold_predictions(spark, root, layout, {"0": "clean", "1": "toxic"})
 
     return run
 
 
 for _layout, _name in (("config/fold", "read_fold_predictions"), ("fold/config", "read_fold_predictions_by_fold")):
-    query(_name, ctes("predictions") + "SELECT id::VARCHAR AS id, prediction::VARCHAR AS prediction, CASE target WHEN 0 THEN 'clean' ELSE 'toxic' END AS target, round(confidence, 6) AS confidence, config, fold FROM predictions WHERE model = 'a'")(_folds(_layout))
+    query(_name, PREDICTED.format(target="CASE target WHEN 0 THEN 'clean' ELSE 'toxic' END"))(_folds(_layout))
 
 
-@query("write_predictions", ctes("predictions") + "SELECT config, fold, count(*) AS n FROM predictions WHERE model = 'a' GROUP BY ALL")
+@query("write_predictions", PREDICTED.format(target="target::VARCHAR"))
 def _(spark, d):
+    """Every prediction that was written."""
     path = io.scratch(spark)
-    io.write_predictions(A.predictions(spark, d).where("model = 'a'"), path)
-    return spark.read.option("header", True).csv(path).groupBy("config", "fold").agg(F.count(F.lit(1)).alias("n"))
+    io.write_predictions(predicted(spark, d), path)
+    return spark.read.option("header", True).schema("id string, prediction string, target string, confidence double, config string, fold int").csv(path)
 
 
-@query("write_standardization", " UNION ALL ".join(f"SELECT f::INTEGER AS fold, '{c}' AS \"column\", round(avg({c}), 4) AS mean FROM lineitem, generate_series(0, 4) g(f) WHERE l_orderkey % 5 <> f GROUP BY f" for c in NUMBERS))
+@query("write_standardization", " UNION ALL ".join(f"SELECT f::INTEGER AS fold, '{c}' AS \"column\", round(avg({c}), 4) AS mean, round(greatest(stddev_samp({c}), 1e-6), 4) AS std FROM lineitem, generate_series(0, 4) g(f) WHERE l_orderkey % 5 <> f GROUP BY f" for c in NUMBERS))
 def _(spark, d):
     path = io.scratch(spark)
     io.write_standardization(E.fold_standardize(A.read(spark, d, "lineitem").withColumn("fold", (F.col("l_orderkey") % 5).cast("int")), NUMBERS), path)
-    return spark.read.option("header", True).csv(path).select(F.col("fold").cast("int").alias("fold"), "column", F.round(F.col("mean").cast("double"), 4).alias("mean"))
+    return spark.read.option("header", True).csv(path).select(F.col("fold").cast("int").alias("fold"), "column", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("mean", "std")])
 
 
-@query("write_match_report", "SELECT user_id::VARCHAR AS patient_id, to_json(list_sort(list(DISTINCT event_type))) AS lesions FROM events GROUP BY user_id")
+@query("write_match_report", REPORT + "SELECT * FROM report")
 def _(spark, d):
+    """The written report, read back: every column of every patient."""
     path = io.scratch(spark)
-    e = A.read(spark, d, "events").groupBy(F.col("user_id").alias("patient_id")).agg(F.array_sort(F.collect_set("event_type")).alias("lesions"))
-    io.write_match_report(e, path)
-    return spark.read.option("sep", ";").option("header", True).option("escape", '\\').csv(path)
+    io.write_match_report(report(spark, d), path)
+    back = io.read_match_report(spark, path)
+    return back.select(*[F.to_json(c).alias(c) if t.startswith(("map", "array")) else F.col(c) for c, t in back.dtypes])
 
 
 @query("cached_prepare", ctes("grid") + "SELECT t, count(*) AS n FROM grid GROUP BY t")

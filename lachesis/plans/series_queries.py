@@ -88,12 +88,10 @@ def _(spark, d):
     return S.validate_series(df).select("lesion_id", "o_orderkey")
 
 
-@query("validate_series_keys", ctes("series", "manifest") + "SELECT coalesce(s.patient_id, m.patient_id) AS patient_id, s.patient_id IS NULL AS missing_series, m.patient_id IS NULL AS missing_studies FROM (SELECT DISTINCT patient_id FROM series WHERE t >= 20) s FULL JOIN (SELECT DISTINCT split_part(split_part(path, '/', 1), '-', 2)::BIGINT AS patient_id FROM manifest WHERE path LIKE '%/rt') m USING (patient_id) WHERE s.patient_id IS NULL OR m.patient_id IS NULL")
+@query("validate_series_keys", ctes("series", "manifest") + "SELECT coalesce(s.patient_id, m.patient_id) AS patient_id, s.patient_id IS NULL AS missing_series, m.patient_id IS NULL AS missing_studies FROM (SELECT DISTINCT patient_id FROM series) s FULL JOIN (SELECT DISTINCT o_custkey AS patient_id FROM orders) m USING (patient_id) WHERE s.patient_id IS NULL OR m.patient_id IS NULL")
 def _(spark, d):
-    """Keys that only one of two tables has: patients with long series, and those with a treatment folder."""
-    s = A.series(spark, d).where("t >= 20")
-    m = A.manifest(spark, d).where(F.col("path").endswith("/rt")).select(F.split_part(F.split_part("path", F.lit("/"), F.lit(1)), F.lit("-"), F.lit(2)).cast("long").alias("patient_id"))
-    return U.key_mismatches(s, m)
+    """Keys that only one of two tables has: all patients with series, and all customers with orders."""
+    return U.key_mismatches(A.series(spark, d), A.read(spark, d, "orders").select(F.col("o_custkey").alias("patient_id")))
 
 
 @query("tag_swings", ctes("swings") + "SELECT patient_id, lesion_id, t, is_swing FROM swings")
@@ -265,11 +263,17 @@ def _(spark, d):
     return A.manifest(spark, d).select("path", ts.alias("study_ts"), C.session_name(ts).alias("name")).distinct()
 
 
-@query("read_study_manifest", ctes("manifest") + "SELECT split_part(path, '/', 1) AS patient_id, strptime(split_part(path, '/', 2), 'ses-%Y%m%d%H%M%S') AS study_ts, bool_or(split_part(path, '/', 3) = 'rt') AS has_treatment FROM manifest GROUP BY ALL")
+@query("read_study_manifest", "WITH s AS (SELECT 'sub-' || user_id AS patient_id, strptime(strftime(ts, '%Y%m%d%H%M%S'), '%Y%m%d%H%M%S') AS study_ts, event_type FROM events)\nSELECT patient_id, study_ts, bool_or(event_type IN ('purchase', 'click')) AS has_treatment FROM s WHERE event_type IN ('purchase', 'click', 'view') GROUP BY ALL")
 def _(spark, d):
-    from ..sources.io import studies_of_paths
+    """A tree with a session an event: one with both folders, one with treatment only, one with images only, and others with neither."""
+    from ..sources import io
 
-    return studies_of_paths(A.manifest(spark, d))
+    e = A.read(spark, d, "events")
+    session = F.concat(F.lit("sub-"), F.col("user_id").cast("string"), F.lit("/ses-"), F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyyMMddHHmmss"))
+    inside = F.when(F.col("event_type") == "purchase", F.array(F.lit("/anat"), F.lit("/rt"))).when(F.col("event_type") == "click", F.array(F.lit("/rt"))).when(F.col("event_type") == "view", F.array(F.lit("/anat"))).otherwise(F.array(F.lit("/notes")))
+    root = io.scratch(spark)
+    io.write_study_tree(e.select(session.alias("session"), F.explode(inside).alias("folder")).select(F.concat("session", "folder").alias("path")), root)
+    return io.read_study_manifest(spark, root)
 
 
 @query("graph_timepoints", ctes("series") + "SELECT patient_id, lesion_id, t FROM series WHERE t = 0 OR (timedelta_days > 0 AND timedelta_days <= 14)")

@@ -135,19 +135,46 @@ def _(spark, d):
     return M.track_lesions(obs, M.lesion_overlap(v))
 
 
-@query("match_report", """
-WITH l AS (SELECT user_id AS patient_id, event_type AS lesion, arg_max(('label' || (event_id % 4)), (value, event_id)) AS label FROM events WHERE value > 30 GROUP BY ALL),
-t AS (SELECT DISTINCT user_id AS patient_id, event_type AS lesion FROM events), g AS (SELECT DISTINCT user_id AS patient_id, 'label' || k AS label FROM events, generate_series(0, 3) s(k)),
-r AS (SELECT *, row_number() OVER (PARTITION BY patient_id, label ORDER BY lesion) AS n FROM l),
-a AS (SELECT patient_id, CASE WHEN n = 1 THEN 'matched' ELSE 'ambiguous' END AS kind, lesion || '>' || label AS name FROM r
-UNION ALL SELECT patient_id, 'unmatched_lesions', lesion FROM t WHERE (patient_id, lesion) NOT IN (SELECT patient_id, lesion FROM l) UNION ALL SELECT patient_id, 'unmatched_labels', label FROM g WHERE (patient_id, label) NOT IN (SELECT patient_id, label FROM l))
-SELECT patient_id, """ + ", ".join(f"coalesce(string_agg(name, ',' ORDER BY name) FILTER (kind = '{k}'), '') AS {k}, count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("matched", "ambiguous", "unmatched_lesions", "unmatched_labels")) + " FROM a GROUP BY patient_id")
+#: Users whose number 7 divides have no truth; a lesion's label is that of its largest event, and values of 30 or less match nothing.
+REPORT = """
+WITH e AS (SELECT user_id AS patient_id, event_type AS lesion, event_id, value FROM events),
+t AS (SELECT patient_id, lesion, max(value) < 60 AS is_empty FROM e GROUP BY ALL), g AS (SELECT DISTINCT patient_id, k AS label FROM e, generate_series(1, 4) s(k) WHERE patient_id % 7 <> 0),
+m AS (SELECT patient_id, lesion, (arg_max(event_id, (value, event_id)) % 4 + 1)::INTEGER AS label FROM e WHERE value > 30 AND patient_id % 7 <> 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY patient_id, label ORDER BY lesion) AS n, count(*) OVER (PARTITION BY patient_id, label) AS c FROM m),
+a AS (SELECT patient_id, string_agg(format('"{}":"{}"', label, lesion), ',' ORDER BY label) AS matched FROM r WHERE n = 1 GROUP BY 1),
+b AS (SELECT patient_id, string_agg(format('"{}":[{}]', label, names), ',' ORDER BY label) AS several FROM (SELECT patient_id, label, string_agg('"' || lesion || '"', ',' ORDER BY lesion) AS names FROM r WHERE c > 1 GROUP BY ALL) GROUP BY 1),
+l AS (SELECT patient_id, string_agg('"' || lesion || '"', ',' ORDER BY lesion) AS lost FROM t WHERE (patient_id, lesion) NOT IN (SELECT patient_id, lesion FROM m) GROUP BY 1),
+f AS (SELECT patient_id, string_agg(label::VARCHAR, ',' ORDER BY label) AS free FROM g WHERE (patient_id, label) NOT IN (SELECT patient_id, label FROM m) GROUP BY 1),
+p AS (SELECT patient_id, count(*) AS parsed_mets, count(*) FILTER (NOT is_empty) AS t0_nonzero_parsed_mets FROM t GROUP BY 1),
+report AS (SELECT p.patient_id, CASE WHEN p.patient_id % 7 = 0 THEN 0 ELSE 4 END::BIGINT AS labels_in_gt, parsed_mets, t0_nonzero_parsed_mets, '{' || coalesce(matched, '') || '}' AS matched_mets,
+'[' || CASE WHEN p.patient_id % 7 = 0 THEN '' ELSE coalesce(lost, '') END || ']' AS unmatched_parsed_mets, '[' || coalesce(free, '') || ']' AS unmatched_gt_mets, '{' || coalesce(several, '') || '}' AS ambiguous_parsed_matches,
+'[' || CASE WHEN p.patient_id % 7 = 0 THEN coalesce(lost, '') ELSE '' END || ']' AS t0_zero_mets FROM p LEFT JOIN a USING (patient_id) LEFT JOIN b USING (patient_id) LEFT JOIN l USING (patient_id) LEFT JOIN f USING (patient_id))
+"""
+
+
+def report(spark, d):
+    e = A.read(spark, d, "events").select(F.col("user_id").alias("patient_id"), F.col("event_type").alias("lesion"), "event_id", "value")
+    some = e.where("patient_id % 7 <> 0")
+    matches = some.where("value > 30").groupBy("patient_id", "lesion").agg((F.max_by("event_id", F.struct("value", "event_id")) % 4 + 1).cast("int").alias("label"))
+    tracked = e.groupBy("patient_id", "lesion").agg((F.max("value") < 60).alias("is_empty"))
+    truth = some.select("patient_id").distinct().withColumn("label", F.explode(F.array(*[F.lit(i) for i in range(1, 5)])))
+    return M.match_report(matches, tracked, truth)
+
+
+@query("match_report", REPORT + "SELECT * FROM report")
 def _(spark, d):
-    """Tracked lesions are a user's event types, the truth has four labels; a lesion's label is that of its largest event."""
-    e = A.read(spark, d, "events").withColumnsRenamed({"user_id": "patient_id", "event_type": "lesion"})
-    found = e.where("value > 30").groupBy("patient_id", "lesion").agg(F.max_by(F.concat(F.lit("label"), (F.col("event_id") % 4).cast("string")), F.struct("value", "event_id")).alias("label"))
-    truth = e.select("patient_id").distinct().withColumn("label", F.explode(F.array(*[F.lit(f"label{i}") for i in range(4)])))
-    return M.match_report(found, e.select("patient_id", "lesion").distinct(), truth)
+    r = report(spark, d)
+    return r.select(*[F.to_json(c).alias(c) if t.startswith(("map", "array")) else F.col(c) for c, t in r.dtypes])
+
+
+COUNT = lambda c: f"coalesce(sum(len(regexp_extract_all({c}, '{chr(34)}[^{chr(34)}]*{chr(34)}'))), 0)::BIGINT"
+
+
+@query("match_report_totals", REPORT + """SELECT count(*) AS patients, sum(labels_in_gt)::BIGINT AS labels, sum(t0_nonzero_parsed_mets)::BIGINT AS parsed, (SELECT count(*) FROM r WHERE n = 1) AS matched,
+(SELECT count(*) FROM g WHERE (patient_id, label) NOT IN (SELECT patient_id, label FROM m)) AS unmatched_gt, """ + COUNT("unmatched_parsed_mets") + " AS unmatched_parsed, " + COUNT("t0_zero_mets") + """ AS t0_zero, (SELECT count(*) FROM r WHERE n = 2) AS ambiguous,
+coalesce(sum(t0_nonzero_parsed_mets - labels_in_gt) FILTER (t0_nonzero_parsed_mets > labels_in_gt), 0)::BIGINT AS surplus, count(*) FILTER (t0_nonzero_parsed_mets = labels_in_gt) AS equal, coalesce(sum(labels_in_gt - t0_nonzero_parsed_mets) FILTER (t0_nonzero_parsed_mets < labels_in_gt), 0)::BIGINT AS missed FROM report""")
+def _(spark, d):
+    return M.match_totals(report(spark, d))
 
 
 @query("locate_region", ctes("voxels", "atlas").rstrip() + """,
@@ -351,12 +378,16 @@ def _(spark, d):
 
 # ---- reshaping
 
-@query("combine_patients", "SELECT user_id, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'error') AS errors FROM events WHERE event_type IN ('view', 'error') GROUP BY user_id, event_type")
+#: A part for each event type, with a column of its own.
+PARTS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("combine_patients", "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS n_{k}" for k in PARTS) + " FROM events GROUP BY user_id, event_type")
 def _(spark, d):
-    """Ragged parts: views have no errors column, errors no views column; what a part lacks counts as 0."""
+    """Ragged parts, one of each event type: a part has no column of another; what it lacks counts as 0."""
     e = A.read(spark, d, "events")
-    part = lambda k, n: e.where(F.col("event_type") == k).groupBy("user_id").agg(F.count(F.lit(1)).alias(n))
-    return io.combine([part("view", "views"), part("error", "errors")]).select("user_id", F.coalesce("views", F.lit(0)).alias("views"), F.coalesce("errors", F.lit(0)).alias("errors"))
+    part = lambda k: e.where(F.col("event_type") == k).groupBy("user_id").agg(F.count(F.lit(1)).alias(f"n_{k}"))
+    return io.combine([part(k) for k in PARTS]).select("user_id", *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in PARTS])
 
 
 @query("combine_folds", ctes("predictions") + "SELECT model, config, fold, id FROM predictions")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.columns import parse_session_ts
+from .folders import StudyFolders, opened
 
 
 def scratch(spark: SparkSession) -> str:
@@ -50,19 +53,26 @@ def combine(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def studies_of_paths(paths: DataFrame, path: str = "path") -> DataFrame:
-    """(patient_id, study_ts, has_treatment) of paths <patient>/ses-<14 digits>/<folder>/...: sessions with an anat or rt folder."""
-    p = F.regexp_extract(path, r"([^/]+)/(ses-\d{14})/(anat|rt)(?:/|$)", 1)
-    ses, folder = F.regexp_extract(path, r"/(ses-\d{14})/(anat|rt)(?:/|$)", 1), F.regexp_extract(path, r"/(ses-\d{14})/(anat|rt)(?:/|$)", 2)
-    rows = paths.select(p.alias("patient_id"), ses.alias("session"), folder.alias("folder")).where("session <> ''")
-    g = rows.groupBy("patient_id", "session").agg(F.bool_or(F.col("folder") == "rt").alias("has_treatment"))
-    return g.select("patient_id", parse_session_ts(F.col("session")).alias("study_ts"), "has_treatment")
+def read_study_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(patient_id, study_ts, has_treatment) of the sessions under a directory tree that have an anat or rt folder. Executors list the
+    patients' folders; the driver lists the root alone, and no file is opened."""
+    spark.dataSource.register(StudyFolders)
+    rows = spark.read.format(StudyFolders.name()).load(root).where("has_anat or has_rt")
+    return rows.select("patient_id", parse_session_ts(F.col("session")).alias("study_ts"), F.col("has_rt").alias("has_treatment")).where("study_ts is not null")
 
 
-def read_study_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Studies under a directory tree; only names are read, not the files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    return studies_of_paths(files)
+def write_study_tree(paths: DataFrame, root: str, path: str = "path") -> None:
+    """Makes the folders root/<path>, by the tasks that hold the rows; those that are there stay."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, top = opened(root)
+        for b in batches:
+            names = b.column(0).drop_null().to_pylist()
+            for name in names:
+                files.create_dir(f"{top}/{name}", recursive=True)
+            yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], names=["n"])
+
+    paths.select(F.col(path).cast("string").alias("path")).distinct().mapInArrow(make, "n long").agg(F.sum("n")).collect()
 
 
 def read_fold_predictions(spark: SparkSession, root: str, layout: str = "config/fold", relabel: dict[str, str] | None = None) -> DataFrame:
@@ -110,6 +120,20 @@ def write_match_report(df: DataFrame, path: str) -> None:
     df.select(*flat).write.option("sep", ";").option("header", True).csv(path)
 
 
+def read_match_report(spark: SparkSession, path: str, patient: str = "bigint", lesion: str = "string", label: str = "int") -> DataFrame:
+    """A written match report, with the types of its ids and labels given."""
+    lesions, labels = f"array<{lesion}>", f"array<{label}>"
+    kinds = {
+        "patient_id": patient, "labels_in_gt": "bigint", "parsed_mets": "bigint", "t0_nonzero_parsed_mets": "bigint", "matched_mets": f"map<string, {lesion}>",
+        "unmatched_parsed_mets": lesions, "unmatched_gt_mets": labels, "ambiguous_parsed_matches": f"map<string, {lesions}>", "t0_zero_mets": lesions,
+    }
+    nested = [c for c, t in kinds.items() if t.startswith(("array", "map"))]
+    df = spark.read.schema(", ".join(f"{c} {'string' if c in nested else t}" for c, t in kinds.items())).option("sep", ";").option("header", True).csv(path)
+    df = df.withColumns({c: F.from_json(c, kinds[c]) for c in nested})
+    # JSON has text keys only.
+    return df.withColumns({c: F.transform_keys(c, lambda k, _: k.cast(label)) for c in nested if kinds[c].startswith("map")})
+
+
 def cached_prepare(spark: SparkSession, path: str, compute) -> DataFrame:
     """The table at the path if it is there, else what compute() gives, saved there."""
     try:

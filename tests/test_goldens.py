@@ -11,7 +11,7 @@ from lachesis.functions import columns as C
 from lachesis.operators import cluster as L
 from lachesis.operators import evaluate as E
 from lachesis.operators import matching as M
-from lachesis.operators import ranks
+from lachesis.operators import ranks, replicates
 from lachesis.operators import resample as R
 from lachesis.operators import series as S
 from lachesis.operators import tables as T
@@ -191,7 +191,7 @@ def test_tracking_against_plain_scan(spark, seed):
 @pytest.mark.parametrize("name", ["c{}", "a rather long name {:03}", ""])
 def test_numbers_by_strings(spark, name):
     rows = [(g, name.format(i), i) for i in range(90) for g in (["x", "y"] if i % 3 else [None])]
-    got = E.numbered(spark.createDataFrame(rows, "g string, k string, v int").repartition(5), ["g"], ["k", "v"]).collect()
+    got = ranks.numbered(spark.createDataFrame(rows, "g string, k string, v int").repartition(5), ["g"], ["k", "v"]).collect()
     for g in ("x", "y", None):
         own = sorted((r.k, r.v) for r in got if r.g == g)
         assert [(r.k, r.v) for r in sorted((r for r in got if r.g == g), key=lambda r: r.i)] == own
@@ -339,7 +339,7 @@ def test_nearest_region_without_overlap(spark):
 def test_bootstrap_of_the_other_class(spark):
     """flip takes the other class and 1 - confidence, which leaves every AUC as it is."""
     df = predictions(spark, [1, 0, 1, 0, 1, 1, 0], s=[0.9, 0.9, 0.4, 0.1, 0.7, 0.2, 0.3])
-    a, b = (E.bootstrap_auc_ci(df, ["model"], ["id"], 50, flip=f).first() for f in (False, True))
+    a, b = (replicates.bootstrap_auc_ci(df, ["model"], ["id"], 50, flip=f).first() for f in (False, True))
     assert (a.low, a.high, a.mean) == (pytest.approx(b.low), pytest.approx(b.high), pytest.approx(b.mean))
 
 
@@ -395,10 +395,10 @@ def test_best_k():
 
 def test_distances():
     x = np.array([0.0, 1, 2, 1, 0])
-    assert L.dtw(x, x)[0] == 0
-    assert L.dtw(np.array([0.0, 0, 1, 2]), np.array([0.0, 1, 2, 2]))[0] == 0
+    assert L.dtw_costs(x[None], x)[0] == 0
+    assert L.dtw_costs(np.array([[0.0, 0, 1, 2]]), np.array([0.0, 1, 2, 2]))[0] == 0
     z = L.znorm(x)
-    assert L.shape_shift(z, z)[0] == pytest.approx(0)
+    assert L.shape_distances(z[None], z)[0] == pytest.approx(0)
 
 
 @pytest.mark.parametrize("metric", ["euclidean", "dtw", "shape"])
@@ -418,6 +418,13 @@ def test_mixture(spark):
     assert score["aic"] < score["bic"]
 
 
+def test_coinciding_centroids(spark):
+    """Clusters with one centroid are not held against each other."""
+    df = spark.createDataFrame([(0, [0.0]), (0, [2.0]), (1, [0.0]), (1, [2.0]), (2, [10.0]), (2, [12.0])], "cluster int, v array<double>")
+    assert E.davies_bouldin(df, "v", "cluster").first()[0] == pytest.approx(0.2)
+    assert E.davies_bouldin(df.where("cluster < 2"), "v", "cluster").first()[0] is None
+
+
 def test_empty_series(spark):
     df = series(spark, [(0, 1)]).where("false")
     for f in (S.response_class, S.tag_swings, S.discard_gaps, S.relative_volume, S.derivative_sobel, E.temporal_edges_full, E.temporal_edges_sparse):

@@ -196,11 +196,12 @@ def test_regressors_find_a_line(spark):
 
 def test_selection_of_features(spark):
     from lachesis.operators import cluster as L
+    from lachesis.operators import moments as N
 
     rng = np.random.default_rng(4)
     rows = [(float(a), float(b), float(c), float(5 * a)) for a, b, c in rng.normal(0, 1, (120, 3))]
     df = spark.createDataFrame(rows, "a double, b double, c double, y double")
-    assert L.lasso_select(df, ["a", "b", "c"], "y") == ["b", "c"]
+    assert N.lasso_select(df, ["a", "b", "c"], "y") == ["b", "c"]
     assert L.model_select(df, ["a", "b", "c"], "y") == ["b", "c"]
     seen = []
 
@@ -225,9 +226,78 @@ def test_search_splits_clusters(spark, metric):
     assert len(set(r.cluster for r in L.split_search(df, "v", metric, k_max=2, tol=20).collect())) == 2
 
 
-def test_series_distances_of_many(spark):
+def plain_dtw(x, centre):
+    """Squared distance and path of two series, cell by cell."""
+    n, m = len(x), len(centre)
+    cost = np.full((n + 1, m + 1), np.inf)
+    cost[0, 0] = 0
+    for i in range(n):
+        for j in range(m):
+            cost[i + 1, j + 1] = (x[i] - centre[j]) ** 2 + min(cost[i, j], cost[i, j + 1], cost[i + 1, j])
+    path, i, j = [], n, m
+    while i and j:
+        path.append((i - 1, j - 1))
+        i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda p: cost[p])
+    return cost[n, m], path
+
+
+def plain_shift(x, centre):
+    """Shape-based distance of two series, and x moved to its best place."""
+    c = np.correlate(x, centre, "full")
+    k = int(c.argmax()) - (len(centre) - 1)
+    moved = [x[i + k] if 0 <= i + k < len(x) else 0.0 for i in range(len(x))]
+    return 1 - c.max() / (np.linalg.norm(x) * np.linalg.norm(centre) or 1.0), moved
+
+
+@pytest.mark.parametrize("m", [1, 2, 7])
+def test_series_distances_of_many(spark, m):
+    """All series at once, against one at a time."""
     from lachesis.operators import cluster as L
 
     rng = np.random.default_rng(6)
-    x, c = rng.normal(0, 1, (30, 7)), rng.normal(0, 1, 7)
-    assert np.allclose(L.dtw_costs(x, c), [L.dtw(a, c)[0] for a in x])
+    x, c = np.concatenate([rng.normal(0, 1, (30, m)), np.zeros((2, m)), rng.integers(0, 3, (20, m))]), rng.normal(0, 1, m)
+    assert np.allclose(L.dtw_costs(x, c), [plain_dtw(a, c)[0] for a in x])
+    sums, count = np.zeros(m), np.zeros(m)
+    for a in x:
+        for i, j in plain_dtw(a, c)[1]:
+            sums[j] += a[i]
+            count[j] += 1
+    assert np.allclose(L.warp_sums(x, c), (sums, count))
+    z = L.znorm(x)
+    assert np.allclose(L.shape_distances(z, c), [plain_shift(a, c)[0] for a in z]) and np.allclose(L.shape_moved(z, c), [plain_shift(a, c)[1] for a in z])
+
+
+def test_search_splits_by_warping(spark):
+    """Groups that differ by more than warping evens out: the search by DTW ends with all four, from two."""
+    from lachesis.operators import cluster as L
+
+    rng = np.random.default_rng(7)
+    shapes = np.array([[0, 0, 9, 0, 0, 0, 0, 0], [0, 0, 0, 40, 40, 0, 0, 0], [90, 90, 90, 90, 90, 90, 90, 0], [-60, -60, 0, 0, -60, -60, 0, 0]], float)
+    rows = []
+    for i in range(120):
+        late = int(rng.integers(0, 2))
+        rows.append((i, (np.concatenate([shapes[i % 4][:1]] * late + [shapes[i % 4]])[:8] + rng.normal(0, 0.05, 8)).tolist()))
+    df = spark.createDataFrame([*rows, (500, None)], "id int, v array<double>")
+    got = {r.id: r.cluster for r in L.split_search(df, "v", "dtw", tol=20).collect()}
+    assert got.pop(500) is None and len({(i % 4, got[i]) for i in got}) == 4 and len(set(got.values())) == 4
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "dtw", "shape"])
+def test_clusters_of_empty_tables(spark, metric):
+    """No rows, and rows without a vector."""
+    from lachesis.operators import cluster as L
+
+    nulls = spark.createDataFrame([(1, None), (2, None)], "id int, v array<double>")
+    assert L.split_search(nulls.where("false"), "v", metric).count() == 0
+    assert [r.cluster for r in L.split_search(nulls, "v", metric).collect()] == [None, None]
+
+
+def test_mixture_of_empty_tables(spark):
+    from lachesis.operators import cluster as L
+
+    df = spark.createDataFrame([(1, None), (2, [0.0, 1.0]), (3, [5.0, 9.0]), (4, [5.0, 9.5])], "id int, v array<double>")
+    got = {r.id: r.cluster for r in L.mixture_clusters(df, "v", 2)[0].collect()}
+    assert got[1] is None and got[3] == got[4] != got[2]
+    none, score = L.mixture_clusters(df.where("v is null"), "v", 2)
+    assert [r.cluster for r in none.collect()] == [None] and np.isnan(score["bic"])
+    assert L.mixture_clusters(df.where("false"), "v", 2)[0].count() == 0 and L.mixtures(df.where("false"), "v", [2, 3]) == {}
