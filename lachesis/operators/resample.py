@@ -100,11 +100,13 @@ def resample_linear(series: DataFrame, timeframe: float = 360, timepoints: int =
 
 
 def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cubic interpolating splines through many series of the same number of points, at least four (rows of x and y), at the places
-    `at`; the third derivative does not jump at the second and the last but one point.
+    """Cubic interpolating splines through many series of the same number of points, at least four (rows of x and y, or one series alone), at
+    the places `at`; the third derivative does not jump at the second and the last but one point.
 
     The end conditions give the first and the last second derivative from their neighbours, which leaves three bands: one
     elimination from left to right and back, for all series at once."""
+    if x.ndim == 1:
+        return not_a_knot(x[None], y[None], at)[0]
     h = np.diff(x, axis=1)
     d = np.diff(y, axis=1) / h
     low, mid, high, r = h[:, :-1].copy(), 2 * (h[:, :-1] + h[:, 1:]), h[:, 1:].copy(), 6 * np.diff(d, axis=1)

@@ -429,3 +429,83 @@ def test_empty_series(spark):
     df = series(spark, [(0, 1)]).where("false")
     for f in (S.response_class, S.tag_swings, S.discard_gaps, S.relative_volume, S.derivative_sobel, E.temporal_edges_full, E.temporal_edges_sparse):
         assert f(df).count() == 0
+
+
+def dense_spline(x, y, at):
+    """The not-a-knot spline by a dense system of all second derivatives."""
+    n, h = len(x), np.diff(x)
+    m, r = np.zeros((n, n)), np.zeros(n)
+    for i in range(1, n - 1):
+        m[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+        r[i] = 6 * ((y[i + 1] - y[i]) / h[i] - (y[i] - y[i - 1]) / h[i - 1])
+    m[0, :3] = 1 / h[0], -(1 / h[0] + 1 / h[1]), 1 / h[1]
+    m[-1, -3:] = 1 / h[-2], -(1 / h[-2] + 1 / h[-1]), 1 / h[-1]
+    s = np.linalg.solve(m, r)
+    out = []
+    for v in at:
+        k = min(max(int(np.searchsorted(x, v, "right")) - 1, 0), n - 2)
+        t, u = v - x[k], x[k + 1] - v
+        out.append((s[k] * u**3 + s[k + 1] * t**3) / (6 * h[k]) + (y[k] / h[k] - s[k] * h[k] / 6) * u + (y[k + 1] / h[k] - s[k + 1] * h[k] / 6) * t)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("n", [4, 5, 9, 1000])
+def test_many_splines_at_once(n):
+    rng = np.random.default_rng(n)
+    x, y = np.cumsum(rng.integers(1, 9, (7, n)), axis=1).astype(float), rng.normal(0, 3, (7, n))
+    at = np.linspace(-1, x.max() + 1, 23)
+    assert np.allclose(R.not_a_knot(x, y, at), [dense_spline(a, b, at) for a, b in zip(x, y, strict=True)], rtol=1e-6, atol=1e-6 * (1 + np.abs(R.not_a_knot(x, y, at)).max()))
+
+
+def test_spline_of_a_cubic(spark):
+    """A cubic comes back from series of different lengths, with several points a day as their mean; three days are too few."""
+    f = lambda d: (d / 100) ** 3 - 2 * (d / 100) ** 2 + d / 100 + 5
+    own = {1: [0, 50, 200, 360], 2: [0, 10, 20, 33, 80, 200, 300, 360], 3: [0, 100, 360], 4: [0, 0, 120, 240, 360]}
+    rows = [(p, 1, datetime(2020, 1, 1) + timedelta(days=d), t, d, f(d) + (1 if (p, t) == (4, 0) else -1 if (p, t) == (4, 1) else 0)) for p, days in own.items() for t, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "patient_id int, lesion_id int, ts timestamp_ntz, t int, timedelta_days int, volume double")
+    got = {(r.patient_id, r.i): r.volume for r in R.resample_bspline(df).collect()}
+    assert set(got) == {(p, i) for p in (1, 2, 4) for i in range(7)} and all(v == pytest.approx(f(60 * i)) for (p, i), v in got.items())
+
+
+def test_wide_table_of_many_columns(spark):
+    """38 timepoints x 214 features: picked by place, with gaps, rows of one timepoint, and series without any of them."""
+    names = [f"f{j}" for j in range(214)]
+    rows = [(s, t, float(s * 1000 + t)) for s in range(5) for t in range(0, 38, 1 + s)] + [(0, 3, 9999.0), (9, 50, 1.0)]
+    df = spark.createDataFrame(rows, "lesion_id int, t int, v double").select("lesion_id", "t", *[(F.col("v") + j).alias(n) for j, n in enumerate(names)])
+    out = T.wide_features(df, ["lesion_id"], "t", list(range(38)), names)
+    assert out.columns == ["lesion_id", *[f"t{t}_{n}" for t in range(38) for n in names]]
+    got = {r.lesion_id: r for r in out.select("lesion_id", "t0_f0", "t3_f213", "t6_f7", "t37_f0").collect()}
+    assert tuple(got[0])[1:] == (0, 9999 + 213, 6 + 7, 37) and tuple(got[1])[1:] == (1000, None, 1006 + 7, None) and tuple(got[9])[1:] == (None,) * 4
+    assert len(out.collect()) == 6
+
+
+def test_removed_clusters(spark):
+    df = spark.createDataFrame([(c, i) for c, n in (("a", 70), ("b", 30), ("c", 1)) for i in range(n)], "cluster string, id int")
+    assert {r.cluster: r.n for r in E.removed_clusters(df, "cluster", 31).collect()} == {"b": 30, "c": 1} and E.filter_small_clusters(df, "cluster", 31).count() == 70
+    # The Cochran size of 101 rows is 41.
+    assert {(r.cluster, r.n, r.least) for r in E.removed_clusters(df, "cluster").collect()} == {("b", 30, 41), ("c", 1, 41)}
+    assert E.filter_small_clusters(df.where("false"), "cluster").count() == 0
+
+
+def test_match_report(spark):
+    """Ambiguous labels, lesions and labels without a partner, an empty truth, and a patient without lesions."""
+    matches = spark.createDataFrame([("p", "m1", 1), ("p", "m0", 1), ("p", "m2", 3), ("q", "m0", 1)], "patient_id string, lesion string, label int")
+    tracked = spark.createDataFrame([("p", "m0", False), ("p", "m1", True), ("p", "m2", None), ("p", "m3", False), ("q", "m0", False), ("r", "m0", True), ("r", "m1", False)], "patient_id string, lesion string, is_empty boolean")
+    labels = spark.createDataFrame([("p", 1), ("p", 2), ("p", 3), ("q", 1), ("s", 4)], "patient_id string, label int")
+    report = M.match_report(matches, tracked, labels).cache()
+    assert {tuple(r)[:4] + (tuple(r.matched_mets.items()), tuple(r.unmatched_parsed_mets), tuple(r.unmatched_gt_mets), tuple((k, tuple(v)) for k, v in r.ambiguous_parsed_matches.items()), tuple(r.t0_zero_mets)) for r in report.collect()} == {
+        ("p", 3, 4, 3, ((1, "m0"), (3, "m2")), ("m3",), (2,), ((1, ("m0", "m1")),), ()),
+        ("q", 1, 1, 1, ((1, "m0"),), (), (), (), ()),
+        ("r", 0, 2, 1, (), (), (), (), ("m0", "m1")),
+        ("s", 1, 0, 0, (), (), (4,), (), ()),
+    }
+    r = M.match_totals(report).first()
+    assert (r.patients, r.labels, r.parsed, r.matched, r.unmatched_gt, r.unmatched_parsed, r.t0_zero, r.ambiguous, r.surplus, r.equal, r.missed) == (4, 5, 5, 3, 2, 1, 2, 1, 1, 2, 1)
+    assert M.match_totals(report.where("false")).first().patients == 0
+
+
+def test_key_mismatches(spark):
+    from lachesis.operators import summaries as U
+
+    a, b = (spark.createDataFrame([(i,) for i in own], "patient_id int") for own in ([1, 2, 2], [2, 3]))
+    assert {tuple(r) for r in U.key_mismatches(a, b).collect()} == {(1, False, True), (3, True, False)}

@@ -74,3 +74,24 @@ def test_cached_prepare(spark, tmp_path):
     for _ in range(2):
         assert io.cached_prepare(spark, str(tmp_path / "c"), compute).count() == 3
     assert len(made) == 1
+
+
+def test_match_report_goes_round(spark, tmp_path):
+    row = (1, 3, 4, 3, {1: 'm "0"; x', 3: "m2"}, ["m3"], [2], {1: ["m0", "m1"]}, [])
+    names = "patient_id bigint, labels_in_gt bigint, parsed_mets bigint, t0_nonzero_parsed_mets bigint, matched_mets map<int,string>, unmatched_parsed_mets array<string>, unmatched_gt_mets array<int>, ambiguous_parsed_matches map<int,array<string>>, t0_zero_mets array<string>"
+    df = spark.createDataFrame([row], names)
+    io.write_match_report(df, str(tmp_path / "r"))
+    back = io.read_match_report(spark, str(tmp_path / "r"))
+    assert [tuple(r) for r in back.collect()] == [row] and back.dtypes == df.dtypes
+
+
+def test_study_tree(spark, tmp_path):
+    """Folders are listed by tasks; an empty tree, files among folders, and a patient without sessions."""
+    assert io.read_study_manifest(spark, str(tmp_path)).count() == 0
+    paths = [f"sub-{p}/ses-2020010100{p % 60:02d}{p // 60:02d}/{f}" for p in range(150) for f in (["anat"], ["rt"], ["anat", "rt"], ["notes"])[p % 4]] + ["sub-x/other/anat", "sub-y"]
+    io.write_study_tree(spark.createDataFrame([(p,) for p in paths + paths[:3] + [None]], "path string"), str(tmp_path))
+    (tmp_path / "file.txt").write_text("x")
+    (tmp_path / "sub-1" / "ses-20200101000000").write_text("x")
+    got = io.read_study_manifest(spark, f"file://{tmp_path}")
+    assert {(r.patient_id, r.has_treatment) for r in got.collect()} == {(f"sub-{p}", p % 4 in (1, 2)) for p in range(150) if p % 4 < 3}
+    assert got.rdd.getNumPartitions() == 3
