@@ -118,15 +118,20 @@ def repair_swing_features(df: DataFrame, features: list[str], keys: list[str] =
     return df.withColumns(new)
 
 
-def reject_spikes(df: DataFrame, factor: float, keys: list[str] = KEYS) -> DataFrame:
-    """Series without a point that rises by more than the factor and falls back by it, or the mirror image."""
+def tag_spikes(df: DataFrame, factor: float, keys: list[str] = KEYS, out: str = "is_spike") -> DataFrame:
+    """Adds whether a point rises by more than the factor and falls back by it, or the mirror image."""
     w = ordered(keys)
     low = lambda c: F.greatest(c, F.lit(1e-6))
     prev, cur, post = low(F.lag("volume").over(w)), low(F.col("volume")), low(F.lead("volume").over(w))
     inner = F.lag("volume").over(w).isNotNull() & F.lead("volume").over(w).isNotNull()
     up = (cur / prev > factor) & (post / cur < 1 / factor)
     down = (cur / prev < 1 / factor) & (post / cur > factor)
-    df = df.withColumn("_spike", inner & (up | down))
+    return df.withColumn(out, inner & (up | down))
+
+
+def reject_spikes(df: DataFrame, factor: float, keys: list[str] = KEYS) -> DataFrame:
+    """Series without a spike."""
+    df = tag_spikes(df, factor, keys, "_spike")
     return df.withColumn("_any", F.bool_or("_spike").over(whole(keys))).where(~F.col("_any")).drop("_spike", "_any")
 
 
@@ -160,6 +165,18 @@ def interpolate_cr_runs(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return df.withColumn("rano", F.when(F.col("interpolate"), response(F.col("volume"), first, nadir)).otherwise(F.col("rano")))
 
 
+def reject_samples(df: DataFrame, factor: float | None, drop_length: int, keep_length: int, keys: list[str] = KEYS) -> DataFrame:
+    """Rejection and repair of classed series in one step, in this order: series with an inner CR run of drop_length or more go; those
+    with one of keep_length or less are marked; of the others, those with a spike in the volumes as they were go (none without a factor);
+    the runs of the marked ones are filled by interpolate_cr_runs. A marked series is never dropped for a spike. Adds interpolate."""
+    df = df if factor is None else tag_spikes(df, factor, keys, "_spike")
+    df = reject_cr_runs(df, drop_length, keep_length, keys)
+    if factor is not None:
+        lost = F.bool_or("_spike").over(whole(keys)) & ~F.bool_or("interpolate").over(whole(keys))
+        df = df.withColumn("_lost", lost).where(~F.col("_lost")).drop("_lost", "_spike")
+    return interpolate_cr_runs(df, keys)
+
+
 def relative_volume(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Adds volume divided by the first one; null where that is 0."""
     first = F.first("volume").over(ordered(keys))

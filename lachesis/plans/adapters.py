@@ -73,6 +73,18 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("prediction", (F.col("confidence") >= 0.5).cast("int"))
 
 
+#: Configurations of three inputs, in order.
+CONFIGURED = ["t0", "t0-t1", "t0-t2"]
+
+
+def configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model's confidences for the labelled documents under each configuration: (config, fold, id, target, confidence, prediction)."""
+    p = predictions(spark, sf_dir).groupBy("fold", "id", "target").agg(*[F.max(F.when(F.col("model") == m, F.col("confidence"))).alias(m) for m in "ab"])
+    values = [F.col("a"), F.col("b"), (F.col("a") + F.col("b")) / 2]
+    rows = p.withColumn("c", F.explode(F.array(*[F.struct(F.lit(c).alias("config"), v.alias("confidence")) for c, v in zip(CONFIGURED, values, strict=True)])))
+    return rows.select("c.config", "fold", "id", "target", "c.confidence", (F.col("c.confidence") >= 0.5).cast("int").alias("prediction"))
+
+
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("subject"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").alias("cluster"))
 
@@ -109,6 +121,7 @@ SQL: dict[str, str] = {
     "atlas": "SELECT x::INTEGER AS x, y::INTEGER AS y, z::INTEGER AS z, CASE WHEN y > 7 THEN 0 ELSE [100, 101, 200, 201, 300][((x - 1) // 10 + 1)::INTEGER] END::INTEGER AS label FROM generate_series(1, 50) a(x), generate_series(0, 10) b(y), generate_series(0, 8) c(z)",
     "scored": f"SELECT doc_id AS id, toxic AS target, (n_chars % 97) / 97.0::DOUBLE AS a, ((doc_id * 37) % 101) / 101.0::DOUBLE AS b, ((row_number() OVER (PARTITION BY toxic ORDER BY {DRAW('42', 'doc_id')}, doc_id) - 1) % 5)::INTEGER AS fold FROM labels JOIN documents USING (doc_id) WHERE toxic IS NOT NULL",
     "predictions": "SELECT *, CASE WHEN confidence >= 0.5 THEN 1 ELSE 0 END AS prediction FROM (SELECT 'a' AS model, 't0' AS config, fold, id, target, a AS confidence FROM scored UNION ALL SELECT 'b', 't0', fold, id, target, b FROM scored)",
+    "configured": "SELECT 't0' AS config, fold, id, target, a AS confidence FROM scored UNION ALL SELECT 't0-t1', fold, id, target, b FROM scored UNION ALL SELECT 't0-t2', fold, id, target, (a + b) / 2 FROM scored",
     "trajectories": "SELECT vec_id AS subject, embedding::DOUBLE[] AS v, label AS cluster FROM embeddings",
     "elements": "SELECT subject, cluster, unnest(v) AS x, unnest(generate_series(1, len(v))) AS j FROM trajectories",
     "manifest": "SELECT 'sub-' || user_id || '/ses-' || strftime(ts, '%Y%m%d%H%M%S') || '/anat' AS path FROM events UNION ALL SELECT 'sub-' || user_id || '/ses-' || strftime(ts, '%Y%m%d%H%M%S') || '/rt' FROM events WHERE event_type = 'purchase'",

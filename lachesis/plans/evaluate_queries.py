@@ -276,6 +276,30 @@ def _(spark, d):
     return R.permutation_test_auc(pairs, ["config", "pair"], ["id"], REPLICATES).select("config", "pair", *r6("difference", "p_value"))
 
 
+def compared(which: str, pairs: list[tuple[str, str]]) -> None:
+    """The permutation test of some pairs of configurations: each with the next, or the first with each other one."""
+    names = ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+    sql = ctes("configured").rstrip() + f""",
+w(ca, cb) AS (VALUES {names}),
+x AS (SELECT a.config || ' / ' || b.config AS pair, a.id, a.target, a.confidence AS ca, b.confidence AS cb FROM w JOIN configured a ON a.config = w.ca JOIN configured b ON b.config = w.cb AND a.id = b.id AND a.fold = b.fold),
+s AS (SELECT pair, rep, target, ca, cb, rep >= 0 AND {DRAW('0', 'rep', 'id')} % 2 = 1 AS swap FROM x, generate_series(-1, {REPLICATES - 1}) r(rep)),
+e AS (SELECT pair, rep, 'a' AS side, target, CASE WHEN swap THEN cb ELSE ca END AS score FROM s UNION ALL SELECT pair, rep, 'b', target, CASE WHEN swap THEN ca ELSE cb END FROM s),
+n AS (SELECT pair, rep, side, score, count(*) FILTER (target = 1) AS p, count(*) FILTER (target <> 1) AS q FROM e GROUP BY ALL),
+a AS ({AUC.format(by='pair, rep, side', score='score', n='n')}),
+f AS (SELECT pair, rep, max(auc) FILTER (side = 'a') - max(auc) FILTER (side = 'b') AS d FROM a GROUP BY pair, rep)
+SELECT f.pair, round(o.d, 6) AS difference, round(avg((abs(f.d) >= abs(o.d) - 1e-12)::INTEGER), 6) AS p_value FROM f JOIN f o ON o.pair = f.pair AND o.rep = -1 WHERE f.rep >= 0 GROUP BY f.pair, o.d"""
+
+    @query(f"permutation_test_{which}", sql)
+    def _(spark, d):
+        rows = R.all_pairs(A.configured(spark, d), [], "config", ["fold", "id"], which, A.CONFIGURED)
+        return R.permutation_test_auc(rows, ["pair"], ["id"], REPLICATES).select("pair", *r6("difference", "p_value"))
+
+
+_C = A.CONFIGURED
+compared("adjacent", [*zip(_C, _C[1:], strict=False)])
+compared("first", [(_C[0], c) for c in _C[1:]])
+
+
 #: p: the share of the 2^n signs whose rank sum is no larger, twice; with ties the normal approximation, erf by its series.
 @query("wilcoxon_folds", ctes("predictions").rstrip() + f""",
 n AS (SELECT model, config, fold, confidence, count(*) FILTER (target = 1) AS p, count(*) FILTER (target <> 1) AS q FROM predictions GROUP BY ALL),
@@ -396,11 +420,46 @@ def _(spark, d):
     return L.train_regressors(w.where("fold <> 0"), w.where("fold = 0"), configs).select("model", "config", "id", *r6("prediction"), "target")
 
 
+#: Features of a timepoint: what a series has there, and what can be told from its earlier points.
+STACKED = ["volume", "timedelta_days", "relative", "logarithm", "diameter", "nadir", "peak", "mean", "change", "slope", "share", "twice"]
+
+
+def stacked(spark, d):
+    """The wide table of all features, and its timepoints but the last under common names, with the encoded class of the same one."""
+    from pyspark.sql import Window
+
+    from ..functions import columns as C
+
+    w = Window.partitionBy(*K).orderBy("t")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    v, day = F.col("volume"), F.col("timedelta_days")
+    change, days = v - F.coalesce(F.lag("volume").over(w), v), day - F.lag("timedelta_days").over(w)
+    more = {
+        "relative": F.try_divide(v, F.first("volume").over(w)), "logarithm": F.log1p(v), "diameter": C.sphere_diameter(v), "nadir": F.min("volume").over(so_far), "peak": F.max("volume").over(so_far),
+        "mean": F.avg("volume").over(so_far), "change": change, "slope": change / days, "share": F.try_divide(v, F.sum("volume").over(Window.partitionBy("patient_id", "t"))), "twice": 2 * v + 1,
+    }
+    g = A.grid(spark, d).withColumns(more)
+    wide = T.wide_features(g, K, "t", list(range(STEPS + 1)), [*STACKED, "rano"]).withColumn("id", C.compose_id(F.col("patient_id"), F.col("lesion_id")))
+    rows = T.stack_timepoints(wide, "id", list(range(STEPS + 1)), STACKED, "rano")
+    return wide, rows.withColumn("target", C.encode_response(F.col("rano"))).where("target is not null")
+
+
 @query("lasso_select")
 def _(spark, d):
-    w = learnable(spark, d)
-    gone = N.lasso_select(w, CONFIGS["t0-t5"], "t6_volume")
-    return w.sparkSession.createDataFrame([(c, c in gone) for c in CONFIGS["t0-t5"]], "feature string, dropped boolean")
+    """What an L1 fit of the class leaves out, over all timepoints and features."""
+    gone = N.lasso_select(stacked(spark, d)[1], STACKED, "target")
+    return spark.createDataFrame([(c, c in gone) for c in STACKED], "feature string, dropped boolean")
+
+
+@query("feature_selection")
+def _(spark, d):
+    """Timepoints stacked, features eliminated one method after the other, and the wide columns that are left."""
+    from ..sources.io import stored
+
+    wide, rows = stacked(spark, d)
+    gone = L.eliminate(stored(rows), STACKED, "target", [N.correlated(0.9), N.lasso_select, L.model_select])
+    kept = T.drop_feature_suffixes([c for c in wide.columns if c not in (*K, "id")], [f"_{f}" for f in gone], keep_days=False)
+    return spark.createDataFrame([(c, c in kept) for c in wide.columns if c not in (*K, "id")], "column string, kept boolean")
 
 
 @query("model_select")

@@ -148,17 +148,31 @@ def _(spark, d):
     return S.reject_cr_runs(A.grid(spark, d), 2, 1).select(*K, "t", "interpolate")
 
 
-@query("interpolate_cr_runs", ctes("grid").rstrip() + "," + CR + f""",
+#: Points that CR runs leave, filled from the points before and after.
+FILLED = f"""
 b AS (SELECT *, last_value(CASE WHEN NOT interpolate THEN volume END IGNORE NULLS) OVER p AS v1, last_value(CASE WHEN NOT interpolate THEN timedelta_days END IGNORE NULLS) OVER p AS d1,
-first_value(CASE WHEN NOT interpolate THEN volume END IGNORE NULLS) OVER n AS v2, first_value(CASE WHEN NOT interpolate THEN timedelta_days END IGNORE NULLS) OVER n AS d2 FROM kept
+first_value(CASE WHEN NOT interpolate THEN volume END IGNORE NULLS) OVER n AS v2, first_value(CASE WHEN NOT interpolate THEN timedelta_days END IGNORE NULLS) OVER n AS d2 FROM {{0}}
 WINDOW p AS ({W} ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), n AS ({W} ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
 v AS (SELECT patient_id, lesion_id, t, rano, interpolate, CASE WHEN interpolate THEN v1 + (v2 - v1) * (timedelta_days - d1) / (d2 - d1) ELSE volume END AS volume FROM b),
 x AS (SELECT *, first_value(volume) OVER ({W} ORDER BY t) AS base, min(volume) OVER ({W} ORDER BY t ROWS UNBOUNDED PRECEDING) AS nadir FROM v)
-SELECT patient_id, lesion_id, t, round(volume, 6) AS volume, CASE WHEN interpolate THEN {RESPONSE('volume', 'base', 'nadir')} ELSE rano END AS rano FROM x""")
+SELECT patient_id, lesion_id, t, round(volume, 6) AS volume, CASE WHEN interpolate THEN {RESPONSE('volume', 'base', 'nadir')} ELSE rano END AS rano FROM x"""
+
+
+@query("interpolate_cr_runs", ctes("grid").rstrip() + "," + CR + ",\n" + FILLED.format("kept"))
 def _(spark, d):
     return S.interpolate_cr_runs(S.reject_cr_runs(A.grid(spark, d), 2, 1)).select(*K, "t", *r6("volume"), "rano")
 
 
+@query("reject_samples", ctes("grid").rstrip() + "," + CR + f""",
+near AS (SELECT *, greatest(lag(volume) OVER w, 1e-6) AS p, greatest(volume, 1e-6) AS c, greatest(lead(volume) OVER w, 1e-6) AS q, lag(volume) OVER w IS NOT NULL AND lead(volume) OVER w IS NOT NULL AS inner_ FROM grid WINDOW w AS ({W} ORDER BY t)),
+spiked AS (SELECT patient_id, lesion_id, bool_or(inner_ AND ((c / p > 5 AND q / c < 0.2) OR (c / p < 0.2 AND q / c > 5))) AS spike FROM near GROUP BY ALL),
+marked AS (SELECT patient_id, lesion_id, bool_or(interpolate) AS mark FROM kept GROUP BY ALL),
+chosen AS (SELECT kept.* FROM kept JOIN spiked USING (patient_id, lesion_id) JOIN marked USING (patient_id, lesion_id) WHERE mark OR NOT spike),
+""" + FILLED.format("chosen"))
+def _(spark, d):
+    return S.reject_samples(A.grid(spark, d), 5, 2, 1).select(*K, "t", *r6("volume"), "rano")
+
+
 @query("relative_volume", ctes("series") + f"SELECT patient_id, lesion_id, t, round(volume / first_value(volume) OVER ({W} ORDER BY t), 6) AS relative_volume FROM series")
 def _(spark, d):
     return S.relative_volume(A.series(spark, d)).select(*K, "t", *r6("relative_volume"))

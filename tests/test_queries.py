@@ -48,6 +48,37 @@ def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
 
 
+def test_lasso_and_selection_over_stacked_timepoints(spark):
+    """The query's choice against proximal steps on the stacked rows, and the columns that the chain leaves."""
+    from lachesis.plans import evaluate_queries as Q
+    from test_moments import plain_lasso
+
+    rows = Q.stacked(spark, SF)[1].toPandas()
+    x = rows[Q.STACKED].astype(float).fillna(0).to_numpy()
+    scale = x.std(axis=0)
+    assert len(rows) > 5 * rows["id"].nunique() * 0.5 and (scale > 0).all()
+    got = {r.feature: r.dropped for r in registry.queries()["lasso_select"](spark, SF).collect()}
+    want = plain_lasso(x, rows["target"].to_numpy(float), 0.5, 300_000)
+    # Slow steps may leave a trace of what is 0; what is clearly not 0 must be kept.
+    assert all(not got[c] for c, b, s in zip(Q.STACKED, want, scale, strict=True) if abs(b * s) > 0.05)
+    assert all(got[c] for c, b, s in zip(Q.STACKED, want, scale, strict=True) if b == 0)
+    left = {r["column"]: r.kept for r in registry.queries()["feature_selection"](spark, SF).collect()}
+    assert len(left) == 7 * 13 and not left["t3_twice"] and any(left.values()) and all(left[f"t{t}_rano"] for t in range(7))
+
+
+def test_rejected_samples(spark):
+    """A long CR run drops a series, a short one is filled and saves it from rejection for its dip; a spike drops one."""
+    from lachesis.operators import series as S
+
+    own = {1: [10, 0, 0, 10, 9, 9], 2: [10, 0, 10, 9, 9, 9], 3: [10, 10, 200, 10, 10, 10], 4: [10, 9, 8, 8, 8, 8], 5: [10, 0, 10, 300, 10, 10], 6: [10, 9, 9, 9, 0, 0]}
+    rows = [(p, 1, t, 60 * t, float(v), "CR" if v == 0 else "SD") for p, vs in own.items() for t, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "patient_id int, lesion_id int, t int, timedelta_days int, volume double, rano string")
+    got = S.reject_samples(df, 5, 2, 1).toPandas().sort_values(["patient_id", "t"])
+    kept = {p: g.volume.tolist() for p, g in got.groupby("patient_id")}
+    assert kept == {2: [10, 10, 10, 9, 9, 9], 4: own[4], 5: [10, 10, 10, 300, 10, 10], 6: own[6]}
+    assert set(S.reject_samples(df, None, 2, 1).toPandas().patient_id) == {2, 3, 4, 5, 6} and "_spike" not in got
+
+
 def test_tracked_series_are_whole(spark):
     """A series has one row for each of its patient's studies from its start on."""
     df = registry.queries()["track_lesions"](spark, SF).toPandas()
