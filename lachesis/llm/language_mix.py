@@ -5,11 +5,15 @@ counts, Spark sums them by (language, bucket), and a model of languages x BUCKET
 number of rows. Inference (`infer`) lets each word of a document come from one language of the document's mixture, with
 the likelihood of its trigrams. Expectation-maximisation estimates the proportions; then languages are added to the set
 in the order of their proportions while the likelihood, less `penalty * log(words) / 2` for each proportion that is free,
-still grows; those that the mixture of all languages gives less than LEAST_SHARE of the words and less than LEAST_WORDS words are
-not tried. The prediction is the most frequent language of the chosen set. Words are parted by white space, so in scripts
+still grows. The prediction is the most frequent language of the chosen set. Words are parted by white space, so in scripts
 without spaces a sentence is one word.
 
-Documents of an Arrow batch are worked on together, in runs of about RUN words; a text is worked on by its different words and
+Rounds go on until a document's proportions stay and its likelihood is known to be within TOLERANCE of the largest one: the likelihood
+is concave in the proportions, so it lies at most words * log(g) below that, where g is the largest mean, over words, of a
+language's likelihood by the mixture's. By the same bound, sets that cannot pay their penalty need no fit: no set of languages is
+likelier than the mixture of all of them.
+
+Documents of an Arrow batch are worked on together, in runs of about RUN scores; a text is worked on by its different words and
 their counts, so a long one needs memory by its vocabulary. Nothing is shuffled.
 
 Nulls: null texts, and texts without a letter, give `und` and score 0; a model without languages gives `und` too. Null
@@ -30,15 +34,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_arrow, table
+from .common import append_arrow, stored, table
 
 BUCKETS = 1 << 14
 #: More languages than this are refused: the model is collected and broadcast.
 MAX_LANGUAGES = 400
-#: Different words that a worker remembers, and different words of texts that it works on at once.
-REMEMBERED, RUN = 200_000, 150_000
-#: A language is tried if the mixture of all languages gives it this share of the words, or so many words in longer texts.
-LEAST_SHARE, LEAST_WORDS = 0.01, 5
+#: Scores (a word in a language) that a worker remembers, and scores of texts' different words that it works on at once; different words
+#: of a language that training adds up before it counts their trigrams.
+REMEMBERED, RUN, COUNTED = 800_000, 600_000, 200_000
+#: A fit ends if its likelihood is within TOLERANCE (and the rounding of its words) of the largest and no proportion moves by more than
+#: STILL, and in any case after ROUNDS.
+TOLERANCE, STILL, ROUNDS = 0.01, 1e-4, 1000
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -86,7 +92,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
             for x, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 own = seen.setdefault(x, Counter())
                 own.update(words_of(t))
-                if len(own) > REMEMBERED:
+                if len(own) > COUNTED:
                     settle(x)
         for x in list(seen):
             settle(x)
@@ -94,19 +100,22 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: fl
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(s[at])], names=["lang", "bucket", "n"])
 
+    def pack(group: pa.Table) -> pa.Table:
+        n = np.zeros(BUCKETS)
+        n[group.column("bucket").to_numpy()] = group.column("n").to_numpy()
+        return pa.table({"lang": group.column("lang").slice(0, 1), "n": pa.array([n.tobytes()], pa.binary())})
+
     counts = rows.mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counts.collect()
-    languages = sorted({r.lang for r in found})
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MAX_LANGUAGES}")
-    place = {x: i for i, x in enumerate(languages)}
-    n = np.full((len(languages), BUCKETS), smoothing)
-    for r in found:
-        n[place[r.lang], r.bucket] += r.n
-    return Model(languages, np.log(n / n.sum(axis=1, keepdims=True)))
-
-
-def mixtures(scores: np.ndarray, times: np.ndarray, kinds: np.ndarray, penalty: float, rounds: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    # A language has at most BUCKETS counts.
+    packed = stored(counts.groupBy("lang").applyInArrow(pack, "lang string, n binary"))
+    if packed.select("lang").limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = sorted(packed.collect())
+    n = np.array([np.frombuffer(r.n) for r in found]).reshape(len(found), BUCKETS) + smoothing
+    return Model([r.lang for r in found], np.log(n / n.sum(axis=1, keepdims=True)))
+
+
+def mixtures(scores: np.ndarray, times: np.ndarray, kinds: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
     """Proportions (documents x languages) with all languages, and with the chosen set, for documents whose different words'
     scores (languages x words) follow one another. times: how often each word comes; kinds: different words of each document. No
     document is empty."""
@@ -118,34 +127,51 @@ def mixtures(scores: np.ndarray, times: np.ndarray, kinds: np.ndarray, penalty:
     weight = times.astype(np.float32)
     base = np.add.reduceat(top.astype(np.float64) * times, starts)
 
-    def fit(pi: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, whole = kinds[docs], bool(docs.all())
-        some = slice(None) if whole else np.repeat(docs, kinds)
-        p, w, begin = like[:, some], weight[some], np.cumsum(n) - n
-        for _ in range(rounds):
-            r = p * np.repeat(pi, n, axis=1)
-            r *= w / np.maximum(r.sum(axis=0), 1e-30)
-            pi = np.add.reduceat(r, begin, axis=1) / sizes[docs]
-        seen = np.log(np.maximum((p * np.repeat(pi, n, axis=1)).sum(axis=0), 1e-30).astype(np.float64)) * w
-        return pi.astype(np.float32), np.add.reduceat(seen, begin) + base[docs]
+    def fit(pi: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Proportions, likelihoods and how far below the largest these may lie, for some documents from a start; languages that
+        start at 0 are no part of the mixture."""
+        which = np.flatnonzero(docs)
+        out, value, gap = np.zeros((k, len(which)), np.float32), np.zeros(len(which)), np.zeros(len(which))
+        act, member = np.arange(len(which)), pi > 0
+        for r in range(ROUNDS):
+            if r == 0 or len(left) < len(act):
+                act, pi, member = (act, pi, member) if r == 0 else (act[left], pi[:, left], member[:, left])
+                n = kinds[which[act]]
+                some = np.repeat(np.isin(np.arange(len(kinds)), which[act]), kinds)
+                p, w, begin, size = like[:, some], weight[some], np.cumsum(n) - n, sizes[which[act]]
+            mixed = np.maximum((p * np.repeat(pi, n, axis=1)).sum(axis=0), 1e-30)
+            g = np.add.reduceat(p * (w / mixed), begin, axis=1) / size
+            new = (pi * g).astype(np.float32)
+            short = size * np.log(np.maximum(np.where(member, g, 0).max(axis=0), 1))
+            done = ((short <= TOLERANCE + 1e-6 * size) & (np.abs(new - pi).max(axis=0) <= STILL)) | (r == ROUNDS - 1)
+            if done.any():
+                at = act[done]
+                out[:, at], gap[at] = pi[:, done], short[done]
+                value[at] = np.add.reduceat(np.log(mixed.astype(np.float64)) * w, begin)[done] + base[which[at]]
+            left, pi = np.flatnonzero(~done), new
+            if not len(left):
+                break
+        return out, value, gap
 
     every = np.ones(len(sizes), bool)
     each = np.arange(len(sizes))
-    full = fit(np.full((k, len(sizes)), 1 / k, np.float32), every)[0].T
+    full, most, gap = fit(np.full((k, len(sizes)), 1 / k, np.float32), every)
+    full = full.T
     order = np.argsort(-full, axis=1, kind="stable")
     best = np.zeros_like(full)
     best[each, order[:, 0]] = 1
     value = np.add.reduceat(scores[np.repeat(order[:, 0], kinds), np.arange(scores.shape[1])].astype(np.float64) * times, starts)
+    due = penalty * np.log(np.maximum(sizes, 2)) / 2
     grows = every
     for m in range(2, k + 1):
-        # A language to which the full mixture gives next to nothing does not pay its penalty.
-        grows = grows & (full[each, order[:, m - 1]] > np.minimum(LEAST_SHARE, LEAST_WORDS / sizes))
+        # What no mixture can reach need not be fitted.
+        grows = grows & (most + gap - (m - 1) * due > value)
         if not grows.any():
             break
         start = np.zeros((int(grows.sum()), k), np.float32)
         np.put_along_axis(start, order[grows, :m], 1 / m, axis=1)
-        pi, likelihood = fit(np.ascontiguousarray(start.T), grows)
-        now = likelihood - penalty * (m - 1) * np.log(np.maximum(sizes[grows], 2)) / 2
+        pi, likelihood, _ = fit(np.ascontiguousarray(start.T), grows)
+        now = likelihood - (m - 1) * due[grows]
         better = now > value[grows]
         at = np.flatnonzero(grows)[better]
         best[at], value[at] = pi.T[better], now[better]
@@ -170,7 +196,7 @@ class Known:
         self.used = 0
 
     def lookup(self, words: list[str]) -> np.ndarray:
-        if len(self.place) > REMEMBERED:
+        if len(self.place) * len(self.scores) > REMEMBERED:
             self.clear()
         if new := [w for w in dict.fromkeys(words) if w not in self.place]:
             need = self.used + len(new)
@@ -210,7 +236,7 @@ def infer(docs: DataFrame, model: Model, text: str = "text", penalty: float = 2.
                 words += own
                 times += own.values()
                 kinds.append(len(own))
-                if len(words) > RUN:
+                if len(words) * len(names) > RUN:
                     settle(rows, words, times, kinds)
                     rows, words, times, kinds = [], [], [], []
         settle(rows, words, times, kinds)
