@@ -190,28 +190,75 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int, percent: int, salts: in
     return rows.mapInArrow(run, COMPARED)
 
 
-def starts(rows: DataFrame, threshold: float) -> DataFrame:
-    """(b, e, a, comp, free): the places e of each difference in which a common part with a partner must begin. Of two
-    linked members, at least one, u, has no link to the centre c: |u - c| + |c - u| > s (|u| + |c|) with s = (1 - threshold) / (1 +
-    threshold). Their differences share at least half of (|D_u| + |D_x| - s (|u| + |x|)), hence at least half of
-    |D_x| + s (|c| - |x|); and from u's side at least |D_u| - s |u| - s |u| / threshold. `free` marks u's places."""
+#: Members of a centre whose differences say which shingles are common among them, and the ratio of neighbouring classes.
+SAMPLE, RATIO = 64, 1.25
+
+
+def common_parts(rows: DataFrame) -> DataFrame:
+    """(b, common): the shingles that several differences of a centre's sampled members share, the rarest first. rows: (b, a, c, delta),
+    c members each; about SAMPLE of them are taken by hash, and all of fewer. The sample decides an order, so it can't lose a
+    pair."""
+    some = rows.where(F.pmod(F.xxhash64("a"), F.ceil(F.col("c") / SAMPLE)) == 0)
+
+    def count(group: pa.Table) -> pa.Table:
+        e, n = np.unique(np.concatenate([np.frombuffer(d, np.int64) for d in group.column("delta").to_pylist()]), return_counts=True)
+        most = n >= (2 if group.column("c")[0].as_py() <= SAMPLE else 3)
+        e, n = e[most], n[most]
+        return pa.table({"b": group.column("b").slice(0, 1), "common": pa.array([e[np.lexsort([e, n])].tobytes()], pa.binary())})
+
+    return some.select("b", "c", "delta").groupBy("b").applyInArrow(count, "b long, common binary")
+
+
+def starts(rows: DataFrame, threshold: float, salts: int) -> DataFrame:
+    """(b, e, q, a, comp, free): the places e of each difference in which a common part with a partner must begin, for each
+    class q of pairs. rows: (b, c, a, comp, free, n_a, n_b, delta).
+
+    With D the difference from the centre c, s = (1 - threshold) / (1 + threshold) and g = |D| - s n for a set of n shingles, two members
+    are linked exactly if their differences share (g_u + g_x) / 2 shingles. So g_u is at most |D_x| + s n_x, and, as n_u is at most
+    n_x / threshold, at least g_x - 2 s n_x / threshold. Of two members that link past their centre, at least one, u, has no link to it
+    (marked `free`), so g_u > s |c|. Classes of g, whose bounds grow by RATIO from s |c| on, give each side a close lower bound of
+    the other's g, hence how much must be shared, and in how many first places of any common order that must begin. The order
+    has a centre's common shingles last, so members that share a template, and little else, don't meet."""
     s = (1 - threshold) / (1 + threshold)
+    members = rows.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
+    head = members.select("b", "salt").distinct().join(common_parts(rows), "b").withColumn("delta", F.col("common")).drop("common")
+    both = members.unionByName(head, allowMissingColumns=True)
+    # A centre's common shingles (a is null) come first.
+    both = both.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known, rank = None, np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            cols = (batch.column(c).to_pylist() for c in ("b", "a", "comp", "free", "n_a", "n_b", "delta"))
-            out: list[list] = [[], [], [], [], []]
-            for b, a, comp, free, n, centre, delta in zip(*cols, strict=True):
+            cols = (batch.column(c).to_pylist() for c in ("b", "c", "a", "comp", "free", "n_a", "n_b", "delta"))
+            out: list[list] = [[], [], [], [], [], []]
+            for b, c, a, comp, free, n, centre, delta in zip(*cols, strict=True):
                 d = np.frombuffer(delta, np.int64)
-                sides = [(False, (len(d) + s * (centre - n)) / 2)] + ([(True, len(d) - s * n - s * n / threshold)] if free else [])
-                for mark, shared in sides:
-                    need = max(1, int(np.ceil(shared - 1e-9)))
-                    own = d[: max(0, len(d) - need + 1)].tolist()
-                    for col, v in zip(out, ([b] * len(own), own, [a] * len(own), [comp] * len(own), [mark] * len(own)), strict=True):
-                        col += v
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (*[pa.int64()] * 4, pa.bool_()), strict=True)], names=["b", "e", "a", "comp", "free"])
-
-    return rows.mapInArrow(run, "b long, e long, a long, comp long, free boolean")
+                if a is None:
+                    order = np.argsort(d)
+                    at, known, rank = b, d[order], order
+                    continue
+                of = np.zeros(len(d), np.int64)
+                if at == b and len(known):
+                    place = np.minimum(np.searchsorted(known, d), len(known) - 1)
+                    of = np.where(known[place] == d, rank[place] + 1, 0)
+                order = np.lexsort([d, of])
+                d, unique = d[order], int((of == 0).sum()) if c <= SAMPLE else 0
+                g, unit = len(d) - s * n, s * centre
+                low, high = g - 2 * s * n / threshold, len(d) + s * n
+                kind = lambda v, unit=unit: 0 if v <= unit else 1 + int(np.log(v / unit) / np.log(RATIO))
+                mine = kind(g)
+                for mark in (False, True) if free else (False,):
+                    for k in range(kind(low) if mark else max(1, kind(low)), kind(high) + 1):
+                        least = max(low, unit * RATIO ** (k - 1) * (1 - 1e-9)) if k else low
+                        need = max(1, int(np.ceil((g + least) / 2 - 1e-9)))
+                        # A shingle that one member alone has makes no pair.
+                        own = d[unique : max(0, len(d) - need + 1)].tolist()
+                        q = mine << 16 | k if mark else k << 16 | mine
+                        for col, v in zip(out, ([b] * len(own), own, [q] * len(own), [a] * len(own), [comp] * len(own), [mark] * len(own)), strict=True):
+                            col += v
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (*[pa.int64()] * 5, pa.bool_()), strict=True)], names=["b", "e", "q", "a", "comp", "free"])
+
+    return both.select("b", "salt", "c", "a", "comp", "free", "n_a", "n_b", "delta").mapInArrow(run, "b long, e long, q long, a long, comp long, free boolean")
 
 
 #: Longs of a difference's bitmap.
@@ -239,23 +286,30 @@ def bitmaps(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "b long, a long, " + ", ".join(f"{n} long" for n in names) + ", extra int, g double")
 
 
-def past_centres(found: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of members of one centre and different components whose differences begin alike and can share enough."""
+def meetings(found: DataFrame, labels: DataFrame, threshold: float, salts: int) -> DataFrame:
+    """(b, e, q, a, comp, free, bitmap of a's difference): where members of one centre and of different components meet. A free member
+    is held against each other one of the same (b, e, q)."""
     name = lambda x, y: labels.select(F.col("id").alias(x), F.col("comp").alias(y))
     rows = found.join(name("a", "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
     centres = stored(found.select("b").distinct().join(name("b", "comp_b"), "b", "left"))
     rows = with_lookup(rows, centres, ["b"], "left").withColumn("free", F.col("comp") != F.coalesce("comp_b", "b"))
     rows = stored(rows.select("b", "a", "comp", "free", "n_a", "n_b", "delta"))
-    some = stored(rows.groupBy("b").agg(F.bool_or("free").alias("f"), F.count(F.lit(1)).alias("c")).where("f and c > 1").select("b"))
-    at = stored(starts(with_lookup(rows, some, ["b"], "left_semi"), threshold).distinct())
-    # A place that one component has alone, or that no free member has, makes no pair.
-    mixed = at.groupBy("b", "e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("free").alias("f")).where("f and lo <> hi").select("b", "e")
-    at = stored(at.join(mixed, ["b", "e"], "left_semi").join(bitmaps(rows, threshold), ["b", "a"]))
+    some = stored(rows.groupBy("b").agg(F.bool_or("free").alias("f"), F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("f and lo <> hi").select("b", "c"))
+    rows = stored(with_lookup(rows, some, ["b"], "inner"))
+    at = stored(starts(rows, threshold, salts).distinct())
+    # A place that one component has alone, or that lacks either side, makes no pair.
+    mixed = at.groupBy("b", "e", "q").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("free").alias("f"), F.bool_and("free").alias("g")).where("f and not g and lo <> hi").select("b", "e", "q")
+    return stored(at.join(mixed, ["b", "e", "q"], "left_semi").join(bitmaps(rows, threshold), ["b", "a"]))
+
+
+def past_centres(found: DataFrame, labels: DataFrame, threshold: float, salts: int) -> DataFrame:
+    """Pairs of members of one centre and different components whose differences begin alike and can share enough."""
+    at = meetings(found, labels, threshold, salts)
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("a", "comp", "extra", "g", *(f"w{i}" for i in range(LONGS)))]
-    u, x = at.where("free").select("b", "e", *side("u")), at.where("not free").select("b", "e", *side("x"))
+    u, x = at.where("free").select("b", "e", "q", *side("u")), at.where("not free").select("b", "e", "q", *side("x"))
     common = sum((F.bit_count(F.col(f"w{i}_u").bitwiseAND(F.col(f"w{i}_x"))) for i in range(1, LONGS)), F.bit_count(F.col("w0_u").bitwiseAND(F.col("w0_x"))))
     enough = 2 * (common + F.least("extra_u", "extra_x")) >= F.col("g_u") + F.col("g_x") - 1e-9
-    pairs = u.join(x, (u["b"] == x["b"]) & (u["e"] == x["e"]) & (F.col("comp_u") != F.col("comp_x")) & enough)
+    pairs = u.join(x, ["b", "e", "q"]).where((F.col("comp_u") != F.col("comp_x")) & enough)
     return pairs.select(F.least("a_u", "a_x").alias("a"), F.greatest("a_u", "a_x").alias("b")).distinct()
 
 
@@ -299,7 +353,7 @@ def components(docs: DataFrame, *, k: int = 5, percent: int = 80, text: str = "t
     found = stored(compared(star, texts, k, percent, salts))
     links = found.where("linked").select("a", "b")
     labels = labels_of(links)
-    pairs = stored(past_centres(found, labels, threshold))
+    pairs = stored(past_centres(found, labels, threshold, salts))
     more = stored(compared(possible(pairs, sets, threshold), texts, k, percent, salts).where("linked").select("a", "b"))
     if not more.isEmpty():
         labels = labels_of(links.unionByName(more))

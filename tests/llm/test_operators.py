@@ -756,3 +756,52 @@ def test_text_ids_are_refused_by_name(spark):
     for run, name in ((lambda: near_dedup.components(docs), "doc_id"), (lambda: near_dedup.deduplicated(docs), "doc_id"), (lambda: substring_dedup.to_chunks(docs, "text"), "doc_id"), (lambda: chat.format_turns(turns), "conv_id")):
         with pytest.raises(TypeError, match=name):
             run()
+
+
+# ---- 3, templates
+
+
+def templates(n, own=60, shared=40, words=100, seed=1):
+    """Documents of one template: common words, words that all but the smallest share, and words of their own; no two link."""
+    rng = random.Random(seed)
+    fresh = iter(range(10**9))
+    word = lambda: f"t{next(fresh)}x{rng.randrange(1000)}"
+    head, more = [word() for _ in range(words)], [word() for _ in range(shared)]
+    return [" ".join(head + (more if i else []) + [word() for _ in range(own)]) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [200, 400, 800])
+def test_templates_meet_seldom(spark, monkeypatch, n):
+    """Pair evaluations of documents of a template grow with the documents, not with their square."""
+    met = []
+    old = near_dedup.meetings
+
+    def counted(*args):
+        at = old(*args)
+        each = at.groupBy("b", "e", "q").agg(F.count(F.when(F.col("free"), 1)).alias("u"), F.count(F.when(~F.col("free"), 1)).alias("x"))
+        met.append(each.agg(F.coalesce(F.sum(F.col("u") * F.col("x")), F.lit(0))).first()[0])
+        return at
+
+    monkeypatch.setattr(near_dedup, "meetings", counted)
+    docs = spark.createDataFrame(list(enumerate(templates(n))), "doc_id long, text string")
+    got = near_dedup.components(docs, k=1, percent=80).collect()
+    assert all(r.kept and r.component_id == r.doc_id for r in got) and met[0] <= 20 * n
+
+
+@pytest.mark.parametrize("sample", [64, 4])
+def test_members_link_past_their_centre(spark, monkeypatch, sample):
+    """Near copies of template documents, whose centres link with none of them, at and around the threshold."""
+    monkeypatch.setattr(near_dedup, "SAMPLE", sample)
+    rng = random.Random(7)
+    texts = []
+    for i, t in enumerate(templates(24, seed=2)):
+        w = t.split()
+        texts.append(t)
+        for j in range(rng.choice([0, 1, 3])):
+            cut = rng.choice([5, 15, 19, 20, 21, 22, 23, 25, 40])
+            drop = set(rng.sample(range(len(w)), cut))
+            texts.append(" ".join([x for k, x in enumerate(w) if k not in drop] + [f"n{i}y{j}y{k}" for k in range(rng.choice([0, 3, cut]))]))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), k=1, percent=80).collect()}
+    assert got == components(rows, 1)
