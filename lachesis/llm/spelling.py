@@ -34,7 +34,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GROUPS = ["e", "a", "i", "n", "r", "t", "o", "s", "l", "u", "d", "h", "c", "mgb", "pfv"]
 LEVELS = len(GROUPS) + 1
 #: Words of a cell, words sent to one task of a cell, words of a leaf bucket, and cells at most (a larger table gets larger cells).
-CELL, ASKED, BUCKET, MOST_CELLS = 20_000, 200_000, 32, 50_000
+CELL, ASKED, BUCKET, MOST_CELLS = 5_000, 40_000, 32, 50_000
 #: Levels of the directory that one pass counts.
 STEP = 4
 #: Words that a worker takes at once; pairs that are verified at once; letters up to which pairs are verified together.
