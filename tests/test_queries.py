@@ -303,7 +303,7 @@ def test_search_splits_by_warping(spark):
     from lachesis.operators import cluster as L
 
     rng = np.random.default_rng(7)
-    shapes = np.array([[0, 0, 9, 0, 0, 0, 0, 0], [0, 0, 0, 40, 40, 0, 0, 0], [90, 90, 90, 90, 90, 90, 90, 0], [-60, -60, 0, 0, -60, -60, 0, 0]], float)
+    shapes = np.array([[0, 0, 9, 0, 0, 0, 0, 0], [0, 0, 0, 40, 40, 0, 0, 0], [0, 90, 90, 90, 90, 0, 0, 0], [-60, -60, 0, 0, 0, -60, -60, -60]], float)
     rows = []
     for i in range(120):
         late = int(rng.integers(0, 2))
