@@ -210,15 +210,15 @@ def common_parts(rows: DataFrame) -> DataFrame:
 
 
 def starts(rows: DataFrame, threshold: float, salts: int) -> DataFrame:
-    """(b, e, q, a, comp, free): the places e of each difference in which a common part with a partner must begin, for each
-    class q of pairs. rows: (b, c, a, comp, free, n_a, n_b, delta).
+    """(b, e, a, comp, free, kind, top): the places e of each difference in which a common part with a partner must begin, the difference's
+    class, and the highest class of partners for which the place counts. rows: (b, c, a, comp, free, n_a, n_b, delta).
 
     With D the difference from the centre c, s = (1 - threshold) / (1 + threshold) and g = |D| - s n for a set of n shingles, two members
     are linked exactly if their differences share (g_u + g_x) / 2 shingles. So g_u is at most |D_x| + s n_x, and, as n_u is at most
     n_x / threshold, at least g_x - 2 s n_x / threshold. Of two members that link past their centre, at least one, u, has no link to it
     (marked `free`), so g_u > s |c|. Classes of g, whose bounds grow by RATIO from s |c| on, give each side a close lower bound of
-    the other's g, hence how much must be shared, and in how many first places of any common order that must begin. The order
-    has a centre's common shingles last, so members that share a template, and little else, don't meet."""
+    the other's g, hence how much must be shared, and in how many first places of any common order that must begin: fewer for higher
+    classes, so each place is named once. The order has a centre's common shingles last, so members that share a template, and little else, don't meet."""
     s = (1 - threshold) / (1 + threshold)
     members = rows.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(salts)))
     head = members.select("b", "salt").distinct().join(common_parts(rows), "b").withColumn("delta", F.col("common")).drop("common")
@@ -230,7 +230,8 @@ def starts(rows: DataFrame, threshold: float, salts: int) -> DataFrame:
         at, known, rank = None, np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
             cols = (batch.column(c).to_pylist() for c in ("b", "c", "a", "comp", "free", "n_a", "n_b", "delta"))
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], []]
+            heads: list[tuple] = []
             for b, c, a, comp, free, n, centre, delta in zip(*cols, strict=True):
                 d = np.frombuffer(delta, np.int64)
                 if a is None:
@@ -246,19 +247,22 @@ def starts(rows: DataFrame, threshold: float, salts: int) -> DataFrame:
                 g, unit = len(d) - s * n, s * centre
                 low, high = g - 2 * s * n / threshold, len(d) + s * n
                 kind = lambda v, unit=unit: 0 if v <= unit else 1 + int(np.log(v / unit) / np.log(RATIO))
-                mine = kind(g)
-                for mark in (False, True) if free else (False,):
-                    for k in range(kind(low) if mark else max(1, kind(low)), kind(high) + 1):
-                        least = max(low, unit * RATIO ** (k - 1) * (1 - 1e-9)) if k else low
-                        need = max(1, int(np.ceil((g + least) / 2 - 1e-9)))
-                        # A shingle that one member alone has makes no pair.
-                        own = d[unique : max(0, len(d) - need + 1)].tolist()
-                        q = mine << 16 | k if mark else k << 16 | mine
-                        for col, v in zip(out, ([b] * len(own), own, [q] * len(own), [a] * len(own), [comp] * len(own), [mark] * len(own)), strict=True):
-                            col += v
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (*[pa.int64()] * 5, pa.bool_()), strict=True)], names=["b", "e", "q", "a", "comp", "free"])
-
-    return both.select("b", "salt", "c", "a", "comp", "free", "n_a", "n_b", "delta").mapInArrow(run, "b long, e long, q long, a long, comp long, free boolean")
+                # Only a free member has partners that the centre links with, whose class is 0.
+                kinds = np.arange(kind(low) if free else max(1, kind(low)), kind(high) + 1)
+                least = np.where(kinds > 0, np.maximum(low, unit * RATIO ** (kinds - 1.0) * (1 - 1e-9)), low)
+                need = np.maximum(1, np.ceil((g + least) / 2 - 1e-9).astype(np.int64))
+                ends = len(d) - need + 1
+                # A shingle that one member alone has makes no pair.
+                own = d[unique : max(0, ends.max(initial=0))]
+                top = kinds[0] - 1 + (ends[:, None] > np.arange(unique, unique + len(own))).sum(axis=0) if len(own) else own
+                for col, v in zip(out, (own.tolist(), top.tolist()), strict=True):
+                    col += v
+                heads += [(b, a, comp, free, kind(g))] * len(own)
+            first = zip(*heads, strict=True) if heads else [()] * 5
+            kinds = (pa.int64(),) * 3 + (pa.bool_(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(first, kinds, strict=True)), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32())], names=["b", "a", "comp", "free", "kind", "e", "top"])
+
+    return both.select("b", "salt", "c", "a", "comp", "free", "n_a", "n_b", "delta").mapInArrow(run, "b long, a long, comp long, free boolean, kind int, e long, top int")
 
 
 #: Longs of a difference's bitmap.
@@ -287,8 +291,8 @@ def bitmaps(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def meetings(found: DataFrame, labels: DataFrame, threshold: float, salts: int) -> DataFrame:
-    """(b, e, q, a, comp, free, bitmap of a's difference): where members of one centre and of different components meet. A free member
-    is held against each other one of the same (b, e, q)."""
+    """(b, e, a, comp, free, kind, top, bitmap of a's difference): where members of one centre and of different components meet. A free
+    member is held against each one of the same (b, e)."""
     name = lambda x, y: labels.select(F.col("id").alias(x), F.col("comp").alias(y))
     rows = found.join(name("a", "comp"), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
     centres = stored(found.select("b").distinct().join(name("b", "comp_b"), "b", "left"))
@@ -296,20 +300,21 @@ def meetings(found: DataFrame, labels: DataFrame, threshold: float, salts: int)
     rows = stored(rows.select("b", "a", "comp", "free", "n_a", "n_b", "delta"))
     some = stored(rows.groupBy("b").agg(F.bool_or("free").alias("f"), F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("f and lo <> hi").select("b", "c"))
     rows = stored(with_lookup(rows, some, ["b"], "inner"))
-    at = stored(starts(rows, threshold, salts).distinct())
-    # A place that one component has alone, or that lacks either side, makes no pair.
-    mixed = at.groupBy("b", "e", "q").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("free").alias("f"), F.bool_and("free").alias("g")).where("f and not g and lo <> hi").select("b", "e", "q")
-    return stored(at.join(mixed, ["b", "e", "q"], "left_semi").join(bitmaps(rows, threshold), ["b", "a"]))
+    at = stored(starts(rows, threshold, salts))
+    # A place that one component has alone, or that no free member has, makes no pair.
+    mixed = at.groupBy("b", "e").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("free").alias("f")).where("f and lo <> hi").select("b", "e")
+    return stored(at.join(mixed, ["b", "e"], "left_semi").join(bitmaps(rows, threshold), ["b", "a"]))
 
 
 def past_centres(found: DataFrame, labels: DataFrame, threshold: float, salts: int) -> DataFrame:
     """Pairs of members of one centre and different components whose differences begin alike and can share enough."""
     at = meetings(found, labels, threshold, salts)
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("a", "comp", "extra", "g", *(f"w{i}" for i in range(LONGS)))]
-    u, x = at.where("free").select("b", "e", "q", *side("u")), at.where("not free").select("b", "e", "q", *side("x"))
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("a", "comp", "kind", "top", "extra", "g", *(f"w{i}" for i in range(LONGS)))]
+    u, x = at.where("free").select("b", "e", *side("u")), at.select("b", "e", *side("x"))
     common = sum((F.bit_count(F.col(f"w{i}_u").bitwiseAND(F.col(f"w{i}_x"))) for i in range(1, LONGS)), F.bit_count(F.col("w0_u").bitwiseAND(F.col("w0_x"))))
     enough = 2 * (common + F.least("extra_u", "extra_x")) >= F.col("g_u") + F.col("g_x") - 1e-9
-    pairs = u.join(x, ["b", "e", "q"]).where((F.col("comp_u") != F.col("comp_x")) & enough)
+    near = (F.col("kind_u") <= F.col("top_x")) & (F.col("kind_x") <= F.col("top_u"))
+    pairs = u.join(x, ["b", "e"]).where((F.col("comp_u") != F.col("comp_x")) & near & enough)
     return pairs.select(F.least("a_u", "a_x").alias("a"), F.greatest("a_u", "a_x").alias("b")).distinct()
 
 

@@ -778,7 +778,7 @@ def test_templates_meet_seldom(spark, monkeypatch, n):
 
     def counted(*args):
         at = old(*args)
-        each = at.groupBy("b", "e", "q").agg(F.count(F.when(F.col("free"), 1)).alias("u"), F.count(F.when(~F.col("free"), 1)).alias("x"))
+        each = at.groupBy("b", "e").agg(F.count(F.when(F.col("free"), 1)).alias("u"), F.count(F.lit(1)).alias("x"))
         met.append(each.agg(F.coalesce(F.sum(F.col("u") * F.col("x")), F.lit(0))).first()[0])
         return at
 
@@ -805,3 +805,15 @@ def test_members_link_past_their_centre(spark, monkeypatch, sample):
     rows = list(enumerate(texts))
     got = {r.doc_id: r.component_id for r in near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), k=1, percent=80).collect()}
     assert got == components(rows, 1)
+
+
+def test_a_very_long_conversation(spark):
+    """One conversation of 30,000 turns among short ones: streamed in the order of its turns."""
+    text = lambda i: f"turn {i} <|im_end|>" if i % 7 else ""
+    rows = [(5, i, "assistant" if i % 2 else "user", text(i)) for i in range(30_000)] + [(c, i, "user", "hi") for c in (1, 9) for i in range(2)]
+    random.Random(1).shuffle(rows)
+    got = {r.conv_id: r for r in chat.digests(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6))).collect()}
+    own = sorted(r for r in rows if r[0] == 5)
+    said = "".join(t for _, _, role, t in own if role == "assistant")
+    assert set(got) == {1, 5, 9} and got[5].n_turns == 30_000 and got[5].valid and not got[1].valid
+    assert got[5].turns_sha256 == sha("".join(f"{role}\n{t}\n" for _, _, role, t in own)) and (got[5].loss_chars, got[5].loss_sha256) == (len(said), sha(said))
