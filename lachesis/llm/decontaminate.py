@@ -160,7 +160,8 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     matches (longest verbatim matches: start word, words, item, start word in the item; every item
     and place). Without `matches` that column is neither worked out nor returned."""
     spark = docs.sparkSession
-    parts = parts_of(benchmark, item_id, item_text, window, part_words)
+    # Stored once: each block picks its parts from there.
+    parts = stored(parts_of(benchmark, item_id, item_text, window, part_words))
     blocks = max(1, math.ceil(total_bytes(parts) / block_bytes))
     keep = [c for c in (docs.columns if keep is None else keep)]
     df = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, text])])
@@ -187,7 +188,9 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
 
         last = b == blocks - 1
         df = append_arrow(df, FIELDS, one, keep=keep if last else [*dict.fromkeys([*keep, text])])
-        df = df if last else stored(df)
+        if not last:
+            df = stored(df)
+            known.unpersist()
     if not matches:
         return df.drop("matches")
     shown = lambda m: F.struct(m["start"], (m["end"] - m["start"]).alias("words"), m["item_id"], (m["start"] - m["diagonal"]).alias("item_start"))
