@@ -176,7 +176,7 @@ QUERIES = {"op13_ns_bounds": op13_ns_bounds}
 
 def rounds_sql(rounds: int = ROUNDS) -> str:
     """The rounds one after the other, each distance worked out."""
-    distance = "list_sum(list_transform(list_zip(x, c), p -> (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    distance = "list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
     nearest = "a{r} AS MATERIALIZED (SELECT vec_id, x, j, d FROM (SELECT v.vec_id, v.rowid_ AS w, x, j, {distance} AS d, row_number() OVER (PARTITION BY v.rowid_ ORDER BY {distance}, j) AS place FROM v, c{r}) WHERE place = 1)"
     mean = """m{r} AS (SELECT j, list(floor_ ORDER BY i) AS c FROM (SELECT j, i, CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END AS floor_
 FROM (SELECT j, i, sum(y)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT j, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY j, i)) GROUP BY j),
@@ -187,8 +187,8 @@ c{next} AS MATERIALIZED (SELECT c{r}.j, coalesce(m{r}.c::BIGINT[], c{r}.c) AS c
         if r < rounds:
             steps.append(mean.format(r=r, next=r + 1))
     return f"""WITH e AS (SELECT vec_id, row_number() OVER () AS rowid_, embedding FROM embeddings
-WHERE len(embedding) = {SIZE} AND len(list_filter(embedding, y -> y IS NOT NULL AND isfinite(y))) = {SIZE}),
-v AS MATERIALIZED (SELECT vec_id, rowid_, list_transform(embedding, y -> floor({SCALE} * y::DOUBLE)::BIGINT) AS x FROM e),
+WHERE len(embedding) = {SIZE} AND len(list_filter(embedding, lambda y: y IS NOT NULL AND isfinite(y))) = {SIZE}),
+v AS MATERIALIZED (SELECT vec_id, rowid_, list_transform(embedding, lambda y: floor({SCALE} * y::DOUBLE)::BIGINT) AS x FROM e),
 c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS j, x AS c FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS h, x FROM v ORDER BY h, x LIMIT {K})),
 {", ".join(steps)},
 k AS (SELECT j, sum(d)::BIGINT AS cluster_inertia FROM a{rounds} GROUP BY j)

@@ -10,7 +10,7 @@ import corpus_pipeline
 from lachesis.llm import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["documents", "benchmark", "labels", "conversations"]
+TABLES = ["documents", "benchmark", "labels", "conversations", "embeddings"]
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +31,7 @@ def test_same_as_sql(spark, con, name):
 
 
 def test_every_row_comes_back(spark):
-    for n in range(1, 11):
+    for n in (*range(1, 11), 12):
         name = next(x for x in registry.queries() if x.startswith(f"op{n}_"))
         df = registry.queries()[name](spark, SF)
         table = "conversations" if n == 2 else "documents"
