@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import stored
+
 #: Ranges of a group. Their bounds are approximate quantiles, so they hold about equally many rows; results are exact.
 RANGES = 64
 
@@ -64,12 +66,13 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) ->
 
 
 def numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Adds i = 0.. inside each group and its size n. Two levels: places among the rows with one value of the first order column
-    (of a string: with its first seven bytes), and the rows of its smaller values."""
-    first = F.col(order[0])
+    """Adds i = 0.. inside each group and its size n. Two levels: places among the rows with one value of the first order column, and
+    the rows of its smaller values; or, for a string, places in one of Spark's sampled ranges of (by, order), and the rows of the
+    ranges before. The ranged rows are stored, which fixes their ranges."""
     if df.schema[order[0]].dataType.typeName() == "string":
-        first = F.conv(F.rpad(F.hex(F.substring(first.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
-    rows = df.withColumn("_k", first)
+        rows = stored(df.repartitionByRange(*by, *order).withColumn("_k", F.spark_partition_id().cast("long")))
+    else:
+        rows = df.withColumn("_k", F.col(order[0]))
     counts = rows.groupBy(*by, "_k").agg(F.count(F.lit(1)).alias("_n"))
     ahead = running_totals(counts, by, "_k", ["_n"]).select(*by, "_k", F.col("before__n").alias("_before"), F.col("all__n").alias("n"))
     inside = F.row_number().over(Window.partitionBy(*by, "_k").orderBy(*order)) - 1
