@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
 from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Folders of a session that make it a study, and the session's name.
@@ -13,6 +18,8 @@ ANATOMY, TREATMENT = "anat", "rt"
 SESSION = re.compile(r"ses-\d{14}")
 #: Patients that one partition lists.
 PATIENTS = 64
+#: Sessions whose folders a task has on its disk at once, where a tree is not kept.
+SESSIONS = 1000
 
 
 def opened(root: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -36,12 +43,14 @@ class Patients(InputPartition):
 class StudyFolders(DataSource):
     """(patient_id, session, has_anat, has_rt): the session folders of the tree <root>/<patient>/ses-<14 digits>/."""
 
+    columns = "patient_id string, session string, has_anat boolean, has_rt boolean"
+
     @classmethod
     def name(cls) -> str:
         return "study_folders"
 
     def schema(self) -> str:
-        return "patient_id string, session string, has_anat boolean, has_rt boolean"
+        return self.columns
 
     def reader(self, schema) -> DataSourceReader:
         return StudyReader(self.options["path"])
@@ -62,3 +71,46 @@ class StudyReader(DataSourceReader):
                 if SESSION.fullmatch(session):
                     inside = set(folders(files, f"{top}/{patient}/{session}"))
                     yield patient, session, ANATOMY in inside, TREATMENT in inside
+
+
+def passing_studies(paths: DataFrame, path: str = "path") -> DataFrame:
+    """What the data source reads from the tree of these folders (<patient>/<session>/<folder>), without keeping that tree: each task makes
+    SESSIONS sessions at a time on its own disk, lists them by the source's reader and drops them. A session's folders meet in one row
+    first, so no session is cut. Sessions with the same folders inside are links to one folder that has them, since folders are what
+    costs disk and time."""
+    part = lambda i: F.get(F.split(F.col(path), "/"), F.lit(i))
+    names = paths.where(F.col(path).isNotNull()).select(part(0).alias("patient"), part(1).alias("session"), part(2).alias("folder")).where("session is not null")
+    # As many tasks as the session asks for: the rows are small, but each means work on a disk.
+    dealt = names.repartition(int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions")), "patient")
+    inside = dealt.groupBy("patient", "session").agg(F.array_sort(F.collect_set("folder")).alias("inside")).sortWithinPartitions("patient")
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryDirectory(prefix="studies-") as own:
+            top, kinds = f"{own}/tree", {}
+            for batch in batches:
+                for a in range(0, batch.num_rows, SESSIONS):
+                    found = visited(top, kinds, batch.slice(a, SESSIONS).to_pylist())
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string() if i < 2 else pa.bool_()) for i in range(4)], names=["patient_id", "session", "has_anat", "has_rt"])
+
+    return inside.mapInArrow(visit, StudyFolders.columns)
+
+
+def visited(top: str, kinds: dict[tuple[str, ...], str], rows: list[dict]) -> list[tuple[str, str, bool, bool]]:
+    """What the reader finds in a tree of these sessions under top; `kinds` are the folders made so far, by what they have inside."""
+    for r in rows:
+        inside = tuple(r["inside"])
+        if inside not in kinds:
+            kinds[inside] = f"{top}-{len(kinds)}"
+            for folder in inside or [""]:
+                os.makedirs(f"{kinds[inside]}/{folder}")
+        r["link"] = f"{top}/{r['patient']}/{r['session']}"
+    for patient in {r["patient"] for r in rows}:
+        os.makedirs(f"{top}/{patient}", exist_ok=True)
+    for r in rows:
+        os.symlink(kinds[tuple(r["inside"])], r["link"])
+    found = [*StudyReader(top).read(Patients(sorted({r["patient"] for r in rows})))]
+    for r in rows:
+        os.unlink(r["link"])
+    for patient in {r["patient"] for r in rows}:
+        os.rmdir(f"{top}/{patient}")
+    return found

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.columns import parse_session_ts
-from .folders import StudyFolders, opened
+from .folders import StudyFolders, opened, passing_studies
 
 
 def scratch(spark: SparkSession) -> str:
@@ -57,8 +57,17 @@ def read_study_manifest(spark: SparkSession, root: str) -> DataFrame:
     """(patient_id, study_ts, has_treatment) of the sessions under a directory tree that have an anat or rt folder. Executors list the
     patients' folders; the driver lists the root alone, and no file is opened."""
     spark.dataSource.register(StudyFolders)
-    rows = spark.read.format(StudyFolders.name()).load(root).where("has_anat or has_rt")
-    return rows.select("patient_id", parse_session_ts(F.col("session")).alias("study_ts"), F.col("has_rt").alias("has_treatment")).where("study_ts is not null")
+    return studies_of(spark.read.format(StudyFolders.name()).load(root))
+
+
+def read_passing_manifest(paths: DataFrame, path: str = "path") -> DataFrame:
+    """The same for the tree of the folders that the rows name. The tree is made and read a piece at a time and never kept, so its
+    folders need no disk in proportion to the rows."""
+    return studies_of(passing_studies(paths, path))
+
+
+def studies_of(sessions: DataFrame) -> DataFrame:
+    return sessions.where("has_anat or has_rt").select("patient_id", parse_session_ts(F.col("session")).alias("study_ts"), F.col("has_rt").alias("has_treatment")).where("study_ts is not null")
 
 
 def write_study_tree(paths: DataFrame, root: str, path: str = "path") -> None:

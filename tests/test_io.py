@@ -95,3 +95,25 @@ def test_study_tree(spark, tmp_path):
     got = io.read_study_manifest(spark, f"file://{tmp_path}")
     assert {(r.patient_id, r.has_treatment) for r in got.collect()} == {(f"sub-{p}", p % 4 in (1, 2)) for p in range(150) if p % 4 < 3}
     assert got.rdd.getNumPartitions() == 3
+
+
+def test_passing_tree_leaves_no_folders(spark, tmp_path, monkeypatch):
+    """Many sessions of few patients, in pieces smaller than a patient: as a whole tree says, and nothing stays on the disk."""
+    from lachesis.sources import folders
+
+    monkeypatch.setattr(folders, "SESSIONS", 7)
+    monkeypatch.setattr(io.tempfile, "tempdir", str(tmp_path / "passing"))
+    (tmp_path / "passing").mkdir()
+    names = [f"sub-{i % 3}/ses-202001{1 + i % 28:02d}0000{i // 28:02d}/{f}" for i in range(200) for f in (["anat"], ["rt"], ["anat", "rt"], ["notes"])[i % 4]] + ["sub-9/other/anat", "sub-8", "sub-1/ses-2020/rt", "sub-0/ses-20210101000000"]
+    paths = spark.createDataFrame([(p,) for p in names + names[:5] + [None]], "path string")
+    io.write_study_tree(paths, str(tmp_path / "tree"))
+    whole = sorted(map(tuple, io.read_study_manifest(spark, str(tmp_path / "tree")).collect()))
+    got = sorted(map(tuple, io.read_passing_manifest(paths).collect()))
+    assert got == whole and len(got) == 150 and not [*(tmp_path / "passing").iterdir()]
+
+
+def test_study_manifest_query_keeps_no_tree(spark, monkeypatch):
+    from lachesis import registry
+
+    monkeypatch.setattr(io, "write_study_tree", None)
+    assert registry.queries()["read_study_manifest"](spark, "/root/testdata/sf0.001").count() > 0
