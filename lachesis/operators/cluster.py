@@ -13,7 +13,7 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import inheritable_thread_target
+from pyspark import RDD, inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -105,6 +105,16 @@ def rows_of(v: list, m: int) -> np.ndarray:
     return np.array(v, float).reshape(len(v), m)
 
 
+def nearest(x: np.ndarray, centres: np.ndarray, metric: str) -> np.ndarray:
+    """The number of each series' nearest centre; ties go to the first."""
+    if metric == "euclidean":
+        return ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    if metric == "dtw":
+        return np.stack([dtw_costs(x, c) for c in centres], axis=1).argmin(axis=1)
+    z = znorm(x)
+    return np.stack([shape_distances(z, c) for c in centres], axis=1).argmin(axis=1)
+
+
 def assigned(df: DataFrame, vector: str, centres: np.ndarray, metric: str, out: str = "cluster") -> DataFrame:
     """df with the nearest centre; ties go to the first. A null vector, or any without centres, has a null cluster."""
     if not len(centres):
@@ -112,97 +122,172 @@ def assigned(df: DataFrame, vector: str, centres: np.ndarray, metric: str, out:
     shared = df.sparkSession.sparkContext.broadcast(centres)
 
     @F.pandas_udf("int")
-    def nearest(v: pd.Series) -> pd.Series:
+    def label_of(v: pd.Series) -> pd.Series:
         c = shared.value
         known = v.notna().to_numpy()
-        x = rows_of(v[known].tolist(), c.shape[1])
-        if metric == "euclidean":
-            d = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
-        elif metric == "dtw":
-            d = np.stack([dtw_costs(x, b) for b in c], axis=1)
-        else:
-            d = np.stack([shape_distances(znorm(x), b) for b in c], axis=1)
         label = pd.Series(pd.NA, index=v.index, dtype="Int32")
-        label[known] = d.argmin(axis=1)
+        label[known] = nearest(rows_of(v[known].tolist(), c.shape[1]), c, metric)
         return label
 
-    return df.withColumn(out, nearest(F.col(vector)))
+    return df.withColumn(out, label_of(F.col(vector)))
+
+
+#: Vectors of a block, and the products of vectors and centres that a task takes at least: a round of few of them costs its start.
+BLOCK, WORK = 4096, 500_000
+#: What holding a vector against a centre costs, as a multiple of a Euclidean distance.
+COST = {"euclidean": 1, "dtw": 20, "shape": 4}
+
+
+def packed(df: DataFrame, vector: str, centres: int, cluster: str | None = None) -> RDD:
+    """Vectors in blocks (x, label, m): BLOCK of them as one array in bytes, with their clusters; an RDD, since a round of a fit over a
+    small table is shorter than the planning of a query. Rounds go over these, in one
+    task a core at most and in fewer where little is to be done (`centres` counts Euclidean ones); each task sends one sum a fit."""
+    tasks = max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() * centres // WORK)))
+    label = F.col(cluster) if cluster else F.lit(0)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, BLOCK):
+                b = batch.slice(a, BLOCK)
+                x = np.array(b.column("v").to_pylist(), float)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([b.column("c").to_numpy().astype(np.int32).tobytes()], pa.binary()), pa.array([x.size // b.num_rows], pa.int32())], names=["x", "label", "m"])
+
+    rows = df.select(F.col(vector).cast("array<double>").alias("v"), label.cast("int").alias("c"))
+    return rows.repartition(tasks).mapInArrow(pack, "x binary, label binary, m int").rdd.map(lambda r: (bytes(r.x), bytes(r.label), r.m))
+
+
+def added(blocks: RDD, sums_of: Callable[[np.ndarray, np.ndarray], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+    """The sums over all blocks of what sums_of(vectors, labels) gives by number: one job, in which a task sends its totals."""
+
+    def add(rows: Iterator[tuple[bytes, bytes, int]]) -> Iterator[tuple[int, bytes]]:
+        total: dict[int, np.ndarray] = {}
+        for x, label, m in rows:
+            for k, v in sums_of(np.frombuffer(x).reshape(-1, m), np.frombuffer(label, np.int32)).items():
+                total[k] = total[k] + v if k in total else v
+        return iter([(k, v.astype(float).tobytes()) for k, v in total.items()])
 
+    out: dict[int, np.ndarray] = {}
+    for k, s in blocks.mapPartitions(add).collect():
+        v = np.frombuffer(s)
+        out[k] = out[k] + v if k in out else v
+    return out
 
-def updated(df: DataFrame, vector: str, cluster: str, centres: np.ndarray, metric: str) -> np.ndarray:
-    """New centres: means, means along warping paths, or the first eigenvector of the moved shapes' scatter. Each
-    partition sends one sum a centre."""
+
+def centre_sums(x: np.ndarray, centres: np.ndarray, metric: str) -> np.ndarray:
+    """What new centres are made of, a row a centre: sums and counts of its vectors, of the points that warping paths put on it, or of
+    the moved shapes' scatter."""
     k, m = centres.shape
-    shared = df.sparkSession.sparkContext.broadcast(centres)
+    sums, of = np.zeros((k, m * m + m + 1 if metric == "shape" else 2 * m)), nearest(x, centres, metric)
+    for c in np.unique(of):
+        own = x[of == c]
+        if metric == "euclidean":
+            sums[c] = np.concatenate([own.sum(axis=0), np.full(m, len(own))])
+        elif metric == "dtw":
+            sums[c] = np.concatenate(warp_sums(own, centres[c]))
+        else:
+            y = shape_moved(znorm(own), centres[c])
+            sums[c] = np.concatenate([(y.T @ y).ravel(), y.sum(axis=0), [len(y)]])
+    return sums
+
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((k, m * m + m + 1 if metric == "shape" else 2 * m))
-        for b in batches:
-            of, every = b.column("c").to_numpy(), rows_of(b.column("v").to_pylist(), m)
-            for c in np.unique(of):
-                x, centre = every[of == c], shared.value[c]
-                if metric == "euclidean":
-                    sums[c] += np.concatenate([x.sum(axis=0), np.full(m, len(x))])
-                elif metric == "dtw":
-                    sums[c] += np.concatenate(warp_sums(x, centre))
-                else:
-                    y = shape_moved(znorm(x), centre)
-                    sums[c] += np.concatenate([(y.T @ y).ravel(), y.sum(axis=0), [len(y)]])
-        cluster, place = np.indices(sums.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(cluster.ravel(), pa.int32()), pa.array(place.ravel(), pa.int32()), pa.array(sums.ravel(), pa.float64())], names=["c", "j", "s"])
-
-    rows = df.where(F.col(cluster).isNotNull()).select(F.col(cluster).alias("c"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(add, "c int, j int, s double").groupBy("c", "j").agg(F.sum("s").alias("s")).collect()
-    total = np.zeros((k, m * m + m + 1 if metric == "shape" else 2 * m))
-    for r in rows:
-        total[r.c, r.j] = r.s
-    new = centres.copy()
+def moved(total: np.ndarray, centres: np.ndarray, metric: str) -> np.ndarray:
+    """New centres: means, means along warping paths, or the first eigenvector of the moved shapes' scatter."""
+    k, m = centres.shape
+    if metric != "shape":
+        return np.where(total[:, m:] > 0, total[:, :m] / np.maximum(total[:, m:], 1e-300), centres)
+    new, q = centres.copy(), np.eye(m) - 1 / m
     for c in range(k):
-        if metric == "shape":
-            if total[c, -1]:
-                q = np.eye(m) - 1 / m
-                vec = np.linalg.eigh(q @ total[c, : m * m].reshape(m, m) @ q)[1][:, -1]
-                new[c] = znorm(vec if vec @ total[c, m * m : -1] >= 0 else -vec)
-        else:
-            new[c] = np.where(total[c, m:] > 0, total[c, :m] / np.maximum(total[c, m:], 1e-300), centres[c])
+        if total[c, -1]:
+            vec = np.linalg.eigh(q @ total[c, : m * m].reshape(m, m) @ q)[1][:, -1]
+            new[c] = znorm(vec if vec @ total[c, m * m : -1] >= 0 else -vec)
     return new
 
 
+def fit_all(blocks: RDD, starts: dict[int, np.ndarray], metric: str, rounds: int, within: bool = False, step: float | None = None) -> dict[int, np.ndarray]:
+    """The centres of many fits, each over all vectors, or with `within` over those of the cluster that is its number. A round is one
+    pass for all fits that still move. A fit ends when its centres stay or come back to earlier ones, or, with `step`, when none moves
+    by more than that."""
+    past, open_ = {k: [c] for k, c in starts.items()}, set(starts)
+    for _ in range(rounds):
+        if not open_:
+            break
+        now = {k: past[k][-1] for k in open_}
+
+        def sums_of(x: np.ndarray, label: np.ndarray, now: dict[int, np.ndarray] = now) -> dict[int, np.ndarray]:
+            parts = {k: x[label == k] if within else x for k in now}
+            return {k: centre_sums(v, now[k], metric).ravel() for k, v in parts.items() if len(v)}
+
+        total = added(blocks, sums_of)
+        for k, c in now.items():
+            new = moved(total[k].reshape(len(c), -1), c, metric) if k in total else c
+            if step is None:
+                done = any(np.allclose(new, p, atol=1e-6) for p in past[k])
+            else:
+                done = bool((((new - c) ** 2).sum(axis=1) <= step**2).all())
+            past[k].append(new)
+            if done:
+                open_.discard(k)
+    if open_:
+        warnings.warn(f"{len(open_)} fits, of {sorted({len(starts[k]) for k in open_})} clusters, did not converge in {rounds} rounds", stacklevel=2)
+    return {k: p[-1] for k, p in past.items()}
+
+
+#: How far a centre may move in the last round of a Euclidean fit that MLlib's KMeans starts: its own tolerance.
+STEP = 1e-4
+
+
+def euclidean_start(df: DataFrame, vector: str, k: int, seed: int) -> np.ndarray:
+    """The start of MLlib's KMeans and one round of it."""
+    rows = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    return np.array(KMeans(k=k, seed=seed, maxIter=1).fit(rows).clusterCenters())
+
+
 def first_centres(df: DataFrame, vector: str, k: int, seed: int) -> np.ndarray:
     """k different vectors by MD5 of (seed, vector)."""
     rows = df.select(F.col(vector).alias("v")).distinct().orderBy(draw(seed, F.col("v").cast("string")), F.col("v").cast("string")).limit(k).collect()
     return np.array([r.v for r in rows], float)
 
 
+def first_pairs(df: DataFrame, vector: str, cluster: str, seed: int) -> dict[int, np.ndarray]:
+    """first_centres of two, for each cluster that has two different vectors; two aggregations for all of them."""
+    text = F.col(vector).cast("string")
+    rows = df.where(F.col(cluster).isNotNull()).select(F.col(cluster).alias("c"), F.struct(draw(seed, text).alias("d"), text.alias("s"), F.col(vector).alias("v")).alias("r"))
+    first = {x.c: x.r for x in rows.groupBy("c").agg(F.min("r").alias("r")).collect()}
+    if not first:
+        return {}
+    seen = F.create_map(*[F.lit(y) for c, r in first.items() for y in (c, r.s)])
+    second = {x.c: x.r for x in rows.where(F.col("r.s") != seen[F.col("c")]).groupBy("c").agg(F.min("r").alias("r")).collect()}
+    return {c: np.array([first[c].v, r.v], float) for c, r in second.items()}
+
+
 def fit_clusters(df: DataFrame, vector: str, k: int, metric: str = "euclidean", seed: int = 42, init: np.ndarray | None = None, rounds: int = ROUNDS) -> np.ndarray:
     """Centres of k clusters, fitted until they stay or come back to earlier ones. Without init, Euclidean starts come from
-    MLlib's KMeans and others from a drawn sample. Null vectors don't count; no vectors have no centres."""
+    MLlib's KMeans, until no centre moves by more than its tolerance, and others from a drawn sample. Null vectors don't count; no
+    vectors have no centres."""
     df = df.where(F.col(vector).isNotNull())
     if df.isEmpty():
         return np.empty((0, 0))
+    step = STEP if init is None and metric == "euclidean" else None
     if init is None:
-        if metric == "euclidean":
-            rows = df.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-            return np.array(KMeans(k=k, seed=seed, maxIter=rounds).fit(rows).clusterCenters())
-        init = first_centres(df, vector, k, seed)
-        init = np.array([znorm(c) for c in init]) if metric == "shape" else init
-    past = [init]
-    for _ in range(rounds):
-        new = updated(assigned(df, vector, past[-1], metric), vector, "cluster", past[-1], metric)
-        done = any(np.allclose(new, c, atol=1e-6) for c in past)
-        past.append(new)
-        if done:
-            break
-    else:
-        warnings.warn(f"{k} clusters did not converge in {rounds} rounds", stacklevel=2)
-    return past[-1]
-
+        init = euclidean_start(df, vector, k, seed) if metric == "euclidean" else first_centres(df, vector, k, seed)
+        init = znorm(init) if metric == "shape" else init
+    blocks = packed(df, vector, k * COST[metric]).cache()
+    try:
+        return fit_all(blocks, {0: init}, metric, rounds, step=step)[0]
+    finally:
+        blocks.unpersist()
 
-def spherical_bic(df: DataFrame, vector: str, cluster: str) -> float:
-    """Log-likelihood of spherical Gaussians with one variance, less half the free parameters by log n."""
-    from .evaluate import cluster_bic_aic
 
-    value = cluster_bic_aic(df, vector, cluster).first()["bic_likelihood"]
-    return -np.inf if value is None else float(value)
+def spherical_bic(count: np.ndarray, errors: float, d: int) -> float:
+    """Log-likelihood of spherical Gaussians with one variance, less half the free parameters by log n, from the clusters' counts
+    and the sum of squares about their means."""
+    count = count[count > 0]
+    n, k = count.sum(), len(count)
+    if not errors > 0:
+        return -np.inf
+    var = errors / (n - k + 1e-10)
+    like = -n * d / 2 * np.log(2 * np.pi * var) - errors / (2 * var) + (count * np.log(count)).sum() - n * np.log(n)
+    return float(like - ((k - 1) + k * d + 1) / 2 * np.log(n))
 
 
 def split_search(df: DataFrame, vector: str, metric: str = "euclidean", k_max: int = MAX_CLUSTERS, tol: float = 256, seed: int = 42, rounds: int = ROUNDS) -> DataFrame:
@@ -216,33 +301,63 @@ def split_search(df: DataFrame, vector: str, metric: str = "euclidean", k_max: i
 
 
 def split_centres(data: DataFrame, vector: str, metric: str, k_max: int, tol: float, seed: int, rounds: int) -> np.ndarray:
-    """The centres that split_search ends with."""
+    """The centres that split_search ends with. The halves of all clusters are fitted side by side, a pass a round."""
     centres = fit_clusters(data, vector, 2, metric, seed, rounds=rounds)
     k = 3
     while k <= k_max:
         labelled = assigned(data, vector, centres, metric).cache()
-        labelled.count()
-
-        def halved(c: int, labelled: DataFrame = labelled, centres: np.ndarray = centres) -> list[np.ndarray]:
-            """The centre of cluster c, or the two that replace it."""
-            part = labelled.where(F.col("cluster") == c).drop("cluster")
-            if part.select(vector).distinct().limit(2).count() < 2:
-                return [centres[c]]
-            two = fit_clusters(part, vector, 2, metric, seed, rounds=rounds)
-            whole = spherical_bic(part.withColumn("_c", F.lit(0)), vector, "_c")
-            halves = spherical_bic(assigned(part, vector, two, metric, "_c"), vector, "_c")
-            return [*two] if halves - whole > tol else [centres[c]]
-
+        blocks = packed(labelled, vector, len(centres) * COST[metric], "cluster").cache()
         try:
-            new = [x for own in each([lambda c=c: halved(c) for c in range(len(centres))]) for x in own]
+            starts = first_pairs(labelled, vector, "cluster", seed)
+            if metric == "euclidean":
+                parts = {c: labelled.where(F.col("cluster") == c) for c in starts}
+                starts = dict(zip(parts, each([lambda p=p: euclidean_start(p, vector, 2, seed) for p in parts.values()]), strict=True))
+            starts = {c: znorm(v) if metric == "shape" else v for c, v in starts.items()}
+            halves = fit_all(blocks, starts, metric, rounds, within=True, step=STEP if metric == "euclidean" else None)
+            gain = split_gains(blocks, halves, metric)
+            new = [x for c, own in enumerate(centres) for x in (halves[c] if c in gain and gain[c] > tol else [own])]
+            if len(new) == len(centres):
+                break
+            k, centres = len(new), fit_all(blocks, {0: np.array(new)}, metric, rounds)[0]
         finally:
+            blocks.unpersist()
             labelled.unpersist()
-        if len(new) == len(centres):
-            break
-        k, centres = len(new), fit_clusters(data, vector, len(new), metric, seed, np.array(new), rounds)
     return centres
 
 
+def split_gains(blocks: RDD, halves: dict[int, np.ndarray], metric: str) -> dict[int, float]:
+    """By how much the BIC of each cluster rises when its halves replace it: one pass for means, one for squares about them."""
+    if not halves:
+        return {}
+
+    def means_of(x: np.ndarray, label: np.ndarray) -> dict[int, np.ndarray]:
+        out = {}
+        for c, two in halves.items():
+            if (own := x[label == c]).size:
+                of = nearest(own, two, metric)
+                out[c] = np.concatenate([np.concatenate([[(of == h).sum()], own[of == h].sum(axis=0)]) for h in range(len(two))])
+        return out
+
+    sums = {c: v.reshape(len(halves[c]), -1) for c, v in added(blocks, means_of).items()}
+    mean = {c: v[:, 1:] / np.maximum(v[:, :1], 1) for c, v in sums.items()}
+
+    def squares_of(x: np.ndarray, label: np.ndarray) -> dict[int, np.ndarray]:
+        out = {}
+        for c, m in mean.items():
+            if (own := x[label == c]).size:
+                out[c] = np.array([((own - m[nearest(own, halves[c], metric)]) ** 2).sum()])
+        return out
+
+    within, gain = added(blocks, squares_of), {}
+    for c, v in sums.items():
+        count, d, errors = v[:, 0], v.shape[1] - 1, float(within[c][0])
+        between = float((count[:, None] * (mean[c] - v[:, 1:].sum(axis=0) / count.sum()) ** 2).sum())
+        # A cluster whose halves are both without spread has no likelihood to compare.
+        two, one = spherical_bic(count, errors, d), spherical_bic(count.sum(keepdims=True), errors + between, d)
+        gain[c] = two - one if np.isfinite(two) else -np.inf
+    return gain
+
+
 def xmeans(df: DataFrame, vector: str, metric: str = "euclidean", k_max: int = MAX_CLUSTERS, seed: int = 42) -> DataFrame:
     return split_search(df, vector, metric, k_max, seed=seed)
 
@@ -260,7 +375,7 @@ def log_density(v: Column, mean: np.ndarray, var: np.ndarray, weight: float) ->
 def mixtures(df: DataFrame, vector: str, ks: Iterable[int], seed: int = 42, rounds: int = ROUNDS, tol: float = 1e-4) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, float]]]:
     """Mixtures of Gaussians with diagonal covariance by expectation-maximisation, started from KMeans, for each k: means,
     variances, weights, and log-likelihood, AIC and BIC. One round is one pass for all k that have not converged; each
-    partition sends k * (2 d + 1) + 1 sums a mixture. Null vectors don't count; without any there are no mixtures."""
+    task sends k * (2 d + 1) + 1 sums a mixture. Null vectors don't count; without any there are no mixtures."""
     data = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).cache()
     try:
         return {} if data.isEmpty() else mixtures_of(data, list(ks), seed, rounds, tol)
@@ -270,38 +385,48 @@ def mixtures(df: DataFrame, vector: str, ks: Iterable[int], seed: int = 42, roun
 
 def mixtures_of(data: DataFrame, ks: list[int], seed: int, rounds: int, tol: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, float]]]:
     """mixtures() of a table (v) that has vectors."""
-    fits = dict(zip(ks, each([lambda k=k: fit_clusters(data, "v", k, "euclidean", seed) for k in ks]), strict=True))
+    blocks = packed(data, "v", sum(ks)).cache()
+    try:
+        starts = dict(zip(ks, each([lambda k=k: euclidean_start(data, "v", k, seed) for k in ks]), strict=True))
+        return maximised(blocks, fit_all(blocks, starts, "euclidean", ROUNDS, step=STEP), rounds, tol)
+    finally:
+        blocks.unpersist()
+
+
+def maximised(blocks: RDD, fits: dict[int, np.ndarray], rounds: int, tol: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, float]]]:
+    """Expectation-maximisation of all mixtures from their centres, over blocks of vectors."""
     d = next(iter(fits.values())).shape[1]
-    spread = data.agg(*[F.var_pop(F.get("v", F.lit(i))) for i in range(d)], F.count(F.lit(1))).first()
-    n, wide = spread[-1], np.maximum([float(x or 0) for x in spread[:-1]], 1e-6)
-    now = {k: (c, np.tile(wide, (len(c), 1)), np.full(len(c), 1 / len(c))) for k, c in fits.items()}
+    s = added(blocks, lambda x, _: {0: np.concatenate([[len(x)], x.sum(axis=0)])})[0]
+    n, middle = int(s[0]), s[1:] / s[0]
+    wide = np.maximum(added(blocks, lambda x, _: {0: ((x - middle) ** 2).sum(axis=0)})[0] / n, 1e-6)
+    # Vectors are taken from their mean, so that squares may be expanded into products of matrices.
+    now = {k: (c - middle, np.tile(wide, (len(c), 1)), np.full(len(c), 1 / len(c))) for k, c in fits.items()}
     like, open_ = dict.fromkeys(now, -np.inf), set(now)
 
     for _ in range(rounds):
-        shared = data.sparkSession.sparkContext.broadcast({k: now[k] for k in open_})
-
-        def add(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            sums = {k: np.zeros(1 + w.size + 2 * m.size) for k, (m, _, w) in shared.value.items()}
-            for b in batches:
-                x = np.array(b.column("v").to_pylist(), float).reshape(b.num_rows, d)
-                for k, (m, s, w) in shared.value.items():
-                    logs = np.log(np.maximum(w, 1e-300)) - 0.5 * np.log(2 * np.pi * s).sum(axis=1) - np.stack([((x - m[c]) ** 2 / (2 * s[c])).sum(axis=1) for c in range(len(w))], axis=1)
-                    top = logs.max(axis=1, keepdims=True)
-                    e = np.exp(logs - top)
-                    total = e.sum(axis=1, keepdims=True)
-                    r = e / total
-                    sums[k] += np.concatenate([[(top + np.log(total)).sum()], r.sum(axis=0), (r.T @ x).ravel(), (r.T @ x**2).ravel()])
-            for k, v in sums.items():
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k] * len(v), pa.int32()), "j": pa.array(range(len(v)), pa.int32()), "s": pa.array(v, pa.float64())})
-
-        got = {k: np.zeros(1 + now[k][2].size + 2 * now[k][0].size) for k in open_}
-        for r in data.mapInArrow(add, "k int, j int, s double").groupBy("k", "j").agg(F.sum("s").alias("s")).collect():
-            got[r.k][r.j] = r.s
-        for k, v in got.items():
+        these = sorted(open_)
+        m, s, w = (np.concatenate([now[k][i] for k in these]) for i in range(3))
+        edges = np.cumsum([0, *[len(now[k][2]) for k in these]])
+        factors = np.concatenate([m / s, -0.5 / s], axis=1).T
+        const = np.log(np.maximum(w, 1e-300)) - 0.5 * np.log(2 * np.pi * s).sum(axis=1) - (m**2 / (2 * s)).sum(axis=1)
+
+        def sums_of(x: np.ndarray, _: np.ndarray, these=these, edges=edges, factors=factors, const=const) -> dict[int, np.ndarray]:
+            x = x - middle
+            both = np.concatenate([x, x**2], axis=1)
+            logs, out = both @ factors + const, {}
+            for k, a, b in zip(these, edges[:-1], edges[1:], strict=True):
+                top = logs[:, a:b].max(axis=1, keepdims=True)
+                e = np.exp(logs[:, a:b] - top)
+                total = e.sum(axis=1, keepdims=True)
+                r = e / total
+                out[k] = np.concatenate([[(top + np.log(total)).sum()], r.sum(axis=0), (r.T @ both).ravel()])
+            return out
+
+        for k, v in added(blocks, sums_of).items():
             c = now[k][2].size
-            s0, (s1, s2) = np.maximum(v[1 : c + 1], 1e-10), v[c + 1 :].reshape(2, c, d)
-            mean = s1 / s0[:, None]
-            now[k] = mean, np.maximum(s2 / s0[:, None] - mean**2, 1e-6), s0 / n
+            s0, s12 = np.maximum(v[1 : c + 1], 1e-10), v[c + 1 :].reshape(c, 2 * d)
+            mean = s12[:, :d] / s0[:, None]
+            now[k] = mean, np.maximum(s12[:, d:] / s0[:, None] - mean**2, 1e-6), s0 / n
             if abs(v[0] - like[k]) < tol * max(1.0, abs(v[0])):
                 open_.discard(k)
             like[k] = float(v[0])
@@ -309,6 +434,7 @@ def mixtures_of(data: DataFrame, ks: list[int], seed: int, rounds: int, tol: flo
             break
     else:
         warnings.warn(f"mixtures of {sorted(open_)} did not converge in {rounds} rounds", stacklevel=2)
+    now = {k: (m + middle, s, w) for k, (m, s, w) in now.items()}
     free = {k: w.size - 1 + 2 * m.size for k, (m, _, w) in now.items()}
     return {k: (*now[k], {"log_likelihood": like[k], "aic": -2 * like[k] + 2 * free[k], "bic": -2 * like[k] + free[k] * float(np.log(n))}) for k in now}
 
