@@ -22,6 +22,16 @@ def observations(voxels: DataFrame, spacing: tuple[float, float, float] = (1.0,
     return voxels.groupBy(*STUDY, "obs").agg((F.count(F.lit(1)) * size).alias("volume"), *[F.avg(c).alias(f"c{c}") for c in "xyz"])
 
 
+#: Voxels that a task takes on the average: its sorts and tables need memory for these, however many there are in all.
+VOXELS_A_TASK = 250_000
+
+
+def by_line(voxels: DataFrame, rows: int) -> DataFrame:
+    """Voxels dealt by their line (patient, y, z) over tasks whose number grows with the rows. Distinct voxels, runs and the pairs of
+    runs all meet on their line, so this one shuffle serves them."""
+    return voxels.repartition(max(1, -(-rows // VOXELS_A_TASK)), "patient_id", "y", "z")
+
+
 def lesion_runs(voxels: DataFrame) -> DataFrame:
     """Voxels as runs of neighbouring x: (patient_id, study, obs, y, z, x0, x1). A voxel given twice counts once."""
     line = ["patient_id", "study", "obs", "y", "z"]
@@ -43,17 +53,19 @@ def lesion_overlap(voxels: DataFrame, max_gap: int | None = None, max_back: int
         runs, place, bound = runs.join(studies, ["patient_id", "study"]), F.col("_place"), max_back
     else:
         runs = runs.withColumn("_place", place.cast("long") if bound is not None else F.lit(0).cast("long"))
-    block = F.floor(F.col("_place") / (bound + 1)) if bound is not None else F.lit(0)
+    block = F.floor(F.col("_place") / (bound + 1)) if bound is not None else None
     side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("study", "obs", "x0", "x1", "_place")]
-    a = runs.select("patient_id", "y", "z", *side("a"), F.explode(F.array(block, block + 1) if bound is not None else F.array(block)).alias("_block"))
-    b = runs.select("patient_id", "y", "z", *side("b"), block.alias("_block"))
+    line = ["patient_id", "y", "z"]
+    a = runs.select(*line, *side("a"), *([F.explode(F.array(block, block + 1)).alias("_block")] if bound is not None else []))
+    b = runs.select(*line, *side("b"), *([block.alias("_block")] if bound is not None else []))
     fits = (F.col("study_a") < F.col("study_b")) & (F.col("x0_a") <= F.col("x1_b")) & (F.col("x0_b") <= F.col("x1_a"))
     if max_gap is not None:
         fits &= F.col("study_b") - F.col("study_a") <= max_gap
     if max_back is not None:
         fits &= F.col("_place_b") - F.col("_place_a") <= max_back
     common = F.least("x1_a", "x1_b") - F.greatest("x0_a", "x0_b") + 1
-    pairs = a.join(b, ["patient_id", "y", "z", "_block"]).where(fits)
+    # Without a bound the keys are the line alone, so rows that are dealt by it stay where they are.
+    pairs = a.join(b, [*line, *(["_block"] if bound is not None else [])]).where(fits)
     return pairs.groupBy("patient_id", "study_a", "obs_a", "study_b", "obs_b").agg(F.sum(common).cast("long").alias("overlap"))
 
 

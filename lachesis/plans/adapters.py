@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.series import index_timepoints, response_class
 from ..operators.evaluate import stratified_kfold
+from ..operators.matching import by_line
 from ..operators.resample import resample_nearest
 
 #: Scaled parameters for the events' 30 days.
@@ -49,10 +50,12 @@ def order_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = read(spark, sf_dir, "lineitem")
-    return v.select(
+    rows = v.select(
         F.col("l_suppkey").alias("patient_id"), F.year("l_shipdate").alias("study"), F.col("l_returnflag").alias("obs"), F.col("l_quantity").cast("int").alias("x"),
         F.round(F.col("l_discount") * 100).cast("int").alias("y"), F.round(F.col("l_tax") * 100).cast("int").alias("z"),
-    ).distinct()
+    )
+    # The count comes from the files' footers.
+    return by_line(rows, v.count()).distinct()
 
 
 def atlas(spark: SparkSession) -> DataFrame:

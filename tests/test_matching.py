@@ -86,3 +86,14 @@ def test_no_regions_or_lesions(spark):
     atlas = spark.createDataFrame([(0, 0, 0, 0)], "x int, y int, z int, label int")
     assert M.locate_region(voxels, atlas, ["obs"]).count() == 0
     assert M.locate_region(voxels.where("false"), atlas.selectExpr("x", "y", "z", "7 as label"), ["obs"]).count() == 0
+
+
+def test_voxels_of_a_task_stay_bounded(spark, monkeypatch):
+    """Tasks grow with the voxels, and one shuffle by line serves distinct voxels, runs and pairs: none holds more as tables grow."""
+    from lachesis.plans import adapters
+
+    monkeypatch.setattr(M, "VOXELS_A_TASK", 100)
+    v = adapters.voxels(spark, "/root/testdata/sf0.001")
+    assert v.rdd.getNumPartitions() >= v.count() / 100
+    plan = M.lesion_overlap(v)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") and plan.count("Exchange hashpartitioning(patient_id") == plan.count("REPARTITION_BY_NUM") + 1
