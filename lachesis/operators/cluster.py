@@ -40,17 +40,26 @@ def each(tasks: list[Callable[[], object]]) -> list:
 
 
 def dtw_costs(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    """Squared dynamic-time-warping distances of many series to one centre: one step of the recurrence for all of them at once."""
-    return warped(x, centre)[-1, -1]
+    """Squared dynamic-time-warping distances of many series to one centre: one step of the recurrence for all of them at once. Two
+    rows of the table are held."""
+    x = np.ascontiguousarray(x.T)
+    last = np.full((len(centre) + 1, x.shape[1]), np.inf)
+    last[0] = 0
+    for v in x:
+        row = np.full_like(last, np.inf)
+        for j, c in enumerate(centre):
+            row[j + 1] = (v - c) ** 2 + np.minimum(np.minimum(last[j], last[j + 1]), row[j])
+        last = row
+    return last[-1]
 
 
 def warped(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     """The cost of each cell of the warping table, for all series (rows of x) at once: (series' points + 1, centre's points + 1, series)."""
     cost = np.full((x.shape[1] + 1, len(centre) + 1, len(x)), np.inf)
     cost[0, 0] = 0
-    for i in range(x.shape[1]):
+    for i, v in enumerate(np.ascontiguousarray(x.T)):
         for j, c in enumerate(centre):
-            cost[i + 1, j + 1] = (x[:, i] - c) ** 2 + np.minimum(np.minimum(cost[i, j], cost[i, j + 1]), cost[i + 1, j])
+            cost[i + 1, j + 1] = (v - c) ** 2 + np.minimum(np.minimum(cost[i, j], cost[i, j + 1]), cost[i + 1, j])
     return cost
 
 
@@ -132,39 +141,65 @@ def assigned(df: DataFrame, vector: str, centres: np.ndarray, metric: str, out:
     return df.withColumn(out, label_of(F.col(vector)))
 
 
-#: Vectors of a block, and the products of vectors and centres that a task takes at least: a round of few of them costs its start.
-BLOCK, WORK = 4096, 500_000
+#: Vectors of a block, the products of vectors and centres that a task takes at least, and those of a table so small that starting a
+#: job takes longer than a round: all its rounds are one job of one task.
+BLOCK, WORK, ALONE = 4096, 500_000, 1_500_000
 #: What holding a vector against a centre costs, as a multiple of a Euclidean distance.
-COST = {"euclidean": 1, "dtw": 20, "shape": 4}
+COST = {"euclidean": 1, "dtw": 10, "shape": 4}
 
 
 def packed(df: DataFrame, vector: str, centres: int, cluster: str | None = None) -> RDD:
     """Vectors in blocks (x, label, m): BLOCK of them as one array in bytes, with their clusters; an RDD, since a round of a fit over a
     small table is shorter than the planning of a query. Rounds go over these, in one
-    task a core at most and in fewer where little is to be done (`centres` counts Euclidean ones); each task sends one sum a fit."""
-    tasks = max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() * centres // WORK)))
+    task a core at most and in fewer where little is to be done (`centres` counts Euclidean ones); each task sends one sum a fit. Up to
+    ALONE products a round go to one task, which makes all rounds."""
+    work = df.count() * centres
+    tasks = 1 if work <= ALONE else max(2, min(df.sparkSession.sparkContext.defaultParallelism, -(-work // WORK)))
     label = F.col(cluster) if cluster else F.lit(0)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK):
                 b = batch.slice(a, BLOCK)
-                x = np.array(b.column("v").to_pylist(), float)
+                x = b.column("v").flatten().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([b.column("c").to_numpy().astype(np.int32).tobytes()], pa.binary()), pa.array([x.size // b.num_rows], pa.int32())], names=["x", "label", "m"])
 
     rows = df.select(F.col(vector).cast("array<double>").alias("v"), label.cast("int").alias("c"))
     return rows.repartition(tasks).mapInArrow(pack, "x binary, label binary, m int").rdd.map(lambda r: (bytes(r.x), bytes(r.label), r.m))
 
 
-def added(blocks: RDD, sums_of: Callable[[np.ndarray, np.ndarray], dict[int, np.ndarray]]) -> dict[int, np.ndarray]:
+#: By number, the sums of what a function gives of each block's vectors and labels; and what adds them up over all blocks.
+Sums = dict[int, np.ndarray]
+Add = Callable[[Callable[[np.ndarray, np.ndarray], Sums]], Sums]
+
+
+def totals(rows: Iterable[tuple[bytes, bytes, int]], sums_of: Callable[[np.ndarray, np.ndarray], Sums]) -> Sums:
+    """The sums over some blocks."""
+    total: Sums = {}
+    for x, label, m in rows:
+        for k, v in sums_of(np.frombuffer(x).reshape(-1, m), np.frombuffer(label, np.int32)).items():
+            total[k] = total[k] + v if k in total else v
+    return {k: v.astype(float) for k, v in total.items()}
+
+
+def in_rounds(blocks: RDD, fit: Callable[[Add], object]) -> object:
+    """fit(add), where each call of add is one pass over all blocks: a job, or where all blocks are in one task, a loop of that task,
+    and then the whole fit is one job."""
+    if blocks.getNumPartitions() > 1:
+        return fit(lambda sums_of: added(blocks, sums_of))
+
+    def run(rows: Iterator[tuple[bytes, bytes, int]]) -> Iterator[object]:
+        held = list(rows)
+        return iter([fit(lambda sums_of: totals(held, sums_of))])
+
+    return blocks.mapPartitions(run).first()
+
+
+def added(blocks: RDD, sums_of: Callable[[np.ndarray, np.ndarray], Sums]) -> Sums:
     """The sums over all blocks of what sums_of(vectors, labels) gives by number: one job, in which a task sends its totals."""
 
     def add(rows: Iterator[tuple[bytes, bytes, int]]) -> Iterator[tuple[int, bytes]]:
-        total: dict[int, np.ndarray] = {}
-        for x, label, m in rows:
-            for k, v in sums_of(np.frombuffer(x).reshape(-1, m), np.frombuffer(label, np.int32)).items():
-                total[k] = total[k] + v if k in total else v
-        return iter([(k, v.astype(float).tobytes()) for k, v in total.items()])
+        return iter([(k, v.tobytes()) for k, v in totals(rows, sums_of).items()])
 
     out: dict[int, np.ndarray] = {}
     for k, s in blocks.mapPartitions(add).collect():
@@ -207,29 +242,34 @@ def fit_all(blocks: RDD, starts: dict[int, np.ndarray], metric: str, rounds: int
     """The centres of many fits, each over all vectors, or with `within` over those of the cluster that is its number. A round is one
     pass for all fits that still move. A fit ends when its centres stay or come back to earlier ones, or, with `step`, when none moves
     by more than that."""
-    past, open_ = {k: [c] for k, c in starts.items()}, set(starts)
-    for _ in range(rounds):
-        if not open_:
-            break
-        now = {k: past[k][-1] for k in open_}
-
-        def sums_of(x: np.ndarray, label: np.ndarray, now: dict[int, np.ndarray] = now) -> dict[int, np.ndarray]:
-            parts = {k: x[label == k] if within else x for k in now}
-            return {k: centre_sums(v, now[k], metric).ravel() for k, v in parts.items() if len(v)}
-
-        total = added(blocks, sums_of)
-        for k, c in now.items():
-            new = moved(total[k].reshape(len(c), -1), c, metric) if k in total else c
-            if step is None:
-                done = any(np.allclose(new, p, atol=1e-6) for p in past[k])
-            else:
-                done = bool((((new - c) ** 2).sum(axis=1) <= step**2).all())
-            past[k].append(new)
-            if done:
-                open_.discard(k)
+
+    def fit(add: Add) -> tuple[dict[int, np.ndarray], set[int]]:
+        past, open_ = {k: [c] for k, c in starts.items()}, set(starts)
+        for _ in range(rounds):
+            if not open_:
+                break
+            now = {k: past[k][-1] for k in open_}
+
+            def sums_of(x: np.ndarray, label: np.ndarray, now: dict[int, np.ndarray] = now) -> Sums:
+                parts = {k: x[label == k] if within else x for k in now}
+                return {k: centre_sums(v, now[k], metric).ravel() for k, v in parts.items() if len(v)}
+
+            total = add(sums_of)
+            for k, c in now.items():
+                new = moved(total[k].reshape(len(c), -1), c, metric) if k in total else c
+                if step is None:
+                    done = any(np.allclose(new, p, atol=1e-6) for p in past[k])
+                else:
+                    done = bool((((new - c) ** 2).sum(axis=1) <= step**2).all())
+                past[k].append(new)
+                if done:
+                    open_.discard(k)
+        return {k: p[-1] for k, p in past.items()}, open_
+
+    out, open_ = in_rounds(blocks, fit)
     if open_:
         warnings.warn(f"{len(open_)} fits, of {sorted({len(starts[k]) for k in open_})} clusters, did not converge in {rounds} rounds", stacklevel=2)
-    return {k: p[-1] for k, p in past.items()}
+    return out
 
 
 #: How far a centre may move in the last round of a Euclidean fit that MLlib's KMeans starts: its own tolerance.
@@ -293,11 +333,12 @@ def spherical_bic(count: np.ndarray, errors: float, d: int) -> float:
 def split_search(df: DataFrame, vector: str, metric: str = "euclidean", k_max: int = MAX_CLUSTERS, tol: float = 256, seed: int = 42, rounds: int = ROUNDS) -> DataFrame:
     """Clusters whose number grows: each cluster splits in two where that raises the BIC by more than tol; all are fitted
     anew, until none splits or k_max is passed. Adds cluster, null for a null vector; an empty table stays empty."""
-    data = df.where(F.col(vector).isNotNull()).cache()
+    kept = df.select("*").cache()
+    data = kept.where(F.col(vector).isNotNull())
     try:
-        return assigned(df, vector, split_centres(data, vector, metric, k_max, tol, seed, rounds), metric)
+        return assigned(stored(kept), vector, split_centres(data, vector, metric, k_max, tol, seed, rounds), metric)
     finally:
-        data.unpersist()
+        kept.unpersist()
 
 
 def split_centres(data: DataFrame, vector: str, metric: str, k_max: int, tol: float, seed: int, rounds: int) -> np.ndarray:
@@ -396,43 +437,48 @@ def mixtures_of(data: DataFrame, ks: list[int], seed: int, rounds: int, tol: flo
 def maximised(blocks: RDD, fits: dict[int, np.ndarray], rounds: int, tol: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, float]]]:
     """Expectation-maximisation of all mixtures from their centres, over blocks of vectors."""
     d = next(iter(fits.values())).shape[1]
-    s = added(blocks, lambda x, _: {0: np.concatenate([[len(x)], x.sum(axis=0)])})[0]
-    n, middle = int(s[0]), s[1:] / s[0]
-    wide = np.maximum(added(blocks, lambda x, _: {0: ((x - middle) ** 2).sum(axis=0)})[0] / n, 1e-6)
-    # Vectors are taken from their mean, so that squares may be expanded into products of matrices.
-    now = {k: (c - middle, np.tile(wide, (len(c), 1)), np.full(len(c), 1 / len(c))) for k, c in fits.items()}
-    like, open_ = dict.fromkeys(now, -np.inf), set(now)
-
-    for _ in range(rounds):
-        these = sorted(open_)
-        m, s, w = (np.concatenate([now[k][i] for k in these]) for i in range(3))
-        edges = np.cumsum([0, *[len(now[k][2]) for k in these]])
-        factors = np.concatenate([m / s, -0.5 / s], axis=1).T
-        const = np.log(np.maximum(w, 1e-300)) - 0.5 * np.log(2 * np.pi * s).sum(axis=1) - (m**2 / (2 * s)).sum(axis=1)
-
-        def sums_of(x: np.ndarray, _: np.ndarray, these=these, edges=edges, factors=factors, const=const) -> dict[int, np.ndarray]:
-            x = x - middle
-            both = np.concatenate([x, x**2], axis=1)
-            logs, out = both @ factors + const, {}
-            for k, a, b in zip(these, edges[:-1], edges[1:], strict=True):
-                top = logs[:, a:b].max(axis=1, keepdims=True)
-                e = np.exp(logs[:, a:b] - top)
-                total = e.sum(axis=1, keepdims=True)
-                r = e / total
-                out[k] = np.concatenate([[(top + np.log(total)).sum()], r.sum(axis=0), (r.T @ both).ravel()])
-            return out
-
-        for k, v in added(blocks, sums_of).items():
-            c = now[k][2].size
-            s0, s12 = np.maximum(v[1 : c + 1], 1e-10), v[c + 1 :].reshape(c, 2 * d)
-            mean = s12[:, :d] / s0[:, None]
-            now[k] = mean, np.maximum(s12[:, d:] / s0[:, None] - mean**2, 1e-6), s0 / n
-            if abs(v[0] - like[k]) < tol * max(1.0, abs(v[0])):
-                open_.discard(k)
-            like[k] = float(v[0])
-        if not open_:
-            break
-    else:
+
+    def fit(add: Add) -> tuple[dict, dict, set, int, np.ndarray]:
+        s = add(lambda x, _: {0: np.concatenate([[len(x)], x.sum(axis=0)])})[0]
+        n, middle = int(s[0]), s[1:] / s[0]
+        wide = np.maximum(add(lambda x, _: {0: ((x - middle) ** 2).sum(axis=0)})[0] / n, 1e-6)
+        # Vectors are taken from their mean, so that squares may be expanded into products of matrices.
+        now = {k: (c - middle, np.tile(wide, (len(c), 1)), np.full(len(c), 1 / len(c))) for k, c in fits.items()}
+        like, open_ = dict.fromkeys(now, -np.inf), set(now)
+
+        for _ in range(rounds):
+            these = sorted(open_)
+            m, s, w = (np.concatenate([now[k][i] for k in these]) for i in range(3))
+            edges = np.cumsum([0, *[len(now[k][2]) for k in these]])
+            factors = np.concatenate([m / s, -0.5 / s], axis=1).T
+            const = np.log(np.maximum(w, 1e-300)) - 0.5 * np.log(2 * np.pi * s).sum(axis=1) - (m**2 / (2 * s)).sum(axis=1)
+
+            def sums_of(x: np.ndarray, _: np.ndarray, these=these, edges=edges, factors=factors, const=const) -> Sums:
+                x = x - middle
+                both = np.concatenate([x, x**2], axis=1)
+                logs, out = both @ factors + const, {}
+                for k, a, b in zip(these, edges[:-1], edges[1:], strict=True):
+                    top = logs[:, a:b].max(axis=1, keepdims=True)
+                    e = np.exp(logs[:, a:b] - top)
+                    total = e.sum(axis=1, keepdims=True)
+                    r = e / total
+                    out[k] = np.concatenate([[(top + np.log(total)).sum()], r.sum(axis=0), (r.T @ both).ravel()])
+                return out
+
+            for k, v in add(sums_of).items():
+                c = now[k][2].size
+                s0, s12 = np.maximum(v[1 : c + 1], 1e-10), v[c + 1 :].reshape(c, 2 * d)
+                mean = s12[:, :d] / s0[:, None]
+                now[k] = mean, np.maximum(s12[:, d:] / s0[:, None] - mean**2, 1e-6), s0 / n
+                if abs(v[0] - like[k]) < tol * max(1.0, abs(v[0])):
+                    open_.discard(k)
+                like[k] = float(v[0])
+            if not open_:
+                break
+        return now, like, open_, n, middle
+
+    now, like, open_, n, middle = in_rounds(blocks, fit)
+    if open_:
         warnings.warn(f"mixtures of {sorted(open_)} did not converge in {rounds} rounds", stacklevel=2)
     now = {k: (m + middle, s, w) for k, (m, s, w) in now.items()}
     free = {k: w.size - 1 + 2 * m.size for k, (m, _, w) in now.items()}
@@ -442,7 +488,11 @@ def maximised(blocks: RDD, fits: dict[int, np.ndarray], rounds: int, tol: float)
 def mixture_clusters(df: DataFrame, vector: str, k: int, seed: int = 42, rounds: int = ROUNDS, tol: float = 1e-4) -> tuple[DataFrame, dict[str, float]]:
     """df with the likeliest cluster of a mixture of k, null for a null vector, and the mixture's log-likelihood, AIC and BIC, NaN without
     vectors."""
-    fits = mixtures(df, vector, [k], seed, rounds, tol)
+    kept = df.select("*").cache()
+    try:
+        df, fits = stored(kept), mixtures(kept, vector, [k], seed, rounds, tol)
+    finally:
+        kept.unpersist()
     if not fits:
         return df.withColumn("cluster", F.lit(None).cast("int")), dict.fromkeys(("log_likelihood", "aic", "bic"), float("nan"))
     mean, var, weight, score = fits[k]

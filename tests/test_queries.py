@@ -387,3 +387,25 @@ def test_series_keys_are_held_against_every_study(spark, tmp_path):
     for t in ("events", "orders"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert sorted(con.sql(registry.oracles()["validate_series_keys"]).fetchall()) == sorted(rows)
+
+
+@pytest.mark.parametrize("name", ["xmeans", "xmeans_dtw", "mixture_clusters"])
+def test_rounds_of_a_small_table_are_one_job(spark, name, monkeypatch):
+    """A fit over few vectors makes all rounds in one task; over many, a job a round. Both end at the same centres."""
+    import numpy as np
+    from lachesis.operators import cluster as L
+
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(0, 1, 4) + 3 * (i % 3) * np.arange(4)).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, v array<double>").cache()
+    find = {
+        "xmeans": lambda: L.split_centres(df, "v", "euclidean", 42, 20, 42, 1000), "xmeans_dtw": lambda: L.split_centres(df, "v", "dtw", 42, 20, 42, 1000),
+        "mixture_clusters": lambda: np.concatenate([x.ravel() for x in L.mixtures(df, "v", [3])[3][:3]]),
+    }[name]
+    passes, added = [], L.added
+    monkeypatch.setattr(L, "added", lambda *a: passes.append(1) or added(*a))
+    one = find()
+    few = len(passes)
+    monkeypatch.setattr(L, "ALONE", 0)
+    many = find()
+    assert 2 * few < len(passes) - few and one.shape == many.shape and np.allclose(one, many)
