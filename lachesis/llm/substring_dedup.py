@@ -7,18 +7,20 @@ equal windows always meet, and neighbouring windows with one anchor travel as on
 1. chunks: whole documents in runs of CHUNK bytes, compressed, written once.
 2. shared: hashes of anchors are dealt to slices; an anchor matters if two documents have it, and is hot if it has more than
    HOT strings. Each chunk gets two bits an anchor back.
-3. strings: each chunk sends the strings of its shared anchors, one copy of equal ones; further copies in later
-   documents of the chunk are settled at once. Strings of hot anchors are cut into their windows first, which are dealt by their
-   own hash, so that no slice holds a hot anchor.
-4. factors: a slice settles equal strings by their smallest doc_id. Where strings with one anchor differ, the longest
-   previous factor array of the different strings is made: their suffixes are sorted (to the depth LENGTH, beyond which
-   nothing matters), neighbours give common prefixes, and of the nearest suffixes before and after one that have a smaller
-   doc_id, the one with the longer common prefix is its longest earlier match. Those of LENGTH bytes are removed.
-5. removal: each chunk joins the intervals of its earlier matches and cuts.
+3. equals: each chunk names the strings of its shared anchors by 128 bits (32 of the anchor, 96 of the string), one copy of equal
+   ones; further copies in later documents of the chunk are settled at once. Strings of hot anchors are cut into their
+   windows first, which are dealt by their own hash, so that no slice holds a hot anchor. A slice settles equal strings by their
+   smallest doc_id, and says which of the others have an anchor with different strings.
+4. strings: only these are sent, by the documents of the smallest doc_id, so copies of a passage never travel as text.
+5. factors: the longest previous factor array of the different strings of an anchor is made: their suffixes are sorted (to the
+   depth LENGTH, beyond which nothing matters), neighbours give common prefixes, and of the nearest suffixes before and after
+   one that have a smaller doc_id, the one with the longer common prefix is its longest earlier match. Those of LENGTH
+   bytes are removed.
+6. removal: each chunk joins the intervals of its earlier matches and cuts.
 
 A chunk has bounded bytes; a slice has about SLICE bytes' anchors by hash, none of them hot; a passage of any number of copies
-sends one string a chunk. Rows between chunks and slices are at most chunks x slices and at most the anchors. Everything
-but step 2's and 4's slices works on chunks alone.
+sends one name a string and chunk. Rows between chunks and slices are at most chunks x slices and at most the anchors. Everything
+but the slices of steps 2, 3 and 5 works on chunks alone.
 
 Nulls: a null text is empty; a null doc_id comes after all others. Rows of one doc_id never match each other. An empty
 table gives no rows. Extra columns are dropped.
@@ -192,8 +194,21 @@ def split_hot(text: bytes, hot: np.ndarray, lo: np.ndarray, hi: np.ndarray, tag:
     return lo, hi, tag, doc[which]
 
 
-def string_rows(chunks: DataFrame, bits: DataFrame, length: int, slices: int) -> DataFrame:
-    """(p, chunk, blobs...): strings of shared anchors; with p = -1 - chunk the intervals that the chunk settles by itself."""
+def together(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places that some intervals cover, as separate intervals in order."""
+    by = np.argsort(lo, kind="stable")
+    lo, far = lo[by], np.maximum.accumulate(hi[by])
+    new = np.flatnonzero(np.append(True, lo[1:] > far[:-1])) if len(lo) else np.empty(0, np.int64)
+    return lo[new], far[np.append(new[1:], len(lo)) - 1] if len(lo) else far
+
+
+#: Bytes of a string's hash, beside the 32 bits of its anchor.
+NAME = 12
+
+
+def named_rows(chunks: DataFrame, bits: DataFrame, length: int, slices: int) -> DataFrame:
+    """(p, chunk, x, y, z): doc_ids (each less the one before), anchors and hashes of a chunk's strings of shared anchors in slice p; with
+    p = -1 - chunk the starts and sizes of all these strings by slice, and the starts and ends that the chunk settles by itself."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -215,21 +230,78 @@ def string_rows(chunks: DataFrame, bits: DataFrame, length: int, slices: int) ->
                     send.append(i)
                 else:
                     settled.append(i)
-            done = np.array(settled, np.int64)
-            out.append((-1 - chunk, chunk, squeeze(lo[done].astype(np.uint32)), squeeze((hi - lo)[done].astype(np.uint8)), b"", b"", b""))
-            sent = np.array(send, np.int64)
+            done, sent = np.array(settled, np.int64), np.array(send, np.int64)
             slot = (tag[sent] >> np.uint64(32)).astype(np.int64)
             # In the order of their places, neighbouring numbers are alike and compress well.
             sent, slot = sent[np.argsort(slot, kind="stable")], np.sort(slot)
+            places = squeeze(lo[sent].astype(np.uint32)), squeeze((hi - lo)[sent].astype(np.uint8))
+            out.append((-1 - chunk, chunk, *places, squeeze(np.concatenate(together(lo[done], hi[done])).astype(np.uint32))))
             edges = np.append(np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else [], len(slot)).astype(np.int64)
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 own = sent[a:b]
-                x, y = lo[own], hi[own]
-                out.append((int(slot[a]), chunk, squeeze(x.astype(np.uint32)), squeeze((y - x).astype(np.uint8)), squeeze(c.ids[doc[own]]), squeeze(tag[own].astype(np.uint32)), squeeze(b"".join([c.text[i:j] for i, j in zip(x.tolist(), y.tolist(), strict=True)]), 3)))
+                names = b"".join([xxhash.xxh3_128_digest(c.text[i:j])[:NAME] for i, j in zip(lo[own].tolist(), hi[own].tolist(), strict=True)])
+                out.append((int(slot[a]), chunk, squeeze(np.diff(c.ids[doc[own]], prepend=0)), tag[own].astype(np.uint32).tobytes(), names))
+        return blobs(out, "p", "chunk")
+
+    return chunks.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(run, "p long, chunk long, x binary, y binary, z binary")
+
+
+def blobs(rows: list[tuple], *first: str) -> pa.Table:
+    """Rows of two numbers and three byte strings."""
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(),) * 2 + (pa.binary(),) * 3)], names=[*first, "x", "y", "z"])
+
+
+def answers(rows: DataFrame) -> DataFrame:
+    """(chunk, p, x, y, z): which of a chunk's strings in slice p are also in a document with a smaller doc_id, which others have an
+    anchor with different strings, and the anchors of the latter. Rows with p < 0 go back as they are."""
+
+    def run(t: pa.Table) -> pa.Table:
+        if t.column("p")[0].as_py() < 0:
+            return t.select(["chunk", "p", "x", "y", "z"])
+        chunks = t.column("chunk").to_pylist()
+        ids = [np.cumsum(unsqueeze(x, np.int64)) for x in t.column("x").to_pylist()]
+        at = np.cumsum([len(x) for x in ids])[:-1]
+        ids, anchor = np.concatenate(ids), np.frombuffer(b"".join(t.column("y").to_pylist()), np.uint32)
+        name = np.frombuffer(b"".join(t.column("z").to_pylist()), np.uint32).reshape(-1, NAME // 4).astype(np.uint64)
+        high, low = anchor.astype(np.uint64) << np.uint64(32) | name[:, 0], name[:, 1] << np.uint64(32) | name[:, 2]
+        order = np.lexsort((low, high))
+        new = np.append(True, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1]))
+        first, which = np.flatnonzero(new), np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        least = np.minimum.reduceat(ids[order], first)
+        _, group, count = np.unique(anchor[order[first]], return_inverse=True, return_counts=True)
+        whole = ids > least[which]
+        # An anchor with one string only has nothing more to compare.
+        unclear = ~whole & (count[group] > 1)[which]
+        p = t.column("p")[0].as_py()
+        return blobs([(c, p, squeeze(w), squeeze(u), squeeze(y[u])) for c, w, u, y in zip(chunks, *(np.split(x, at) for x in (whole, unclear, anchor)), strict=True)], "chunk", "p")
+
+    return rows.groupBy("p").applyInArrow(run, "chunk long, p long, x binary, y binary, z binary")
+
+
+def string_rows(chunks: DataFrame, answered: DataFrame) -> DataFrame:
+    """(p, chunk, blobs...): strings whose anchors have different ones; with p = -1 - chunk the intervals that are settled."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        for chunk, ids, ends, body in zip(*(left.column(c).to_pylist() for c in ("chunk", "ids", "ends", "body")), strict=True):
+            (_, *own), *parts = sorted(zip(*(right.column(c).to_pylist() for c in ("p", "x", "y", "z")), strict=True))
+            lo, size, done = (unsqueeze(x, k) for x, k in zip(own, (np.uint32, np.uint8, np.uint32), strict=True))
+            lo, hi, (start, end) = lo.astype(np.int64), lo.astype(np.int64) + size, done.reshape(2, -1).astype(np.int64)
+            flags = [[unsqueeze(x, bool) for x in part[1:3]] for part in parts]
+            whole = np.concatenate([np.zeros(0, bool), *(w for w, _ in flags)])
+            start, end = together(np.append(start, lo[whole]), np.append(end, hi[whole]))
+            out.append((-1 - chunk, chunk, squeeze(start.astype(np.uint32)), squeeze((end - start).astype(np.uint32)), b"", b"", b""))
+            ids, ends, text, a = np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64), unsqueeze(body), 0
+            for (p, _, _, anchor), (_, unclear) in zip(parts, flags, strict=True):
+                x, y, a = lo[a : a + len(unclear)][unclear], hi[a : a + len(unclear)][unclear], a + len(unclear)
+                if len(x):
+                    strings = b"".join([text[i:j] for i, j in zip(x.tolist(), y.tolist(), strict=True)])
+                    out.append((p, chunk, squeeze(x.astype(np.uint32)), squeeze((y - x).astype(np.uint8)), squeeze(ids[np.searchsorted(ends, x, "right")]), anchor, squeeze(strings, 3)))
         kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 5)
         return pa.table([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["p", "chunk", "start", "size", "ids", "anchor", "strings"])
 
-    return chunks.groupBy("chunk").cogroup(bits.groupBy("chunk")).applyInArrow(run, "p long, chunk long, start binary, size binary, ids binary, anchor binary, strings binary")
+    return chunks.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, "p long, chunk long, start binary, size binary, ids binary, anchor binary, strings binary")
 
 
 def previous_smaller(value: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +349,7 @@ def earlier(strings: list[bytes], ids: np.ndarray, length: int) -> list[np.ndarr
 
 def factor_rows(rows: DataFrame, length: int) -> DataFrame:
     """(chunk, start, size): intervals of windows with an earlier match, for the strings of each slice, and those that
-    chunks have settled."""
+    are settled."""
 
     def run(t: pa.Table) -> pa.Table:
         if t.column("p")[0].as_py() < 0:
@@ -314,7 +386,7 @@ def factor_rows(rows: DataFrame, length: int) -> DataFrame:
         by = np.lexsort((start, source))
         edges = np.searchsorted(source[by], np.arange(len(chunks) + 1))
         cut = [by[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.table({"chunk": pa.array(chunks, pa.int64()), "start": pa.array([squeeze(start[x]) for x in cut], pa.binary()), "size": pa.array([squeeze(size[x].astype(np.uint8)) for x in cut], pa.binary())})
+        return pa.table({"chunk": pa.array(chunks, pa.int64()), "start": pa.array([squeeze(start[x]) for x in cut], pa.binary()), "size": pa.array([squeeze(size[x].astype(np.uint32)) for x in cut], pa.binary())})
 
     return rows.groupBy("p").applyInArrow(run, "chunk long, start binary, size binary")
 
@@ -328,7 +400,7 @@ def removed(chunks: DataFrame, intervals: DataFrame) -> DataFrame:
             ids, ends, text = np.frombuffer(ids, np.int64), np.frombuffer(ends, np.int64), unsqueeze(body, np.uint8)
             cover = np.zeros(len(text) + 1, np.int32)
             for s, n in zip(right.column("start").to_pylist(), right.column("size").to_pylist(), strict=True):
-                s, n = unsqueeze(s, np.uint32).astype(np.int64), unsqueeze(n, np.uint8).astype(np.int64)
+                s, n = unsqueeze(s, np.uint32).astype(np.int64), unsqueeze(n, np.uint32).astype(np.int64)
                 np.add.at(cover, s, 1)
                 np.add.at(cover, s + n, -1)
             gone = np.cumsum(cover[:-1]) > 0
@@ -348,7 +420,8 @@ def deduplicated(docs: DataFrame, text: str = "text", length: int = 50, hot: int
     slices = max(MIN_SLICES, math.ceil(total_bytes(docs, text) / SLICE))
     chunks = stored(to_chunks(docs, text))
     bits = shared_bits(anchor_rows(chunks, length, slices), hot)
-    return removed(chunks, factor_rows(string_rows(chunks, bits, length, slices), length))
+    answered = answers(named_rows(chunks, bits, length, slices))
+    return removed(chunks, factor_rows(string_rows(chunks, answered), length))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -617,6 +617,20 @@ def test_substring_digests(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
+def test_copies_do_not_travel_as_text(spark, monkeypatch):
+    """Of copies in several chunks only names are sent; of an altered one also what lies about the change."""
+    rng, sent = random.Random(5), []
+    text = "".join(rng.choice("abcdefghij") for _ in range(4000))
+    factors = substring_dedup.factor_rows
+    monkeypatch.setattr(substring_dedup, "factor_rows", lambda rows, length: (sent.append(rows), factors(rows, length))[1])
+    size = lambda: sum(sum(substring_dedup.unsqueeze(r.size, np.uint8).tolist()) for r in sent[-1].where("p >= 0").collect())
+    for texts, most in (([text] * 12, 0), ([text] * 11 + [text[:2000] + "-" + text[2000:]], 2000)):
+        got = substring_dedup.deduplicated(documents(spark, texts).repartition(6)).collect()
+        want = brute_removed(list(enumerate(texts)), 50)
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
+        assert size() <= most
+
+
 def test_substrings_of_nothing(spark):
     assert substring_dedup.deduplicated(documents(spark, ["x"]).where("false")).count() == 0
 
