@@ -300,6 +300,49 @@ def first_pairs(df: DataFrame, vector: str, cluster: str, seed: int) -> dict[int
     return {c: np.array([first[c].v, r.v], float) for c, r in second.items()}
 
 
+def uniform(x: np.ndarray, seed: int) -> np.ndarray:
+    """A number between 0 and 1 for each row of x, without both, by its bits and the seed: equal rows have equal ones."""
+    h = np.full(len(x), seed, np.uint64)
+    for v in np.ascontiguousarray((x + 0.0).T).view(np.uint64):
+        h = (h ^ v) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(27)
+    return ((h >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
+
+
+def spread_pairs(blocks: RDD, seed: int) -> dict[int, np.ndarray]:
+    """The start of k-means++ with two centres, for each cluster that has two different vectors: one of its different vectors, and
+    another with a chance in proportion to its squared distance from the first. Two passes for all clusters."""
+
+    def least(score: Callable[[np.ndarray, int], np.ndarray]) -> dict[int, np.ndarray]:
+        """The vector of each cluster with the least score."""
+
+        def run(rows: Iterator[tuple[bytes, bytes, int]]) -> Iterator[tuple[int, tuple[float, tuple]]]:
+            best: dict[int, tuple[float, tuple]] = {}
+            for b, l, m in rows:
+                x, label = np.frombuffer(b).reshape(-1, m), np.frombuffer(l, np.int32)
+                for c in np.unique(label).tolist():
+                    own = x[label == c]
+                    s = score(own, c)
+                    here = s.min(), min(map(tuple, own[s == s.min()].tolist()))
+                    best[c] = min(best.get(c, here), here)
+            return iter(best.items())
+
+        out: dict[int, tuple[float, tuple]] = {}
+        for c, r in blocks.mapPartitions(run).collect():
+            out[c] = min(out.get(c, r), r)
+        return {c: np.array(v) for c, (s, v) in out.items() if np.isfinite(s)}
+
+    first = least(lambda x, c: uniform(x, seed))
+
+    def race(x: np.ndarray, c: int) -> np.ndarray:
+        # The least of exponential times whose rates are the squared distances.
+        far = ((x - first[c]) ** 2).sum(axis=1)
+        return np.where(far > 0, -np.log(uniform(x, seed + 1)) / np.where(far > 0, far, 1), np.inf)
+
+    return {c: np.array([first[c], v]) for c, v in least(race).items()}
+
+
 def fit_clusters(df: DataFrame, vector: str, k: int, metric: str = "euclidean", seed: int = 42, init: np.ndarray | None = None, rounds: int = ROUNDS) -> np.ndarray:
     """Centres of k clusters, fitted until they stay or come back to earlier ones. Without init, Euclidean starts come from
     MLlib's KMeans, until no centre moves by more than its tolerance, and others from a drawn sample. Null vectors don't count; no
@@ -341,18 +384,28 @@ def split_search(df: DataFrame, vector: str, metric: str = "euclidean", k_max: i
         kept.unpersist()
 
 
+def first_halves(data: DataFrame, vector: str, seed: int, rounds: int) -> np.ndarray:
+    """Two Euclidean clusters of all vectors; one of vectors that are all equal, and none without vectors."""
+    blocks = packed(data, vector, 2).cache()
+    try:
+        start = spread_pairs(blocks, seed)
+        if not start:
+            one = data.select(vector).first()
+            return np.empty((0, 0)) if one is None else np.array([one[0]], float)
+        return fit_all(blocks, start, "euclidean", rounds, step=STEP)[0]
+    finally:
+        blocks.unpersist()
+
+
 def split_centres(data: DataFrame, vector: str, metric: str, k_max: int, tol: float, seed: int, rounds: int) -> np.ndarray:
     """The centres that split_search ends with. The halves of all clusters are fitted side by side, a pass a round."""
-    centres = fit_clusters(data, vector, 2, metric, seed, rounds=rounds)
+    centres = first_halves(data, vector, seed, rounds) if metric == "euclidean" else fit_clusters(data, vector, 2, metric, seed, rounds=rounds)
     k = 3
     while k <= k_max:
         labelled = assigned(data, vector, centres, metric).cache()
         blocks = packed(labelled, vector, len(centres) * COST[metric], "cluster").cache()
         try:
-            starts = first_pairs(labelled, vector, "cluster", seed)
-            if metric == "euclidean":
-                parts = {c: labelled.where(F.col("cluster") == c) for c in starts}
-                starts = dict(zip(parts, each([lambda p=p: euclidean_start(p, vector, 2, seed) for p in parts.values()]), strict=True))
+            starts = spread_pairs(blocks, seed) if metric == "euclidean" else first_pairs(labelled, vector, "cluster", seed)
             starts = {c: znorm(v) if metric == "shape" else v for c, v in starts.items()}
             halves = fit_all(blocks, starts, metric, rounds, within=True, step=STEP if metric == "euclidean" else None)
             gain = split_gains(blocks, halves, metric)

@@ -409,3 +409,24 @@ def test_rounds_of_a_small_table_are_one_job(spark, name, monkeypatch):
     monkeypatch.setattr(L, "ALONE", 0)
     many = find()
     assert 2 * few < len(passes) - few and one.shape == many.shape and np.allclose(one, many)
+
+
+def test_halves_start_in_two_passes(spark, monkeypatch):
+    """xmeans starts the halves of all clusters together, by k-means++ and without a fit of MLlib; the groups come out, and what has no
+    two different vectors does not split."""
+    import numpy as np
+    from lachesis.operators import cluster as L
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(L, "euclidean_start", None)
+    rng = np.random.default_rng(7)
+    rows = [(i, [10.0 * (i % 4) + x, 40.0 * (i % 2) + y]) for i, (x, y) in enumerate(rng.normal(0, 0.1, (400, 2)).tolist())]
+    df = spark.createDataFrame([*rows, (400, None)], "id int, v array<double>")
+    got = {r.id: r.cluster for r in L.split_search(df, "v", tol=20).collect()}
+    assert got.pop(400) is None and len({(i % 4, c) for i, c in got.items()}) == len(set(got.values())) == 4
+    same = df.where("id < 9").withColumn("v", F.array(F.lit(1.0), F.lit(2.0)))
+    assert [r.cluster for r in L.split_search(same, "v").collect()] == [0] * 9
+    assert L.split_centres(df.where("id = 400 and v is not null"), "v", "euclidean", 42, 20, 42, 1000).shape == (0, 0)
+    # Far vectors are likelier: of 1 and 100 with 0 as the first, the second is nearly always 100.
+    far = [L.spread_pairs(L.packed(spark.createDataFrame([([0.0, 0.0],), ([1.0, 0.0],), ([100.0, 0.0],)], "v array<double>"), "v", 2), s)[0] for s in range(4)]
+    assert all(100.0 in p[:, 0] for p in far)
