@@ -29,7 +29,17 @@ VOXELS_A_TASK = 250_000
 def by_line(voxels: DataFrame, rows: int) -> DataFrame:
     """Voxels dealt by their line (patient, y, z) over tasks whose number grows with the rows. Distinct voxels, runs and the pairs of
     runs all meet on their line, so this one shuffle serves them."""
-    return voxels.repartition(max(1, -(-rows // VOXELS_A_TASK)), "patient_id", "y", "z")
+    return voxels.repartition(tasks_of(rows), "patient_id", "y", "z")
+
+
+def tasks_of(rows: int) -> int:
+    """Tasks for a number of voxels, or for what is made of them."""
+    return max(1, -(-rows // VOXELS_A_TASK))
+
+
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """df dealt by keys over so many tasks, or left to Spark's setting, which doesn't grow with the rows."""
+    return df.repartition(tasks, *keys) if tasks else df
 
 
 def lesion_runs(voxels: DataFrame) -> DataFrame:
@@ -39,12 +49,17 @@ def lesion_runs(voxels: DataFrame) -> DataFrame:
     return voxels.select(*line, "x", run.alias("_run")).groupBy(*line, "_run").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_run")
 
 
-def lesion_overlap(voxels: DataFrame, max_gap: int | None = None, max_back: int | None = None) -> DataFrame:
+#: What a pair of observations is known by.
+PAIR = ["patient_id", "study_a", "obs_a", "study_b", "obs_b"]
+
+
+def lesion_overlap(voxels: DataFrame, max_gap: int | None = None, max_back: int | None = None, tasks: int | None = None) -> DataFrame:
     """Shared voxels of two observations of a patient in an earlier study a and a later study b. Runs of voxels meet on their line
     (patient, y, z), so a patient is dealt over its lines, and each two runs count their common length.
 
     max_gap bounds the difference of two studies' numbers, max_back how many studies of the patient lie from b back to a; studies
-    are then dealt by blocks of that many, and a run meets those of its own block and the one before only."""
+    are then dealt by blocks of that many, and a run meets those of its own block and the one before only. Pairs are added up by
+    `tasks` tasks."""
     runs = lesion_runs(voxels)
     place, bound = F.col("study"), max_gap
     if max_back is not None:
@@ -66,17 +81,19 @@ def lesion_overlap(voxels: DataFrame, max_gap: int | None = None, max_back: int
     common = F.least("x1_a", "x1_b") - F.greatest("x0_a", "x0_b") + 1
     # Without a bound the keys are the line alone, so rows that are dealt by it stay where they are.
     pairs = a.join(b, [*line, *(["_block"] if bound is not None else [])]).where(fits)
-    return pairs.groupBy("patient_id", "study_a", "obs_a", "study_b", "obs_b").agg(F.sum(common).cast("long").alias("overlap"))
+    return dealt(pairs.select(*PAIR, common.alias("_common")), tasks, *PAIR).groupBy(*PAIR).agg(F.sum("_common").cast("long").alias("overlap"))
 
 
-def correspondence_metrics(obs: DataFrame, overlap: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), max_gap: int | None = None) -> DataFrame:
+def correspondence_metrics(obs: DataFrame, overlap: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), max_gap: int | None = None, tasks: int | None = None) -> DataFrame:
     """For each pair of observations of a patient, reference a in an earlier study and candidate b in a later one: overlap,
-    centroid distance, and diameter of the sphere of a's volume. A pair with an empty side has (0, infinity, 0)."""
+    centroid distance, and diameter of the sphere of a's volume. A pair with an empty side has (0, infinity, 0). The joins are dealt over
+    `tasks` tasks; an overlap with the same number of them stays where it is."""
+    obs = dealt(obs, tasks, "patient_id")
     side = lambda s: obs.select("patient_id", *[F.col(c).alias(f"{c}_{s}") for c in ("study", "obs", "volume", "cx", "cy", "cz")])
     pairs = side("a").join(side("b"), "patient_id").where(F.col("study_a") < F.col("study_b"))
     if max_gap is not None:
         pairs = pairs.where(F.col("study_b") - F.col("study_a") <= max_gap)
-    pairs = pairs.join(overlap, ["patient_id", "study_a", "obs_a", "study_b", "obs_b"], "left")
+    pairs = dealt(pairs, tasks, *PAIR).join(overlap, PAIR, "left")
     empty = (F.col("volume_a") == 0) | (F.col("volume_b") == 0)
     dist = centroid_distance([F.col(f"c{c}_a") * k for c, k in zip("xyz", spacing, strict=True)], [F.col(f"c{c}_b") * k for c, k in zip("xyz", spacing, strict=True)])
     return pairs.select(
@@ -85,9 +102,10 @@ def correspondence_metrics(obs: DataFrame, overlap: DataFrame, spacing: tuple[fl
     )
 
 
-def best_match(metrics: DataFrame, candidate: list[str], index: str, method: str = "both") -> DataFrame:
+def best_match(metrics: DataFrame, candidate: list[str], index: str, method: str = "both", tasks: int | None = None) -> DataFrame:
     """One reference for each candidate, by overlap, by gated centroid distance, or both: the largest overlap, ties to the
-    smaller gated distance, then to the first index. A candidate without a fit has no row."""
+    smaller gated distance, then to the first index. A candidate without a fit has no row. Candidates are dealt over `tasks` tasks."""
+    metrics = dealt(metrics, tasks, *candidate)
     gate = F.col("distance") <= F.least(F.col("diameter"), F.lit(MAX_DISTANCE))
     if method == "overlap":
         rows, order = metrics.where(F.col("overlap") > 0), [F.desc("overlap"), F.asc(index)]
@@ -133,15 +151,15 @@ def reference(members: list[dict], at: int) -> dict:
     return members[i]
 
 
-def track_lesions(obs: DataFrame, overlap: DataFrame) -> DataFrame:
+def track_lesions(obs: DataFrame, overlap: DataFrame, tasks: int | None = None) -> DataFrame:
     """Links observations (patient_id, study, ts, treated, obs, volume, cx, cy, cz) into series, in the order of studies.
 
     Each observation is held against every open series by that series' non-empty member closest in time (the earlier one of
     equals). Series that a study does not extend get an empty point; an observation without a match opens a series in
     treated studies only. A second match of a study replaces the first. The fold needs a patient's observations together:
-    rows, never voxels; overlaps come from the join."""
-    pairs = overlap.groupBy("patient_id", "study_b", "obs_b").agg(F.collect_list(F.struct("study_a", "obs_a", "overlap")).alias("overlaps")).select("patient_id", F.col("study_b").alias("study"), F.col("obs_b").alias("obs"), "overlaps")
-    rows = obs.join(pairs, ["patient_id", "study", "obs"], "left")
+    rows, never voxels; overlaps come from the join. Patients are dealt over `tasks` tasks."""
+    pairs = dealt(overlap, tasks, "patient_id", "study_b", "obs_b").groupBy("patient_id", "study_b", "obs_b").agg(F.collect_list(F.struct("study_a", "obs_a", "overlap")).alias("overlaps")).select("patient_id", F.col("study_b").alias("study"), F.col("obs_b").alias("obs"), "overlaps")
+    rows = dealt(dealt(obs, tasks, "patient_id", "study", "obs").join(pairs, ["patient_id", "study", "obs"], "left"), tasks, "patient_id")
     patient = rows.schema["patient_id"].dataType.simpleString()
     study, number = (rows.schema[c].dataType.simpleString() for c in ("study", "obs"))
     low = lambda x: (x is None, x)

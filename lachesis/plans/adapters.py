@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.series import index_timepoints, response_class
 from ..operators.evaluate import stratified_kfold
-from ..operators.matching import by_line
+from ..operators.matching import by_line, tasks_of
 from ..operators.resample import resample_nearest
 
 #: Scaled parameters for the events' 30 days.
@@ -58,6 +58,11 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_line(rows, v.count()).distinct()
 
 
+def voxel_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for joins of what is made of the voxels."""
+    return tasks_of(read(spark, sf_dir, "lineitem").count())
+
+
 def atlas(spark: SparkSession) -> DataFrame:
     """A grid with a label for each x-decade, and none where y is over 7: as many rows whatever the tables' size."""
     r = spark.range(50).select((F.col("id") + 1).cast("int").alias("x"))

@@ -85,12 +85,12 @@ def _(spark, d):
 
 @query("lesion_overlap", ctes("shared_voxels") + "SELECT * FROM shared_voxels")
 def _(spark, d):
-    return M.lesion_overlap(A.voxels(spark, d))
+    return M.lesion_overlap(A.voxels(spark, d), tasks=A.voxel_tasks(spark, d))
 
 
 def metrics(spark, d):
-    v = A.voxels(spark, d)
-    return M.correspondence_metrics(M.observations(v), M.lesion_overlap(v))
+    v, n = A.voxels(spark, d), A.voxel_tasks(spark, d)
+    return M.correspondence_metrics(M.observations(v), M.lesion_overlap(v, tasks=n), tasks=n)
 
 
 @query("correspondence_metrics", ctes("metrics") + "SELECT patient_id, study_a, obs_a, study_b, obs_b, overlap, round(distance, 6) AS distance, round(diameter, 6) AS diameter FROM metrics")
@@ -113,26 +113,27 @@ f AS (SELECT * FROM (SELECT *, idx = min(idx) OVER (PARTITION BY patient_id, stu
 SELECT patient_id, study_b, obs_b, study_a, obs_a FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, study_b, obs_b ORDER BY overlap DESC, distance, idx) AS r FROM f) WHERE r = 1""")
 def _(spark, d):
     m = metrics(spark, d).withColumn("idx", F.col("study_a") * 100 + F.ascii("obs_a"))
-    return M.best_match(m, ["patient_id", "study_b", "obs_b"], "idx").select("patient_id", "study_b", "obs_b", "study_a", "obs_a")
+    return M.best_match(m, ["patient_id", "study_b", "obs_b"], "idx", tasks=A.voxel_tasks(spark, d)).select("patient_id", "study_b", "obs_b", "study_a", "obs_a")
 
 
 @query("best_match_overlap", RANKED + "\nSELECT patient_id, study_b, obs_b, study_a, obs_a FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, study_b, obs_b ORDER BY overlap DESC, idx) AS r FROM m WHERE overlap > 0) WHERE r = 1")
 def _(spark, d):
     m = metrics(spark, d).withColumn("idx", F.col("study_a") * 100 + F.ascii("obs_a"))
-    return M.best_match(m, ["patient_id", "study_b", "obs_b"], "idx", "overlap").select("patient_id", "study_b", "obs_b", "study_a", "obs_a")
+    return M.best_match(m, ["patient_id", "study_b", "obs_b"], "idx", "overlap", tasks=A.voxel_tasks(spark, d)).select("patient_id", "study_b", "obs_b", "study_a", "obs_a")
 
 
 @query("best_match_centroid", RANKED + "\nSELECT patient_id, study_b, obs_b, study_a, obs_a FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, study_b, obs_b ORDER BY distance, idx) AS r FROM m WHERE gate) WHERE r = 1")
 def _(spark, d):
     m = metrics(spark, d).withColumn("idx", F.col("study_a") * 100 + F.ascii("obs_a"))
-    return M.best_match(m, ["patient_id", "study_b", "obs_b"], "idx", "centroid").select("patient_id", "study_b", "obs_b", "study_a", "obs_a")
+    return M.best_match(m, ["patient_id", "study_b", "obs_b"], "idx", "centroid", tasks=A.voxel_tasks(spark, d)).select("patient_id", "study_b", "obs_b", "study_a", "obs_a")
 
 
 @query("track_lesions")
 def _(spark, d):
     v = A.voxels(spark, d)
     obs = M.observations(v).withColumns({"ts": F.make_timestamp_ntz("study", F.lit(7), F.lit(1), F.lit(0), F.lit(0), F.lit(0)), "treated": F.col("study") % 2 == 1})
-    return M.track_lesions(obs, M.lesion_overlap(v))
+    n = A.voxel_tasks(spark, d)
+    return M.track_lesions(obs, M.lesion_overlap(v, tasks=n), n)
 
 
 #: Users whose number 7 divides have no truth; a lesion's label is that of its largest event, and values of 30 or less match nothing.

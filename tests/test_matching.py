@@ -1,6 +1,7 @@
 """Runs, distance transforms and regions against plain numpy."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -97,3 +98,23 @@ def test_voxels_of_a_task_stay_bounded(spark, monkeypatch):
     assert v.rdd.getNumPartitions() >= v.count() / 100
     plan = M.lesion_overlap(v)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") and plan.count("Exchange hashpartitioning(patient_id") == plan.count("REPARTITION_BY_NUM") + 1
+
+
+def test_tasks_of_pairs_grow_with_the_rows(spark, capsys, monkeypatch):
+    """Overlaps, pairs, candidates and patients are dealt over tasks that grow with the voxels, whatever Spark's setting; results stay."""
+    from lachesis import registry
+
+    sf, names = "/root/testdata/sf0.001", ["lesion_overlap", "correspondence_metrics", "best_match", "track_lesions"]
+    rows = lambda: {q: sorted(map(str, registry.queries()[q](spark, sf).collect())) for q in names}
+    few = rows()
+    monkeypatch.setattr(M, "VOXELS_A_TASK", 250)
+    voxels = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    for q in names:
+        registry.queries()[q](spark, sf).explain()
+        plan = capsys.readouterr().out
+        numbers = [int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\), REPARTITION_BY_NUM", plan)]
+        joins = re.findall(r"hashpartitioning\(([^()]*), \d+\), ENSURE_REQUIREMENTS", plan)
+        assert set(numbers) == {-(-voxels // 250)}
+        # Spark's own exchanges are left where observations are made of voxels alone.
+        assert all(re.fullmatch(r"patient_id#\d+L?, study#\d+, obs#\d+", j) for j in joins), joins
+    assert rows() == few
