@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import RDD, inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import draw
 from ..sources.io import stored
-from . import linear
+from . import boosted, linear
 
 MAX_CLUSTERS = 42
 #: Fits that the driver has under way at once; each one is a Spark job of its own.
@@ -567,13 +566,9 @@ def vectors(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(df)
 
 
-#: Boosting rounds of tree models, those that the usual libraries take.
-TREES = 100
-
-
 def model_select(df: DataFrame, columns: list[str], target: str, seed: int = 42) -> list[str]:
     """Columns less important than the mean to a fitted tree model."""
-    fit = GBTRegressor(labelCol=target, maxIter=TREES, seed=seed).fit(vectors(df, columns))
+    fit = GBTRegressor(labelCol=target, maxIter=boosted.TREES, seed=seed).fit(vectors(df, columns))
     weight = fit.featureImportances.toArray()
     return [c for c, w in zip(columns, weight, strict=True) if w < weight.mean()]
 
@@ -588,8 +583,8 @@ def eliminate(df: DataFrame, columns: list[str], target: str, eliminators: list[
 
 #: Linear models by name, with their losses: all fits of a sweep share their passes.
 LINEAR = {"logistic": "logistic", "svc": "squared_hinge"}
-#: Other models by name, a fit of MLlib each.
-CLASSIFIERS = {"boosted": lambda: GBTClassifier(maxIter=TREES, seed=42, weightCol="weight")}
+#: Boosted models by name, with their losses: their trees grow side by side and share their passes as well.
+BOOSTED = {"boosted": "logistic"}
 
 
 #: Rows that one task of a fit takes at least; small tables are fitted by few tasks, whose start would take most of the time.
@@ -618,50 +613,62 @@ def named(out: DataFrame, target: str, model: str, config: str, more: list[Colum
     return out.select(F.lit(model).alias("model"), F.lit(config).alias("config"), *more, "id", "prediction", F.col(target).alias("target"), *([confidence] if confidence else []))
 
 
-def linear_classifiers(data: DataFrame, test: DataFrame, configs: dict[str, list[str]], target: str, fold: str | None, models: dict[str, str]) -> DataFrame:
-    """Predictions of test by every linear model and configuration, fitted on the rows of data outside a test row's own fold. A
-    target that is no class of 0 and 1 (the larger of two values is 1) is refused."""
+def shared_classifiers(data: DataFrame, test: DataFrame, configs: dict[str, list[str]], target: str, fold: str | None, lines: dict[str, str], boosted_ones: dict[str, str]) -> list[DataFrame]:
+    """Predictions of test by every linear and every boosted model and configuration, fitted on the rows of data outside a test row's own
+    fold. A target that is no class of 0 and 1 (the larger of two values is 1) is refused."""
     kind = data.schema[target].dataType
     classes = sorted(r[0] for r in data.where(F.col(target).isNotNull()).select(target).distinct().limit(3).collect())
     if len(classes) > 2:
         raise ValueError(f"{target} has more than two classes")
     low, high = (classes[0], classes[-1]) if len(classes) == 2 else (0, 1)
     folds = sorted(r[0] for r in data.select(fold).distinct().collect()) if fold else [None]
-    fits = [linear.Fit((m, c), columns, "_y", loss, out) for m, loss in models.items() for c, columns in configs.items() for out in folds]
-    linear.fit_all(data.withColumn("_y", F.when(F.col(target) == high, 1.0).when(F.col(target) == low, 0.0)), fits, fold)
-    out = linear.predict_all(test, fits, [*([fold] if fold else []), "id", target], fold)
-    name = lambda i: F.get(F.array(*[F.lit(f.key[i]) for f in fits]), F.col("fit"))
-    more = [F.col(fold).alias("fold")] if fold else []
-    label = F.when(F.col("z") > 0, F.lit(high).cast(kind)).otherwise(F.lit(low).cast(kind)).cast("int")
-    return out.select(name(0).alias("model"), name(1).alias("config"), *more, "id", label.alias("prediction"), F.col(target).alias("target"), (1 / (1 + F.exp(-F.col("z")))).alias("confidence"))
+    rows = data.withColumn("_y", F.when(F.col(target) == high, 1.0).when(F.col(target) == low, 0.0))
+    keep = [*([fold] if fold else []), "id", target]
+
+    def out(scores: DataFrame, fits: list, slope: int) -> DataFrame:
+        name = lambda i: F.get(F.array(*[F.lit(f.key[i]) for f in fits]), F.col("fit"))
+        more = [F.col(fold).alias("fold")] if fold else []
+        label = F.when(F.col("z") > 0, F.lit(high).cast(kind)).otherwise(F.lit(low).cast(kind)).cast("int")
+        return scores.select(name(0).alias("model"), name(1).alias("config"), *more, "id", label.alias("prediction"), F.col(target).alias("target"), (1 / (1 + F.exp(-slope * F.col("z")))).alias("confidence"))
+
+    every = lambda make, models: [make((m, c), columns, "_y", loss, f) for m, loss in models.items() for c, columns in configs.items() for f in folds]
+    parts = []
+    if lines:
+        fits = linear.fit_all(rows, every(linear.Fit, lines), fold)
+        parts.append(out(linear.predict_all(test, fits, keep, fold), fits, 1))
+    if boosted_ones:
+        fits = every(boosted.Fit, boosted_ones)
+        # The scores of the boosting loss are half of the log odds.
+        parts.append(out(boosted.predict_all(test, fits, boosted.fit_all(rows, fits, fold), keep, fold), fits, 2))
+    return parts
 
 
 def joined(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def train_classifiers(df: DataFrame, configs: dict[str, list[str]], target: str, fold: str = "fold", models: dict | None = None, lines: dict[str, str] | None = None) -> DataFrame:
-    """Out-of-fold predictions of each model and configuration (a name and its columns): (model, config, fold, id, ...). Linear models
-    (`lines`: names and losses) are fitted together, whatever the number of folds and configurations; each of the others
-    (`models`, makers of MLlib classifiers) is a fit of its own."""
-    data, lines, models = stored(df), LINEAR if lines is None else lines, CLASSIFIERS if models is None else models
+def train_classifiers(df: DataFrame, configs: dict[str, list[str]], target: str, fold: str = "fold", models: dict | None = None, lines: dict[str, str] | None = None, boosts: dict[str, str] | None = None) -> DataFrame:
+    """Out-of-fold predictions of each model and configuration (a name and its columns): (model, config, fold, id, ...). Linear and
+    boosted models (`lines`, `boosts`: names and losses) are fitted together, whatever the number of folds and configurations; others
+    (`models`, makers of MLlib classifiers) are a fit each."""
+    data, lines, boosts, models = stored(df), LINEAR if lines is None else lines, BOOSTED if boosts is None else boosts, models or {}
     folds = sorted(r[0] for r in data.select(fold).distinct().collect())
     tasks = [
         (data.where(F.col(fold) != f), data.where(F.col(fold) == f), lambda a, b, m=m, name=name, config=config, columns=columns: named(fit_predict(a, b, columns, target, m), target, name, config, [F.col(fold).alias("fold")], "confidence"))
         for name, m in models.items() for config, columns in configs.items() for f in folds
     ]
-    return joined([linear_classifiers(data, data, configs, target, fold, lines)] * bool(lines) + [predictions(tasks)] * bool(tasks))
+    return joined(shared_classifiers(data, data, configs, target, fold, lines, boosts) + ([predictions(tasks)] if tasks else []))
 
 
-def train_holdout_sweep(train: DataFrame, test: DataFrame, configs: dict[str, list[str]], target: str, models: dict | None = None, lines: dict[str, str] | None = None) -> DataFrame:
+def train_holdout_sweep(train: DataFrame, test: DataFrame, configs: dict[str, list[str]], target: str, models: dict | None = None, lines: dict[str, str] | None = None, boosts: dict[str, str] | None = None) -> DataFrame:
     """The same on a given pair of tables instead of folds."""
-    train, test, lines, models = stored(train), stored(test), LINEAR if lines is None else lines, CLASSIFIERS if models is None else models
+    train, test, lines, boosts, models = stored(train), stored(test), LINEAR if lines is None else lines, BOOSTED if boosts is None else boosts, models or {}
     tasks = [(train, test, lambda a, b, m=m, name=name, config=config, columns=columns: named(fit_predict(a, b, columns, target, m), target, name, config, [], "confidence")) for name, m in models.items() for config, columns in configs.items()]
-    return joined([linear_classifiers(train, test, configs, target, None, lines)] * bool(lines) + [predictions(tasks)] * bool(tasks))
+    return joined(shared_classifiers(train, test, configs, target, None, lines, boosts) + ([predictions(tasks)] if tasks else []))
 
 
 #: Models beside the linear one by name, each made for a target column.
-REGRESSORS = {"boosted": lambda t: GBTRegressor(labelCol=t, maxIter=TREES, seed=42)}
+REGRESSORS = {"boosted": lambda t: GBTRegressor(labelCol=t, maxIter=boosted.TREES, seed=42)}
 
 
 def linear_regressors(train: DataFrame, test: DataFrame, configs: dict[str, tuple[list[str], str]]) -> DataFrame:
