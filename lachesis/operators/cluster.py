@@ -667,25 +667,17 @@ def train_holdout_sweep(train: DataFrame, test: DataFrame, configs: dict[str, li
     return joined(shared_classifiers(train, test, configs, target, None, lines, boosts) + ([predictions(tasks)] if tasks else []))
 
 
-#: Models beside the linear one by name, each made for a target column.
-REGRESSORS = {"boosted": lambda t: GBTRegressor(labelCol=t, maxIter=boosted.TREES, seed=42)}
-
-
-def linear_regressors(train: DataFrame, test: DataFrame, configs: dict[str, tuple[list[str], str]]) -> DataFrame:
-    """Predictions of test by a linear model of each configuration: all of them from two passes over train."""
-    fits = linear.fit_all(train, [linear.Fit((c,), columns, target, "squared") for c, (columns, target) in configs.items()])
-    targets = [*dict.fromkeys(t for _, t in configs.values())]
-    out = linear.predict_all(test, fits, ["id", *targets])
-    own = F.coalesce(*[F.when(F.col("fit") == i, F.col(f.target).cast("double")) for i, f in enumerate(fits)])
-    return out.select(F.lit("linear").alias("model"), F.get(F.array(*[F.lit(c) for c in configs]), F.col("fit")).alias("config"), "id", F.col("z").alias("prediction"), own.alias("target"))
-
-
 def train_regressors(train: DataFrame, test: DataFrame, configs: dict[str, tuple[list[str], str]]) -> DataFrame:
-    """Predictions of linear and boosted models for each configuration of input columns and a target column."""
+    """Predictions of linear and boosted models for each configuration of input columns and a target column: the linear ones from two
+    passes over train, the boosted ones from a pass a level of a tree."""
     train, test = stored(train), stored(test)
+    targets = [*dict.fromkeys(t for _, t in configs.values())]
+    keep = ["id", *targets]
 
-    def fitted(model: Callable, columns: list[str], target: str) -> Callable[[DataFrame, DataFrame], DataFrame]:
-        return lambda a, b: model(target).fit(vectors(a, columns).select("features", target).coalesce(-(-a.count() // ROWS_A_TASK) or 1)).transform(vectors(b, columns)).withColumn("_target", F.col(target).cast("double"))
+    def out(scores: DataFrame, fits: list, model: str) -> DataFrame:
+        own = F.coalesce(*[F.when(F.col("fit") == i, F.col(f.target).cast("double")) for i, f in enumerate(fits)])
+        return scores.select(F.lit(model).alias("model"), F.get(F.array(*[F.lit(c) for c in configs]), F.col("fit")).alias("config"), "id", F.col("z").alias("prediction"), own.alias("target"))
 
-    tasks = [(train, test, lambda a, b, f=fitted(m, columns, target), name=name, config=config: named(f(a, b), "_target", name, config, [], None)) for name, m in REGRESSORS.items() for config, (columns, target) in configs.items()]
-    return joined([linear_regressors(train, test, configs), predictions(tasks)])
+    every = lambda make: [make((c,), columns, target, "squared") for c, (columns, target) in configs.items()]
+    lines, boosts = linear.fit_all(train, every(linear.Fit)), every(boosted.Fit)
+    return joined([out(linear.predict_all(test, lines, keep), lines, "linear"), out(boosted.predict_all(test, boosts, boosted.fit_all(train, boosts), keep), boosts, "boosted")])

@@ -68,6 +68,7 @@ def test_regressors_are_those_of_mllib(spark, rows, monkeypatch, alone):
 def test_jobs_do_not_grow_with_fits(spark, rows, monkeypatch):
     """Whole sweeps of 100 trees make a handful of jobs on a small table, and a job a level on a large one, whatever the number of fits."""
     assert jobs(spark, lambda: L.train_classifiers(rows, CONFIGS, "y", lines={}).count()) < 40
+    assert jobs(spark, lambda: L.train_regressors(rows, rows, {c: (columns, "v") for c, columns in CONFIGS.items()}).count()) < 40
     monkeypatch.setattr(B, "ALONE", 0)
     few, many = ([B.Fit((i,), ["a", "b"], "v", "squared") for i in range(n)] for n in (1, 8))
     assert abs(jobs(spark, lambda: B.fit_all(rows, few, None, 3)) - jobs(spark, lambda: B.fit_all(rows, many, None, 3))) <= 2
