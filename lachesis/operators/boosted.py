@@ -6,7 +6,7 @@ model a call and run a few jobs a level of each tree. Here one pass makes a leve
 weights, slopes and their squares by node and bin, and the driver chooses the splits. So the passes are trees x levels, whatever the number of
 fits; a table with little work is one task, which makes all of them.
 
-Bins come from the counts of all values of all rows; columns with more than MOST_VALUES different values are counted between so many
+Bins come from the counts of all values of all rows; columns with more than MOST_VALUES different values are counted between
 quantiles. A missing feature is larger than any number; rows without a target, or with one that is no number, train no fit.
 """
 
@@ -27,8 +27,8 @@ from .moments import PIECE, matrix
 #: Trees of a model, those that the usual libraries take.
 TREES = 100
 DEPTH, BINS, RATE = 5, 32, 0.1
-#: Values of a column that are told apart when its bins are made.
-MOST_VALUES = 10_000
+#: Values of a column that are told apart when its bins are made; quantiles between which the rows of one with more are counted.
+MOST_VALUES, QUANTILES = 10_000, 2048
 #: Rows of a block; rows x fits up to which one task makes all rounds, and those that a task takes at least in larger tables.
 BLOCK, ALONE, WORK = 32_768, 500_000, 100_000
 #: No row goes right of this bin: the mark of a leaf, whose rows stay on the left down to the last level.
@@ -150,17 +150,19 @@ def blocks_of(df: DataFrame, columns: list[str], targets: list[str], fold: str |
 
 def values_of(df: DataFrame, columns: list[str]) -> list[tuple[np.ndarray, bool]]:
     """For each column its different values, or quantiles if those are too many; and whether they are all."""
-    each = df.select(F.posexplode(numbers(columns)).alias("i", "v")).where("not isnan(v)").distinct()
+    x = lambda k: F.nanvl(F.col(columns[k]).cast("double"), F.lit(None).cast("double"))
+    # Columns that have far too many values by an estimate are not counted exactly.
+    guess = df.select(*[F.approx_count_distinct(x(k), 0.02).alias(str(k)) for k in range(len(columns))]).first()
+    likely = [k for k in range(len(columns)) if guess[k] <= 1.2 * MOST_VALUES]
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("i"), x(k).alias("v")) for k in likely]).cast("array<struct<i:int,v:double>>")).alias("e")).select("e.*").where("v is not null").distinct()
     many = {r[0]: r[1] for r in each.groupBy("i").count().collect()}
-    few = [i for i in range(len(columns)) if many.get(i, 0) <= MOST_VALUES]
+    few = [k for k in likely if many.get(k, 0) <= MOST_VALUES]
     got = each.where(F.col("i").isin(few)).toArrow()
     i, v = got["i"].to_numpy(), got["v"].to_numpy()
     out = {k: (np.sort(v[i == k]), True) for k in few}
-    steps = [float(q) for q in np.linspace(0, 1, MOST_VALUES + 1)]
     rest = [k for k in range(len(columns)) if k not in out]
     if rest:
-        x = lambda k: F.col(columns[k]).cast("double")
-        row = df.select(*[F.percentile_approx(F.when(~F.isnan(x(k)), x(k)), steps, 10 * MOST_VALUES).alias(str(k)) for k in rest]).first()
+        row = df.select(*[F.percentile_approx(x(k), [float(q) for q in np.linspace(0, 1, QUANTILES + 1)], MOST_VALUES).alias(str(k)) for k in rest]).first()
         out |= {k: (np.unique(row[str(k)]), False) for k in rest}
     return [out[k] for k in range(len(columns))]
 
@@ -235,9 +237,9 @@ def level_sums(blocks: Iterable[Block], fits: list[Fit], growing: dict[int, Tree
             f = fits[k]
             t, own = y[targets.index(f.target)], [x[j] for j in f.bins]
             r, at = slopes(f.loss, t, scores[k], first), tree.places(own, level) * BINS
-            w = f.weight.take((t == 1).astype(np.intp)) if f.loss == "logistic" else np.ones(len(t))
-            if np.isnan(t).any():
-                use = ~np.isnan(t)
+            w = np.where(t == 1, f.weight[-1], f.weight[0])
+            use = ~np.isnan(t)
+            if not use.all():
                 r, w, at, own = r[use], w[use], at[use], [v[use] for v in own]
             size = BINS << level
             if k not in out:
