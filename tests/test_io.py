@@ -117,3 +117,22 @@ def test_study_manifest_query_keeps_no_tree(spark, monkeypatch):
 
     monkeypatch.setattr(io, "write_study_tree", None)
     assert registry.queries()["read_study_manifest"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("links", [True, False])
+def test_passing_sessions_need_no_inode_each(tmp_path, monkeypatch, links):
+    """A link for each kind of session and a folder for each patient of a piece, however many pieces; links that can't have a second name
+    give the same."""
+    from lachesis.sources import folders
+
+    made = []
+    for call in ("symlink", "mkdir"):
+        real = getattr(folders.os, call)
+        monkeypatch.setattr(folders.os, call, lambda *a, real=real, **k: made.append(a) or real(*a, **k))
+    if not links:
+        monkeypatch.setattr(folders.os, "link", lambda *a, **k: (_ for _ in ()).throw(OSError("not supported")))
+    tree, kinds = folders.Passing(str(tmp_path)), [["anat"], ["rt"], ["anat", "rt"], ["notes"], []]
+    for piece in range(4):
+        rows = [{"patient": f"sub-{piece}-{i % 6}", "session": f"ses-{20200101000000 + i}", "inside": kinds[i % 5]} for i in range(300)]
+        assert sorted(tree.visited(rows)) == sorted((r["patient"], r["session"], "anat" in r["inside"], "rt" in r["inside"]) for r in rows)
+    assert not [*(tmp_path / "tree").iterdir()] and (len(made) < 30 or not links)
