@@ -237,10 +237,20 @@ def moved(total: np.ndarray, centres: np.ndarray, metric: str) -> np.ndarray:
     return new
 
 
-def fit_all(blocks: RDD, starts: dict[int, np.ndarray], metric: str, rounds: int, within: bool = False, step: float | None = None) -> dict[int, np.ndarray]:
+def counted_sums(x: np.ndarray, times: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The Euclidean centre_sums of vectors that each count a number of times. Distances come from a product of matrices, about a point
+    among the centres, so that little is lost to rounding."""
+    k, about = len(centres), centres.mean(axis=0)
+    c = centres - about
+    of = ((x - about) @ c.T - (c**2).sum(axis=1) / 2).argmax(axis=1)
+    count = np.bincount(of, times, k)
+    return np.stack([*[np.bincount(of, v, k) for v in x.T * times], *[count] * x.shape[1]], axis=1)
+
+
+def fit_all(blocks: RDD, starts: dict[int, np.ndarray], metric: str, rounds: int, within: bool = False, step: float | None = None, counted: bool = False) -> dict[int, np.ndarray]:
     """The centres of many fits, each over all vectors, or with `within` over those of the cluster that is its number. A round is one
     pass for all fits that still move. A fit ends when its centres stay or come back to earlier ones, or, with `step`, when none moves
-    by more than that."""
+    by more than that. With `counted`, which is for Euclidean fits, a vector's label is how often it counts."""
 
     def fit(add: Add) -> tuple[dict[int, np.ndarray], set[int]]:
         past, open_ = {k: [c] for k, c in starts.items()}, set(starts)
@@ -250,6 +260,9 @@ def fit_all(blocks: RDD, starts: dict[int, np.ndarray], metric: str, rounds: int
             now = {k: past[k][-1] for k in open_}
 
             def sums_of(x: np.ndarray, label: np.ndarray, now: dict[int, np.ndarray] = now) -> Sums:
+                if counted:
+                    times = label.astype(float)
+                    return {k: counted_sums(x, times, c).ravel() for k, c in now.items()}
                 parts = {k: x[label == k] if within else x for k in now}
                 return {k: centre_sums(v, now[k], metric).ravel() for k, v in parts.items() if len(v)}
 
@@ -342,6 +355,67 @@ def spread_pairs(blocks: RDD, seed: int) -> dict[int, np.ndarray]:
     return {c: np.array([first[c], v]) for c, v in least(race).items()}
 
 
+#: Passes of spread_starts, and how many vectors each draws for a centre of the largest fit, as MLlib's k-means|| does.
+DRAWS, DRAWN = 5, 2
+#: Rounds over what was drawn, of MLlib as well.
+DRAWN_ROUNDS = 30
+
+
+def spread_starts(blocks: RDD, ks: list[int], seed: int) -> dict[int, np.ndarray]:
+    """The starts of k-means|| for each k, from the same passes over vectors whose label is how often they count: each pass draws
+    vectors with chances in proportion to their count and squared distance from those drawn before; a last one counts how many vectors
+    are nearest to each drawn one, and each k takes its start from these alone, by k-means++ and some rounds. Fewer different vectors than k
+    are all taken. A draw depends on a vector and the seed only, not on the task that holds it."""
+    drawn = np.empty((0, 0))
+    for i in range(DRAWS + 1):
+        many = DRAWN * max(ks) if i else 1
+
+        def least(rows: Iterator[tuple[bytes, bytes, int]], i: int = i, many: int = many, drawn: np.ndarray = drawn) -> Iterator[list[tuple[float, tuple]]]:
+            best: list[tuple[float, tuple]] = []
+            for b, n, m in rows:
+                x = np.frombuffer(b).reshape(-1, m)
+                rate = np.frombuffer(n, np.int32) * (apart(x, drawn)[0] if i else 1.0)
+                # The least of exponential times with these rates.
+                time = np.where(rate > 0, -np.log(uniform(x, seed + i)) / np.where(rate > 0, rate, 1), np.inf)
+                first = np.argsort(time, kind="stable")[:many]
+                best = sorted([*best, *zip(time[first].tolist(), map(tuple, x[first].tolist()), strict=True)])[:many]
+            return iter([[r for r in best if np.isfinite(r[0])]])
+
+        found = sorted({r for part in blocks.mapPartitions(least).collect() for r in part})[:many]
+        if not found:
+            break
+        drawn = np.concatenate([drawn, [v for _, v in found]]) if i else np.array([v for _, v in found])
+
+    counts = added(blocks, lambda x, times: {0: np.bincount(apart(x, drawn)[1], times, len(drawn))})[0]
+    return {k: drawn_start(drawn, counts, k, seed) for k in ks}
+
+
+def apart(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The squared distance of each vector from its nearest centre, without rounding where they are equal, and that centre's number."""
+    far, of = np.full(len(x), np.inf), np.zeros(len(x), int)
+    for c, v in enumerate(centres):
+        d = ((x - v) ** 2).sum(axis=1)
+        of[d < far] = c
+        np.minimum(far, d, out=far)
+    return far, of
+
+
+def drawn_start(x: np.ndarray, times: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k centres of a few different vectors that count a number of times: k-means++ and at most DRAWN_ROUNDS rounds."""
+    rng = np.random.default_rng([seed, k])
+    centres = x[[rng.choice(len(x), p=times / times.sum())]]
+    while len(centres) < min(k, len(x)):
+        rate = times * apart(x, centres)[0]
+        if not rate.any():
+            break
+        centres = np.concatenate([centres, x[[rng.choice(len(x), p=rate / rate.sum())]]])
+    for _ in range(DRAWN_ROUNDS):
+        last, centres = centres, moved(counted_sums(x, times, centres), centres, "euclidean")
+        if np.allclose(last, centres, rtol=0, atol=STEP):
+            break
+    return centres
+
+
 def fit_clusters(df: DataFrame, vector: str, k: int, metric: str = "euclidean", seed: int = 42, init: np.ndarray | None = None, rounds: int = ROUNDS) -> np.ndarray:
     """Centres of k clusters, fitted until they stay or come back to earlier ones. Without init, Euclidean starts come from
     MLlib's KMeans, until no centre moves by more than its tolerance, and others from a drawn sample. Null vectors don't count; no
@@ -466,10 +540,11 @@ def log_density(v: Column, mean: np.ndarray, var: np.ndarray, weight: float) ->
 
 
 def mixtures(df: DataFrame, vector: str, ks: Iterable[int], seed: int = 42, rounds: int = ROUNDS, tol: float = 1e-4) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, float]]]:
-    """Mixtures of Gaussians with diagonal covariance by expectation-maximisation, started from KMeans, for each k: means,
+    """Mixtures of Gaussians with diagonal covariance by expectation-maximisation, started from Euclidean fits, for each k: means,
     variances, weights, and log-likelihood, AIC and BIC. One round is one pass for all k that have not converged; each
     task sends k * (2 d + 1) + 1 sums a mixture. Null vectors don't count; without any there are no mixtures."""
-    data = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).cache()
+    # Equal vectors are one row that counts as often as they occur: a fit is the same over them.
+    data = df.where(F.col(vector).isNotNull()).groupBy(F.col(vector).cast("array<double>").alias("v")).agg(F.count(F.lit(1)).alias("n")).cache()
     try:
         return {} if data.isEmpty() else mixtures_of(data, list(ks), seed, rounds, tol)
     finally:
@@ -477,44 +552,46 @@ def mixtures(df: DataFrame, vector: str, ks: Iterable[int], seed: int = 42, roun
 
 
 def mixtures_of(data: DataFrame, ks: list[int], seed: int, rounds: int, tol: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, float]]]:
-    """mixtures() of a table (v) that has vectors."""
-    blocks = packed(data, "v", sum(ks)).cache()
+    """mixtures() of a table (v, n) that has vectors, each of them once."""
+    blocks = packed(data, "v", sum(ks), "n").cache()
     try:
-        starts = dict(zip(ks, each([lambda k=k: euclidean_start(data, "v", k, seed) for k in ks]), strict=True))
-        return maximised(blocks, fit_all(blocks, starts, "euclidean", ROUNDS, step=STEP), rounds, tol)
+        fits = fit_all(blocks, spread_starts(blocks, ks, seed), "euclidean", ROUNDS, step=STEP, counted=True)
+        return maximised(blocks, fits, rounds, tol)
     finally:
         blocks.unpersist()
 
 
 def maximised(blocks: RDD, fits: dict[int, np.ndarray], rounds: int, tol: float) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, float]]]:
-    """Expectation-maximisation of all mixtures from their centres, over blocks of vectors."""
+    """Expectation-maximisation of all mixtures from their centres, over blocks of vectors whose label is how often they count."""
     d = next(iter(fits.values())).shape[1]
 
     def fit(add: Add) -> tuple[dict, dict, set, int, np.ndarray]:
-        s = add(lambda x, _: {0: np.concatenate([[len(x)], x.sum(axis=0)])})[0]
+        s = add(lambda x, times: {0: np.concatenate([[times.sum(dtype=float)], times @ x])})[0]
         n, middle = int(s[0]), s[1:] / s[0]
-        wide = np.maximum(add(lambda x, _: {0: ((x - middle) ** 2).sum(axis=0)})[0] / n, 1e-6)
+        wide = np.maximum(add(lambda x, times: {0: times @ (x - middle) ** 2})[0] / n, 1e-6)
         # Vectors are taken from their mean, so that squares may be expanded into products of matrices.
         now = {k: (c - middle, np.tile(wide, (len(c), 1)), np.full(len(c), 1 / len(c))) for k, c in fits.items()}
         like, open_ = dict.fromkeys(now, -np.inf), set(now)
 
         for _ in range(rounds):
-            these = sorted(open_)
-            m, s, w = (np.concatenate([now[k][i] for k in these]) for i in range(3))
-            edges = np.cumsum([0, *[len(now[k][2]) for k in these]])
-            factors = np.concatenate([m / s, -0.5 / s], axis=1).T
-            const = np.log(np.maximum(w, 1e-300)) - 0.5 * np.log(2 * np.pi * s).sum(axis=1) - (m**2 / (2 * s)).sum(axis=1)
+            factors = {}
+            for k in sorted(open_):
+                m, s, w = now[k]
+                factors[k] = np.concatenate([m / s, -0.5 / s], axis=1), np.log(np.maximum(w, 1e-300)) - 0.5 * np.log(2 * np.pi * s).sum(axis=1) - (m**2 / (2 * s)).sum(axis=1)
 
-            def sums_of(x: np.ndarray, _: np.ndarray, these=these, edges=edges, factors=factors, const=const) -> Sums:
+            def sums_of(x: np.ndarray, times: np.ndarray, factors=factors) -> Sums:
                 x = x - middle
-                both = np.concatenate([x, x**2], axis=1)
-                logs, out = both @ factors + const, {}
-                for k, a, b in zip(these, edges[:-1], edges[1:], strict=True):
-                    top = logs[:, a:b].max(axis=1, keepdims=True)
-                    e = np.exp(logs[:, a:b] - top)
-                    total = e.sum(axis=1, keepdims=True)
-                    r = e / total
-                    out[k] = np.concatenate([[(top + np.log(total)).sum()], r.sum(axis=0), (r.T @ both).ravel()])
+                both = np.concatenate([np.ones((len(x), 1)), x, x**2], axis=1)
+                powers, out = np.ascontiguousarray(both[:, 1:].T), {}
+                for k, (by, const) in factors.items():
+                    # A row a centre: steps over the centres of a mixture go along whole rows.
+                    r = by @ powers + const[:, None]
+                    top = r.max(axis=0)
+                    r -= top
+                    total = np.exp(r, out=r).sum(axis=0)
+                    r *= times / total
+                    sums = r @ both
+                    out[k] = np.concatenate([[times @ (top + np.log(total))], sums[:, 0], sums[:, 1:].ravel()])
                 return out
 
             for k, v in add(sums_of).items():

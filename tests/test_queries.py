@@ -430,3 +430,41 @@ def test_halves_start_in_two_passes(spark, monkeypatch):
     # Far vectors are likelier: of 1 and 100 with 0 as the first, the second is nearly always 100.
     far = [L.spread_pairs(L.packed(spark.createDataFrame([([0.0, 0.0],), ([1.0, 0.0],), ([100.0, 0.0],)], "v array<double>"), "v", 2), s)[0] for s in range(4)]
     assert all(100.0 in p[:, 0] for p in far)
+
+
+def test_mixtures_start_together_over_different_vectors(spark, monkeypatch):
+    """best_k's mixtures of all k start from the same few passes and without a fit of MLlib each; equal vectors are one that counts more
+    often, in whatever tasks they are, and fewer different vectors than k are all centres."""
+    import numpy as np
+    from lachesis.operators import cluster as L
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(L, "euclidean_start", None)
+    held, pack = [], L.packed
+    monkeypatch.setattr(L, "packed", lambda df, *a: held.append(df.count()) or pack(df, *a))
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(0, 0.3, 3) + 4.0 * np.array([i % 5, i % 2, i % 3])).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, v array<double>")
+    thrice = df.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3)))).repartition(5)
+    one, more = L.mixtures(df, "v", [2, 7, 30]), L.mixtures(thrice, "v", [2, 7, 30])
+    assert held == [600, 600] and [len(one[k][2]) for k in one] == [2, 7, 30]
+    for k in one:
+        assert all(np.allclose(a, b) for a, b in zip(one[k][:3], more[k][:3], strict=True))
+        assert np.isclose(3 * one[k][3]["log_likelihood"], more[k][3]["log_likelihood"])
+        # Reported scores are those of a pass before the last step, which no longer gains.
+        x, (m, s, w, score) = np.array([v for _, v in rows]), one[k]
+        logs = np.log(w) - 0.5 * (np.log(2 * np.pi * s) + (x[:, None] - m) ** 2 / s).sum(axis=2)
+        like = np.log(np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)) + logs.max(axis=1)
+        assert abs(like.sum() - score["log_likelihood"]) < 2e-3 * abs(like.sum())
+    few = L.spread_starts(pack(thrice.where("id < 4").groupBy("v").agg(F.count("v").alias("c")), "v", 9, "c"), [2, 9], 1)
+    assert len(few[2]) == 2 and np.allclose(sorted(few[9].tolist()), sorted(v for _, v in rows[:4]))
+
+
+def test_counted_sums_are_those_of_each_vector():
+    """Vectors that count several times, far from zero, give the centre sums of their copies."""
+    import numpy as np
+    from lachesis.operators import cluster as L
+
+    rng = np.random.default_rng(6)
+    x, times, centres = rng.normal(1e6, 1, (500, 4)), rng.integers(1, 9, 500), rng.normal(1e6, 1, (12, 4))
+    assert np.allclose(L.counted_sums(x, times, centres), L.centre_sums(np.repeat(x, times, axis=0), centres, "euclidean"), rtol=1e-12)
